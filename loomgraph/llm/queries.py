@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, toxicity
+from . import idcodec, simhash, toxicity
 from .common import read
 
 
@@ -18,8 +18,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def tokenizer_path() -> str:
+    """The file that op4's contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcodec.round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity}
+    return {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
