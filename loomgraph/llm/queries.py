@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idcodec, simhash, toxicity
+from . import idcodec, ordinal, ppm, simhash, toxicity
 from .common import read
 
 
@@ -29,8 +29,16 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcodec.round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.identify(read(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.grade(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids}
+    return {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_language": op5_language, "op6_quality": op6_quality}
 
 
 def oracle_sql() -> dict[str, str]:
