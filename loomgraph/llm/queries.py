@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import idcodec, ordinal, ppm, simhash, toxicity
+from . import idcodec, licenses, mixing, ordinal, ppm, secret_scan, simhash, toxicity
 from .common import read
 
 
@@ -37,9 +38,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(read(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_language": op5_language, "op6_quality": op6_quality}
+    return {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_language": op5_language, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_licenses": licenses.sql()}
