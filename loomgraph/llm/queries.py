@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idcodec, licenses, mixing, ordinal, ppm, secret_scan, simhash, toxicity
+from . import decontam, idcodec, licenses, mixing, ordinal, ppm, secret_scan, simhash, toxicity
 from .common import read
 
 
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.summary(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_language": op5_language, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_licenses": op10_licenses}
+    return {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
