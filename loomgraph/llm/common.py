@@ -76,6 +76,17 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, work: Callable[[di
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def keep_texts(df: DataFrame, keep: Callable[[list], np.ndarray], column: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
+    """The rows of df that `keep` wants, given the texts of a slice; all columns pass through as they are, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column, limit):
+                yield part.filter(pa.array(keep(part.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class WordTable:
     """Values of words, worked out once for each distinct word while it stays in the table.
 
@@ -115,19 +126,20 @@ class WordTable:
 
 
 def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 17, by: str | None = None) -> DataFrame:
-    """At most `limit` rows (for each value of `by`, if given) in the order of a keyed hash of `key`.
+    """At most `limit` rows (for each value of `by`, if given), the first in the order of a keyed hash of `key`.
 
-    The sample is for fitting only; which rows it takes depends on their ids alone, not on partitions.
+    The sample is for fitting only; which rows it takes depends on their ids alone, not on partitions. Rows are
+    first thinned, by the same hash, to about twice the limit, so that no task orders more.
     """
     from pyspark.sql import Window
 
-    order = [F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.col(key)]
-    if by is None:
-        return df.orderBy(*order).limit(limit)
-    # A bounded collect per value: partial top-k in each task before the rows of a value meet.
-    part = df.withColumn("_part", F.spark_partition_id())
-    local = part.withColumn("_k", F.row_number().over(Window.partitionBy("_part", by).orderBy(*order))).where(F.col("_k") <= limit)
-    return local.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= limit).drop("_k", "_part")
+    by_ = F.lit(0) if by is None else F.col(by)
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    marked = df.withColumn("_place", place).withColumn("_by", by_)
+    sizes = marked.groupBy("_by").agg(F.count("*").alias("_n"))
+    thinned = marked.join(sizes, "_by").where(F.col("_place") * F.col("_n") < 2 * limit + 100)
+    window = Window.partitionBy("_by").orderBy("_place", key)
+    return thinned.withColumn("_k", F.row_number().over(window)).where(F.col("_k") <= limit).drop("_k", "_place", "_by", "_n")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import keep_texts, slices
 
 Q = 8
 #: Edits allowed, as a share of a passage's normalised length.
@@ -232,7 +232,15 @@ def summary(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col:
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs without a benchmark passage, with their columns; rows with a null id stay."""
-    found = matches(docs.where(F.col(id_col).isNotNull()), benchmark, edits, id_col).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[id_col] == found["_found"], "left_anti")
+def remove(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """The rows of docs without a benchmark passage, with their columns; none is shuffled. Null and empty texts stay."""
+    for index in _passes(benchmark, edits, group_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def keep(texts: list, sent=sent) -> np.ndarray:
+            out = np.ones(len(texts), bool)
+            out[[row[0] for row in search(texts, sent.value)]] = False
+            return out
+
+        docs = keep_texts(docs, keep, limit=1_000_000)
+    return docs

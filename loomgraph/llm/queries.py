@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, idcodec, licenses, mixing, ordinal, ppm, secret_scan, simhash, toxicity
+from . import covertree, decontam, idcodec, licenses, mixing, ordinal, ppm, secret_scan, simhash, toxicity
 from .common import read
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.groups(read(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -55,8 +59,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_licenses": op10_licenses}
+    return {"op1_cover_tree": op1_cover_tree, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licenses": licenses.sql()}
+    return {"op1_cover_tree": covertree.ORACLE_SQL, "op10_licenses": licenses.sql()}

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_sample, crc_mod, map_texts
+from .common import WordTable, bounded_sample, crc_mod, keep_texts, map_texts
 
 #: Hashed feature space (a power of two).
 SPACE = 1 << 18
@@ -308,6 +308,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score under the threshold, with their columns. Rows with a null id stay."""
-    toxic = scores(docs.where("doc_id is not null"), learn(docs, labels)).where(F.col("score") >= threshold).select("doc_id")
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that score under the threshold, with their columns; every row is scored, and none is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    cache: list[WordTable] = []
+
+    def keep(texts):
+        if not cache:
+            cache.append(sent.value.table())
+        return sent.value.scores(*sent.value.tag(texts, cache[0])) < threshold
+
+    return keep_texts(docs, keep)
