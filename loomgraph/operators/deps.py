@@ -14,15 +14,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoint
+
 SUBJECTS, OBJECTS, CLAUSES = ("nsubj", "nsubjpass"), ("dobj", "obj"), ("xcomp", "ccomp")
 AUXILIARIES = ("aux", "auxpass")
 
 
 def _closure(roots: DataFrame, children: DataFrame, depth: int) -> DataFrame:
-    """(root, token_id) of roots(root, token_id) and all that children(parent, token_id) hang under them."""
-    levels, now = [roots], roots
+    """(root, token_id) of roots(root, token_id) and all that children(parent, token_id) hang under them, level by level."""
+    now = shared_checkpoint(roots.distinct())
+    levels, links = [now], shared_checkpoint(children.select(F.col("parent").alias("token_id"), F.col("token_id").alias("_c")))
     for _ in range(depth):
-        now = now.join(children.select(F.col("parent").alias("token_id"), F.col("token_id").alias("_c")), "token_id").select("root", F.col("_c").alias("token_id"))
+        now = shared_checkpoint(now.join(links, "token_id").select("root", F.col("_c").alias("token_id")))
+        if now.isEmpty():
+            break
         levels.append(now)
     return reduce(DataFrame.unionByName, levels).distinct()
 
@@ -32,7 +37,7 @@ def _children(tokens: DataFrame, *deps: str) -> DataFrame:
     return (rows.where(F.col("dep").isin(*deps)) if deps else rows).select(F.col("head_id").alias("parent"), "token_id")
 
 
-def compound_closure(tokens: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
+def compound_closure(tokens: DataFrame, roots: DataFrame, depth: int = 12) -> DataFrame:
     """(root, token_id): each root (token_id) with its compounds and theirs, `depth` levels down at most."""
     return _closure(roots.select(F.col("token_id").alias("root"), "token_id"), _children(tokens, "compound"), depth)
 
@@ -61,7 +66,7 @@ def negated(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(neg, "token_id", "left").groupBy("verb").agg(F.coalesce(F.bool_or("_n"), F.lit(False)).alias("negated"))
 
 
-def svo_triples(tokens: DataFrame, depth: int = 6) -> DataFrame:
+def svo_triples(tokens: DataFrame, depth: int = 12) -> DataFrame:
     """subject_text, subject_ids, subject_pos, verb_text, verb_lemma, verb_id, object_text, object_ids, object_pos, negated, sentence_id."""
     verbs = tokens.where((F.col("pos") == "VERB") & ~F.col("dep").isin(*AUXILIARIES)).select(F.col("token_id").alias("verb"), "sentence_id", "dep", "head_id")
     conj = _children(tokens, "conj")
@@ -77,12 +82,12 @@ def svo_triples(tokens: DataFrame, depth: int = 6) -> DataFrame:
     # A coordinated verb without a subject takes that of the verb it hangs on.
     lone = verbs.where("dep = 'conj'").join(own.select("verb").distinct(), "verb", "left_anti")
     shared = lone.select("verb", F.col("head_id").alias("_h")).join(own.withColumnRenamed("verb", "_h"), "_h").select("verb", "token_id")
-    subjects = with_conj(own.unionByName(shared))
+    subjects = shared_checkpoint(with_conj(own.unionByName(shared)))
     agents = _children(tokens, "agent").select("parent", F.col("token_id").alias("_a")).join(_children(tokens, "pobj").select(F.col("parent").alias("_a"), "token_id"), "_a").select("parent", "token_id")
-    objects = with_conj(of_verbs(_children(tokens, *OBJECTS).unionByName(agents)))
+    objects = shared_checkpoint(with_conj(of_verbs(_children(tokens, *OBJECTS).unionByName(agents))))
     compounds = _children(tokens, "compound")
     nouns = _closure(subjects.unionByName(objects).select(F.col("token_id").alias("root"), "token_id").distinct(), compounds, depth)
-    info = noun_info(tokens, nouns)
+    info = shared_checkpoint(noun_info(tokens, nouns))
     clauses = of_verbs(_children(tokens, *CLAUSES)).join(objects.select("verb").distinct(), "verb", "left_anti")
     under = _closure(clauses.select(F.col("token_id").alias("root"), "token_id").distinct(), _children(tokens), depth)
     clause_info = noun_info(tokens, under)

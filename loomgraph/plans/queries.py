@@ -204,7 +204,7 @@ def name_variants(spark, d):
 
 @query
 def fuzzy_topk_match(spark, d):
-    asked = _part_names(spark, d).select(F.regexp_replace("p_name", "[aeiou](?=[a-z]*$)", "").alias("query"))
+    asked = _part_names(spark, d).select(F.regexp_replace("p_name", "[aeiou]([b-df-hj-np-tv-z]*)$", "$1").alias("query"))
     known = _part_names(spark, d).select(F.col("p_name").alias("variant"), F.length("p_name").cast("long").alias("id_order"))
     return _places(resolve.top_matches(asked, known, k=3, threshold=60.0), "score")
 
