@@ -52,7 +52,7 @@ def grams(data: np.ndarray) -> list[np.ndarray]:
     """For each order k the code of the k + 1 bytes that end at each position (rubbish where they'd begin too early)."""
     out = [data]
     for k in range(1, ORDER + 1):
-        out.append(out[-1] | np.r_[np.zeros(k, np.int64), data[:-k]] << 8 * k)
+        out.append(out[-1] | np.r_[np.zeros(k, np.int64), data][: len(data)] << 8 * k)
     return out
 
 
