@@ -15,7 +15,8 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """Tab-separated values without quoting; quotes, backslashes and words like `null` or `nan` are ordinary text."""
-    return spark.read.csv(path, sep="\t", schema=schema, header=header, quote="", escape="", nullValue="\u0000", emptyValue="", enforceSchema=True)
+    df = spark.read.csv(path, sep="\t", schema=schema, header=header, quote="", escape="", nullValue="\u0000", enforceSchema=True)
+    return df.na.fill("")  # the parser takes empty fields for null
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
