@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -275,6 +276,10 @@ def read_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for z, d in zip(null, doc_ids)], counts, unpack(bytes(body[4 + size :]), n, vocabulary)
 
 
+#: Letters or numbers, then ASCII marks but the apostrophe, which contractions use.
+_ENDED = re.compile(r"([^\W_]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class TextEncoder:
     """Ids of texts by a tokenizer file; distinct words are encoded once while they stay in a bounded table.
 
@@ -283,7 +288,7 @@ class TextEncoder:
     encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -293,21 +298,57 @@ class TextEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = str(self.tokenizer.pre_tokenizer)
         self.by_word = self.tokenizer.normalizer is None and pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre
-        self.limit, self.words, self.heads = limit, {}, {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        # Two generations: words of the older one that recur move to the newer, the others go with it.
+        self.limit, self.words, self.older, self.heads, self.marks = limit, {}, {}, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, table: dict, missing: set[str], prefix: str) -> None:
-        parts = list(missing)
-        if len(table) + len(parts) > self.limit:
-            table.clear()
-        table.update(zip(parts, self._encode([prefix + p for p in parts])))
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after a space. Words without white space are joined by line ends, which stand alone."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if w and not any(c.isspace() for c in w)] if self.line is not None else []
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([" " + w for w in some])], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) == len(some) - 1:
+                raw, size = ids.tobytes(), self.kind.itemsize
+                out.update(zip(some, [raw[a:b] for a, b in zip([0, *(size * (cuts + 1)).tolist()], [*(size * cuts).tolist(), len(raw)])]))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._encode([" " + w for w in rest]) if rest else ()))
+        return [out[w] for w in words]
+
+    def _learn(self, every: set[str]) -> None:
+        """Bring all of `every` into self.words."""
+        missing = every.difference(self.words)
+        if len(self.words) + 2 * len(missing) > self.limit:
+            self.older, self.words, missing = self.words, {}, every
+        fresh = []
+        for w in missing:
+            ids = self.older.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                self.words[w] = ids
+        # Letters and the marks after them are always cut apart, so both are looked up on their own.
+        ended = {w: m.groups() for w in fresh if (m := _ENDED.fullmatch(w))}
+        cores = {c for c, _ in ended.values()}.union(w for w in fresh if w not in ended).difference(self.words)
+        for c in [c for c in cores if c in self.older]:
+            self.words[c] = self.older[c]
+            cores.discard(c)
+        cores = list(cores)
+        self.words.update(zip(cores, self._encode_words(cores)))
+        marks = list({m for _, m in ended.values()}.difference(self.marks))
+        if len(self.marks) + len(marks) > self.limit:
+            self.marks, marks = {}, list({m for _, m in ended.values()})
+        self.marks.update(zip(marks, self._encode(marks) if marks else ()))
+        self.words.update((w, self.words[c] + self.marks[m]) for w, (c, m) in ended.items())
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian, without an end id; null is as empty."""
-        import re
-
         out: list[bytes | None] = [None] * len(texts)
         cuts, whole = [], []
         for i, text in enumerate(texts):
@@ -323,14 +364,12 @@ class TextEncoder:
             out[i] = ids
         for at in range(0, len(cuts), 64):
             some = cuts[at : at + 64]
-            heads = {p[0] for _, p in some}.difference(self.heads)
-            if heads:
-                keep = {p[0] for _, p in some}
-                self._learn(self.heads, keep if len(self.heads) + len(heads) > self.limit else heads, "")
-            every = set().union(*(p[1:] for _, p in some))
-            missing = every.difference(self.words)
-            if missing:
-                self._learn(self.words, every if len(self.words) + len(missing) > self.limit else missing, " ")
+            heads = {p[0] for _, p in some}
+            if len(self.heads) + len(heads) > self.limit:
+                self.heads = {}
+            new = list(heads.difference(self.heads))
+            self.heads.update(zip(new, self._encode(new) if new else ()))
+            self._learn(set().union(*(p[1:] for _, p in some)))
             get = self.words.__getitem__
             for i, parts in some:
                 out[i] = self.heads[parts[0]] + b"".join(map(get, parts[1:]))
