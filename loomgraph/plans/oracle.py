@@ -172,3 +172,10 @@ SELECT g.year, g.node, round(coalesce(mean, 0.0), 6) AS mean FROM (SELECT DISTIN
     "stream_pairs": """WITH p AS (SELECT DISTINCT time_bucket(INTERVAL 1 HOUR, ts) AS w, user_id AS e FROM events), c AS (SELECT * FROM p WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))
 SELECT a.e AS source_id, b.e AS target_id, count(*) AS weight FROM c a JOIN c b ON a.w = b.w AND a.e < b.e GROUP BY ALL""",
 }
+
+_ONLY = "WHERE section = 'all'"
+SQL["section_analysis"] = f"""SELECT section, node, 'closeness' AS measure, value FROM ({SQL["closeness"]}) {_ONLY}
+UNION ALL SELECT section, node, 'betweenness', value FROM ({SQL["betweenness"]}) {_ONLY}
+UNION ALL SELECT section, node, 'eigenvector', value FROM ({SQL["eigenvector"]})
+UNION ALL SELECT section, node, 'katz', value FROM ({SQL["katz"]}) {_ONLY}
+UNION ALL SELECT 'all', node, 'degree', round(count(*) / 24, 6) FROM (WITH {_RING} SELECT unnest([a, b]) AS node FROM ring {_ONLY}) GROUP BY node"""

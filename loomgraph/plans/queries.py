@@ -12,6 +12,7 @@ from ..functions import sentiment, text
 from ..operators import cooccur, deps, events, graph, reports, resolve, sections, spans
 from ..session import shared_checkpoint, table
 from ..streaming import cooccur as stream
+from . import pipeline
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,6 +405,11 @@ def display_scale(spark, d):
     return _places(graph.display_scale(graph.weighted(t.trade(spark, d), ["year"]).select("year", "a", "b", "weight"), "weight", ["year"]), "scaled")
 
 
+@query
+def section_analysis(spark, d):
+    return _places(pipeline.analyse(t.ring(spark, d).where("section = 'all'"), ["section"]), "value")
+
+
 # Sentiment
 
 
