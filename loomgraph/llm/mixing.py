@@ -109,3 +109,31 @@ def realise(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
     times = F.coalesce(F.col("_copies"), F.lit(1)).cast("int")
     return joined.where(times > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+
+
+def sql(target: float = 0.95, max_repeats: float = 4.0, seed: str = "mix", block_tokens: int = BLOCK_TOKENS, table: str = "documents") -> str:
+    """plan() with a budget of all tokens, in DuckDB's SQL; weights are rounded to six places."""
+    shares = "list_transform(ts, lambda t: pow(t / total, {0}))"
+    own = "list_transform({0}, lambda v: v / list_sum({0}))"
+    spread = "-list_sum(list_transform({0}, lambda s: s * ln(s)))"
+    mixed = own.format("(" + shares + ")")
+    good = f"({spread.format(mixed)}) >= {target}::DOUBLE * ln(len(ts))"
+    fits = f"list_max(list_transform(list_zip({mixed}, ts), lambda z: z[1] * total / z[2])) <= {max_repeats}::DOUBLE"
+    step = "SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, {0} AS ok FROM {1}, live WHERE i < " + str(STEPS) + ")"
+    return f"""
+WITH RECURSIVE counted AS (
+  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM {table}
+), totals AS (SELECT source, sum(n_tokens)::BIGINT AS t FROM counted GROUP BY source),
+live AS (SELECT list(t::DOUBLE ORDER BY source) AS ts, sum(t)::DOUBLE AS total FROM totals WHERE t > 0),
+first(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL {step.format(good.format("(lo + hi) / 2"), "first")}),
+found AS (SELECT CASE WHEN len(ts) < 2 OR {good.format("1.0::DOUBLE")} THEN 1.0 ELSE lo END AS e FROM first, live WHERE i = {STEPS}),
+second(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL {step.format(fits.format("1 - (lo + hi) / 2"), "second")}),
+chosen AS (SELECT CASE WHEN {fits.format("e")} THEN e ELSE greatest(e, CASE WHEN {fits.format("0.0::DOUBLE")} THEN 0.0 ELSE 1 - lo END) END AS e FROM found, second, live WHERE i = {STEPS}),
+weights AS (SELECT list_sum({shares.format("e")}) AS z, e, total FROM live, chosen),
+quotas AS (SELECT source, t, CASE WHEN t > 0 THEN pow(t / total, e) / z ELSE 0.0 END AS weight, CASE WHEN t > 0 THEN total * (pow(t / total, e) / z / t) ELSE 0.0 END AS p FROM totals, weights),
+shared AS (SELECT source, weight, CASE WHEN t > 0 THEN floor(p + 1e-9)::BIGINT ELSE 1 END AS whole, CASE WHEN t > 0 THEN greatest(0, round_even((p - floor(p + 1e-9)) * t, 0))::BIGINT ELSE 0 END AS rest, ceil(t / {block_tokens})::BIGINT AS b FROM quotas),
+dealt AS (SELECT c.*, weight, whole, rest, ('0x' || substr(key, 1, 8))::BIGINT % greatest(b, 1) AS block FROM counted c JOIN shared USING (source)),
+sizes AS (SELECT source, block, sum(n_tokens) AS size FROM dealt GROUP BY ALL),
+starts AS (SELECT source, block, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('{seed}:' || source || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sizes),
+placed AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY key, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM dealt)
+SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, block, whole + (before + inside < rest)::BIGINT AS copies FROM placed JOIN starts USING (source, block)"""

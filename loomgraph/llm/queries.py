@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree": covertree.ORACLE_SQL, "op10_licenses": licenses.sql()}
+    return {"op1_cover_tree": covertree.ORACLE_SQL, "op9_mixing": mixing.sql(), "op10_licenses": licenses.sql()}

@@ -23,6 +23,13 @@ def test_range_coder_round_trip(n):
         assert (idcodec.unpack(idcodec.pack(ids, 50_257), n, 50_257) == ids).all()
 
 
+def test_blocks_of_other_shapes_are_read(monkeypatch):
+    ids = np.random.default_rng(1).integers(0, 100, 30_000)
+    data = idcodec.write_block([1], np.array([len(ids)]), ids, 100)
+    monkeypatch.setattr(idcodec, "LANES", 3)
+    assert (idcodec.read_block(data)[2] == ids).all()
+
+
 def test_repetition_is_cheap():
     ids = np.tile(np.random.default_rng(0).integers(0, 50_257, 50), 4000)
     assert 8 * len(idcodec.pack(ids, 50_257)) / len(ids) < 2
@@ -52,9 +59,15 @@ def random_texts(n=150, seed=1):
     return ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(0, 40))) for _ in range(n)]
 
 
+def white_texts():
+    import itertools
+
+    return ["".join(p) for n in range(1, 7) for p in itertools.product("a \n", repeat=n)] + ["b\u00a0  c", " \t a", "x,  y.\n z", "q \u3000 r", "a   ", "  ,  ."]
+
+
 @pytest.mark.parametrize("limit", [8, 500_000])
 def test_encoder_equals_the_library(limit):
-    texts = ODD + random_texts()
+    texts = ODD + random_texts() + white_texts()
     encoder = idcodec.TextEncoder(tokenizer_path(), limit)
     for _ in range(2):
         assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(texts)] == library_ids(texts)
@@ -182,6 +195,18 @@ def test_plan_meets_quotas(spark):
     assert again == {(r.doc_id, r.copies) for r in got}
 
 
+def test_plan_equals_its_sql(spark, tmp_path):
+    rows = mixed_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    for target, most in ((0.95, 3.0), (0.999, 1.2), (0.1, 4.0)):
+        got = mixing.plan(docs, target=target, max_repeats=most, block_tokens=200).collect()
+        want = duckdb.sql(mixing.sql(target, most, block_tokens=200)).fetchall()
+        plain = lambda r: (r[0] is None, *(r[0] or 0, r[1], r[2], round(r[3], 6), r[4], r[5]))
+        assert sorted(map(plain, map(tuple, got))) == sorted(map(plain, want))
+
+
 def test_realise_keeps_rows_and_columns(spark):
     rows = mixed_rows()
     docs = spark.createDataFrame([(*r, "kept", 4) for r in rows], "doc_id long, text string, source string, copies string, block int")
