@@ -179,3 +179,16 @@ UNION ALL SELECT section, node, 'betweenness', value FROM ({SQL["betweenness"]})
 UNION ALL SELECT section, node, 'eigenvector', value FROM ({SQL["eigenvector"]})
 UNION ALL SELECT section, node, 'katz', value FROM ({SQL["katz"]}) {_ONLY}
 UNION ALL SELECT 'all', node, 'degree', round(count(*) / 24, 6) FROM (WITH {_RING} SELECT unnest([a, b]) AS node FROM ring {_ONLY}) GROUP BY node"""
+
+SQL["match_names"] = f"""WITH RECURSIVE v AS ({SQL["name_variants"]}), known AS (SELECT DISTINCT unnest(string_split(variant, ' ')) AS w FROM v),
+asked AS (SELECT n_nationkey AS character_id, 'that ' || lower(substr(n_name, 1, 4)) || lower(substr(n_name, 6)) || ' man' AS name, CASE n_nationkey % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'f' ELSE 'm' END AS gender FROM nation),
+split AS (SELECT character_id, unnest(string_split(trim(regexp_replace(name, '\\s+', ' ', 'g')), ' ')) AS w, unnest(range(len(string_split(trim(regexp_replace(name, '\\s+', ' ', 'g')), ' ')))) AS p FROM asked),
+kept AS (SELECT character_id, w, row_number() OVER (PARTITION BY character_id ORDER BY p) AS turn, w IN (FROM known) AS known FROM split WHERE w IN (FROM known) OR w IN ('mr', 'mrs') OR (w NOT IN ('that', 'man') AND length(w) > 2)),
+tries AS (SELECT character_id, 0 AS turn, string_agg(w, ' ' ORDER BY turn) AS query, 1.0 AS factor FROM kept GROUP BY character_id UNION ALL SELECT character_id, turn, w, 0.9 FROM kept WHERE known AND length(w) > 2),
+listed AS (SELECT variant, min(id) AS id_order FROM v GROUP BY ALL),
+named AS (SELECT query, variant, id_order, {_SORTED.format("query")} AS a, {_SORTED.format("variant")} AS b FROM (SELECT DISTINCT query FROM tries), listed), q AS (SELECT DISTINCT a, b FROM named), {_LCS},
+ranked AS (SELECT query, variant, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id_order, variant) AS place FROM named JOIN scored USING (a, b) WHERE score >= 60),
+gated AS (SELECT character_id, turn, factor * score AS score, id, v.gender AS own, a.gender, row_number() OVER (PARTITION BY character_id ORDER BY turn, place, id) AS k
+  FROM tries JOIN asked a USING (character_id) JOIN ranked USING (query) JOIN v USING (variant) WHERE place <= 10 AND a.gender <> 'u' AND (a.gender = v.gender OR score * 0.8 >= 60))
+SELECT name, a.gender, character_id, coalesce(id, -1) AS matched_id, coalesce('The ' || n_name, name) AS matched_fullname, round(coalesce(score, 0.0), 6) AS match_score, CASE WHEN own <> g.gender THEN own END AS corrected_gender
+FROM asked a LEFT JOIN (SELECT * FROM gated WHERE k = 1) g USING (character_id) LEFT JOIN nation ON n_nationkey = id"""

@@ -213,7 +213,8 @@ def fuzzy_topk_match(spark, d):
 @query
 def match_names(spark, d):
     s = table(spark, d, "nation").selectExpr("concat('that ', lower(substr(n_name, 1, 4)), lower(substr(n_name, 6)), ' man') as name", "case n_nationkey % 4 when 0 then 'u' when 1 then 'f' else 'm' end as gender", "n_nationkey as character_id")
-    return _places(resolve.match_names(s, t.names(spark, d), ["mr", "mrs"], ["that", "man"]), "match_score")
+    found = resolve.match_names(s, t.names(spark, d), ["mr", "mrs"], ["that", "man"])
+    return _places(found, "match_score").withColumn("matched_id", F.coalesce("matched_id", F.lit(-1)))
 
 
 def _matched(spark, d):
