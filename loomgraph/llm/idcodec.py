@@ -34,8 +34,8 @@ from .common import ensure_checkpoint_dir, slices
 
 MAGIC, VERSION = b"LGID", 1
 #: A block is closed once it has so many ids.
-BLOCK_IDS = 1 << 20
-LANES, LANE_IDS = 4096, 192
+BLOCK_IDS = 1 << 21
+LANES, LANE_IDS = 8192, 192
 #: log2 of the totals that the odds of the orders, and order 0's frequencies, add up to; 30 at most together.
 ODDS_BITS, ZERO_BITS = 12, 18
 CONTEXT_BITS = 18
@@ -203,10 +203,11 @@ def pack(ids: np.ndarray, vocabulary: int) -> bytes:
     return np.bincount(at, minlength=lanes).astype("<u4").tobytes() + words[np.argsort(at, kind="stable")].astype("<u2").tobytes()
 
 
-def unpack(data: bytes, n: int, vocabulary: int) -> np.ndarray:
+def unpack(data: bytes, n: int, vocabulary: int, lanes: int | None = None) -> np.ndarray:
     if not n:
         return np.empty(0, np.int64)
-    lanes, steps = _shape(n)
+    lanes = lanes or _shape(n)[0]
+    steps = -(-n // lanes)
     sizes = np.frombuffer(data, "<u4", lanes).astype(np.int64)
     words = np.frombuffer(data, "<u2", offset=4 * lanes).astype(_U)
     next_ = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -252,19 +253,19 @@ _HEADER = struct.Struct("<4sHHIQII")
 
 
 def write_block(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
-    """magic, version, reserved, vocabulary, number of ids, number of documents, crc32 of all that follows; then the
+    """magic, version, lanes, vocabulary, number of ids, number of documents, crc32 of all that follows; then the
     documents (a flag of null ids, ids as int64, counts as uint32; deflated, with their length), then the streams."""
     table = np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + counts.astype("<u4").tobytes()
     table = zlib.compress(table, 6)
     body = struct.pack("<I", len(table)) + table + pack(ids, vocabulary)
-    return _HEADER.pack(MAGIC, VERSION, 0, vocabulary, len(ids), len(doc_ids), zlib.crc32(body)) + body
+    return _HEADER.pack(MAGIC, VERSION, _shape(len(ids))[0], vocabulary, len(ids), len(doc_ids), zlib.crc32(body)) + body
 
 
 def read_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, ids of each document, all ids); ValueError if the block is damaged."""
     if len(data) < _HEADER.size:
         raise ValueError("the block is cut short")
-    magic, version, _, vocabulary, n, docs, crc = _HEADER.unpack_from(data)
+    magic, version, lanes, vocabulary, n, docs, crc = _HEADER.unpack_from(data)
     body = memoryview(data)[_HEADER.size :]
     if magic != MAGIC or version != VERSION or zlib.crc32(body) != crc:
         raise ValueError("the block is damaged: its checksum or header is wrong")
@@ -273,22 +274,37 @@ def read_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     null = np.frombuffer(table, np.uint8, docs)
     doc_ids = np.frombuffer(table, "<i8", docs, offset=docs)
     counts = np.frombuffer(table, "<u4", docs, offset=9 * docs).astype(np.int64)
-    return [None if z else int(d) for z, d in zip(null, doc_ids)], counts, unpack(bytes(body[4 + size :]), n, vocabulary)
+    return [None if z else int(d) for z, d in zip(null, doc_ids)], counts, unpack(bytes(body[4 + size :]), n, vocabulary, lanes)
 
 
+#: Longer words are encoded each time.
+LONGEST = 64
 #: Letters or numbers, then ASCII marks but the apostrophe, which contractions use.
 _ENDED = re.compile(r"([^\W_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
+def _safe(parts: list[str]) -> bool:
+    """Whether a text may be cut before every space of it: not where white space stands on both sides of the space.
+
+    White space after other characters is cut off whole either way, and so is a run's last space with what follows.
+    """
+    for k, part in enumerate(parts[1:], 1):
+        if not part or part[0].isspace():
+            before = parts[k - 1]
+            if (before[-1].isspace() if before else k > 1):
+                return False
+    return True
+
+
 class TextEncoder:
     """Ids of texts by a tokenizer file; distinct words are encoded once while they stay in a bounded table.
 
-    A byte-level pre-tokenizer never joins a word with the space after it, so a text may be cut before any single
-    space that stands between two other characters. Other tokenizers, and texts that spell a special token, are
-    encoded whole.
+    A byte-level pre-tokenizer never joins a word with the space after it, so a text may be cut before any space
+    that has no white space on both sides. Words that begin with white space are never kept, so that texts with
+    runs of it are seen. Other tokenizers, and texts that spell a special token, are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -298,84 +314,96 @@ class TextEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = str(self.tokenizer.pre_tokenizer)
         self.by_word = self.tokenizer.normalizer is None and pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        # The published byte alphabet: printable bytes stand for themselves, the others for code points from 256.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        probe = "Straße été naïve"
+        self.by_model = self.by_word and sum(([t.id for t in self.tokenizer.model.tokenize(self._spelt(" " + w))] for w in probe.split()), []) == self.tokenizer.encode(" " + probe, add_special_tokens=False).ids
         # Two generations: words of the older one that recur move to the newer, the others go with it.
-        self.limit, self.words, self.older, self.heads, self.marks = limit, {}, {}, {}, {}
+        self.limit, self.words, self.older, self.bare, self.odd = limit, _Words(self), {}, {}, False
+
+    def _spelt(self, text: str) -> str:
+        return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word after a space. Words without white space are joined by line ends, which stand alone."""
-        out: dict[str, bytes] = {}
-        plain = [w for w in words if w and not any(c.isspace() for c in w)] if self.line is not None else []
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([" " + w for w in some])], add_special_tokens=False)[0].ids, self.kind)
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) == len(some) - 1:
-                raw, size = ids.tobytes(), self.kind.itemsize
-                out.update(zip(some, [raw[a:b] for a, b in zip([0, *(size * (cuts + 1)).tolist()], [*(size * cuts).tolist(), len(raw)])]))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._encode([" " + w for w in rest]) if rest else ()))
-        return [out[w] for w in words]
-
-    def _learn(self, every: set[str]) -> None:
-        """Bring all of `every` into self.words."""
-        missing = every.difference(self.words)
-        if len(self.words) + 2 * len(missing) > self.limit:
-            self.older, self.words, missing = self.words, {}, every
-        fresh = []
-        for w in missing:
-            ids = self.older.get(w)
+    def _word(self, word: str, before: str = " ") -> bytes:
+        """The ids of a word, after a space or not. Letters are one piece, which goes to the tokenizer's model as it is."""
+        if self.by_model and word.isalpha() and max(word) < "\u2000":
+            return np.array([t.id for t in self.tokenizer.model.tokenize(self._spelt(before + word))], self.kind).tobytes()
+        return self._encode([before + word])[0]
+
+    def _bare(self, text: str) -> bytes:
+        """The ids of what stands at the beginning of a text or line, or of marks: from a table that is emptied at a limit."""
+        ids = self.bare.get(text)
+        if ids is None:
+            if ended := _ENDED.fullmatch(text):
+                return self._bare(ended[1]) + self._bare(ended[2])
+            if len(self.bare) >= self.limit // 4:
+                self.bare.clear()
+            ids = self._word(text, "")
+            if len(text) <= LONGEST:
+                self.bare[text] = ids
+        return ids
+
+    def miss(self, word: str) -> bytes:
+        """The ids of a word that the table asked lacks. Letters and the marks after them are always cut apart, so both
+        are looked up on their own; only short ones are kept together."""
+        if not word or word[0].isspace():
+            self.odd = True
+            return self._word(word)
+        if "\n" in word and self.by_model:
+            # A line end between other characters is a piece of its own.
+            lines = word.split("\n")
+            if all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
+                return self.words[lines[0]] + b"".join(self._bare("\n") + self._bare(line) for line in lines[1:])
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older.get(word)
             if ids is None:
-                fresh.append(w)
-            else:
-                self.words[w] = ids
-        # Letters and the marks after them are always cut apart, so both are looked up on their own.
-        ended = {w: m.groups() for w in fresh if (m := _ENDED.fullmatch(w))}
-        cores = {c for c, _ in ended.values()}.union(w for w in fresh if w not in ended).difference(self.words)
-        for c in [c for c in cores if c in self.older]:
-            self.words[c] = self.older[c]
-            cores.discard(c)
-        cores = list(cores)
-        self.words.update(zip(cores, self._encode_words(cores)))
-        marks = list({m for _, m in ended.values()}.difference(self.marks))
-        if len(self.marks) + len(marks) > self.limit:
-            self.marks, marks = {}, list({m for _, m in ended.values()})
-        self.marks.update(zip(marks, self._encode(marks) if marks else ()))
-        self.words.update((w, self.words[c] + self.marks[m]) for w, (c, m) in ended.items())
+                if ended := _ENDED.fullmatch(word):
+                    ids = self.words[ended[1]] + self._bare(ended[2])
+                    if len(word) > 6:
+                        return ids
+                else:
+                    ids = self._word(word)
+                    if len(word) > LONGEST:
+                        return ids
+            if len(self.words) >= self.limit:
+                self.older, self.words = self.words, _Words(self)
+            self.words[word] = ids
+        return ids
+
+    def _join(self, parts: list[str]) -> bytes:
+        return self._bare(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian, without an end id; null is as empty."""
-        out: list[bytes | None] = [None] * len(texts)
-        cuts, whole = [], []
-        for i, text in enumerate(texts):
-            text = text or ""
-            if not self.by_word or any(s in text for s in self.specials):
-                whole.append(i)
+        out = []
+        for text in texts:
+            if not text or not self.by_word or any(s in text for s in self.specials):
+                out.append(self._encode([text or ""])[0])
                 continue
+            self.odd = False
             parts = text.split(" ")
-            if re.search(r"\s\s", text) or text[:1].isspace() or text[-1:].isspace():
-                parts = re.split(r"(?<=\S) (?=\S)", text)
-            cuts.append((i, parts))
-        for i, ids in zip(whole, self._encode([texts[i] or "" for i in whole]) if whole else ()):
-            out[i] = ids
-        for at in range(0, len(cuts), 64):
-            some = cuts[at : at + 64]
-            heads = {p[0] for _, p in some}
-            if len(self.heads) + len(heads) > self.limit:
-                self.heads = {}
-            new = list(heads.difference(self.heads))
-            self.heads.update(zip(new, self._encode(new) if new else ()))
-            self._learn(set().union(*(p[1:] for _, p in some)))
-            get = self.words.__getitem__
-            for i, parts in some:
-                out[i] = self.heads[parts[0]] + b"".join(map(get, parts[1:]))
+            ids = self._join(parts)
+            if self.odd and not _safe(parts):
+                ids = self._join(re.split(r"(?<=\S) (?=\S)", text))
+            out.append(ids)
         return out
 
 
+class _Words(dict):
+    """Ids by word; what it lacks is asked of the encoder, which decides whether to keep it."""
+
+    def __init__(self, encoder: TextEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        return self.encoder.miss(word)
+
+
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
