@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many classes are few.
+FEW = 1000
 #: Texts are handled in slices of about so many characters, so that memory doesn't follow the batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,14 +93,15 @@ class WordTable:
     """Values of words, worked out once for each distinct word while it stays in the table.
 
     `compute` maps a list of distinct words to an array with a row for each. The table is emptied when it
-    would pass `limit` words, so a worker's memory is bounded whatever it reads; values never depend on that.
+    would pass `limit` words, or a hundred characters for each of them, so a worker's memory is bounded whatever it
+    reads; values never depend on that.
     """
 
     def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 400_000):
         self.compute, self.limit = compute, limit
         self.index: dict[str, int] = {}
         self.values: np.ndarray | None = None
-        self.used = 0
+        self.used = self.chars = 0
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """The values' rows, in the words' order."""
@@ -111,8 +114,9 @@ class WordTable:
         distinct = set(words)
         missing = list(distinct.difference(self.index))
         if missing or self.values is None:
-            if self.used + len(missing) > self.limit:
-                self.index, self.used, missing = {}, 0, list(distinct)
+            if self.used + len(missing) > self.limit or self.chars > 100 * self.limit:
+                self.index, self.used, self.chars, missing = {}, 0, 0, list(distinct)
+            self.chars += sum(map(len, missing))
             got = self.compute(missing)
             if self.values is None or self.used + len(got) > len(self.values):
                 grown = np.empty((max(1024, 2 * (self.used + len(got))), *got.shape[1:]), got.dtype)
@@ -129,7 +133,8 @@ def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 17, by: str
     """At most `limit` rows (for each value of `by`, if given), the first in the order of a keyed hash of `key`.
 
     The sample is for fitting only; which rows it takes depends on their ids alone, not on partitions. Rows are
-    first thinned, by the same hash, to about twice the limit, so that no task orders more.
+    first thinned where they are, by the same hash, to about twice the limit, so that no task gathers or orders
+    more. Counts of up to FEW values become part of the plan; those of more values are joined.
     """
     from pyspark.sql import Window
 
@@ -137,7 +142,13 @@ def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 17, by: str
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     marked = df.withColumn("_place", place).withColumn("_by", by_)
     sizes = marked.groupBy("_by").agg(F.count("*").alias("_n"))
-    thinned = marked.join(sizes, "_by").where(F.col("_place") * F.col("_n") < 2 * limit + 100)
+    few = sizes.limit(FEW + 1).collect()
+    if 0 < len(few) <= FEW:
+        counts = F.create_map(*[F.lit(x) for row in few for x in (row["_by"], row["_n"])])
+        marked = marked.withColumn("_n", F.element_at(counts, F.col("_by")))
+    else:
+        marked = marked.join(sizes, "_by")
+    thinned = marked.where(F.col("_place") * F.col("_n") < 2 * limit + 100)
     window = Window.partitionBy("_by").orderBy("_place", key)
     return thinned.withColumn("_k", F.row_number().over(window)).where(F.col("_k") <= limit).drop("_k", "_place", "_by", "_n")
 
