@@ -1,0 +1,114 @@
+"""Near-duplicates by shingles: MinHash bands propose pairs, the Jaccard similarity of whole shingle sets decides.
+
+Two sets of similarity s share the key of a band of ROWS minima with probability s ** ROWS. With BANDS bands a pair at
+0.8 is missed with a probability of (1 - 0.8 ** 5) ** 30 = 7e-6, one at 0.9 with 1e-12. No pair is linked on its keys
+alone. Equal sets are one node. Each set is first verified against the least one of each of its keys; keys whose sets
+are not one component then are compared in all pairs of different components.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import connected_components, cut, map_texts
+from .simhash import shingle_digests
+
+BANDS, ROWS = 30, 5
+#: Two sets are linked from this similarity on, as a fraction.
+SIMILAR = (4, 5)
+_RNG = np.random.default_rng(20)
+_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MIX = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; texts of up to `words` words are one, those without words none."""
+    return np.unique(np.frombuffer(shingle_digests(text, words), ">u8").astype(np.uint64))
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """One signed long for a whole set."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), 7)).astype(np.int64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The key of each band, as longs; a set without shingles has none."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[at : at + 256, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    least ^= least >> np.uint64(29)
+    return ((least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, node, size, keys) of every row."""
+
+    def work(x):
+        sets = [shingle_set(t, words) for t in x["text"]]
+        return {"doc_id": x[id_col], "node": [node_of(s) for s in sets], "size": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]}
+
+    return map_texts(docs, [id_col, "text"], "doc_id long, node long, size long, keys array<long>", work)
+
+
+def _fits(a: str, b: str):
+    """Sizes that leave room for the similarity."""
+    return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, id_col: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; texts of their nodes only are read again."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(reps.join(nodes, "node", "left_semi").select("node", "doc_id"))
+
+    def work(x):
+        sets = [shingle_set(t, words) for t in x["text"]]
+        return {"node": [node_of(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]}
+
+    texts = docs.join(wanted.select(F.col("doc_id").alias("_wanted")).distinct(), docs[id_col] == F.col("_wanted"), "left_semi")
+    found = map_texts(texts, ["text"], "node long, hashes array<long>", work).join(wanted.select("node"), "node", "left_semi")
+    sets = cut(found.groupBy("node").agg(F.first("hashes").alias("hashes")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return cut(both.where(shared * SIMILAR[1] >= (F.size("x") + F.size("y") - shared) * SIMILAR[0]).select("a", "b"))
+
+
+def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) of every row: component_id is the smallest doc_id that links of similar sets reach.
+
+    Null and word-less texts are one set. A null doc_id keeps its row, with a null component if alone. Columns
+    besides the id and text are not looked at.
+    """
+    rows = cut(sketches(docs, words, id_col))
+    reps = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys")).where("doc_id is not null"))
+    keyed = reps.select("node", "size", F.explode("keys").alias("key"))
+    centres = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("centre")).where("n > 1").select("key", "centre")
+    shared = cut(keyed.join(centres, "key"))
+    tried = cut(shared.where((F.col("node") != F.col("centre.node")) & _fits("size", "centre.size")).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct())
+    links = verified(tried, docs, reps, words, id_col)
+    now = connected_components(links).withColumnRenamed("component", "_c")
+    placed = cut(shared.join(now, "node", "left").select("key", "node", "size", F.coalesce("_c", "node").alias("part")))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("key")
+    open_ = cut(placed.join(mixed, "key", "left_semi"))
+    other = open_.select("key", F.col("node").alias("_node"), F.col("size").alias("_size"), F.col("part").alias("_part"))
+    rest = open_.join(other, "key").where((F.col("part") < F.col("_part")) & _fits("size", "_size")).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.unionByName(verified(rest, docs, reps, words, id_col))
+    found = connected_components(links)
+    member = cut(rows.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")))
+    least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return member.join(least, "component").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is its group's smallest; all columns stay as they are. Rows with a null id stay."""
+    keep = groups(docs, words, id_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, docs[id_col] == keep["_kept"], "left_semi"))

@@ -29,20 +29,26 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 BLOCK = 2048
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The unsigned 64-bit SimHash of a whole text: null and texts without words give 0."""
+def shingle_digests(text: str | None, words: int, seed: int = 42) -> bytes:
+    """The 64-bit hashes of a text's shingles, end to end; texts without words have none."""
     from xxhash import xxh64_digest
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return b""
     joined = b" ".join(parts)
     if len(parts) <= words:
-        digests = xxh64_digest(joined, seed)
-    else:
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        starts = [0, *ends[: len(parts) - words].tolist()]
-        digests = b"".join([xxh64_digest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())])
+        return xxh64_digest(joined, seed)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    starts = [0, *ends[: len(parts) - words].tolist()]
+    return b"".join([xxh64_digest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())])
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The unsigned 64-bit SimHash of a whole text: null and texts without words give 0."""
+    digests = shingle_digests(text, words, seed)
+    if not digests:
+        return 0
     bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes(), "big")
 

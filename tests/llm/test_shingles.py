@@ -1,0 +1,67 @@
+"""Near-duplicates by shingles against brute force."""
+
+import random
+
+from loomgraph.llm import shingles
+
+
+def plain_set(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def edited_copies(rng):
+    """Texts with copies on both sides of a similarity of 0.8, chains of them among these."""
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for size in (30, 80, 200, 600):
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(size)]
+            texts.append(" ".join(base))
+            for share in (0.005, 0.01, 0.02, 0.03, 0.05, 0.1):
+                copy = list(base)
+                for _ in range(max(1, int(share * size))):
+                    copy[rng.randrange(size)] = "changed"
+                texts.append(" ".join(copy))
+        step = [rng.choice(words) for _ in range(size)]
+        for _ in range(8):
+            step[rng.randrange(size)] = "step"
+            texts.append(" ".join(step))
+    return texts + [texts[3].upper(), "Solo", "solo", "a b c", None, "", " "]
+
+
+def test_groups_equal_brute_force(spark):
+    texts = edited_copies(random.Random(5))
+    sets = [plain_set(t) for t in texts]
+    least = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j])]
+    for _ in texts:
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, node int").repartition(5)
+    assert dict(shingles.groups(docs).collect()) == dict(enumerate(least))
+    kept = shingles.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
+
+
+def test_the_stage_removes_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(300)]
+    copy = list(base)
+    for at in (20, 90, 160, 230):
+        copy[at] = "other"
+    assert 0.85 < len(plain_set(" ".join(base)) & plain_set(" ".join(copy))) / len(plain_set(" ".join(base)) | plain_set(" ".join(copy))) < 0.9
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, "other words stand here")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_edges(spark):
+    assert shingles.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = spark.createDataFrame([(1, "same words"), (1, "same words"), (2, None), (3, ""), (None, "q"), (4, "same words")], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in shingles.deduplicate(rows).collect()) == [0, 1, 1, 2]
