@@ -1,6 +1,7 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
-Every word of a text is a position with label 0 or 1. Emissions are sums of hashed character features of the
+Every word of a text is a position with label 0 or 1; runs of over LONGEST characters without white space are cut into
+several, so that every character reaches a feature. Emissions are sums of hashed character features of the
 word, transitions are a 2 x 2 table. Forward-backward gives each word's marginal; a document's score is a logistic
 function of the marginals' maximum and sum, and its toxic spans are runs of words with a marginal of a half or more.
 
@@ -12,8 +13,12 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -33,12 +38,45 @@ FIT_CHARS = 6_000
 #: Marginals up to this don't add up: a long text has many small ones.
 NOISE = 0.1
 
+#: Longer runs without white space are cut at their marks, and what is still longer into pieces of so many characters.
+LONGEST = 64
+#: So many characters are in a piece and in the next one of the same word.
+OVERLAP = 16
+
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
+@lru_cache(maxsize=1)
+def _parts() -> re.Pattern:
+    """Letters and digits with their combining marks and the other characters after them, or other characters alone."""
+    combining = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+    return re.compile(rf"(?:[^\W_]|[{combining}])+(?:(?![{combining}])[\W_])*|[\W_]+")
+
+
+def positions(run: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the positions of a run without white space."""
+    if len(run) <= LONGEST:
+        yield 0, len(run)
+        return
+    for m in _parts().finditer(run):
+        at = m.start()
+        while m.end() - at > LONGEST:
+            yield at, at + LONGEST
+            at += LONGEST - OVERLAP
+        yield at, m.end()
+
+
+def words_of(text: str | None) -> list[str]:
+    """The positions of a text, in order."""
+    runs = (text or "").split()
+    if max(map(len, runs), default=0) <= LONGEST:
+        return runs
+    return [run[a:b] for run in runs for a, b in positions(run)]
+
+
 def features(word: str) -> list[int]:
     """Hashed features: the bare word, its beginnings and ends, its character 4-grams, and its outer form."""
-    bare = _EDGES.sub("", word.lower())[:64]
+    bare = _EDGES.sub("", word.lower())
     names = ["w:" + bare, "o:" + ("!" in word) * "!" + word.isupper() * "A" + any(c.isdigit() for c in word) * "9"]
     names += ["p:" + bare[:k] for k in (3, 4, 5, 6) if len(bare) > k]
     names += ["s:" + bare[-k:] for k in (3, 4, 5) if len(bare) > k]
@@ -137,7 +175,7 @@ class Tagger:
 
     def tag(self, texts: list[str | None], table: WordTable) -> tuple[np.ndarray, np.ndarray]:
         """(marginals end to end, number of words of each text)."""
-        split = [(t or "").split() for t in texts]
+        split = [words_of(t) for t in texts]
         lengths = np.array([len(s) for s in split], np.int64)
         words = [w for s in split for w in s]
         return (marginals(table(words), lengths, self.transition) if words else np.empty(0)), lengths
@@ -199,7 +237,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 30, ridge: float = 1e-
 
     Without documents of both classes the tagger gives every document the (smoothed) share of toxic ones.
     """
-    split = [(t or "").split() for t in texts]
+    split = [words_of(t) for t in texts]
     y = np.array(toxic, np.int64)
     names = sorted({w for s in split for w in s})
     if not names or y.min() == y.max():
@@ -284,12 +322,13 @@ def spans(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id") -> DataFrame:
             at += n
             if n and own.max() >= 0.5:
                 before = -2
-                for i, m in enumerate(re.finditer(r"\S+", text)):
+                places = ((m.start() + a, m.start() + b) for m in re.finditer(r"\S+", text) for a, b in positions(m[0]))
+                for i, (start, end) in enumerate(places):
                     if own[i] >= 0.5:
                         if before == i - 1:
-                            runs[-1] |= {"end": m.end(), "marginal": max(runs[-1]["marginal"], float(own[i]))}
+                            runs[-1] |= {"end": end, "marginal": max(runs[-1]["marginal"], float(own[i]))}
                         else:
-                            runs.append({"start": m.start(), "end": m.end(), "marginal": float(own[i])})
+                            runs.append({"start": start, "end": end, "marginal": float(own[i])})
                         before = i
             found.append(runs)
         return {"doc_id": x[id_col], "score": sent.value.scores(tagged, lengths), "spans": found}
