@@ -1,7 +1,7 @@
 """Subject-verb-object triples from dependency annotations, as joins of tokens with their heads.
 
 tokens: sentence_id, token_id, word, lemma, pos, tag, dep, head_id; token ids are unique. A verb is a token of part
-VERB. Its subjects are its nsubj and nsubjpass children, or, if it has none, those of the verb it is coordinated with;
+VERB. Its subjects are its nsubj and nsubjpass children, or, if it has none, those of the verb it is coordinated with, however long the chain;
 its objects are dobj and obj children, the pobj of an agent child, or, without any of these, its xcomp or ccomp child
 with everything under it. Coordinated nouns (conj) are subjects or objects of their own; a noun takes along its
 compounds, recursively.
@@ -20,16 +20,16 @@ SUBJECTS, OBJECTS, CLAUSES = ("nsubj", "nsubjpass"), ("dobj", "obj"), ("xcomp",
 AUXILIARIES = ("aux", "auxpass")
 
 
-def _closure(roots: DataFrame, children: DataFrame, depth: int) -> DataFrame:
-    """(root, token_id) of roots(root, token_id) and all that children(parent, token_id) hang under them, level by level."""
-    now = shared_checkpoint(roots.distinct())
-    levels, links = [now], shared_checkpoint(children.select(F.col("parent").alias("token_id"), F.col("token_id").alias("_c")))
-    for _ in range(depth):
-        now = shared_checkpoint(now.join(links, "token_id").select("root", F.col("_c").alias("token_id")))
+def _closure(roots: DataFrame, children: DataFrame) -> DataFrame:
+    """(root, token_id) of roots(root, token_id) and all that children(parent, token_id) hang under them, until nothing new is reached."""
+    now = shared_checkpoint(roots.select("root", "token_id").distinct())
+    found, links = now, shared_checkpoint(children.select(F.col("parent").alias("token_id"), F.col("token_id").alias("_c")))
+    while True:
+        step = now.join(links, "token_id").select("root", F.col("_c").alias("token_id")).distinct()
+        now = shared_checkpoint(step.join(found, ["root", "token_id"], "left_anti"))
         if now.isEmpty():
-            break
-        levels.append(now)
-    return reduce(DataFrame.unionByName, levels).distinct()
+            return found
+        found = found.unionByName(now)
 
 
 def _children(tokens: DataFrame, *deps: str) -> DataFrame:
@@ -37,9 +37,9 @@ def _children(tokens: DataFrame, *deps: str) -> DataFrame:
     return (rows.where(F.col("dep").isin(*deps)) if deps else rows).select(F.col("head_id").alias("parent"), "token_id")
 
 
-def compound_closure(tokens: DataFrame, roots: DataFrame, depth: int = 12) -> DataFrame:
-    """(root, token_id): each root (token_id) with its compounds and theirs, `depth` levels down at most."""
-    return _closure(roots.select(F.col("token_id").alias("root"), "token_id"), _children(tokens, "compound"), depth)
+def compound_closure(tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, token_id): each root (token_id) with its compounds and theirs, all levels down."""
+    return _closure(roots.select(F.col("token_id").alias("root"), "token_id"), _children(tokens, "compound"))
 
 
 def noun_info(tokens: DataFrame, closure: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def negated(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(neg, "token_id", "left").groupBy("verb").agg(F.coalesce(F.bool_or("_n"), F.lit(False)).alias("negated"))
 
 
-def svo_triples(tokens: DataFrame, depth: int = 12) -> DataFrame:
+def svo_triples(tokens: DataFrame) -> DataFrame:
     """subject_text, subject_ids, subject_pos, verb_text, verb_lemma, verb_id, object_text, object_ids, object_pos, negated, sentence_id."""
     verbs = tokens.where((F.col("pos") == "VERB") & ~F.col("dep").isin(*AUXILIARIES)).select(F.col("token_id").alias("verb"), "sentence_id", "dep", "head_id")
     conj = _children(tokens, "conj")
@@ -75,21 +75,23 @@ def svo_triples(tokens: DataFrame, depth: int = 12) -> DataFrame:
         return verbs.join(child.select(F.col("parent").alias("verb"), "token_id"), "verb").select("verb", "token_id")
 
     def with_conj(rows: DataFrame) -> DataFrame:
-        spread = _closure(rows.select(F.col("token_id").alias("root"), "token_id"), conj, 3)
+        spread = _closure(rows.select(F.col("token_id").alias("root"), "token_id"), conj)
         return rows.join(spread.select(F.col("root").alias("token_id"), F.col("token_id").alias("_t")), "token_id").select("verb", F.col("_t").alias("token_id")).distinct()
 
     own = of_verbs(_children(tokens, *SUBJECTS))
-    # A coordinated verb without a subject takes that of the verb it hangs on.
-    lone = verbs.where("dep = 'conj'").join(own.select("verb").distinct(), "verb", "left_anti")
-    shared = lone.select("verb", F.col("head_id").alias("_h")).join(own.withColumnRenamed("verb", "_h"), "_h").select("verb", "token_id")
+    # A coordinated verb without a subject takes those of the nearest verb up its chain that has one.
+    having = own.select("verb").distinct()
+    lone = verbs.where("dep = 'conj'").join(having, "verb", "left_anti").select(F.col("head_id").alias("parent"), F.col("verb").alias("token_id"))
+    heirs = _closure(having.select(F.col("verb").alias("root"), F.col("verb").alias("token_id")), lone).where("root <> token_id")
+    shared = own.withColumnRenamed("verb", "root").join(heirs.select("root", F.col("token_id").alias("verb")), "root").select("verb", "token_id")
     subjects = shared_checkpoint(with_conj(own.unionByName(shared)))
     agents = _children(tokens, "agent").select("parent", F.col("token_id").alias("_a")).join(_children(tokens, "pobj").select(F.col("parent").alias("_a"), "token_id"), "_a").select("parent", "token_id")
     objects = shared_checkpoint(with_conj(of_verbs(_children(tokens, *OBJECTS).unionByName(agents))))
     compounds = _children(tokens, "compound")
-    nouns = _closure(subjects.unionByName(objects).select(F.col("token_id").alias("root"), "token_id").distinct(), compounds, depth)
+    nouns = _closure(subjects.unionByName(objects).select(F.col("token_id").alias("root"), "token_id").distinct(), compounds)
     info = shared_checkpoint(noun_info(tokens, nouns))
     clauses = of_verbs(_children(tokens, *CLAUSES)).join(objects.select("verb").distinct(), "verb", "left_anti")
-    under = _closure(clauses.select(F.col("token_id").alias("root"), "token_id").distinct(), _children(tokens), depth)
+    under = _closure(clauses.select(F.col("token_id").alias("root"), "token_id").distinct(), _children(tokens))
     clause_info = noun_info(tokens, under)
     complement = objects.join(info, objects["token_id"] == info["root"]).drop("token_id", "root").unionByName(clauses.join(clause_info, clauses["token_id"] == clause_info["root"]).drop("token_id", "root"))
     complement = complement.select("verb", F.col("text").alias("object_text"), F.col("ids").alias("object_ids"), F.col("pos").alias("object_pos"))
