@@ -8,6 +8,7 @@ size, a whole one per key, are measured in one task each (`measure`); graphs of
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -187,22 +188,26 @@ def measure(edges: DataFrame, name: str, keys: list[str], nodes: DataFrame | Non
     return rows.groupBy(*keys).applyInPandas(task, f"{kinds}, node string, value double, converged boolean")
 
 
-def hop_distances(edges: DataFrame, keys: list[str] = [], rounds: int = 100, directed: bool = False) -> DataFrame:
-    """(keys, source, node, hops) between all nodes that a path joins, by rounds that extend the frontier of all sources at once."""
+def hop_distances(edges: DataFrame, keys: list[str] = [], rounds: int | None = None, directed: bool = False) -> DataFrame:
+    """(keys, source, node, hops) between all nodes that a path joins, by rounds that extend the frontier of all sources at once.
+
+    Goes on until nothing new is reached; with `rounds`, raises if that isn't so after as many.
+    """
     links = (edges.select(*keys, "a", "b") if directed else both_ways(simple(edges, keys), keys)).distinct()
     links = shared_checkpoint(links)
     start = nodes_of(edges, keys).select(*keys, F.col("node").alias("source"), "node", F.lit(0).alias("hops"))
     found, frontier = start, start
-    for hop in range(1, rounds + 1):
+    for hop in count(1):
         step = frontier.join(links.select(*keys, F.col("a").alias("node"), "b"), [*keys, "node"]).select(*keys, "source", F.col("b").alias("node")).distinct()
         frontier = shared_checkpoint(step.join(found.select(*keys, "source", "node"), [*keys, "source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
-            break
+            return found
+        if rounds is not None and hop > rounds:
+            raise RuntimeError(f"paths did not end in {rounds} rounds")
         found = found.unionByName(frontier)
-    return found
 
 
-def closeness_at_scale(edges: DataFrame, keys: list[str] = [], rounds: int = 100) -> DataFrame:
+def closeness_at_scale(edges: DataFrame, keys: list[str] = [], rounds: int | None = None) -> DataFrame:
     """(keys, node, closeness) of undirected graphs of any size, by hop_distances()."""
     d = hop_distances(edges, keys, rounds)
     reach = d.groupBy(*keys, "node").agg((F.count("*") - 1).alias("_r"), F.sum("hops").alias("_d"))
