@@ -184,16 +184,24 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
 
 
 def _passes(benchmark: DataFrame, edits: float, group_chars: int) -> Iterator[Index]:
+    """Indexes of all passages. Those without an id are passages of item null, unless an item has the same text."""
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-size // group_chars))
+    named = benchmark.where("item_id is not null").select("item_id", "text")
+    unnamed = benchmark.where("item_id is null").select("item_id", "text").join(named.select("text").distinct(), "text", "left_anti")
+    every = named.unionByName(unnamed)
+    group = F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(groups))
     for g in range(groups):
         # Bounded: a group has about group_chars characters of passages.
-        rows = benchmark.where((F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g) & F.col("item_id").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
+        rows = every.where(group == g).distinct().orderBy("item_id", "text").collect()
         yield build([r.item_id for r in rows], [r.text for r in rows], edits)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: str = "doc_id", group_chars: int = GROUP_CHARS) -> DataFrame:
-    """(row, doc_id, item_id, edits, start, end): the best place of each passage in each row of docs that has it."""
+    """(row, doc_id, item_id, edits, start, end): the best place of each passage in each row of docs that has it.
+
+    Passages without an id are found as item null, or under the id of an item that has the same text.
+    """
     spark = docs.sparkSession
     out = None
     fields = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
@@ -207,7 +215,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col:
                     best: dict[tuple[int, int], tuple] = {}
                     for text, item, n, a, b in search(part.column(1).to_pylist(), sent.value):
                         best[text, item] = min(best.get((text, item), (n, a, b)), (n, a, b))
-                    rows = [(ids[text], item, *x) for (text, item), x in sorted(best.items())]
+                    rows = [(ids[text], item, *x) for (text, item), x in sorted(best.items(), key=lambda r: (r[0][0], r[0][1] is not None, r[0][1] or 0))]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
         found = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")
@@ -219,21 +227,25 @@ def summary(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col:
     """One row per row of docs: doc_id, n_items, item_ids (ascending, comma-joined), least_edits (-1 if none), contaminated.
 
     Null and empty texts have none; an empty benchmark finds nothing. Rows with equal ids share what any of them has.
+    Passages without an id count as one item, null, the last in item_ids.
     """
-    found = matches(docs, benchmark, edits, id_col).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.min("edits").alias("least"))
+    found = matches(docs, benchmark, edits, id_col).groupBy("doc_id").agg(F.concat(F.sort_array(F.collect_set("item_id")), F.when(F.bool_or(F.col("item_id").isNull()), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))).alias("items"), F.min("edits").alias("least"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     joined = ids.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return joined.select(
         "doc_id",
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
-        F.coalesce(F.array_join("items", ","), F.lit("")).alias("item_ids"),
+        F.coalesce(F.array_join("items", ",", "null"), F.lit("")).alias("item_ids"),
         F.coalesce("least", F.lit(-1)).cast("long").alias("least_edits"),
         F.col("items").isNotNull().alias("contaminated"),
     )
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """The rows of docs without a benchmark passage, with their columns; none is shuffled. Null and empty texts stay."""
+    """The rows of docs without a benchmark passage, with their columns; none is shuffled. Null and empty texts stay.
+
+    Passages need no item id here.
+    """
     for index in _passes(benchmark, edits, group_chars):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
