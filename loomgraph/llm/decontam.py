@@ -3,8 +3,12 @@
 Texts are normalised: lower case, runs of anything but letters and digits as one space. A passage of L characters that
 occurs with at most e edits shares at least L - q + 1 - q * e of its q-grams with the place where it occurs, on
 diagonals (place in the text less place in the passage) that span at most e + 1. Diagonals are therefore counted in
-overlapping bands of 2 (e + 1), one begun every e + 1; bands with enough q-grams are verified by banded alignment of
-the whole passage against the text there, with free ends in the text. Passages are matched whole.
+overlapping bands of 2 (e + 1), one begun every e + 1, for each text by itself; bands with enough q-grams are verified
+by banded alignment of the whole passage against that text there, with free ends in the text. Passages are matched
+whole; those too short for the lemma are looked for as they are, as whole words.
+
+The lemma holds for any choice of a passage's q-grams, less those left out. Of the q-grams that many passages share, a
+passage leaves out as many as it can spare, so that common sentences don't call up every passage that has them.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_texts, slices
+from .common import cut, keep_texts, slices
 
 Q = 8
 #: Edits allowed, as a share of a passage's normalised length.
@@ -28,6 +32,14 @@ GROUP_CHARS = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 _SPACE, _BREAK = 32, 1
+#: Q-grams that a passage asks for at least, whatever it leaves out.
+LEAST = 4
+#: Q-grams in more passages than this are left out where they can be spared.
+COMMON = 16
+#: Places of q-grams that are looked at in one go.
+HITS = 4_000_000
+#: Codes of the regions that are aligned in one go.
+CELLS = 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -46,7 +58,7 @@ def _classes() -> np.ndarray:
 def normalise(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes of all texts, each between breaks; where each text begins; place of each code in its own text).
 
-    Ends of texts and runs of other characters are one space; a text's codes begin and end with a space.
+    Runs of other characters are one space between letters and digits; a text's codes neither begin nor end with one.
     """
     raw = np.frombuffer("\x01".join(["", *(t or "" for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t or "") for t in texts], np.int64)
@@ -78,26 +90,26 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 def budget(length: int, edits: float = EDITS) -> int:
-    """Edits allowed: the asked share, or fewer where the lemma would leave under four q-grams; -1 if too short."""
-    return min(int(edits * length), (length - Q + 1 - 4) // Q if length >= Q + 3 else -1)
+    """Edits allowed in a passage of so many normalised characters: the asked share, or fewer where the lemma would leave
+    under LEAST q-grams; none if it is too short for that."""
+    return max(0, min(int(edits * length), (length - Q + 1 - LEAST) // Q))
 
 
 @dataclass
 class Index:
-    """Passages and the places of their q-grams."""
+    """Passages, the q-grams each asks for, and the places of those q-grams; short passages by their length and codes."""
 
-    items: list[int]
+    items: list[int | None]
     codes: list[np.ndarray]
     edits: np.ndarray
+    need: np.ndarray
     grams: np.ndarray
     offsets: np.ndarray
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
-
-    @property
-    def need(self) -> np.ndarray:
-        return np.array([len(c) - Q + 1 - Q * e for c, e in zip(self.codes, self.edits.tolist())])
+    item_in_gram: np.ndarray
+    short: dict[int, dict[bytes, list[int | None]]]
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -105,86 +117,180 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
         return (hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _FILTER_BITS)
 
 
-def build(items: list[int], texts: list[str | None], edits: float = EDITS) -> Index:
-    """Passages under Q + 3 normalised characters can't be told from chance and are left out, as are null ones."""
+def build(items: list[int | None], texts: list[str | None], edits: float = EDITS) -> Index:
+    """Passages without a letter or digit, and null ones, are nowhere found."""
     codes, starts, _ = normalise(texts)
     parts = [codes[a + 1 : b] for a, b in zip(starts[:-1], starts[1:])]
-    live = [i for i, c in enumerate(parts) if budget(len(c), edits) >= 0]
+    bare = [(c != _SPACE).sum() for c in parts]
+    short: dict[int, dict[bytes, list[int | None]]] = {}
+    for i, c in enumerate(parts):
+        if bare[i] and len(c) < Q + LEAST - 1:
+            whole = np.r_[_SPACE, c, _SPACE] if c[0] != _SPACE else c
+            short.setdefault(len(whole), {}).setdefault(whole.astype(np.uint32).tobytes(), []).append(items[i])
+    live = [i for i, c in enumerate(parts) if bare[i] and len(c) >= Q + LEAST - 1]
     parts = [parts[i] for i in live]
+    allowed = np.array([budget(len(c), edits) for c in parts], np.int64)
     hashes = [gram_hashes(c) for c in parts]
     every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
     item = np.repeat(np.arange(len(parts)), [len(h) for h in hashes])
     place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
+    need = np.array([len(h) for h in hashes], np.int64) - Q * allowed
+    # The most common q-grams first, as many as each passage can spare.
+    _, which = np.unique(every, return_inverse=True)
+    held = np.unique(which * np.int64(len(parts)) + item) // len(parts) if len(every) else which
+    holders = np.bincount(held, minlength=1)[which] if len(every) else which
+    order = np.lexsort((place, -holders, item))
+    rank = np.arange(len(order)) - np.searchsorted(item[order], np.arange(len(parts)))[item[order]] if len(order) else order
+    out = order[(holders[order] > COMMON) & (rank < (need - LEAST)[item[order]])] if len(order) else order
+    need -= np.bincount(item[out], minlength=len(parts)) if len(parts) else 0
+    kept = np.setdiff1d(np.arange(len(every)), out, assume_unique=True)
+    every, item, place = every[kept], item[kept], place[kept]
     order = np.argsort(every, kind="stable")
     grams, first = np.unique(every[order], return_index=True)
     table = np.zeros(1 << _FILTER_BITS, bool)
     table[_slots(grams)] = True
-    return Index([items[i] for i in live], parts, np.array([budget(len(c), edits) for c in parts], np.int64), grams, np.r_[first, len(every)], item[order], place[order], table)
+    offsets = np.r_[first, len(every)]
+    numbered = np.repeat(np.arange(len(grams)), np.diff(offsets)) * np.int64(len(parts)) + item[order]
+    return Index([items[i] for i in live], parts, allowed, need, grams, offsets, item[order], place[order], table, numbered, short)
 
 
-def align(passage: np.ndarray, regions: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(least edits, end column) of the passage in each region, on `width` diagonals from the region's first.
+def align(passages: np.ndarray, lengths: np.ndarray, regions: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least edits, end column) of each row's passage in its region, on `width` diagonals from the region's first.
 
-    Row i of the passage is compared with columns i .. i + width - 1; starting and ending anywhere is free.
+    Row i of a passage is compared with columns i .. i + width - 1; starting and ending anywhere is free. Passages are
+    in order of their lengths, the longest first; those that have ended stand still.
     """
-    n = len(regions)
-    now = np.zeros((n, width), np.int32)
+    now = np.zeros((len(regions), width), np.int32)
     steps = np.arange(width, dtype=np.int32)
-    for i, c in enumerate(passage):
-        moved = now + (regions[:, i : i + width] != c)
-        moved[:, :-1] = np.minimum(moved[:, :-1], now[:, 1:] + 1)
-        now = np.minimum.accumulate(moved - steps, axis=1) + steps
+    live = len(regions)
+    for i in range(int(lengths.max(initial=0))):
+        while live and lengths[live - 1] <= i:
+            live -= 1
+        moved = now[:live] + (regions[:live, i : i + width] != passages[:live, i, None])
+        moved[:, :-1] = np.minimum(moved[:, :-1], now[:live, 1:] + 1)
+        now[:live] = np.minimum.accumulate(moved - steps, axis=1) + steps
     end = now.argmin(axis=1)
-    return now[np.arange(n), end], end + len(passage)
+    return now[np.arange(len(now)), end], end + lengths
+
+
+def _hits(index: Index, at: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in the codes, item, place in the item) of all occurrences, in parts of about HITS that no (text, item) is
+    cut by: `at` and `known` are those of one text."""
+    times = index.offsets[known + 1] - index.offsets[known]
+    rounds = max(1, -(-int(times.sum()) // HITS))
+    edges = np.linspace(0, len(index.items), rounds + 1).astype(np.int64)
+    for low, high in zip(edges, edges[1:]):
+        if rounds == 1:
+            first, size = index.offsets[known], times
+        else:
+            # A gram's places are in order of their items; number both together to cut them.
+            first = np.searchsorted(index.item_in_gram, known * np.int64(len(index.items)) + low)
+            size = np.searchsorted(index.item_in_gram, known * np.int64(len(index.items)) + high) - first
+        total = int(size.sum())
+        if total:
+            posting = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(total)
+            yield np.repeat(at, size), index.item[posting], index.place[posting]
+
+
+def _exact(index: Index, codes: np.ndarray, starts: np.ndarray, places: np.ndarray) -> list[tuple]:
+    """Short passages, between spaces or ends of a text."""
+    found = []
+    for length, known in index.short.items():
+        if len(codes) < length:
+            continue
+        flat = np.where(codes == _BREAK, _SPACE, codes).astype(np.uint32)
+        spaces = np.flatnonzero(flat == _SPACE)
+        spaces = spaces[(spaces + length <= len(flat))]
+        spaces = spaces[flat[spaces + length - 1] == _SPACE]
+        view = np.lib.stride_tricks.sliding_window_view(flat, length)
+        for p in spaces.tolist():
+            if items := known.get(view[p].tobytes()):
+                text = int(np.searchsorted(starts, p + 1, side="right")) - 1
+                # Both ends may be breaks of the same text, and nothing in between.
+                if not (codes[p + 1 : p + length - 1] == _BREAK).any():
+                    found += [(text, item, 0, int(places[p + 1]), int(places[p + length - 2]) + 1) for item in items]
+    return found
 
 
-def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
+def search(texts: list[str | None], index: Index) -> list[tuple[int, int | None, int, int, int]]:
     """(text, item, edits, start, end) of every passage found, at most one for each band; places are code points of the
-    text, exact to within the edits."""
-    if not index.items:
+    text, exact to within the edits. No passage is found across texts."""
+    if not index.items and not index.short:
         return []
     codes, starts, places = normalise(texts)
+    found = _exact(index, codes, starts, places)
+    if not index.items:
+        return found
     hashes = gram_hashes(codes)
     at = np.flatnonzero(index.filter[_slots(hashes)])
     known = np.minimum(np.searchsorted(index.grams, hashes[at]), len(index.grams) - 1)
     true = index.grams[known] == hashes[at]
     at, known = at[true], known[true]
     if not len(at):
-        return []
+        return found
+    owner = np.searchsorted(starts, at, side="right") - 1
     times = index.offsets[known + 1] - index.offsets[known]
-    total = int(times.sum())
-    posting = np.repeat(index.offsets[known] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(total)
-    item, place = index.item[posting], np.repeat(at, times) - index.place[posting]
-    # One number for item and band; bands of different texts never meet, as a break stands between.
+    # Texts together as long as they have up to HITS places.
+    upto = np.cumsum(times)
+    begin = 0
+    while begin < len(at):
+        stop = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, side="right"))
+        text = owner[min(stop, len(at) - 1)]
+        if stop < len(at):
+            # Whole texts: back to where this one begins, or on to its end if it is the first.
+            stop = int(np.searchsorted(owner, text))
+            stop = stop if stop > begin else int(np.searchsorted(owner, text, side="right"))
+        for part in _hits(index, at[begin:stop], known[begin:stop]):
+            found += _verified(index, codes, starts, places, *part)
+        begin = stop
+    return found
+
+
+def _verified(index: Index, codes: np.ndarray, starts: np.ndarray, places: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> list[tuple]:
+    """Matches among occurrences (place in the codes, item, place in the item), which are all of those texts and items."""
+    text = np.searchsorted(starts, at, side="right") - 1
     step = (index.edits + 1)[item]
     shift = int(max(len(c) for c in index.codes)) + 1
-    bands = len(codes) + 2 * shift + 2
-    key, count = np.unique(item * np.int64(bands) + (place + shift) // step, return_counts=True)
+    band = (at - starts[text] - place + shift) // step
+    # One number for text, item and band; the longest text bounds the bands.
+    bands = int(np.diff(np.r_[starts, len(codes)]).max()) + 2 * shift + 2
+    key, count = np.unique((text * np.int64(len(index.items)) + item) * np.int64(bands) + band, return_counts=True)
     both = count.copy()
     both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-    some = np.flatnonzero(both >= index.need[key // bands])
+    some = np.flatnonzero(both >= index.need[key // bands % len(index.items)])
+    owner, which, band = key[some] // bands // len(index.items), key[some] // bands % len(index.items), key[some] % bands
+    edges = np.r_[starts, len(codes)]
     found = []
-    which, band = key[some] // bands, key[some] % bands
-    for b in np.unique(which):
-        own = band[which == b]
-        e, passage = int(index.edits[b]), index.codes[b]
-        width = 2 * (e + 1)
-        begin = own * (e + 1) - shift
-        column = begin[:, None] + np.arange(len(passage) + width)
-        region = np.where((column >= 0) & (column < len(codes)), codes[np.clip(column, 0, len(codes) - 1)], _BREAK)
-        for r in range(0, len(region), 4096):
-            edits, end = align(passage, region[r : r + 4096], width)
-            for k in np.flatnonzero(edits <= e):
-                stop = min(int(begin[r + k]) + int(end[k]), len(codes))
-                last = max(stop - 1, 0)
-                text = int(np.searchsorted(starts, last, side="right")) - 1
-                first = max(int(starts[text]) + 1, stop - len(passage))
-                found.append((text, index.items[b], int(edits[k]), max(int(places[first]), 0), int(places[last]) + 1))
+    sizes = np.array([len(c) for c in index.codes], np.int64)
+    # Candidates whose passages allow as many edits are aligned together, as many at once as have about CELLS codes.
+    order = np.lexsort((-sizes[which], index.edits[which]))
+    allowed = index.edits[which[order]]
+    for e in np.unique(allowed).tolist():
+        rows = order[np.searchsorted(allowed, e) : np.searchsorted(allowed, e, side="right")]
+        width, at_once = 2 * (e + 1), max(1, CELLS // int(sizes[which[rows[0]]] + 2 * (e + 1)))
+        for r in range(0, len(rows), at_once):
+            some = rows[r : r + at_once]
+            own, text = which[some], owner[some]
+            begin = band[some] * (e + 1) - shift + starts[text]
+            longest = int(sizes[own[0]])
+            passages = np.stack([np.pad(index.codes[b], (0, longest - len(index.codes[b]))) for b in own.tolist()])
+            column = begin[:, None] + np.arange(longest + width)
+            # What lies outside of the text equals nothing.
+            inside = (column > starts[text][:, None]) & (column < edges[text + 1][:, None])
+            regions = np.where(inside, codes[np.clip(column, 0, len(codes) - 1)], _BREAK)
+            edits, end = align(passages, sizes[own], regions, width)
+            for k in np.flatnonzero(edits <= e).tolist():
+                t, b = int(text[k]), int(own[k])
+                stop = min(int(begin[k] + end[k]), int(edges[t + 1]))
+                last = max(stop - 1, int(starts[t]) + 1)
+                first = max(int(starts[t]) + 1, stop - int(sizes[b]))
+                found.append((t, index.items[b], int(edits[k]), max(int(places[first]), 0), int(places[last]) + 1))
     return found
 
 
-def _passes(benchmark: DataFrame, edits: float, group_chars: int) -> Iterator[Index]:
-    """Indexes of all passages. Those without an id are passages of item null, unless an item has the same text."""
+def _passes(benchmark: DataFrame, edits: float, group_chars: int) -> Iterator[tuple[Index, int]]:
+    """(index, number of indexes) for all passages. Those without an id are passages of item null, unless an item has the
+    same text."""
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-size // group_chars))
     named = benchmark.where("item_id is not null").select("item_id", "text")
@@ -194,7 +300,7 @@ def _passes(benchmark: DataFrame, edits: float, group_chars: int) -> Iterator[In
     for g in range(groups):
         # Bounded: a group has about group_chars characters of passages.
         rows = every.where(group == g).distinct().orderBy("item_id", "text").collect()
-        yield build([r.item_id for r in rows], [r.text for r in rows], edits)
+        yield build([r.item_id for r in rows], [r.text for r in rows], edits), groups
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: str = "doc_id", group_chars: int = GROUP_CHARS) -> DataFrame:
@@ -205,7 +311,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col:
     spark = docs.sparkSession
     out = None
     fields = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
-    for index in _passes(benchmark, edits, group_chars):
+    for index, passes in _passes(benchmark, edits, group_chars):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -219,6 +325,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
         found = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")
+        if passes > 1:
+            # One index is on the executors at a time, however many there are.
+            found = cut(found)
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -226,7 +336,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col:
 def summary(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, n_items, item_ids (ascending, comma-joined), least_edits (-1 if none), contaminated.
 
-    Null and empty texts have none; an empty benchmark finds nothing. Rows with equal ids share what any of them has.
+    Null and empty texts have none; an empty benchmark finds nothing, empty docs give no rows. Rows with equal ids share
+    what any of them has. Texts of any length are searched whole. Columns besides the id and text are not looked at.
     Passages without an id count as one item, null, the last in item_ids.
     """
     found = matches(docs, benchmark, edits, id_col).groupBy("doc_id").agg(F.concat(F.sort_array(F.collect_set("item_id")), F.when(F.bool_or(F.col("item_id").isNull()), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))).alias("items"), F.min("edits").alias("least"))
@@ -244,9 +355,10 @@ def summary(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col:
 def remove(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, group_chars: int = GROUP_CHARS) -> DataFrame:
     """The rows of docs without a benchmark passage, with their columns; none is shuffled. Null and empty texts stay.
 
-    Passages need no item id here.
+    Passages need no item id here. Repeated rows are each judged by their own text; empty docs or an empty benchmark
+    change nothing.
     """
-    for index in _passes(benchmark, edits, group_chars):
+    for index, passes in _passes(benchmark, edits, group_chars):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(texts: list, sent=sent) -> np.ndarray:
@@ -255,4 +367,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, group_ch
             return out
 
         docs = keep_texts(docs, keep, limit=1_000_000)
+        if passes > 1:
+            docs = cut(docs)
+            sent.destroy()
     return docs
