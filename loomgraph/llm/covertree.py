@@ -1,11 +1,13 @@
 """Near-duplicate embeddings: exact threshold pairs by a dual traversal of cover trees.
 
-For unit vectors a cosine of at least c is a distance of at most t = sqrt(2 - 2 c). Vectors of one label are dealt to
-bounded blocks by the nearest of the label's top centres, and each pair of blocks whose covering balls come within t
-is a task: it builds a cover tree for either block (nested centres, radii halved from level to level, every node with
+For unit vectors a cosine of at least c is a distance of at most t = sqrt(2 - 2 c). The top levels of a label's tree are
+made by joins: a cell with more vectors than a block is split around some of its own vectors until all fit, and pairs
+of cells are followed from level to level, as long as their covering balls come within t. Each pair of blocks left is a
+task: it goes on with a cover tree for either block (nested centres, radii halved from level to level, every node with
 the true radius that covers its members) and walks both trees together. A pair of nodes is dropped if its centres are
 further apart than both radii and t together; members of the pairs left at the lowest level are compared exactly, in
-double precision. Equal vectors are one node with a count, so groups of copies cost one row.
+double precision. Distances are worked out for centres and for pairs of nodes that are still met, no others. Equal
+vectors are one node with a count, so groups of copies cost one row.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, connected_components, cut
 
 COSINE = 0.93
-#: Vectors of a block.
+#: Vectors of a block; a cell of up to twice as many is left whole.
 BLOCK = 1536
-#: Top centres are chosen among at most so many vectors of a label.
-SAMPLE = 64
+#: A cell is split around at most so many of its vectors (a power of two).
+SPLIT = 64
+#: Levels above the blocks: cells that are still too large then are cut by hash, and the parts meet in pairs.
+LEVELS = 5
 #: Radii of the levels within a block; the first covers the unit sphere.
 RADII = (2.0, 1.0, 0.5, 0.25)
-#: Allowance for rounding in bounds (never in the exact test).
-SLACK = 1e-9
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -35,76 +37,104 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of unit vectors, up to rounding(components)."""
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
+def rounding(components: int) -> float:
+    """How far a distance of unit vectors may be off: the root of what a product of so many components may be off."""
+    return math.sqrt(2 * (components + 8) * np.finfo(float).eps)
+
+
 class Tree:
-    """Levels of nodes: centre (a row), parent (a node of the level above), covering radius, and members by node."""
+    """Levels of nodes: centre (a row), parent (a node of the level above), covering radius, and members by node.
+
+    evaluated counts the distances that were worked out.
+    """
 
     def __init__(self, points: np.ndarray, radii: tuple[float, ...] = RADII):
-        self.points = points
-        apart = distances(points, points)
+        self.points, self.evaluated = points, 0
         n = len(points)
         node = np.zeros(n, np.int64)
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         centres = np.zeros(min(n, 1), np.int64)
+        gap = self._gaps(0, np.arange(n)) if n else np.empty(0)
         for depth, radius in enumerate(radii):
-            if depth == 0:
-                parents = np.zeros(len(centres), np.int64)
-            else:
-                centres, parents, node = self._split(apart, centres, node, radius)
+            parents = np.zeros(len(centres), np.int64)
+            if depth:
+                centres, parents, node, gap = self._split(centres, node, gap, radius)
             cover = np.zeros(len(centres))
-            np.maximum.at(cover, node, apart[np.arange(n), centres[node]] if n else np.empty(0))
+            np.maximum.at(cover, node, gap)
             self.levels.append((centres, parents, cover))
+        self.node = node
         self.order = np.argsort(node, kind="stable")
         self.first = np.searchsorted(node[self.order], np.arange(len(centres) + 1))
 
-    @staticmethod
-    def _split(apart: np.ndarray, centres: np.ndarray, node: np.ndarray, radius: float):
+    def _gaps(self, centre: int, members: np.ndarray) -> np.ndarray:
+        self.evaluated += len(members)
+        return distances(self.points[members], self.points[centre : centre + 1])[:, 0]
+
+    def _split(self, centres: np.ndarray, node: np.ndarray, gap: np.ndarray, radius: float):
         """Nested centres of the next level: each old one, then the first member of its node that none covers yet."""
-        where, parents, new = centres[node].copy(), list(range(len(centres))), list(centres)
-        index = node.copy()
-        open_ = np.flatnonzero(apart[np.arange(len(node)), where] > radius)
-        while len(open_):
-            c = open_[0]
-            same = open_[node[open_] == node[c]]
-            taken = same[apart[c, same] <= radius]
-            index[taken] = len(new)
-            new.append(c)
-            parents.append(node[c])
-            open_ = open_[~np.isin(open_, taken, assume_unique=True)]
-        return np.array(new, np.int64), np.array(parents, np.int64), index
-
-
-def dual(a: Tree, b: Tree, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of members (of i < j if both trees are one) that no bound excludes."""
-    i, j = np.zeros(min(1, len(a.points)), np.int64), np.zeros(min(1, len(a.points)), np.int64)
-    if not len(b.points):
-        i = j = np.empty(0, np.int64)
-    apart = distances(a.points, b.points)
-    for depth in range(len(a.levels)):
-        if depth:
-            children = [np.argsort(x.levels[depth][1], kind="stable") for x in (a, b)]
-            bounds = [np.searchsorted(x.levels[depth][1][c], np.arange(len(x.levels[depth - 1][0]) + 1)) for x, c in zip((a, b), children)]
-            i, j = _products(i, j, children, bounds)
+        parents, new = list(range(len(centres))), list(centres)
+        index, gap = node.copy(), gap.copy()
+        open_ = np.flatnonzero(gap > radius)
+        open_ = open_[np.argsort(node[open_], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, node[open_][1:] != node[open_][:-1]]) if len(open_) else open_
+        for own in np.split(open_, edges[1:]):
+            while len(own):
+                apart = self._gaps(own[0], own)
+                apart[0] = 0
+                taken = apart <= radius
+                index[own[taken]], gap[own[taken]] = len(new), apart[taken]
+                new.append(own[0])
+                parents.append(node[own[0]])
+                own = own[~taken]
+        return np.array(new, np.int64), np.array(parents, np.int64), index, gap
+
+
+def _children(parents: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(parents, kind="stable")
+    return order, np.searchsorted(parents[order], np.arange(nodes + 1))
+
+
+def dual(a: Tree, b: Tree, t: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Candidate pairs of members (of i < j if both trees are one) that no bound excludes, and the distances worked out."""
+    i = j = np.zeros(min(1, len(a.points), len(b.points)), np.int64)
+    if not len(i):
+        return i, j, 0
+    slack = 4 * rounding(a.points.shape[1])
+    evaluated = 0
+    for depth in range(1, len(a.levels)):
+        (centres_a, up_a, cover_a), (centres_b, up_b, cover_b) = a.levels[depth], b.levels[depth]
+        below_a, first_a = _children(up_a, len(a.levels[depth - 1][0]))
+        below_b, first_b = _children(up_b, len(b.levels[depth - 1][0]))
+        kept = []
+        for p, some in _runs(i, j):
+            own = below_a[first_a[p] : first_a[p + 1]]
+            others = np.concatenate([below_b[first_b[q] : first_b[q + 1]] for q in some.tolist()])
+            apart = distances(a.points[centres_a[own]], b.points[centres_b[others]])
+            evaluated += apart.size
+            near = apart <= cover_a[own][:, None] + cover_b[others] + (t + slack)
             if same:  # a node with itself meets each pair of its children twice
-                up = a.levels[depth][1]
-                keep = (up[i] != up[j]) | (i <= j)
-                i, j = i[keep], j[keep]
-        (ca, _, ra), (cb, _, rb) = a.levels[depth], b.levels[depth]
-        keep = np.empty(len(i), bool)
-        for k in range(0, len(i), 200_000):
-            p, q = i[k : k + 200_000], j[k : k + 200_000]
-            keep[k : k + 200_000] = apart[ca[p], cb[q]] <= ra[p] + rb[q] + t + SLACK
-        i, j = i[keep], j[keep]
-    own = np.repeat(np.arange(len(a.first) - 1), np.diff(a.first))
-    node = np.empty(len(a.points), np.int64)
-    node[a.order] = own
+                near &= (up_b[others] != p) | (own[:, None] <= others)
+            r, c = np.nonzero(near)
+            kept.append((own[r], others[c]))
+        i, j = (np.concatenate(x) for x in zip(*kept)) if kept else (i[:0], j[:0])
     i, j = _products(i, j, [a.order, b.order], [a.first, b.first])
     if same:
-        keep = (node[i] != node[j]) | (i < j)
+        keep = (a.node[i] != a.node[j]) | (i < j)
         i, j = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
-    return i, j
+    return i, j, evaluated
+
+
+def _runs(i: np.ndarray, j: np.ndarray):
+    """Each value of i with the values of j that it is paired with."""
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    edges = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(1, int)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(i[lo]), j[lo:hi]
 
 
 def _products(i: np.ndarray, j: np.ndarray, members: list[np.ndarray], bounds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +146,15 @@ def _products(i: np.ndarray, j: np.ndarray, members: list[np.ndarray], bounds: l
     return members[0][np.repeat(bounds[0][i], size) + at // wide], members[1][np.repeat(bounds[1][j], size) + at % wide]
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and of b (or of a alone, i < j) with a cosine of at least `cosine`, by a dual traversal."""
+def close_pairs(a: np.ndarray, b: np.ndarray | None, cosine: float, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b (or of a alone, i < j) with a cosine of at least `cosine`, by a dual traversal; `tally` gets the
+    number of distances worked out."""
     t = math.sqrt(max(0.0, 2 - 2 * cosine))
     first = Tree(unit(a))
     second = first if b is None else Tree(unit(b))
-    i, j = dual(first, second, t, b is None)
+    i, j, evaluated = dual(first, second, t, b is None)
+    if tally is not None:
+        tally.append(evaluated + len(i) + first.evaluated + (0 if b is None else second.evaluated))
     other = a if b is None else b
     keep = np.empty(len(i), bool)
     norm_a, norm_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((other * other).sum(axis=1))
@@ -152,31 +185,30 @@ def _valid(vector: Column) -> Column:
     return F.when(fine, wide)
 
 
-def _gap(a: str, b: str) -> Column:
+def _gap(a: str | Column, b: str | Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def groups(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def groups(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null, they have as many components, and their cosine is at least
     `cosine`. n_links counts other rows linked directly (equal vectors among them), component_id is the smallest
     vec_id that links reach, kept is vec_id = component_id. Null, empty and zero vectors, those with null or
     non-finite components, and rows with a null label or id have no links and are their own component (null ids:
-    null, not kept). Repeated rows count as vectors of their own; other columns are not looked at.
+    null, not kept). Repeated rows count as vectors of their own; an empty table gives no rows; other columns are not
+    looked at.
     """
-    rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull(), F.col("label")).alias("label"), _valid(F.col("embedding")).alias("v")))
+    # A vector's name: 128 bits of hash, so that joins needn't carry it.
+    name = [F.xxhash64(F.lit(k), F.col("v")).alias(c) for k, c in enumerate("xy")]
+    rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull(), F.col("label")).alias("label"), _valid(F.col("embedding")).alias("v")).select("*", *name))
     live = rows.where("label is not null and v is not null")
-    nodes = live.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("times")).withColumn("part", F.concat_ws("/", F.col("label").cast("string"), F.size("v").cast("string")))
-    nodes = cut(nodes.select("part", "label", "node", "times", "v"))
-    assigned = cut(_blocks(nodes, block, sample))
-    balls = assigned.groupBy("part", "block").agg(F.max("gap").alias("radius"), F.any_value("centre").alias("centre"))
-    a, b = (balls.select("part", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "radius", "centre")]) for s in "ab")
+    nodes = live.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("times"))
+    nodes = cut(nodes.select(F.concat_ws("/", F.col("label").cast("string"), F.size("v").cast("string")).alias("part"), "label", "node", "times", "v", *name))
     t = math.sqrt(max(0.0, 2 - 2 * cosine))
-    near = (_gap("centre_a", "centre_b") <= F.col("radius_a") + F.col("radius_b") + t + SLACK) | (F.col("block_a") == F.col("block_b"))
-    pairs = a.join(b, "part").where("block_a <= block_b").where(near).select("part", "block_a", "block_b")
+    assigned, pairs = _blocks(nodes, t, block, split)
     sides = pairs.select("part", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
-    dealt = assigned.select("part", "block", "node", "times", "v").join(sides, ["part", "block"])
+    dealt = assigned.join(sides, ["part", "block"])
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
         side = (rows["block"] == rows["block_a"]).to_numpy()
@@ -188,30 +220,56 @@ def groups(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, sampl
     found = cut(dealt.groupBy("part", "block_a", "block_b").applyInPandas(task, "node long, root long, links long"))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     member = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    whole = nodes.join(counted, "node", "left").join(member, "node", "left")
-    whole = whole.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    joined = live.join(whole, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    whole = nodes.drop("v").join(counted, "node", "left").join(member, "node", "left")
+    whole = whole.select("label", "x", "y", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    joined = live.select("vec_id", "label", "x", "y").join(whole, ["label", "x", "y"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("label is null or v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _blocks(nodes: DataFrame, block: int, sample: int) -> DataFrame:
-    """part, block, node, times, v, centre and gap (distance to the centre, for unit vectors).
+def _blocks(nodes: DataFrame, t: float, block: int, split: int) -> tuple[DataFrame, DataFrame]:
+    """(part, block, node, times, v) of every node, and the pairs (part, block_a, block_b) whose balls come within t.
 
-    A label's top centres are its sampled vectors thinned to a net of radius one by their place in the sample; a
-    cell with more than `block` vectors is cut by hash into blocks around the same centre.
+    Every level splits the cells of over two blocks: around up to `split` of a cell's vectors, chosen by hash, each to
+    the nearest. A cell's children are numbered from split times its own number on, so a cell knows its parent; pairs
+    of cells are made from the pairs of their parents.
     """
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    units = nodes.withColumn("u", F.transform("v", lambda x: x / size))
-    many = units.groupBy("part").agg(F.count("*").alias("n")).withColumn("wanted", F.greatest(F.lit(1), F.least(F.lit(sample), F.ceil(F.col("n") / block))).cast("int"))
-    seeds = bounded_sample(units.select("part", "node", "u"), "node", sample, by="part")
-    tops = seeds.groupBy("part").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("node").alias("h"), "u"))).alias("tops")).join(many, "part").select("part", "n", F.slice("tops", 1, F.col("wanted")).alias("tops"))
-    # At most `sample` vectors for each label.
-    near = units.join(tops, "part").withColumn("best", F.array_min(F.transform("tops", lambda c, i: F.struct(F.sqrt(F.aggregate(F.zip_with(c["u"], F.col("u"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)).alias("gap"), i.alias("cell")))))
-    near = near.select("part", "node", "times", "v", F.col("best.gap").alias("gap"), F.col("best.cell").alias("cell"), F.element_at("tops", F.col("best.cell") + 1)["u"].alias("centre"))
-    cells = near.groupBy("part", "cell").agg(F.ceil(F.count("*") / block).cast("long").alias("cuts"))
-    cutted = near.join(cells, ["part", "cell"])
-    return cutted.select("part", (F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("block"), "node", "times", "v", "centre", "gap")
+    parts = nodes.select("part").distinct()
+    # Cells are few: one for each block of vectors. Rows carry their cell's number and their distance to its centre.
+    at = nodes.select("part", F.lit(0).cast("long").alias("cell"), F.lit(2.0).alias("gap"), "node", "times", "v")
+    balls = parts.select("part", F.lit(0).cast("long").alias("cell"), F.lit(None).cast("array<double>").alias("centre"), F.lit(2.0).alias("radius"))
+    pairs = parts.select("part", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    key = F.concat_ws("#", "part", F.col("cell").cast("string"))
+    for _ in range(LEVELS):
+        counts = at.groupBy("part", "cell").agg(F.count("*").alias("n"))
+        large = cut(counts.where(F.col("n") > 2 * block).select("part", "cell", F.least(F.lit(split), F.ceil(F.col("n") / block)).cast("int").alias("wanted")))
+        if large.isEmpty():
+            break
+        units = at.join(large.drop("wanted"), ["part", "cell"], "left_semi").select("part", "cell", "node", F.transform("v", lambda x: x / size).alias("u")).withColumn("key", key)
+        # At most `split` vectors for each cell.
+        seeds = bounded_sample(units, "node", split, by="key").groupBy("part", "cell").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("node").alias("h"), "u"))).alias("seeds"))
+        centres = cut(seeds.join(large, ["part", "cell"]).select("part", "cell", F.slice(F.col("seeds.u"), 1, F.col("wanted")).alias("centres")))
+        near = F.array_min(F.transform("centres", lambda c, k: F.struct(_gap(c, F.transform("v", lambda x: x / size)).alias("gap"), k.cast("long").alias("k"))))
+        moved = at.join(centres, ["part", "cell"], "left").withColumn("best", F.when(F.col("centres").isNotNull(), near))
+        at = cut(moved.select("part", (F.col("cell") * split + F.coalesce("best.k", F.lit(0))).alias("cell"), F.coalesce("best.gap", "gap").alias("gap"), "node", "times", "v"))
+        fresh = centres.select("part", "cell", F.posexplode("centres").alias("k", "centre")).select("part", (F.col("cell") * split + F.col("k")).alias("cell"), "centre")
+        fresh = fresh.join(at.groupBy("part", "cell").agg(F.max("gap").alias("radius")), ["part", "cell"])
+        still = balls.join(large.drop("wanted"), ["part", "cell"], "left_anti").select("part", (F.col("cell") * split).alias("cell"), "centre", "radius")
+        balls = cut(fresh.unionByName(still))
+        a, b = (balls.select("part", F.col("cell").alias(s), F.expr(f"cell div {split}").alias(f"up_{s}"), F.col("centre").alias(f"centre_{s}"), F.col("radius").alias(f"radius_{s}")) for s in "ab")
+        met = pairs.select("part", F.col("a").alias("up_a"), F.col("b").alias("up_b")).join(a, ["part", "up_a"]).join(b, ["part", "up_b"])
+        # A ball without a centre is the whole sphere; rounding is far below 1e-6 for distances made of differences.
+        close = F.coalesce(_gap("centre_a", "centre_b") <= F.col("radius_a") + F.col("radius_b") + t + 1e-6, F.lit(True))
+        pairs = cut(met.where((F.col("up_a") != F.col("up_b")) | (F.col("a") <= F.col("b"))).where(close | (F.col("a") == F.col("b"))).select("part", "a", "b"))
+    cuts = cut(at.groupBy("part", "cell").agg(F.when(F.count("*") > 2 * block, F.ceil(F.count("*") / block)).otherwise(1).cast("long").alias("cuts")))
+    number = lambda cell, cut_: F.col(cell) * (1 << 24) + cut_
+    assigned = at.join(cuts, ["part", "cell"]).select("part", number("cell", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("block"), "node", "times", "v")
+    for s in "ab":
+        pairs = pairs.join(cuts.select("part", F.col("cell").alias(s), F.col("cuts").alias(f"cuts_{s}")), ["part", s])
+    pairs = pairs.withColumn("cut_a", F.explode(F.expr("sequence(0L, cuts_a - 1)"))).withColumn("cut_b", F.explode(F.expr("sequence(0L, cuts_b - 1)")))
+    pairs = pairs.where("a <> b or cut_a <= cut_b").select("part", number("a", F.col("cut_a")).alias("block_a"), number("b", F.col("cut_b")).alias("block_b"))
+    return assigned, pairs
 
 
 ORACLE_SQL = """

@@ -105,6 +105,49 @@ def test_cover_trees_are_nested_and_cover():
         assert set(above.tolist()) <= set(below.tolist()) and (cover <= radius + 1e-9).all() and parents.max() < len(above)
 
 
+def test_no_link_is_lost_at_the_edge_of_a_bound():
+    # Members a hair from their centres, at the threshold itself: computed distances near zero are off by 1e-8.
+    rng = np.random.default_rng(6)
+    angle = math.acos(0.93)
+    for gap in (1e-9, 3e-9, 6.8e-9, 1.5e-8, 3e-8, 1e-7):
+        for _ in range(60):
+            u, w = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+            at = lambda x: (np.cos(x) * u + np.sin(x) * w)[None]
+            x = np.concatenate([at(-gap), at(gap)])
+            y = np.concatenate([at(angle + gap), at(angle - 4 * gap)])
+            # Linked by the exact test, whatever the bounds say.
+            want = {tuple(p) for p in np.argwhere(np.einsum("id,jd->ij", x, y) / np.outer(np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))) >= 0.93 + 1e-15).tolist()}
+            got = set(zip(*(k.tolist() for k in covertree.close_pairs(x, y, 0.93))))
+            assert want <= got
+
+
+def test_bounds_save_distances():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 64))
+    x = np.repeat(centres, 25, axis=0) + 0.03 * rng.normal(size=(1500, 64))
+    tally = []
+    i, j = covertree.close_pairs(x, None, 0.93, tally)
+    assert len(i) == 60 * 25 * 24 // 2 and tally[0] < 0.12 * 1500 * 1499 / 2
+
+
+def test_cells_are_split_until_they_fit(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(8, 16)), 150, axis=0) + 0.02 * rng.normal(size=(1200, 16))
+    table = spark.createDataFrame([(i, v.tolist(), "s") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    nodes = table.select(covertree.F.lit("s").alias("part"), covertree.F.col("vec_id").alias("node"), covertree.F.lit(1).alias("times"), covertree.F.col("embedding").alias("v"))
+    t = math.sqrt(2 - 2 * 0.93)
+    assigned, pairs = covertree._blocks(nodes, t, 40, 4)
+    sizes = [r["count"] for r in assigned.groupBy("block").count().collect()]
+    assert sum(sizes) == 1200 and max(sizes) <= 80
+    # Far fewer pairs of blocks than there are, and no link is lost.
+    assert pairs.count() < 0.4 * len(sizes) * (len(sizes) + 1) / 2
+    want = (covertree.unit(x) @ covertree.unit(x).T >= 0.93).sum(axis=1) - 1
+    for levels in (5, 1):  # the second leaves cells that are cut by hash
+        monkeypatch.setattr(covertree, "LEVELS", levels)
+        got = {r.vec_id: r.n_links for r in covertree.groups(table, block=40, split=4).collect()}
+        assert [got[i] for i in range(1200)] == want.tolist()
+
+
 @pytest.mark.parametrize("block", [16, 1536])
 def test_embedding_groups_equal_brute_force(spark, block):
     rng = np.random.default_rng(5)
