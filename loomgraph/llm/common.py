@@ -22,10 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none and runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -94,7 +97,7 @@ class WordTable:
 
     `compute` maps a list of distinct words to an array with a row for each. The table is emptied when it
     would pass `limit` words, or a hundred characters for each of them, so a worker's memory is bounded whatever it
-    reads; values never depend on that.
+    reads; a word's value must be a function of the word alone, so that it doesn't depend on that.
     """
 
     def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 400_000):
@@ -130,27 +133,55 @@ class WordTable:
 
 
 def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 17, by: str | None = None) -> DataFrame:
-    """At most `limit` rows (for each value of `by`, if given), the first in the order of a keyed hash of `key`.
+    """At most `limit` values of `key` (for each value of `by`, if given) with one row each, the first in the order of a hash.
 
-    The sample is for fitting only; which rows it takes depends on their ids alone, not on partitions. Rows are
-    first thinned where they are, by the same hash, to about twice the limit, so that no task gathers or orders
-    more. Counts of up to FEW values become part of the plan; those of more values are joined.
+    The sample is for fitting only; which rows it takes depends on their values alone, not on partitions. Of rows with
+    equal keys the least by its other columns stands for all. Rows are first thinned where they are, by the same hash,
+    to about twice the limit, so that no task gathers or orders more; a key that is repeated however often is
+    aggregated before it is moved. Rows whose `by` is null are left out. Counts of up to FEW values of `by` become part
+    of the plan; those of more values are joined.
     """
     from pyspark.sql import Window
 
     by_ = F.lit(0) if by is None else F.col(by)
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    marked = df.withColumn("_place", place).withColumn("_by", by_)
-    sizes = marked.groupBy("_by").agg(F.count("*").alias("_n"))
+    rest = [c for c in df.columns if c not in (key, by)]
+    marked = df.withColumn("_place", place).withColumn("_by", by_).where("_by is not null")
+    sizes = marked.groupBy("_by").agg(F.approx_count_distinct("_place", 0.02).alias("_n"))
     few = sizes.limit(FEW + 1).collect()
     if 0 < len(few) <= FEW:
         counts = F.create_map(*[F.lit(x) for row in few for x in (row["_by"], row["_n"])])
         marked = marked.withColumn("_n", F.element_at(counts, F.col("_by")))
     else:
         marked = marked.join(sizes, "_by")
+    # The count may be off by a few per cent, the margin is twofold.
     thinned = marked.where(F.col("_place") * F.col("_n") < 2 * limit + 100)
+    single = thinned.groupBy("_by", key, "_place").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_rest")) if rest else thinned.select("_by", key, "_place").distinct()
     window = Window.partitionBy("_by").orderBy("_place", key)
-    return thinned.withColumn("_k", F.row_number().over(window)).where(F.col("_k") <= limit).drop("_k", "_place", "_by", "_n")
+    chosen = single.withColumn("_k", F.row_number().over(window)).where(F.col("_k") <= limit)
+    return chosen.select(*[F.col("_by").alias(c) if c == by else F.col(key) if c == key else F.col("_rest")[c].alias(c) for c in df.columns])
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame, limit: int, chars: int) -> list[tuple[str, object]]:
+    """(text, label) of a bounded sample of known(doc_id, label), for fitting: for each label at most `limit` documents, and
+    no more once their texts have `chars` characters together.
+
+    Texts are whole, and every label has one at least, however long. Documents without a text are left out; of rows
+    with equal ids the least text counts. A document with several labels counts for the least. The order is that of
+    (label, hash of the id), whatever the partitions.
+    """
+    from pyspark.sql import Window
+
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    held = cut(known.select(F.col("doc_id").cast("long").alias("doc_id"), "label").where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label")).join(ids, "doc_id", "left_semi"))
+    chosen = bounded_sample(held, "doc_id", limit, by="label")
+    # Bounded: `limit` ids for each label.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    single = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), "doc_id")
+    before = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    kept = single.withColumn("_k", F.row_number().over(order)).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < chars)
+    return [(r.text, r.label) for r in kept.orderBy("label", "_k").select("text", "label").collect()]
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_sample, crc_mod, map_texts
+from .common import WordTable, crc_mod, labelled_texts, map_texts
 
 SPACE = 1 << 18
-#: At most so many rated documents of each grade, of at most so many characters, are learnt from.
-FIT_LIMIT, FIT_CHARS = 800, 10_000
+#: At most so many rated documents of each grade, and of about so many characters together, are learnt from.
+FIT_LIMIT, FIT_CHARS = 800, 2_500_000
 #: Shares are multiplied by this, so that steps on them are of the thresholds' size.
 SCALE = 10.0
 
@@ -30,11 +30,11 @@ _EDGES = re.compile(r"^\W+|\W+$")
 def features(word: str) -> list[int]:
     """Hashed: the bare word, its shape, and the marks before and after it."""
     bare = _EDGES.sub("", word)
-    shape = word[:40]
+    shape = word
     for pattern, mark in _SHAPE:
         shape = pattern.sub(mark, shape)
     at = word.find(bare) if bare else len(word)
-    names = ("w:" + bare.lower(), "s:" + shape, "b:" + word[:at][:8], "e:" + word[at + len(bare) :][:8])
+    names = ("w:" + bare.lower(), "s:" + shape, "b:" + word[:at], "e:" + word[at + len(bare) :])
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & (SPACE - 1) for n in names]
 
 
@@ -52,9 +52,12 @@ class Grader:
         split = [(t or "").split() for t in texts]
         every = [w for s in split for w in s]
         lengths = np.array([len(s) for s in split], np.int64)
-        total = np.r_[0.0, np.cumsum(table(every))] if every else np.zeros(1)
-        ends = np.cumsum(lengths)
-        return SCALE * (total[ends] - total[ends - lengths]) / np.maximum(lengths, 1)
+        total = np.zeros(len(lengths))
+        if every:
+            # A text's sum doesn't depend on the texts beside it.
+            some = np.flatnonzero(lengths)
+            total[some] = np.add.reduceat(table(every), (np.cumsum(lengths) - lengths)[some])
+        return SCALE * total / np.maximum(lengths, 1)
 
     def tails(self, levels: np.ndarray) -> np.ndarray:
         """P(grade > k-th grade): a column for each threshold."""
@@ -100,23 +103,23 @@ def fit(texts: list[str], ratings: list[int], rounds: int = 120, ridge: float =
 
 
 def learn(docs: DataFrame, labels: DataFrame, where=None, rating: str = "quality", limit: int = FIT_LIMIT, max_chars: int = FIT_CHARS) -> Grader:
-    """A grader from at most `limit` documents of each grade, of at most `max_chars` characters.
+    """A grader from at most `limit` documents of each grade, of about `max_chars` characters together.
 
-    Null ratings and texts don't count; a document with several ratings counts with the lowest.
+    Null ratings and texts don't count; a document with several ratings counts with the lowest, one with several texts
+    with the least of them.
     """
-    known = labels.where(F.col(rating).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(rating).cast("int").alias("rating"))
-    known = known if where is None else known.where(where)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    chosen = bounded_sample(known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", limit, by="rating")
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "rating").collect()
-    return fit([r.text for r in rows], [r.rating for r in rows])
+    known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(rating).cast("int").alias("label"))
+    rows = labelled_texts(docs, known if where is None else known.where(where), limit, max_chars)
+    return fit([text for text, _ in rows], [int(label) for _, label in rows])
 
 
 def grade(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, held_out, expected_grade, tail (probability of the top grade) and selected (tail >= least) of every document.
 
     Learns from ratings of documents whose crc32(doc_id as text) mod 5 is not 0; held_out marks the others. Null and
-    empty texts have no features and get what the thresholds alone give. Repeated rows each get a row.
+    empty texts have no features and get what the thresholds alone give. Texts of any length are graded whole; equal
+    texts get equal grades. Repeated rows each get a row, an empty table gives none. Columns besides doc_id and text
+    are not looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, where=crc_mod("doc_id", 5) != 0))
     cache: list[WordTable] = []

@@ -21,10 +21,10 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_sample, crc_mod, keep_texts, map_texts
+from .common import WordTable, crc_mod, keep_texts, labelled_texts, map_texts
 
 #: Hashed feature space (a power of two).
 SPACE = 1 << 18
@@ -32,8 +32,8 @@ SPACE = 1 << 18
 CHUNK = 128
 #: At most so many labelled documents marked toxic, and twice as many others, are used to fit.
 FIT_LIMIT = 600
-#: Longer documents are left out of the fitting sample (never of scoring).
-FIT_CHARS = 6_000
+#: Characters of those marked toxic; others have twice as many.
+FIT_CHARS = 1_500_000
 
 #: Marginals up to this don't add up: a long text has many small ones.
 NOISE = 0.1
@@ -93,8 +93,8 @@ def feature_lists(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.r_[0.0, np.cumsum(values)]
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Of each word's values, in their order: a word's sum doesn't depend on the words beside it. Every word has a value."""
+    return np.add.reduceat(values, offsets[:-1]) if len(values) else np.empty(0)
 
 
 def marginals(emissions: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np.ndarray:
@@ -181,7 +181,8 @@ class Tagger:
         return (marginals(table(words), lengths, self.transition) if words else np.empty(0)), lengths
 
     def scores(self, tagged: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(aggregates(tagged, lengths) @ self.calibration)))
+        x = aggregates(tagged, lengths)
+        return 1 / (1 + np.exp(-(x[:, 0] * self.calibration[0] + x[:, 1] * self.calibration[1] + x[:, 2] * self.calibration[2])))
 
 
 def aggregates(tagged: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -233,7 +234,8 @@ def induce_labels(flat: np.ndarray, offsets: np.ndarray, words: np.ndarray, leng
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 30, ridge: float = 1e-6) -> Tagger:
-    """Maximum-likelihood weights by adaptive gradient steps over all documents given; deterministic.
+    """Emission weights of greatest likelihood, by adaptive gradient steps over all documents given, under transitions that
+    are counted from the induced labels; deterministic.
 
     Without documents of both classes the tagger gives every document the (smoothed) share of toxic ones.
     """
@@ -276,22 +278,29 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 30, ridge: float = 1e-
 
 
 def learn(docs: DataFrame, labels: DataFrame, where=None, limit: int = FIT_LIMIT, max_chars: int = FIT_CHARS) -> Tagger:
-    """A tagger fitted on at most `limit` documents marked toxic and twice as many others, of at most `max_chars` characters.
+    """A tagger fitted on at most `limit` documents marked toxic, of about `max_chars` characters together, and on twice as
+    many others.
 
-    Rows whose label is null, or other than 0 and 1, are not used; neither are null texts. A document with
-    several labels counts as toxic if one of them says so.
+    Rows whose label is null, or other than 0 and 1, are not used; neither are null texts. A document with several
+    labels counts as toxic if one of them says so; of documents with equal ids one text is used, the least.
     """
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = known if where is None else known.where(where)
-    fitting = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    chosen = bounded_sample(known.join(fitting.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", 2 * limit, by="toxic")
-    chosen = chosen.withColumn("_k", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), "doc_id"))).where((F.col("toxic") == 0) | (F.col("_k") <= limit)).drop("_k")
-    rows = fitting.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").collect()
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    rows: dict[int, list[str]] = {0: [], 1: []}
+    for text, label in labelled_texts(docs, known, 2 * limit, 2 * max_chars):
+        rows[int(label)].append(text)
+    toxic, used = [], 0
+    for text in rows[1][:limit]:
+        if used >= max_chars:
+            break
+        used += len(text)
+        toxic.append(text)
+    return fit(rows[0] + toxic, [0] * len(rows[0]) + [1] * len(toxic))
 
 
-def scores(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, score, toxic_words (words with a marginal of a half or more) of each document."""
+def spans(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, score, toxic_words (words with a marginal of a half or more) and spans of each document: (start, end,
+    marginal) of runs of such words, in code points, end exclusive."""
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
     cache: list[WordTable] = []
 
@@ -301,53 +310,42 @@ def scores(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id") -> DataFrame
         tagged, lengths = sent.value.tag(x["text"], cache[0])
         high = np.r_[0, np.cumsum(tagged >= 0.5)]
         ends = np.cumsum(lengths)
-        return {"doc_id": x[id_col], "score": sent.value.scores(tagged, lengths), "toxic_words": high[ends] - high[ends - lengths]}
-
-    return map_texts(docs, [id_col, "text"], "doc_id long, score double, toxic_words long", work)
-
-
-def spans(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, score and spans: (start, end, marginal) of runs of toxic words, in code points, end exclusive."""
-    sent = docs.sparkSession.sparkContext.broadcast(tagger)
-    cache: list[WordTable] = []
-
-    def work(x):
-        if not cache:
-            cache.append(sent.value.table())
-        tagged, lengths = sent.value.tag(x["text"], cache[0])
-        found, at = [], 0
-        for text, n in zip(x["text"], lengths.tolist()):
-            runs: list[dict] = []
-            own = tagged[at : at + n]
-            at += n
-            if n and own.max() >= 0.5:
-                before = -2
-                places = ((m.start() + a, m.start() + b) for m in re.finditer(r"\S+", text) for a, b in positions(m[0]))
-                for i, (start, end) in enumerate(places):
-                    if own[i] >= 0.5:
-                        if before == i - 1:
-                            runs[-1] |= {"end": end, "marginal": max(runs[-1]["marginal"], float(own[i]))}
-                        else:
-                            runs.append({"start": start, "end": end, "marginal": float(own[i])})
-                        before = i
-            found.append(runs)
-        return {"doc_id": x[id_col], "score": sent.value.scores(tagged, lengths), "spans": found}
-
-    return map_texts(docs, [id_col, "text"], "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>", work)
+        words = high[ends] - high[ends - lengths]
+        found: list[list[dict]] = [[] for _ in lengths]
+        for k in np.flatnonzero(words).tolist():
+            own = tagged[ends[k] - lengths[k] : ends[k]]
+            before, runs = -2, found[k]
+            places = ((m.start() + a, m.start() + b) for m in re.finditer(r"\S+", x["text"][k]) for a, b in positions(m[0]))
+            for i, (start, end) in enumerate(places):
+                if own[i] >= 0.5:
+                    if before == i - 1:
+                        runs[-1] |= {"end": end, "marginal": max(runs[-1]["marginal"], float(own[i]))}
+                    else:
+                        runs.append({"start": start, "end": end, "marginal": float(own[i])})
+                    before = i
+        return {"doc_id": x[id_col], "score": sent.value.scores(tagged, lengths), "toxic_words": words, "spans": found}
+
+    return map_texts(docs, [id_col, "text"], "doc_id long, score double, toxic_words long, spans array<struct<start:int,end:int,marginal:double>>", work)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document, whatever its text; null and empty texts count as no words.
+    """doc_id, held_out, score, predicted, toxic_words and spans (start:end of toxic runs, comma-joined) of every document.
 
-    Learns from labels whose crc32(doc_id as text) mod 5 is not 0; held_out marks the others. Repeated rows of
-    docs each get a row; an empty table gives none; columns besides doc_id and text are not looked at.
+    Null and empty texts count as no words; texts of any length are scored whole. Learns from labels whose
+    crc32(doc_id as text) mod 5 is not 0; held_out marks the others. Repeated rows of docs each get a row; an empty
+    table gives none; without labels of both kinds all documents score alike. Equal texts score alike. Columns besides
+    doc_id and text are not looked at.
     """
     tagger = learn(docs, labels, where=crc_mod("doc_id", 5) != 0)
-    return scores(docs, tagger).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_words")
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return spans(docs, tagger).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_words", places.alias("spans"))
 
 
 def remove(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score under the threshold, with their columns; every row is scored, and none is shuffled."""
+    """The rows of docs that score under the threshold, with their columns; every row is scored, and none is shuffled.
+
+    Null and empty texts score like texts without toxic words. Repeated rows stay or go together.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     cache: list[WordTable] = []
 

@@ -72,17 +72,18 @@ def test_toxicity_without_labels(spark):
     assert toxicity.classify(spark.createDataFrame([], docs.schema), none).count() == 0
 
 
-def plain_bits(word, text):
+def plain_bits(text, texts):
+    """Bits of a text, context by context, under counts of texts of one language."""
     seen = {}
-    for w in text.split():
-        s = b" " + w.encode() + b" "
-        for i in range(1, len(s)):
-            for k in range(min(ppm.ORDER, i) + 1):
+    for t in texts:
+        s = bytes(4) + t.lower().encode()
+        for i in range(4, len(s)):
+            for k in range(5):
                 followed = seen.setdefault(s[i - k : i], {})
                 followed[s[i]] = followed.get(s[i], 0) + 1
-    s, bits = b" " + word.encode() + b" ", 0.0
-    for i in range(1, len(s)):
-        for k in range(min(ppm.ORDER, i), -1, -1):
+    s, bits = bytes(4) + text.lower().encode(), 0.0
+    for i in range(4, len(s)):
+        for k in range(4, -1, -1):
             followed = seen.get(s[i - k : i])
             if followed is not None:
                 total = sum(followed.values()) + len(followed)
@@ -95,11 +96,26 @@ def plain_bits(word, text):
     return bits
 
 
-def test_code_lengths_equal_brute_force():
-    texts = ["the cat and the dog sat there", "le chat et le chien étaient là"]
-    trees = ppm.grow(texts, ["en", "fr"])
-    for word in ("the", "chat", "xyz", "chien", "é", "thethe", "l"):
-        assert np.allclose(trees.costs([word])[0], [plain_bits(word, t) for t in texts], atol=1e-4)
+def test_code_lengths_equal_brute_force(monkeypatch):
+    texts = ["The cat and the dog sat there", "le chat et le chien étaient là", "les chats, les\n\nchiens"]
+    trees = ppm.grow(texts, ["en", "fr", "fr"])
+    asked = ["the", "", "Chat et chien", "xyz", "étaient  là\n", "the the\0\0x", "l", None, "the cat " * 40, "é" * 9]
+    want = [[plain_bits(t or "", own) for own in (texts[:1], texts[1:])] for t in asked]
+    for bits, at_once in ((ppm.TABLE_BITS, ppm.AT_ONCE), (2, 7)):  # a table of four places forgets all the time
+        monkeypatch.setattr(ppm, "AT_ONCE", at_once)
+        table = ppm.CostTable(trees, bits)
+        for _ in range(2):
+            assert np.allclose(ppm.code_lengths(asked, table), want, atol=1e-3)
+
+
+def test_language_learns_where_ids_repeat(spark):
+    rows = [(7, "ka lo mi tu " * 3, "aa")] * 300 + [(65, "schra pf ung", "bb")] * 300 + [(8, "é ou eau " * 30_000, "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    assert ppm.learn(docs, limit=50).languages == ["aa", "bb", "cc"]
+    from loomgraph.llm.common import labelled_texts
+
+    got = labelled_texts(docs, docs.selectExpr("doc_id", "lang as label"), 50, 100)
+    assert sorted(label for _, label in got) == ["aa", "bb", "cc"]
 
 
 def test_language(spark):
@@ -197,6 +213,55 @@ def test_word_table_is_bounded_and_exact():
         assert len(table.index) <= 10
 
 
+def test_bounded_sample_takes_a_repeated_key_once(spark):
+    df = spark.createDataFrame([(7, "x", k) for k in range(3000)] + [(8, None, 1), (None, "x", 2), (9, "y", 5)], "id long, kind string, n int")
+    got = sorted((tuple(r) for r in bounded_sample(df, "id", 20, by="kind").collect()), key=str)
+    assert got == [(7, "x", 0), (9, "y", 5), (None, "x", 2)]
+
+
+def test_grades_equal_brute_force():
+    """The fitted likelihood can't be bettered by a step, and tails follow from the thresholds."""
+    rng = random.Random(4)
+    kinds = [["junk!!", "SPAM!!", "|"], ["plain", "text", "words"], ["lucid", "precise", "elegant"]]
+    texts = [" ".join(rng.choice(kinds[k % 3 if rng.random() < 0.8 else (k + 1) % 3]) for _ in range(6)) for k in range(90)]
+    y = [k % 3 for k in range(90)]
+    model = ordinal.fit(texts, y, rounds=400)
+    table = model.table()
+
+    def level(text, weights):
+        words = text.split()
+        return ordinal.SCALE * sum(weights[f] for w in words for f in ordinal.features(w)) / max(1, len(words))
+
+    assert np.allclose(model.levels(texts, table), [level(t, model.weights) for t in texts])
+    for t, tail in zip(texts[:9], model.tails(model.levels(texts[:9], table))):
+        assert np.allclose(tail, [1 / (1 + math.exp(th - level(t, model.weights))) for th in model.thresholds])
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for t, k in zip(texts, y):
+            for j, th in enumerate(thresholds):
+                p = 1 / (1 + math.exp(th - level(t, weights)))
+                total -= math.log(p if k > j else 1 - p) / 90
+        return total + 0.5 * 2e-4 * float((weights**2).sum())
+
+    best = loss(model.weights, model.thresholds)
+    for f in sorted({f for w in sum(kinds, []) for f in ordinal.features(w)})[:12]:
+        for step in (-0.2, 0.2):
+            moved = model.weights.copy()
+            moved[f] += step
+            assert loss(moved, model.thresholds) > best - 1e-3
+    assert ordinal.fit(["a b"], [3]).expected(np.zeros(2)).tolist() == [3.0, 3.0]
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rows = toxic_corpus(200)
+    tagger = toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    texts = [t for _, t, _ in rows]
+    together = tagger.scores(*tagger.tag(texts, tagger.table()))
+    for k in (0, 4, 17, 60):
+        assert tagger.scores(*tagger.tag([texts[k]], tagger.table()))[0] == together[k]
+
+
 def test_bounded_sample_does_not_depend_on_partitions(spark):
     df = spark.range(2000).selectExpr("id", "id % 3 as kind")
     one = {tuple(r) for r in bounded_sample(df.repartition(1), "id", 20, by="kind").collect()}
