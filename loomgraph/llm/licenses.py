@@ -1,9 +1,12 @@
 """Licences by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, runs of anything but letters and digits as one space)
-and looked up among known licence sentences. What remains of a document is a sequence of sentence numbers; a rule is
-an ordered sequence of numbers and matches where it stands in the document's sequence without a known sentence
-between. A rule that is part of a longer rule that matches too isn't reported.
+Comment marks at beginnings of lines are dropped, and a text is cut into sentences twice: by sentences (lines joined;
+cut at empty lines, before numbered clauses, after colons at ends of lines, and after closing marks before a capital),
+and by lines (each line a text of its own, so that notices of one line are found among others). Sentences are
+normalised (lower case, runs of anything but letters and digits as one space) and looked up among known licence
+sentences. What remains is a sequence of sentence numbers for either way; a rule is an ordered sequence of numbers and
+matches where it stands in one of them without a known sentence between. A rule that is part of a longer rule that
+matches too isn't reported.
 """
 
 from __future__ import annotations
@@ -42,6 +45,18 @@ SENTENCES = (
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "this is free and unencumbered software released into the public domain",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "if not see https www gnu org licenses",
+    "if not see http www gnu org licenses",
+    "you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
 )
 
 # Fixed values: (licence, the numbers of its sentences, in order).
@@ -65,23 +80,43 @@ RULES = (
     ("cc-by-4.0", (22,)),
     ("mpl-2.0", (23,)),
     ("mpl-2.0", (23, 24)),
+    ("mpl-2.0", (23, 34)),
     ("bsd", (25, 26)),
-    ("bsd", (25, 26, 27)),
+    ("bsd-2-clause", (25, 26, 27)),
+    ("bsd-2-clause", (25, 26, 27, 36, 37)),
+    ("bsd-3-clause", (25, 26, 27, 35)),
+    ("bsd-3-clause", (25, 26, 27, 35, 36, 37)),
     ("isc", (28,)),
+    ("isc", (28, 38, 39)),
+    ("isc", (41,)),
+    ("isc", (41, 38, 39)),
     ("unlicense", (29,)),
+    ("apache-2.0", (30,)),
+    ("apache-2.0", (30, 3, 4, 5)),
+    ("gpl-3.0-or-later", (14, 16, 17, 18, 31)),
+    ("gpl-3.0-or-later", (14, 16, 17, 18, 32)),
+    ("gpl-2.0-or-later", (15, 16, 17, 18, 31)),
+    ("gpl-2.0-or-later", (15, 16, 17, 18, 32)),
+    ("gpl-2.0-or-later", (15, 16, 17, 33)),
+    ("gpl-2.0-only", (40,)),
+    ("gpl-2.0-only", (40, 16, 17, 18)),
+    ("gpl-2.0-only", (40, 16, 17, 33)),
 )
 
-#: Ends of sentences: closing marks before white space, empty lines, and lines that begin with a capital.
-_SPACE = "[ \\t\\n\\r\\f]"
-ENDS = (("[.!?]+" + _SPACE + "+|\\n" + _SPACE + "*\\n", "\u0001", "\u0001"), ("\\n" + _SPACE + "*(\\p{Lu})", "\u0001$1", "\u0001\\1"))
+# Steps of cutting, in order: (pattern, what stands for it), with \x01 between sentences.
+_START = (("\\r\\n?", "\n"), ("(^|\\n)[ \\t]*(?:/\\*+|\\*+/?|#+|//+|;+|%+|--+|<!--+)[ \\t]*", "{1}"))
+_JOINED = ((":[ \\t]*\\n", ":\x01"), ("\\n[ \\t]*(\\(?[0-9]{1,2}[.)])", "\x01{1}"), ("\\n[ \\t]*\\n", "\x01"), ("\\n", " "))
+_LINES = (("\\n", "\x01"),)
+_ENDS = (("([.!?][\"')\\]]*)[ \\t]+([\"'(\\[]?\\p{Lu})", "{1}\x01{2}"),)
+_FLAT = "[^\\p{L}\\p{N}\x01]+"
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: Column, steps: tuple) -> Column:
     """The normalised sentences of a text, empty ones among them; null gives an empty array."""
-    for pattern, mark, _ in ENDS:
-        text = F.regexp_replace(text, pattern, mark)
-    flat = F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\u0001]+", " ")
-    return F.coalesce(F.transform(F.split(flat, "\u0001", -1), lambda s: F.trim(s)), F.array().cast("array<string>"))
+    for pattern, mark in steps:
+        text = F.regexp_replace(text, pattern, mark.replace("{1}", "$1").replace("{2}", "$2"))
+    flat = F.regexp_replace(F.lower(text), _FLAT, " ")
+    return F.coalesce(F.transform(F.split(flat, "\x01", -1), lambda s: F.trim(s)), F.array().cast("array<string>"))
 
 
 def _sequence(numbers) -> str:
@@ -89,49 +124,60 @@ def _sequence(numbers) -> str:
 
 
 def recognise(docs: DataFrame, id_col: str = "doc_id", known: tuple[str, ...] = SENTENCES, rules: tuple = RULES) -> DataFrame:
-    """One row per row of docs: doc_id, n_sentences (known ones), sentence_ids, n_rules, licenses, in its order of rows.
+    """One row per row of docs: doc_id, n_sentences, sentence_ids, line_ids, n_rules, licenses, in its order of rows.
 
-    sentence_ids are numbers in text order, comma-joined; licenses are the distinct names of the rules matched,
-    sorted and comma-joined. Null and empty texts, and texts without a known sentence, have 0 and empty strings.
-    No row leaves its partition, so hot keys and repeated rows don't matter; other columns are not looked at.
+    sentence_ids and line_ids are numbers of known sentences in text order, comma-joined, by either way of cutting;
+    n_sentences is the greater of their counts. licenses are the distinct names of the rules matched, sorted and
+    comma-joined. Null and empty texts, and texts without a known sentence, have 0 and empty strings; texts of any
+    length are cut whole; an empty table gives no rows. No row leaves its partition, so hot keys and repeated rows
+    don't matter; other columns are not looked at.
     """
     table = F.array(*[F.lit(s) for s in known])
-    numbers = F.filter(F.transform(sentences(F.col("text")), lambda s: F.array_position(table, s)), lambda n: n > 0)
-    found = docs.select(F.col(id_col).alias("doc_id"), numbers.alias("numbers")).withColumn("sentence_ids", F.array_join("numbers", ","))
-    line = F.concat(F.lit(","), "sentence_ids", F.lit(","))
+    plain = F.col("text")
+    for pattern, mark in _START:
+        plain = F.regexp_replace(plain, pattern, mark.replace("{1}", "$1"))
+    found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), plain.alias("plain"))
+    numbers = lambda steps: F.filter(F.transform(sentences(F.col("plain"), steps), lambda s: F.array_position(table, s)), lambda n: n > 0)
+    found = found.select("doc_id", numbers(_JOINED + _ENDS).alias("by_sentence"), numbers(_LINES + _ENDS).alias("by_line"))
+    found = found.select("doc_id", F.greatest(F.size("by_sentence"), F.size("by_line")).cast("long").alias("n_sentences"), F.array_join("by_sentence", ",").alias("sentence_ids"), F.array_join("by_line", ",").alias("line_ids"))
+    lines = F.concat(F.lit(","), "sentence_ids", F.lit(",|,"), "line_ids", F.lit(","))
     every = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(seq)).alias("seq")) for name, seq in rules])
-    matched = F.when(F.size("numbers") > 0, F.filter(every, lambda r: F.contains(line, r["seq"])))
-    matched = F.coalesce(matched, F.filter(every, lambda r: F.lit(False)))
+    matched = F.filter(every, lambda r: (F.col("n_sentences") > 0) & F.contains(lines, r["seq"]))
     found = found.withColumn("matched", matched)
     longest = F.filter("matched", lambda r: ~F.exists("matched", lambda o: (o["seq"] != r["seq"]) & F.contains(o["seq"], r["seq"])))
     return found.withColumn("matched", longest).select(
         "doc_id",
-        F.size("numbers").cast("long").alias("n_sentences"),
+        "n_sentences",
         "sentence_ids",
+        "line_ids",
         F.size("matched").cast("long").alias("n_rules"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("matched", lambda r: r["name"]))), ",").alias("licenses"),
     )
 
 
 def sql(table: str = "documents", known: tuple[str, ...] = SENTENCES, rules: tuple = RULES) -> str:
-    """recognise() in DuckDB's SQL."""
-    text = "text"
-    for pattern, _, mark in ENDS:
-        shown = "chr(1)" if mark == "\u0001" else "chr(1) || '\\1'"
-        text = f"regexp_replace({text}, '{pattern}', {shown}, 'g')"
-    sentence = ", ".join(f"'{s}'" for s in known)
-    rule = ", ".join(f"{{'name': '{name}', 'seq': '{_sequence(seq)}'}}" for name, seq in rules)
+    """The same rows in DuckDB's SQL, by joins with tables of sentences and rules."""
+
+    def replaced(text: str, steps: tuple) -> str:
+        for pattern, mark in steps:
+            shown = "'" + mark.replace("{1}", "\\1").replace("{2}", "\\2").replace("\n", "' || chr(10) || '").replace("\x01", "' || chr(1) || '") + "'"
+            text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', {shown}, 'g')"
+        return text
+
+    ways = " UNION ALL ".join(
+        f"SELECT row, '{way}' AS way, string_split(regexp_replace(lower({replaced('plain', steps + _ENDS)}), '[^\\p{{L}}\\p{{N}}\\x01]+', ' ', 'g'), chr(1)) AS parts FROM texts"
+        for way, steps in (("sentence", _JOINED), ("line", _LINES))
+    )
     return f"""
-WITH cut AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}\\x01]+', ' ', 'g'), chr(1)),
-    lambda s: coalesce(list_position([{sentence}], trim(s)), 0)), lambda n: n > 0) AS numbers FROM {table}
-), lines AS (
-  SELECT doc_id, numbers, array_to_string(numbers, ',') AS sentence_ids FROM cut
-), hits AS (
-  SELECT *, list_filter(CASE WHEN len(numbers) > 0 THEN [{rule}] ELSE [] END, lambda r: contains(',' || sentence_ids || ',', r.seq)) AS matched FROM lines
-), longest AS (
-  SELECT *, list_filter(matched, lambda r: len(list_filter(matched, lambda o: o.seq <> r.seq AND contains(o.seq, r.seq))) = 0) AS kept FROM hits
-)
-SELECT doc_id, len(numbers)::BIGINT AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, len(kept)::BIGINT AS n_rules,
-  coalesce(array_to_string(list_sort(list_distinct(list_transform(kept, lambda r: r.name))), ','), '') AS licenses
-FROM longest"""
+WITH known(number, sentence) AS (VALUES {", ".join(f"({n}, '{s}')" for n, s in enumerate(known, 1))}),
+rules(name, seq) AS (VALUES {", ".join(f"('{name}', '{_sequence(seq)}')" for name, seq in rules)}),
+texts AS (SELECT row_number() OVER () AS row, doc_id, {replaced("coalesce(text, '')", _START)} AS plain FROM {table}),
+ways AS ({ways}),
+parts AS (SELECT row, way, generate_subscripts(parts, 1) AS i, trim(unnest(parts)) AS sentence FROM ways),
+ids AS (SELECT row, way, string_agg(number, ',' ORDER BY i) AS ids, count(*) AS n FROM parts JOIN known USING (sentence) GROUP BY row, way),
+hits AS (SELECT DISTINCT row, name, seq FROM ids JOIN rules ON contains(',' || ids || ',', seq)),
+longest AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.row = h.row AND o.seq <> h.seq AND contains(o.seq, h.seq))),
+named AS (SELECT row, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM longest GROUP BY row)
+SELECT doc_id, greatest(coalesce(a.n, 0), coalesce(b.n, 0))::BIGINT AS n_sentences, coalesce(a.ids, '') AS sentence_ids, coalesce(b.ids, '') AS line_ids,
+  coalesce(c.n, 0)::BIGINT AS n_rules, coalesce(licenses, '') AS licenses
+FROM texts LEFT JOIN ids a ON a.row = texts.row AND a.way = 'sentence' LEFT JOIN ids b ON b.row = texts.row AND b.way = 'line' LEFT JOIN named c ON c.row = texts.row"""
