@@ -5,6 +5,9 @@ by bisection: the largest whose weights have the asked entropy, raised where a s
 than allowed. A token budget times the weights gives each source's quota: whole passes over its documents, and for
 the rest a part of a permutation. Documents are dealt to blocks by a hash of their ids and blocks are put in an order
 by hash; blocks are taken until the quota is met, and within the last one documents in the order of their hashes.
+
+The mixture is in an order, too: every pass over a block is an entry of its own, with a place by hash among the entries
+of all sources, and documents follow each other in the order of their hashes within an entry.
 """
 
 from __future__ import annotations
@@ -14,9 +17,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources are few: their token counts are collected, at most so many.
+from .common import cut
+
+#: Token counts of so many sources are collected; the smallest ones beyond that are mixed as one.
 MAX_SOURCES = 100_000
-BLOCK_TOKENS = 200_000
+OTHERS = "\u0001others"
+#: Tokens of a block, or more in sources that would have over MAX_BLOCKS.
+BLOCK_TOKENS, MAX_BLOCKS = 200_000, 1 << 16
 STEPS = 60
 _WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 
@@ -69,46 +76,100 @@ def exponent(tokens: list[int], target: float | None = None, max_repeats: float
     return found
 
 
+def _counted(docs: DataFrame, seed: str, id_col: str, source_col: str, *more: Column) -> DataFrame:
+    """key, source and what else is asked for, of each row: rows without an id go by their texts."""
+    own = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    return docs.select(F.md5(F.concat(F.lit(seed + ":"), own).cast("binary")).alias("key"), source.alias("source"), *more)
+
+
+def _place(seed: str, *parts: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
+
+
+class _Quotas:
+    """What is asked of every source, by its name, and of the others together; few enough to be sent to all tasks."""
+
+    def __init__(self, counted: DataFrame, target: float | None, max_repeats: float | None, budget: float | None | str, block_tokens: int):
+        sizes = counted.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+        rows = sizes.orderBy(F.desc("n"), "source").limit(MAX_SOURCES).collect()
+        named = sorted((r.source, r.n) for r in rows)
+        rest = sizes.agg(F.count("*"), F.sum("n")).first()
+        others = (rest[1] or 0) - sum(n for _, n in named)
+        every = named + ([(OTHERS, others)] if rest[0] > len(named) else [])
+        tokens = [n for _, n in every]
+        total = sum(tokens)
+        asked = float(total) if budget == "total" else budget
+        shares, passes = [0.0] * len(every), [1.0] * len(every)
+        if total:
+            shares = weights(tokens, exponent(tokens, target, max_repeats, asked))
+            passes = repeats(tokens, shares, asked)
+            if max_repeats is not None and max(passes) > max_repeats * (1 + 1e-9):
+                raise ValueError(f"whatever the exponent, some source is passed {max(passes):g} times, not {max_repeats:g} at most: the budget is too large")
+        table = [(name, w, int(p + 1e-9) if t else 1, max(0, round((p - int(p + 1e-9)) * t)) if t else 0, max(1, min(MAX_BLOCKS, -(-t // block_tokens)))) for (name, t), w, p in zip(every, shares, passes)]
+        self.others = table.pop() if len(every) > len(named) else None
+        # At most MAX_SOURCES rows.
+        self.table = F.broadcast(counted.sparkSession.createDataFrame(table, "source string, weight double, whole long, rest long, blocks long"))
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows(key, source, ...) with the weight, whole, rest and block of each; sources without a quota of their own are OTHERS."""
+        if self.others is None:
+            found = rows.join(self.table, "source")
+        else:
+            found = rows.join(self.table.withColumn("_own", F.lit(True)), "source", "left").withColumns({"source": F.when(F.col("_own"), F.col("source")).otherwise(OTHERS), **{c: F.coalesce(c, F.lit(v)) for c, v in zip(("weight", "whole", "rest", "blocks"), self.others[1:])}}).drop("_own")
+        return found.withColumn("block", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("blocks")).drop("blocks")
+
+    def marks(self, counted: DataFrame, seed: str) -> DataFrame:
+        """(source, block, before, size, last): tokens of the blocks before it in the permutation, its own, and the key up to
+        which its documents are within the rest of the quota, if the quota ends in it."""
+        dealt = self.dealt(counted)
+        blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.any_value("rest").alias("rest"))
+        # At most MAX_BLOCKS rows for each source.
+        order = Window.partitionBy("source").orderBy(_place(seed, F.col("source"), F.col("block").cast("string")), "block")
+        blocks = cut(blocks.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+        # The quota of a source ends in one block: only there documents are put in order, those of one id together.
+        border = blocks.where("before < rest and before + size >= rest").select("source", "block", "before")
+        ends = dealt.join(border, ["source", "block"]).groupBy("source", "block", "key").agg(F.sum("n_tokens").alias("n"), F.any_value("before").alias("before"), F.any_value("rest").alias("rest"))
+        inside = F.coalesce(F.sum("n").over(Window.partitionBy("source", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        last = ends.withColumn("inside", inside).where("before + inside < rest").groupBy("source", "block").agg(F.max("key").alias("last"))
+        return cut(blocks.drop("rest").join(last, ["source", "block"], "left"))
+
+
+#: Passes of a row, given its key and what its block has.
+_COPIES = "whole + case when before + size < rest then 1 when before >= rest then 0 when key <= last then 1 else 0 end"
+
+
 def plan(docs: DataFrame, target: float | None = 0.95, max_repeats: float | None = 4.0, budget: float | None | str = "total", seed: str = "mix", block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, n_tokens, weight, block and copies (how often the mixture has it).
+    """One row per row of docs: doc_id, source, n_tokens, weight, block, copies (how often the mixture has it) and place.
+
+    `place` orders the blocks' first passes in the mixture. A null source is a source named by the empty text. Sources
+    without tokens have weight 0 and their documents one copy. Rows with equal ids fall in one block and have as many
+    copies; rows without an id go by their texts. Null and empty texts have no tokens; texts of any length are counted
+    whole; an empty table gives no rows; columns besides the id, text and source are not looked at. `budget` is in
+    tokens: "total" is what docs have, None the least that passes every source once. ValueError if the budget asks for
+    more passes than `max_repeats`, whatever the exponent.
+    """
+    # Texts are read once; all else works on ids and counts.
+    counted = cut(_counted(docs, seed, id_col, source_col, F.col(f"`{id_col}`").alias("doc_id"), n_tokens(F.col("text")).alias("n_tokens")))
+    quotas = _Quotas(counted, target, max_repeats, budget, block_tokens)
+    found = quotas.dealt(counted).join(quotas.marks(counted, seed), ["source", "block"])
+    place = F.conv(F.substring(_place(seed, F.col("source"), F.col("block").cast("string"), F.lit("1")), 1, 15), 16, 10).cast("long")
+    return found.select("doc_id", "source", "n_tokens", "weight", "block", F.expr(_COPIES).alias("copies"), place.alias("place"))
+
 
-    A null source is a source named by the empty text. Sources without tokens have weight 0 and their documents one
-    copy. Rows with equal ids fall in one block and follow each other by n_tokens; null ids hash as the empty text.
-    `budget` is in tokens: "total" is what docs have, None the least that passes every source once.
+def realise(docs: DataFrame, id_col: str = "doc_id", target: float | None = 0.95, max_repeats: float | None = 4.0, budget: float | None | str = "total", seed: str = "mix", block_tokens: int = BLOCK_TOKENS, source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as plan() says, with their columns, in the order of the mixture.
+
+    Entries (passes over blocks) are dealt to partitions by hash, and are in the order of their places within each. Columns
+    may have any names. What holds of odd rows in plan() holds here; an empty table gives no rows.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), n_tokens(F.col("text")).alias("n_tokens"), key.alias("key"))
-    spark = docs.sparkSession
-    rows = counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    tokens = [r.n for r in rows]
-    total = sum(tokens)
-    asked = float(total) if budget == "total" else budget
-    if total:
-        shares = weights(tokens, exponent(tokens, target, max_repeats, asked))
-        passes = repeats(tokens, shares, asked)
-    else:
-        shares, passes = [0.0] * len(rows), [1.0] * len(rows)
-    table = [(r.source, s, int(p + 1e-9) if t else 1, max(0, round((p - int(p + 1e-9)) * t)) if t else 0, max(1, -(-t // block_tokens))) for r, s, p, t in zip(rows, shares, passes, tokens)]
-    # As many rows as there are sources, at most MAX_SOURCES.
-    quotas = F.broadcast(spark.createDataFrame(table, "source string, weight double, whole long, rest long, blocks long"))
-    dealt = counted.join(quotas, "source").withColumn("block", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("blocks"))
-    place = F.md5(F.concat_ws(":", F.lit(seed), "source", F.col("block").cast("string")).cast("binary"))
-    blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("source").orderBy(place, "block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("source", "block", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
-    ordered = dealt.withColumn("inside", F.coalesce(inside, F.lit(0))).join(blocks, ["source", "block"])
-    return ordered.select("doc_id", "source", "n_tokens", "weight", "block", (F.col("whole") + (F.col("before") + F.col("inside") < F.col("rest")).cast("long")).alias("copies"))
-
-
-def realise(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, each as often as plan() says, with their columns. Of rows with equal ids each counts alike."""
-    copies = plan(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    times = F.coalesce(F.col("_copies"), F.lit(1)).cast("int")
-    return joined.where(times > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    counted = cut(_counted(docs, seed, id_col, source_col, n_tokens(F.col("text")).alias("n_tokens")))
+    quotas = _Quotas(counted, target, max_repeats, budget, block_tokens)
+    rows = quotas.dealt(_counted(docs, seed, id_col, source_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    times = rows.join(quotas.marks(counted, seed), ["source", "block"]).withColumn("copies", F.expr(_COPIES)).where("copies > 0")
+    entries = times.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    placed = entries.select("key", "row", _place(seed, F.col("source"), F.col("block").cast("string"), F.col("pass").cast("string")).alias("place"))
+    return placed.repartition("place").sortWithinPartitions("place", "key").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def sql(target: float = 0.95, max_repeats: float = 4.0, seed: str = "mix", block_tokens: int = BLOCK_TOKENS, table: str = "documents") -> str:
@@ -122,7 +183,7 @@ def sql(target: float = 0.95, max_repeats: float = 4.0, seed: str = "mix", block
     step = "SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, {0} AS ok FROM {1}, live WHERE i < " + str(STEPS) + ")"
     return f"""
 WITH RECURSIVE counted AS (
-  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM {table}
+  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens, md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key FROM {table}
 ), totals AS (SELECT source, sum(n_tokens)::BIGINT AS t FROM counted GROUP BY source),
 live AS (SELECT list(t::DOUBLE ORDER BY source) AS ts, sum(t)::DOUBLE AS total FROM totals WHERE t > 0),
 first(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL {step.format(good.format("(lo + hi) / 2"), "first")}),
@@ -131,9 +192,12 @@ second(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL {step.format(
 chosen AS (SELECT CASE WHEN {fits.format("e")} THEN e ELSE greatest(e, CASE WHEN {fits.format("0.0::DOUBLE")} THEN 0.0 ELSE 1 - lo END) END AS e FROM found, second, live WHERE i = {STEPS}),
 weights AS (SELECT list_sum({shares.format("e")}) AS z, e, total FROM live, chosen),
 quotas AS (SELECT source, t, CASE WHEN t > 0 THEN pow(t / total, e) / z ELSE 0.0 END AS weight, CASE WHEN t > 0 THEN total * (pow(t / total, e) / z / t) ELSE 0.0 END AS p FROM totals, weights),
-shared AS (SELECT source, weight, CASE WHEN t > 0 THEN floor(p + 1e-9)::BIGINT ELSE 1 END AS whole, CASE WHEN t > 0 THEN greatest(0, round_even((p - floor(p + 1e-9)) * t, 0))::BIGINT ELSE 0 END AS rest, ceil(t / {block_tokens})::BIGINT AS b FROM quotas),
+shared AS (SELECT source, weight, CASE WHEN t > 0 THEN floor(p + 1e-9)::BIGINT ELSE 1 END AS whole, CASE WHEN t > 0 THEN greatest(0, round_even((p - floor(p + 1e-9)) * t, 0))::BIGINT ELSE 0 END AS rest, least({MAX_BLOCKS}, ceil(t / {block_tokens})::BIGINT) AS b FROM quotas),
 dealt AS (SELECT c.*, weight, whole, rest, ('0x' || substr(key, 1, 8))::BIGINT % greatest(b, 1) AS block FROM counted c JOIN shared USING (source)),
 sizes AS (SELECT source, block, sum(n_tokens) AS size FROM dealt GROUP BY ALL),
 starts AS (SELECT source, block, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('{seed}:' || source || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sizes),
-placed AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY key, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM dealt)
-SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, block, whole + (before + inside < rest)::BIGINT AS copies FROM placed JOIN starts USING (source, block)"""
+keyed AS (SELECT source, block, key, sum(n_tokens) AS n FROM dealt GROUP BY ALL),
+placed AS (SELECT source, block, key, coalesce(sum(n) OVER (PARTITION BY source, block ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM keyed)
+SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, block, whole + (before + inside < rest)::BIGINT AS copies,
+  ('0x' || substr(md5('{seed}:' || source || ':' || block || ':1'), 1, 15))::BIGINT AS place
+FROM dealt JOIN starts USING (source, block) JOIN placed USING (source, block, key)"""
