@@ -84,12 +84,16 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, work: Callable[[di
 def keep_texts(df: DataFrame, keep: Callable[[list], np.ndarray], column: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
     """The rows of df that `keep` wants, given the texts of a slice; all columns pass through as they are, without a shuffle."""
 
+    # Columns have plain names on the way, as those with dots can't be sent to Python.
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    text = f"c{df.columns.index(column)}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column, limit):
-                yield part.filter(pa.array(keep(part.column(column).to_pylist()), pa.bool_()))
+            for part in slices(batch, text, limit):
+                yield part.filter(pa.array(keep(part.column(text).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 class WordTable:
@@ -184,11 +188,39 @@ def labelled_texts(docs: DataFrame, known: DataFrame, limit: int, chars: int) ->
     return [(r.text, r.label) for r in kept.orderBy("label", "_k").select("text", "label").collect()]
 
 
+#: A key with more rows than this, and than one in HOT_SHARE of all, is hot.
+HOT_ROWS, HOT_SHARE = 100_000, 10_000
+
+
+def join_by(rows: DataFrame, table: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """rows joined with table, which has each of the keys once, and in `times` how many rows have it.
+
+    Keys with very many rows are few, HOT_SHARE at most: their part of the table is broadcast, so that the rows stay where
+    they are; only the others are shuffled.
+    """
+    total = table.agg(F.sum(times)).first()[0] or 0
+    if total > HOT_ROWS:
+        limit = max(HOT_ROWS, total // HOT_SHARE)
+        hot = cut(table.where(F.col(times) > limit))
+        if not hot.isEmpty():
+            # At most HOT_SHARE rows.
+            cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(times) <= limit), keys)
+            return rows.join(F.broadcast(hot), keys).unionByName(cold)
+    return rows.join(table, keys)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a long, b long): the smallest node that links reach.
 
     Alternating large-star and small-star steps; each round is an aggregate and a join, and the edges are
-    written to the shared folder after it. Nothing is collected but two numbers a round.
+    written to the shared folder after it. Nothing is collected but two numbers a round. The hub of a large component has
+    one row on the joins' other side, so AQE can split its edges among tasks.
     """
     star = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, connected_components, cut
+from .common import bounded_sample, connected_components, cut, join_by
 
 COSINE = 0.93
 #: Vectors of a block; a cell of up to twice as many is left whole.
@@ -221,8 +221,8 @@ def groups(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, split
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     member = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     whole = nodes.drop("v").join(counted, "node", "left").join(member, "node", "left")
-    whole = whole.select("label", "x", "y", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    joined = live.select("vec_id", "label", "x", "y").join(whole, ["label", "x", "y"]).select("vec_id", "n_links", "component_id")
+    whole = whole.select("label", "x", "y", "times", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    joined = join_by(live.select("vec_id", "label", "x", "y"), whole, ["label", "x", "y"], "times").select("vec_id", "n_links", "component_id")
     alone = rows.where("label is null or v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, map_texts
+from .common import connected_components, cut, join_by, map_texts
 from .simhash import shingle_digests
 
 BANDS, ROWS = 30, 5
@@ -72,7 +72,9 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, id_
         sets = [shingle_set(t, words) for t in x["text"]]
         return {"node": [node_of(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]}
 
-    texts = docs.join(wanted.select(F.col("doc_id").alias("_wanted")).distinct(), docs[id_col] == F.col("_wanted"), "left_semi")
+    # Only ids and texts are looked at, so other columns may have any names.
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), "text")
+    texts = own.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     found = map_texts(texts, ["text"], "node long, hashes array<long>", work).join(wanted.select("node"), "node", "left_semi")
     sets = cut(found.groupBy("node").agg(F.first("hashes").alias("hashes")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
@@ -83,11 +85,13 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, id_
 def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) of every row: component_id is the smallest doc_id that links of similar sets reach.
 
-    Null and word-less texts are one set. A null doc_id keeps its row, with a null component if alone. Columns
-    besides the id and text are not looked at.
+    Null and word-less texts are one set. A null doc_id keeps its row, with a null component if alone. Texts of any
+    length are read whole. Repeated rows are one set; an empty table gives no rows. Columns besides the id and text are
+    not looked at.
     """
     rows = cut(sketches(docs, words, id_col))
-    reps = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys")).where("doc_id is not null"))
+    counted = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("times")))
+    reps = counted.where("doc_id is not null")
     keyed = reps.select("node", "size", F.explode("keys").alias("key"))
     centres = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("centre")).where("n > 1").select("key", "centre")
     shared = cut(keyed.join(centres, "key"))
@@ -103,9 +107,11 @@ def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id") -> DataFrame
     if not rest.isEmpty():
         links = links.unionByName(verified(rest, docs, reps, words, id_col))
     found = connected_components(links)
-    member = cut(rows.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")))
+    # Components of sets first: copies cost one row each only where they are told theirs.
+    member = counted.select("node", "doc_id", "times").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return member.join(least, "component").select("doc_id", "component_id")
+    told = member.select("node", "times", "component").join(least, "component").select("node", "times", "component_id")
+    return join_by(rows.select("doc_id", "node"), told, ["node"], "times").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, id_col: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, map_texts
+from .common import connected_components, cut, join_by, map_texts
 
 #: Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the binary Golay code (fixed value).
 GOLAY_GENERATOR = 0b110001110101
@@ -209,10 +209,10 @@ def groups(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id
     An empty table gives no rows; columns besides the id and text are not looked at.
     """
     fps = cut(fingerprints(docs, words, id_col))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("times")))
     found = connected_components(links(reps.where("node is not null"), bits))
-    member = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    member = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "times")
+    return join_by(fps, member, ["fp"], "times").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
