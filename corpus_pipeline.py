@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import decontam, idcodec, mixing, shingles, toxicity
-from loomgraph.llm.common import ensure_checkpoint_dir, read
+from loomgraph.llm.common import drop_folder, ensure_checkpoint_dir, read
 from loomgraph.llm.queries import tokenizer_path
 
 
@@ -17,22 +17,28 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that a Jaccard similarity of 0.8 or more joins (five-word shingles)."""
+    """The document of the smallest id of each group that a Jaccard similarity of 0.8 or more joins (five-word shingles).
+
+    Null and word-less texts are one group; rows with equal ids stay or go together; rows without an id stay.
+    """
     return shingles.deduplicate(docs, words=5)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of `benchmark`."""
+    """Documents without a passage of `benchmark`; an empty benchmark removes none."""
     return decontam.remove(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to 1.5 times on average, towards 0.95 of the greatest entropy."""
+    """Every document at least once, those of small sources up to 1.5 times on average, towards 0.95 of the greatest entropy.
+
+    A null source is one of its own; sources without a word are kept once.
+    """
     return mixing.realise(docs, target=0.95, max_repeats=1.5, budget=None)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in binary blocks; one row per row of docs, read back from the blocks."""
+    """Token ids in binary blocks; one row per row of docs, read back from the blocks. Null texts have the end id alone."""
     return idcodec.round_trip(docs, tokenizer_path())
 
 
@@ -49,10 +55,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, in a fresh folder under the shared checkpoint folder."""
+    """All stages over `documents`, in a fresh folder under the shared checkpoint folder.
+
+    All but the last keep the columns of documents, whatever their names. Null and empty texts count as texts without
+    words; texts of any length are read whole; ties go to the smaller id; repeated rows are documents with one id. Empty
+    tables give no rows. A stage's table is deleted once the next one has been written.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{number}-{name}")
         docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return docs
