@@ -5,9 +5,10 @@ step is a few array operations. All lanes share one model, which starts empty in
 each step from the ids just coded, alike in encoder and decoder:
 
 * order 2 and order 1 each remember the id last seen after their context, and how often in a row it came true;
-* each order's confidence has an adaptive hit rate; the rates are mixed in the logistic domain with weights learnt
-  by gradient, and give the odds of "order 2's id", "order 1's id" and "neither";
-* ids that neither foretold are coded by adaptive order-0 counts.
+* order 0 counts ids: how likely it holds the id that order 2 or order 1 foretells is a prediction of its own;
+* each order's confidence has an adaptive hit rate; the predictions of the three orders are mixed in the logistic
+  domain with weights learnt by gradient, and give the odds of "order 2's id", "order 1's id" and "neither";
+* ids that neither foretold are coded by order 0's counts alone.
 
 Everything is in integers, so any machine decodes what another encoded. A range coder without carries (64-bit
 state, 16-bit words) turns the odds into bits; every lane has a stream of its own. A checksum covers each block.
@@ -21,24 +22,30 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, slices
 
-MAGIC, VERSION = b"LGID", 1
+MAGIC, VERSION = b"LGID", 2
 #: A block is closed once it has so many ids.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 22
 LANES, LANE_IDS = 8192, 192
 #: log2 of the totals that the odds of the orders, and order 0's frequencies, add up to; 30 at most together.
 ODDS_BITS, ZERO_BITS = 12, 18
 CONTEXT_BITS = 18
+#: What order 0 says of an id is one of four levels, each LEVEL_BITS more likely than the one before it.
+LEVEL_BITS = 3
+#: Confidence of order 2 and of order 1 (four bits each), whether they agree, and order 0's levels of both ids.
+STATES = 1 << 13
 _U = np.uint64
 _TOP, _BOTTOM, _WORD = _U(1 << 48), _U(1 << 32), _U(16)
 
@@ -58,48 +65,66 @@ class Model:
         self.vocabulary, self.lanes, self.step = vocabulary, lanes, 0
         if vocabulary > 1 << (ZERO_BITS - 1):
             raise ValueError("the vocabulary is too large for order 0's frequencies")
-        self.two = np.zeros(1 << CONTEXT_BITS, np.int32)
-        self.one = np.zeros(vocabulary, np.int32)
+        self.two = np.zeros(1 << CONTEXT_BITS, np.int64)
+        self.one = np.zeros(vocabulary, np.int64)
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.counts, self.recent = np.zeros(vocabulary, np.int64), []
         # Hits and trials by confidence, for order 2, and for order 1 where order 2 failed; then for each state.
         self.rates = np.tile(np.array([[1.0, 4.0]]).astype(np.int64), (2, 16, 1)) * 8
-        self.weights = np.full((2, 2, 3), 1 << 15, np.int64)
-        self.states = np.arange(512)
-        self.tallies = np.zeros((2, 2, 512), np.int64)
-        self._mix()
+        self.weights = np.full((2, 2, 4), 1 << 15, np.int64)
+        self.weights[:, :, 2] = 0
+        states = np.arange(STATES)
+        self.agree = (states >> 4) & 1
+        self.confidence = (states >> 9, (states >> 5) & 15)
+        self.levels = ((states >> 2) & 3, states & 3)
         self._order_zero()
+        self._mix()
 
     def predict(self) -> None:
+        # Indices are of 64 bits and are taken by take(): array operations on others cost twice as much.
         self.slot = (self.before * 0x2F0B5 ^ self.last * 0x9E37) & ((1 << CONTEXT_BITS) - 1)
-        self.entry2, self.entry1 = self.two[self.slot], self.one[self.last]
+        self.entry2, self.entry1 = self.two.take(self.slot), self.one.take(self.last)
         self.id2, self.id1 = self.entry2 >> 4, self.entry1 >> 4
-        self.state = (self.entry2 & 15) << 5 | (self.entry1 & 15) << 1 | (self.id2 == self.id1)
-        self.upto2, self.upto1 = self.cut2[self.state], self.cut1[self.state]
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        narrow = ids.astype(np.int32) << 4
-        self.two[self.slot] = np.where(hit2, np.minimum(self.entry2 + 1, self.entry2 | 15), narrow)
-        self.one[self.last] = np.where(self.id1 == ids, np.minimum(self.entry1 + 1, self.entry1 | 15), narrow)
-        self.recent.append((ids, self.state, hit2, hit1))
-        self.before, self.last = self.last, ids
+        self.sure2, self.sure1 = self.entry2 & 15, self.entry1 & 15
+        state = self.sure2 << 4
+        state |= self.sure1
+        state <<= 1
+        state |= self.id2 == self.id1
+        state <<= 2
+        state |= self.level.take(self.id2)
+        state <<= 2
+        state |= self.level.take(self.id1)
+        state <<= 2
+        self.state = state
+
+    def update(self, own: np.ndarray, hit2: np.ndarray, outcome: np.ndarray) -> None:
+        fresh = own << 4
+        for table, slot, entry, sure, hit in ((self.two, self.slot, self.entry2, self.sure2, hit2), (self.one, self.last, self.entry1, self.sure1, self.id1 == own)):
+            # A hit makes it surer by one, up to 15.
+            kept = entry + (sure < 15)
+            kept -= fresh
+            kept *= hit
+            kept += fresh
+            table[slot] = kept
+        self.recent.append((own, outcome))
+        self.before, self.last = self.last, own
         self.step += 1
-        if self.step & (self.step - 1) == 0 or self.step % 16 == 0:
+        if self.step & (self.step - 1) == 0 or self.step % 128 == 0:
             self._learn()
 
     def _learn(self) -> None:
-        ids, state, hit2, hit1 = (np.concatenate(x) for x in zip(*self.recent))
+        ids, outcome = (np.concatenate(x) for x in zip(*self.recent))
         self.recent = []
         self.counts += np.bincount(ids, minlength=self.vocabulary)
-        tries = np.bincount(state, minlength=512)
-        hits2, hits1 = np.bincount(state[hit2], minlength=512), np.bincount(state[hit1], minlength=512)
-        tries1 = np.where(self.states & 1, 0, tries - hits2)
-        for which, (n, h, conf) in enumerate(((tries, hits2, self.states >> 5), (tries1, hits1, (self.states >> 1) & 15))):
+        hits2, hits1, missed, _ = np.bincount(outcome, minlength=4 * STATES).reshape(STATES, 4).T
+        tries = missed + hits1 + hits2
+        tries1 = np.where(self.agree, 0, tries - hits2)
+        for which, (n, h, conf) in enumerate(((tries, hits2, self.confidence[0]), (tries1, hits1, self.confidence[1]))):
             if total := int(n.sum()):
                 error = (h << 16) - n * self.odds[which]
                 for agree in (0, 1):
-                    own = (self.states & 1) == agree
-                    for i in range(3):
+                    own = self.agree == agree
+                    for i in range(4):
                         self.weights[which, agree, i] += (int((error * self.inputs[which][i])[own].sum()) // total) >> 9
             rate = self.rates[which]
             for column, x in ((0, h), (1, n)):
@@ -110,27 +135,29 @@ class Model:
             rate[large] >>= 1
             rate[:, 1] = np.maximum(rate[:, 1], rate[:, 0] + 1)
         self._mix()
-        if self.step & (self.step - 1) == 0 or self.step % 32 == 0:
-            self._order_zero()
+        self._order_zero()
 
     def _mix(self) -> None:
         squash, stretch = _squash_tables()
-        conf2, conf1, agree = self.states >> 5, (self.states >> 1) & 15, self.states & 1
+        agree = self.agree
         own = [stretch[np.clip((r[:, 0] << 12) // r[:, 1], 0, 4095)] for r in self.rates]
         whole = stretch[np.clip((self.rates[:, :, 0].sum(axis=1) << 12) // self.rates[:, :, 1].sum(axis=1), 0, 4095)]
+        # The odds that stand for a level, in the middle of it.
+        zero = stretch[np.array([1 << max(0, 12 - LEVEL_BITS * (4 - k) + LEVEL_BITS // 2) for k in range(4)])]
         self.inputs, self.odds = [], []
         for which in (0, 1):
-            first = own[0][conf2]
-            second = np.where((agree == 1) | (which == 1), own[1][conf1], -own[1][conf1])
-            inputs = [first, second, np.full(512, whole[which])]
-            w = self.weights[which][agree]
-            dot = (w[:, 0] * inputs[0] + w[:, 1] * inputs[1] + w[:, 2] * inputs[2]) >> 16
+            first = own[0][self.confidence[0]]
+            second = own[1][self.confidence[1]]
+            inputs = [first, second if which else np.where(agree == 1, second, -second), zero[self.levels[which]], np.full(STATES, whole[which])]
+            dot = sum(self.weights[which][agree, i] * x for i, x in enumerate(inputs)) >> 16
             self.inputs.append(inputs)
             self.odds.append(squash[np.clip(dot, -2047, 2047) + 2047])
         total = 1 << ODDS_BITS
         two = np.clip(self.odds[0] >> (16 - ODDS_BITS), 1, total - 3)
         one = np.where(agree == 1, 0, np.clip(((total - two) * self.odds[1]) >> 16, 1, total - two - 2))
-        self.cut2, self.cut1 = two.astype(_U), (two + one).astype(_U)
+        # By four times the state and the outcome (order 2's id, order 1's, neither): where its odds begin, and how wide they are.
+        self.begins = np.stack([two * 0, two, two + one, two * 0 + total], axis=1).astype(_U).ravel()
+        self.widths = np.stack([two, one, total - two - one, two * 0], axis=1).astype(_U).ravel()
 
     def _order_zero(self) -> None:
         total = 1 << ZERO_BITS
@@ -140,19 +167,20 @@ class Model:
         frequency[int(np.argmax(frequency))] += total - int(frequency.sum())
         self.starts = np.r_[0, np.cumsum(frequency)].astype(_U)
         self.frequency = frequency.astype(_U)
+        self.level = sum((frequency >> (ZERO_BITS - LEVEL_BITS * k) > 0).astype(np.int64) for k in (1, 2, 3))
         self.lookup = None
 
     def find(self, values: np.ndarray) -> np.ndarray:
         if self.lookup is None:
             self.lookup = np.repeat(np.arange(self.vocabulary), self.frequency.astype(np.int64))
-        return self.lookup[values]
+        return self.lookup.take(values)
 
 
 def _narrow(low: np.ndarray, width: np.ndarray, emit) -> None:
     """Shift out settled words until every lane's range has 32 bits."""
     at = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
     while len(at):
-        lo, wide = low[at], width[at]
+        lo, wide = low.take(at), width.take(at)
         unsettled = (lo ^ (lo + wide)) >= _TOP
         wide = np.where(unsettled, (~lo + _U(1)) & (_BOTTOM - _U(1)), wide)
         emit(at, lo >> _U(48))
@@ -161,6 +189,13 @@ def _narrow(low: np.ndarray, width: np.ndarray, emit) -> None:
         at = at[((lo ^ (lo + wide)) < _TOP) | (wide < _BOTTOM)]
 
 
+def _outcome(hit2: np.ndarray, hit1: np.ndarray) -> np.ndarray:
+    """0 where order 2's id came true, else 1 where order 1's did, else 2."""
+    out = 2 - hit1.view(np.int8)
+    out *= ~hit2
+    return out
+
+
 def _shape(n: int) -> tuple[int, int]:
     lanes = max(1, min(LANES, n // LANE_IDS))
     return lanes, -(-n // lanes)
@@ -172,30 +207,28 @@ def pack(ids: np.ndarray, vocabulary: int) -> bytes:
     if not n:
         return b""
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.uint16 if vocabulary <= 1 << 16 else np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(vocabulary, lanes)
     low, width = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     emit = lambda at, words: out.append((at.astype(np.uint16), words.astype(np.uint16)))
-    whole = _U(1 << ODDS_BITS)
     for row in grid:
+        row = row.astype(np.int64)
         model.predict()
-        hit2 = row == model.id2
-        hit1 = (row == model.id1) & ~hit2
-        start = np.where(hit2, _U(0), np.where(hit1, model.upto2, model.upto1))
-        end = np.where(hit2, model.upto2, np.where(hit1, model.upto1, whole))
+        hit2, hit1 = row == model.id2, row == model.id1
+        outcome = model.state + _outcome(hit2, hit1)
         width >>= _U(ODDS_BITS)
-        low += start * width
-        width *= end - start
+        low += model.begins.take(outcome) * width
+        width *= model.widths.take(outcome)
         rest = np.flatnonzero(~(hit2 | hit1))
-        chosen = row[rest]
-        wide = width[rest] >> _U(ZERO_BITS)
-        low[rest] += model.starts[chosen] * wide
-        width[rest] = wide * model.frequency[chosen]
+        chosen = row.take(rest)
+        wide = width.take(rest) >> _U(ZERO_BITS)
+        low[rest] += model.starts.take(chosen) * wide
+        width[rest] = wide * model.frequency.take(chosen)
         _narrow(low, width, emit)
-        model.update(row, hit2, hit1)
+        model.update(row, hit2, outcome)
     everywhere = np.arange(lanes)
     for shift in (48, 32, 16, 0):
         emit(everywhere, (low >> _U(shift)) & _U(0xFFFF))
@@ -218,34 +251,33 @@ def unpack(data: bytes, n: int, vocabulary: int, lanes: int | None = None) -> np
     words = np.r_[words, np.zeros(4, _U)]
     model = Model(vocabulary, lanes)
     low, width = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    grid = np.empty((steps, lanes), np.int64)
+    grid = np.empty((steps, lanes), np.uint16 if vocabulary <= 1 << 16 else np.int32)
     most = _U((1 << ZERO_BITS) - 1)
 
     def emit(at: np.ndarray, _words: np.ndarray) -> None:
-        code[at] = code[at] << _WORD | words[next_[at]]
-        next_[at] += 1
+        place = next_.take(at)
+        code[at] = code.take(at) << _WORD | words.take(place)
+        next_[at] = place + 1
 
-    whole = _U(1 << ODDS_BITS)
     for step in range(steps):
         model.predict()
         width >>= _U(ODDS_BITS)
         off = code - low
-        hit2 = off < model.upto2 * width
-        hit1 = (off < model.upto1 * width) & ~hit2
-        row = np.where(hit2, model.id2, model.id1).astype(np.int64)
-        start = np.where(hit2, _U(0), np.where(hit1, model.upto2, model.upto1))
-        end = np.where(hit2, model.upto2, np.where(hit1, model.upto1, whole))
-        low += start * width
-        width *= end - start
-        rest = np.flatnonzero(~(hit2 | hit1))
-        wide = width[rest] >> _U(ZERO_BITS)
-        chosen = model.find(np.minimum((code[rest] - low[rest]) // wide, most).astype(np.int64))
+        hit2 = off < model.begins.take(model.state + 1) * width
+        hit1 = off < model.begins.take(model.state + 2) * width
+        outcome = model.state + _outcome(hit2, hit1)
+        row = np.where(hit2, model.id2, model.id1)
+        low += model.begins.take(outcome) * width
+        width *= model.widths.take(outcome)
+        rest = np.flatnonzero(~hit1)
+        wide, base = width.take(rest) >> _U(ZERO_BITS), low.take(rest)
+        chosen = model.find(np.minimum((code.take(rest) - base) // wide, most).view(np.int64))
         row[rest] = chosen
-        low[rest] += model.starts[chosen] * wide
-        width[rest] = wide * model.frequency[chosen]
+        low[rest] = base + model.starts.take(chosen) * wide
+        width[rest] = wide * model.frequency.take(chosen)
         _narrow(low, width, emit)
         grid[step] = row
-        model.update(row, hit2, hit1)
+        model.update(row, hit2, outcome)
     return grid.T.reshape(-1)[:n]
 
 
@@ -277,10 +309,14 @@ def read_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for z, d in zip(null, doc_ids)], counts, unpack(bytes(body[4 + size :]), n, vocabulary, lanes)
 
 
+#: Texts are encoded in slices of about so many bytes: the longer, the fewer distinct pieces for each.
+ENCODE_CHARS = 6_000_000
 #: Longer words are encoded each time.
 LONGEST = 64
-#: Letters or numbers, then ASCII marks but the apostrophe, which contractions use.
-_ENDED = re.compile(r"([^\W_]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII marks but the apostrophe, which contractions use.
+ENDINGS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Letters or numbers, then such marks.
+_ENDED = re.compile(rf"([^\W_]+)([{re.escape(ENDINGS)}]+)")
 
 
 def _safe(parts: list[str]) -> bool:
@@ -317,13 +353,14 @@ class TextEncoder:
         # The published byte alphabet: printable bytes stand for themselves, the others for code points from 256.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.spelling = _Spelling(self.alphabet)
         probe = "Straße été naïve"
         self.by_model = self.by_word and sum(([t.id for t in self.tokenizer.model.tokenize(self._spelt(" " + w))] for w in probe.split()), []) == self.tokenizer.encode(" " + probe, add_special_tokens=False).ids
         # Two generations: words of the older one that recur move to the newer, the others go with it.
-        self.limit, self.words, self.older, self.bare, self.odd = limit, _Words(self), {}, {}, False
+        self.limit, self.words, self.older, self.bare = limit, _Words(self), {}, {}
 
     def _spelt(self, text: str) -> str:
-        return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+        return text.translate(self.spelling)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -351,7 +388,6 @@ class TextEncoder:
         """The ids of a word that the table asked lacks. Letters and the marks after them are always cut apart, so both
         are looked up on their own; only short ones are kept together."""
         if not word or word[0].isspace():
-            self.odd = True
             return self._word(word)
         if "\n" in word and self.by_model:
             # A line end between other characters is a piece of its own.
@@ -378,20 +414,107 @@ class TextEncoder:
     def _join(self, parts: list[str]) -> bytes:
         return self._bare(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, little-endian, without an end id; null is as empty."""
-        out = []
-        for text in texts:
-            if not text or not self.by_word or any(s in text for s in self.specials):
-                out.append(self._encode([text or ""])[0])
-                continue
-            self.odd = False
-            parts = text.split(" ")
-            ids = self._join(parts)
-            if self.odd and not _safe(parts):
-                ids = self._join(re.split(r"(?<=\S) (?=\S)", text))
-            out.append(ids)
-        return out
+    def _text(self, text: str) -> bytes:
+        """The ids of one text, with whatever white space and specials it has."""
+        if not text or not self.by_word or any(s in text for s in self.specials):
+            return self._encode([text])[0]
+        parts = text.split(" ")
+        return self._join(parts if _safe(parts) else re.split(r"(?<=\S) (?=\S)", text))
+
+    def _learn(self, words: list[str]) -> None:
+        """Put distinct words that the table lacks into it: those of letters only, which the tokenizer's model takes as they are."""
+        if not self.by_model:
+            return
+        tokenize, spelling, space, kind, older = self.tokenizer.model.tokenize, self.spelling, self.alphabet[32], self.kind.char, self.older
+        fresh = {}
+        for w in words:
+            if w.isalpha() and len(w) <= LONGEST:
+                if (known := older.get(w)) is not None:
+                    fresh[w] = known
+                elif w.isascii():
+                    fresh[w] = array(kind, [t.id for t in tokenize(space + w)]).tobytes()
+                elif max(w) < "\u2000":
+                    fresh[w] = array(kind, [t.id for t in tokenize(space + w.translate(spelling))]).tobytes()
+        if len(self.words) + len(fresh) > self.limit:
+            self.older, self.words = self.words, _Words(self)
+        if len(fresh) <= self.limit:
+            self.words.update(fresh)
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), without end ids; null is as empty.
+
+        The texts are cut before their spaces and each distinct piece is looked up once, less the marks at its end if
+        the rest is letters or numbers. Texts whose white space doesn't allow this are encoded one by one.
+        """
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        if not self.by_word:
+            return self._put_together(self._encode(texts.to_pylist()))
+        # A line end between other characters is a piece of its own: cut before it too.
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        coded = cut.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        known = coded.dictionary
+        lines = pc.starts_with(known, "\n")
+        body = pc.if_else(lines, pc.utf8_slice_codeunits(known, 1), known)
+        odd = pc.or_(pc.equal(body, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(body, 0, 1)))
+        stems = pc.utf8_rtrim(body, ENDINGS)
+        stems = pc.if_else(pc.utf8_is_alnum(stems), stems, body)
+        stem = pc.if_else(lines, "", stems).dictionary_encode()
+        own = _strings(stem.dictionary)
+        found = list(map(self.words.get, own))
+        if missing := [k for k, ids in enumerate(found) if ids is None]:
+            self._learn([own[k] for k in missing])
+            for k in missing:
+                found[k] = self.words[own[k]]
+        # What a piece has: its stem, the marks after it, and in other places than after a space a word of its own.
+        marked = np.flatnonzero(pc.and_not(pc.not_equal(stems, body), lines).to_numpy(zero_copy_only=False))
+        broken = np.flatnonzero(lines.to_numpy(zero_copy_only=False))
+        after = np.full(len(known), b"", object)
+        bare = self._bare
+        after[marked] = [bare(word[len(short) :]) for word, short in zip(_strings(body.take(pa.array(marked))), _strings(stems.take(pa.array(marked))))]
+        pieces = [pc.binary_join_element_wise(pa.array(found, pa.binary()).take(stem.indices), pa.array(after, pa.binary()), pa.scalar(b"", pa.binary()))]
+        pieces.append(pa.array([bare("\n") + bare(word) for word in _strings(body.take(pa.array(broken)))], pa.binary()))
+        pieces.append(pa.array([bare(word) for word in _strings(known.take(pa.array(codes[ends[:-1]])))], pa.binary()))
+        odd = odd.to_numpy(zero_copy_only=False)[codes]
+        odd[ends[:-1]] = False
+        alone = np.zeros(len(texts), bool)
+        alone[np.searchsorted(ends, np.flatnonzero(odd), side="right") - 1] = True
+        for special in self.specials:
+            alone |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        place = np.arange(len(known))
+        place[broken] = len(known) + np.arange(len(broken))
+        codes = place[codes]
+        codes[ends[:-1]] = len(known) + len(broken) + np.arange(len(texts))
+        told = pa.concat_arrays(pieces).take(pa.array(codes))
+        at = np.frombuffer(told.buffers()[1], np.int32, len(codes) + 1, offset=4 * told.offset).astype(np.int64) // self.kind.itemsize
+        ids = np.frombuffer(told.buffers()[2] or b"", self.kind)[at[0] : at[-1]]
+        counts = at[ends[1:]] - at[ends[:-1]]
+        if not alone.any():
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for k in np.flatnonzero(alone).tolist():
+            parts[k] = np.frombuffer(self._text(texts[k].as_py()), self.kind)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _put_together(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(parts), self.kind), np.array([len(x) // self.kind.itemsize for x in parts], np.int64)
+
+
+class _Spelling(dict):
+    """A character's UTF-8 bytes in the tokenizer's alphabet, by code point."""
+
+    def __init__(self, alphabet: dict[int, str]):
+        self.alphabet = alphabet
+
+    def __missing__(self, code: int) -> str:
+        self[code] = spelt = chr(code).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+        return spelt
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class _Words(dict):
@@ -423,26 +546,35 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, start = TaskContext.get().partitionId(), 0, 0
         own = encoder(tokenizer)
-        end = np.array([end_id], own.kind).tobytes()
         names: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        lengths: list[int] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            nonlocal made, start, size, names, held
-            counts = np.array([len(x) // own.kind.itemsize for x in held], np.int64)
-            ids = np.frombuffer(b"".join(held), own.kind)
-            payload = write_block(names, counts, ids, own.vocabulary)
+            nonlocal made, start, size, names, held, lengths
+            ids = np.concatenate(held)
+            payload = write_block(names, np.array(lengths, np.int64), ids, own.vocabulary)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made], pa.int64()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], names=["part", "number", "start", "n_ids", "payload"])
-            made, start, size, names, held = made + 1, start + len(ids), 0, [], []
+            made, start, size, names, held, lengths = made + 1, start + len(ids), 0, [], [], []
             return row
 
         for batch in batches:
-            for some in slices(batch):
-                for name, ids in zip(some.column(0).to_pylist(), own(some.column(1).to_pylist())):
-                    names.append(name)
-                    held.append(ids + end)
-                    size += len(held[-1]) // own.kind.itemsize
+            for some in slices(batch, limit=ENCODE_CHARS):
+                ids, counts = own(some.column(1))
+                ends = np.cumsum(counts)
+                # An end id after each document.
+                ids, counts, ends = np.insert(ids, ends, own.kind.type(end_id)), counts + 1, ends + np.arange(1, len(ends) + 1)
+                at, doc_ids = 0, some.column(0).to_pylist()
+                while at < len(doc_ids):
+                    # As many documents as bring the block to block_ids, the one that passes it included.
+                    before = int(ends[at] - counts[at])
+                    stop = min(len(doc_ids), int(np.searchsorted(ends, before + block_ids - size)) + 1)
+                    names += doc_ids[at:stop]
+                    lengths += counts[at:stop].tolist()
+                    held.append(ids[before : ends[stop - 1]])
+                    size += len(held[-1])
+                    at = stop
                     if size >= block_ids:
                         yield block()
         if names:

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loomgraph.llm import decontam, idcodec, licenses, mixing, simhash
+from loomgraph.llm import decontam, idcodec, mixing
 from loomgraph.llm.queries import tokenizer_path
 
 ODD = [None, "", " ", "  a  b\n\n c\t\td ", "a<|endoftext|>b", "x \n y", "don't  stop   now!!! 12  3", " a b　c", "a\x1cb \x85 c", "café, 中文 \U0001f600. a², 12,–", "word, " * 9000, "_x_ y__ -- z."]
@@ -70,7 +70,11 @@ def test_encoder_equals_the_library(limit):
     texts = ODD + random_texts() + white_texts()
     encoder = idcodec.TextEncoder(tokenizer_path(), limit)
     for _ in range(2):
-        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(texts)] == library_ids(texts)
+        ids, counts = encoder(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library_ids(texts)
+    # Texts and words in any company: alone, in slices, and none at all.
+    assert all(encoder([t])[0].tolist() == want for t, want in zip(texts, library_ids(texts)))
+    assert [len(x) for x in encoder([])] == [0, 0]
 
 
 @pytest.mark.parametrize("block_ids", [100, 1 << 20])
@@ -203,7 +207,7 @@ def test_plan_equals_its_sql(spark, tmp_path):
     for target, most in ((0.95, 3.0), (0.999, 1.2), (0.1, 4.0)):
         got = mixing.plan(docs, target=target, max_repeats=most, block_tokens=200).collect()
         want = duckdb.sql(mixing.sql(target, most, block_tokens=200)).fetchall()
-        plain = lambda r: (r[0] is None, *(r[0] or 0, r[1], r[2], round(r[3], 6), r[4], r[5]))
+        plain = lambda r: (r[0] is None, *(r[0] or 0, r[1], r[2], round(r[3], 6), r[4], r[5], r[6]))
         assert sorted(map(plain, map(tuple, got))) == sorted(map(plain, want))
 
 
@@ -218,27 +222,39 @@ def test_realise_keeps_rows_and_columns(spark):
     assert mixing.plan(empty).count() == 0 and mixing.realise(empty).count() == 0
 
 
-HEADER = """Licensed under the Apache License, Version 2.0.
-You may not use this file except in compliance with the License. You may obtain a copy of the License at
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
-See the License for the specific language governing permissions and limitations under the License."""
+def test_realise_takes_any_columns_and_orders_blocks(spark):
+    rows = [(i if i % 9 else None, " ".join(["w"] * (i % 13)), f"s{i % 4 % 3}", *"abcdefgh") for i in range(400)]
+    names = ["doc_id", "text", "source", "_id", "_copies", "_copy", "a.b", "key", "block", "place", "row"]
+    docs = spark.createDataFrame(rows, names)
+    out = mixing.realise(docs, target=0.99, max_repeats=2.5, block_tokens=50).cache()
+    assert out.columns == names
+    plan = mixing.plan(docs, target=0.99, max_repeats=2.5, block_tokens=50).collect()
+    assert out.count() == sum(r.copies for r in plan)
+    want = Counter()
+    for r in plan:
+        want[r.doc_id, r.n_tokens] += r.copies
+    assert Counter((r[0], len(r[1].split())) for r in out.collect()) == +want
+    # Blocks stay together, and their order is no order of sources or ids.
+    parts = out.rdd.glom().map(lambda p: [(r[2], r[0]) for r in p]).collect()
+    assert any(len({s for s, _ in p}) > 1 for p in parts)
+
+
+def test_budgets_that_no_exponent_meets(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a b", "y")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        mixing.plan(docs, max_repeats=0.5)
+    assert sum(r.copies for r in mixing.plan(docs, max_repeats=0.6, budget=3.0).collect()) == 2
 
 
-def test_licences(spark, tmp_path):
-    texts = [*ODD, HEADER, "Text. Released under the MIT License.\nMore", "Licensed under CC BY-NC 4.0.", "licensed  under the MIT-License! x", "See the License for the specific language governing permissions and limitations under the License. You may obtain a copy of the License at", HEADER + "\n\nReleased under the MIT License."]
-    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(0, None, 5)], "doc_id long, text string, numbers int")
-    got = {r.doc_id: r for r in licenses.recognise(docs).collect()}
-    n = len(ODD)
-    assert [got[n + k].licenses for k in range(6)] == ["apache-2.0", "mit", "cc-by-nc-4.0", "mit", "", "apache-2.0,mit"]
-    assert (got[n].sentence_ids, got[n].n_rules, got[n + 4].sentence_ids, got[0].n_sentences, got[0].licenses) == ("1,2,3,4,5", 1, "5,3", 0, "")
-    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents"))
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
-    assert sorted(map(tuple, licenses.recognise(docs).collect())) == sorted(duckdb.sql(licenses.sql()).fetchall())
-    assert licenses.recognise(docs.limit(0)).count() == 0
-    from loomgraph.llm.licenses import RULES, SENTENCES
-
-    assert all(1 <= i <= len(SENTENCES) for _, seq in RULES for i in seq)
+def test_small_sources_are_mixed_as_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), f"s{min(i % 10, 6)}") for i in range(200)], "doc_id long, text string, source string")
+    got = mixing.plan(docs, target=None, max_repeats=None, budget=400.0, block_tokens=20).collect()
+    assert len(got) == 200 and len({r.source for r in got}) == 4 and mixing.OTHERS in {r.source for r in got}
+    have = Counter()
+    for r in got:
+        have[r.source] += r.n_tokens * r.copies
+    assert all(abs(n - 100) <= 6 for n in have.values())
 
 
 def test_pipeline(spark, tmp_path):
@@ -265,11 +281,46 @@ def test_pipeline(spark, tmp_path):
             docs = out
     every = set(range(len(rows)))
     assert seen[0] == every - toxic
-    fps = {i: simhash.fingerprint(texts[i], 5) for i in seen[0]}
-    near = {i for i in fps if any(j < i and bin(fps[i] ^ fps[j]).count("1") <= 4 for j in fps)}
+    # What brute force links: a Jaccard similarity of 0.8 or more of the sets of five words.
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i in seen[0] for w in [(texts[i] or "").lower().split()]}
+    linked = {(i, j) for i in sets for j in sets if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    group = {i: i for i in sets}
+    for _ in sets:
+        for i, j in linked:
+            group[i] = group[j] = min(group[i], group[j])
+    near = {i for i in group if group[i] < i}
     assert {60, 61, 79} <= near and seen[1] == seen[0] - near
     held = {i for i in seen[1] if any(plain_normal(p) in plain_normal(texts[i]) for p in items)}
     assert set(range(62, 66)) & seen[1] <= held and seen[2] == seen[1] - held
     assert seen[3] == seen[2] == seen[4]
     rows = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows) and sum(r.n_tokens for r in rows[:-1]) == rows[-1].start
+
+
+def test_pipeline_keeps_columns_of_any_name_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    words, items = passages(rng, 2)
+    long = " ".join(rng.choice(words) for _ in range(30_000))
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)] + [None, "", "  ", long, long]
+    names = ["_id", "_kept", "_copies", "_wanted", "a.b", "row", "key", "place", "node", "score"]
+    rows = [(i if i != 7 else None, t, None if i == 3 else "en", None if i == 5 else f"s{i % 2}", len(t or ""), *names) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[4]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.schema == spark.read.parquet(str(tmp_path / "documents.parquet")).schema
+    kept = {r.doc_id for r in docs.collect()}
+    assert kept == {*range(7), *range(8, 31), None, 33}
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in docs.collect())
+    empty = tmp_path / "empty"
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{table}.parquet")).limit(0).write.parquet(str(empty / f"{table}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
