@@ -1,8 +1,9 @@
 """Graphs as DataFrames of edges (a, b), one row for each parallel edge, keyed by any columns (say division and section).
 
-Degrees, weights and summaries are aggregates. Shortest-path and iterative measures have two forms: graphs of bounded
-size, a whole one per key, are measured in one task each (`measure`); graphs of any size run as rounds of joins
-(`hop_distances`, `closeness_at_scale`).
+Degrees, weights and summaries are aggregates. Shortest-path and iterative measures have two forms: small graphs, a whole
+one per key, are measured in one task each; larger ones run as rounds of joins that are written to the shared checkpoint
+folder (`distances`, `closeness_by_joins`, `betweenness_by_joins`, `eigenvector_by_joins`, `katz_by_joins`). `measure`
+takes either form by a graph's number of nodes.
 """
 
 from __future__ import annotations
@@ -158,36 +159,161 @@ def katz(adjacency: np.ndarray, alpha: float = 0.1, beta: float = 1.0, rounds: i
 MEASURES: dict[str, Callable[[np.ndarray], object]] = {"closeness": closeness, "betweenness": betweenness, "eigenvector": eigenvector, "katz": katz}
 
 
-def measure(edges: DataFrame, name: str, keys: list[str], nodes: DataFrame | None = None, weight: str | None = None, directed: bool = False, limit: int = 5000) -> DataFrame:
-    """(keys, node, value, converged) of every graph, a task for each key; graphs over `limit` nodes are refused.
+#: Graphs of up to so many nodes are measured in a task each.
+SMALL = 2000
 
-    `weight` names the column that holds lengths (closeness) or weights; without it edges count 1. `nodes` adds
+
+def _lengths(edges: DataFrame, keys: list[str], weight: str | None, directed: bool, smallest: bool) -> DataFrame:
+    """(keys, a, b, w): every edge once (both ways if undirected) without self-loops; of parallel edges the least length, or
+    the greatest weight, counts."""
+    rows = edges.select(*keys, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("a <> b")
+    rows = rows if directed else both_ways(rows, keys, "w")
+    return rows.groupBy(*keys, "a", "b").agg((F.min if smallest else F.max)("w").alias("w")).where("w > 0")
+
+
+def measure(edges: DataFrame, name: str, keys: list[str], nodes: DataFrame | None = None, weight: str | None = None, directed: bool = False, small: int | None = None) -> DataFrame:
+    """(keys, node, value, converged) of every graph: those of up to `small` nodes in a task for each key, larger ones by joins.
+
+    `weight` names the column that holds lengths (closeness) or weights (the others but betweenness, which counts
+    edges); without it edges count 1. Of parallel edges the least length, or the greatest weight, counts. `nodes` adds
     isolated nodes; the keys must be given.
     """
+    small = SMALL if small is None else small
+    links = shared_checkpoint(_lengths(edges, keys, weight, directed, name == "closeness"))
+    every = edges.select(*keys, F.explode(F.array(F.col("a").cast("string"), F.col("b").cast("string"))).alias("node"))
+    every = every if nodes is None else every.unionByName(nodes.select(*keys, F.col("node").cast("string").alias("node")))
+    every = shared_checkpoint(every.distinct())
+    sizes = every.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = shared_checkpoint(sizes.where(F.col("_n") > small).select(*keys))
+    if large.isEmpty():
+        return _in_tasks(links, every, name, keys)
+    by = lambda df, how: df.join(large, keys, how)
+    return _in_tasks(by(links, "left_anti"), by(every, "left_anti"), name, keys).unionByName(BY_JOINS[name](by(links, "left_semi"), by(every, "left_semi"), keys))
+
+
+def _in_tasks(links: DataFrame, every: DataFrame, name: str, keys: list[str]) -> DataFrame:
     own = MEASURES[name]
-    rows = edges.select(*keys, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    if nodes is not None:
-        rows = rows.unionByName(nodes.select(*keys, F.col("node").cast("string").alias("a"), F.col("node").cast("string").alias("b"), F.lit(0.0).alias("w")))
+    rows = links.unionByName(every.select(*keys, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("w")))
 
     def task(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(part["a"]) | set(part["b"]))
-        if len(names) > limit:
-            raise ValueError(f"a graph of {len(names)} nodes: use the forms that run as joins")
         index = {n: i for i, n in enumerate(names)}
         i, j = part["a"].map(index).to_numpy(), part["b"].map(index).to_numpy()
         adjacency = np.zeros((len(names), len(names)))
         adjacency[i, j] = part["w"]
-        if not directed:
-            adjacency = np.maximum(adjacency, adjacency.T)
         np.fill_diagonal(adjacency, 0.0)
         got = own(adjacency)
         values, settled = got if isinstance(got, tuple) else (got, True)
         return pd.DataFrame({**{k: [v] * len(names) for k, v in zip(keys, key)}, "node": names, "value": values, "converged": settled})
 
-    kinds = ", ".join(f"`{k}` {dict(edges.dtypes)[k]}" for k in keys)
+    kinds = ", ".join(f"`{k}` {dict(links.dtypes)[k]}" for k in keys)
     return rows.groupBy(*keys).applyInPandas(task, f"{kinds}, node string, value double, converged boolean")
 
 
+def distances(links: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, source, node, d): the least length of a path from source to node, for all pairs that one joins.
+
+    links: (keys, a, b, w). Rounds extend what got shorter in the round before, of all sources at once, until nothing
+    does. As many rows as there are pairs, which is what is asked for.
+    """
+    step = shared_checkpoint(links.select(*keys, F.col("a").alias("node"), "b", "w"))
+    found = shared_checkpoint(every.select(*keys, F.col("node").alias("source"), "node", F.lit(0.0).alias("d")))
+    fresh = found
+    while True:
+        tried = fresh.join(step, [*keys, "node"]).groupBy(*keys, "source", F.col("b").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("_d"))
+        # Sums of lengths in another order may differ by rounding: such a path is no shorter.
+        merged = shared_checkpoint(found.join(tried, [*keys, "source", "node"], "full").withColumn("_new", F.col("_d").isNotNull() & (F.col("d").isNull() | (F.col("_d") < F.col("d") * (1 - 1e-12)))))
+        fresh = merged.where("_new").select(*keys, "source", "node", F.col("_d").alias("d"))
+        if fresh.isEmpty():
+            return found
+        found = merged.select(*keys, "source", "node", F.when(F.col("_new"), F.col("_d")).otherwise(F.col("d")).alias("d"))
+
+
+def closeness_by_joins(links: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+    """closeness() of graphs of any size."""
+    reach = distances(links, every, keys).groupBy(*keys, "node").agg((F.count("*") - 1).alias("_r"), F.sum("d").alias("_d"))
+    size = every.groupBy(*keys).agg(F.count("*").alias("_n"))
+    joined = reach.join(size, keys) if keys else reach.join(F.broadcast(size))
+    value = F.when((F.col("_d") > 0) & (F.col("_n") > 1), F.col("_r") / F.col("_d") * F.col("_r") / (F.col("_n") - 1)).otherwise(0.0)
+    return joined.select(*keys, "node", value.alias("value"), F.lit(True).alias("converged"))
+
+
+def betweenness_by_joins(links: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+    """betweenness() of graphs of any size: shortest paths of all sources are counted level by level, and what passes through
+    a node is gathered from the last level back."""
+    step = shared_checkpoint(links.select(*keys, F.col("a").alias("node"), F.col("b").alias("next")))
+    pair = [*keys, "source", "node"]
+    levels = [shared_checkpoint(every.select(*keys, F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+    found = levels[0].select(*pair)
+    while True:
+        ahead = levels[-1].join(step, [*keys, "node"]).groupBy(*keys, "source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = shared_checkpoint(ahead.join(found, pair, "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        found = shared_checkpoint(found.unionByName(level.select(*pair)))
+    total = None
+    behind = None  # (pair, paths, through) of the level after
+    for level in reversed(levels[1:]):
+        if behind is None:
+            own = level.withColumn("through", F.lit(0.0))
+        else:
+            # Each node gives its share to those one level nearer to the source that it is reached from.
+            given = behind.select(*keys, "source", F.col("node").alias("next"), ((1 + F.col("through")) / F.col("paths")).alias("_g")).join(step, [*keys, "next"]).groupBy(*pair).agg(F.sum("_g").alias("_g"))
+            own = level.join(given, pair, "left").withColumn("through", F.col("paths") * F.coalesce("_g", F.lit(0.0))).drop("_g")
+        behind = shared_checkpoint(own)
+        part = behind.groupBy(*keys, "node").agg(F.sum("through").alias("_t"))
+        total = part if total is None else total.unionByName(part)
+    size = every.groupBy(*keys).agg(F.count("*").alias("_n"))
+    joined = every.join(size, keys) if keys else every.join(F.broadcast(size))
+    if total is not None:
+        joined = joined.join(total.groupBy(*keys, "node").agg(F.sum("_t").alias("_t")), [*keys, "node"], "left")
+    else:
+        joined = joined.withColumn("_t", F.lit(0.0))
+    value = F.when(F.col("_n") > 2, F.coalesce("_t", F.lit(0.0)) / ((F.col("_n") - 1) * (F.col("_n") - 2))).otherwise(0.0)
+    return joined.select(*keys, "node", value.alias("value"), F.lit(True).alias("converged"))
+
+
+def _iterated(links: DataFrame, every: DataFrame, keys: list[str], start, step, normal: bool, rounds: int, tolerance: float) -> DataFrame:
+    """Rounds of x = step(x, sum over incoming edges of w x), of all graphs at once; each stops by its own change."""
+    incoming = shared_checkpoint(links.select(*keys, F.col("a").alias("node"), "b", "w"))
+    on = [*keys, "node"]
+    size = every.groupBy(*keys).agg(F.count("*").alias("_n"))
+    now = shared_checkpoint((every.join(size, keys) if keys else every.join(F.broadcast(size))).withColumn("x", start(F.col("_n"))))
+    done = None
+    for _ in range(rounds):
+        got = now.join(incoming, on).groupBy(*keys, F.col("b").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("_s"))
+        after = now.join(got, on, "left").withColumn("y", step(F.col("x"), F.coalesce("_s", F.lit(0.0)))).drop("_s")
+        if normal:
+            norm = after.groupBy(*keys).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("_l"))
+            after = (after.join(norm, keys) if keys else after.join(F.broadcast(norm))).withColumn("y", F.when(F.col("_l") > 0, F.col("y") / F.col("_l")).otherwise(F.col("y"))).drop("_l")
+        change = after.groupBy(*keys).agg((F.sum(F.abs(F.col("y") - F.col("x"))) < F.max("_n") * tolerance).alias("_settled"), F.bool_and(F.col("y") < float("inf")).alias("_finite"))
+        both = shared_checkpoint(after.join(change, keys) if keys else after.join(F.broadcast(change)))
+        ended = both.where("_settled or not _finite").select(*on, "_n", F.when(F.col("_settled") & F.col("_finite"), F.col("y")).otherwise(float("nan")).alias("value"), (F.col("_settled") & F.col("_finite")).alias("converged"))
+        done = ended if done is None else done.unionByName(ended)
+        now = both.where("not _settled and _finite").select(*on, "_n", F.col("y").alias("x"))
+        if now.isEmpty():
+            break
+    rest = now.select(*on, "_n", F.col("x").alias("value"), F.lit(False).alias("converged"))
+    return rest if done is None else done.unionByName(rest)
+
+
+def eigenvector_by_joins(links: DataFrame, every: DataFrame, keys: list[str], rounds: int = 1000, tolerance: float = 1e-12) -> DataFrame:
+    """eigenvector() of graphs of any size."""
+    return _iterated(links, every, keys, lambda n: 1 / F.sqrt(n), lambda x, s: x + s, True, rounds, tolerance).select(*keys, "node", "value", "converged")
+
+
+def katz_by_joins(links: DataFrame, every: DataFrame, keys: list[str], alpha: float = 0.1, beta: float = 1.0, rounds: int = 1000, tolerance: float = 1e-12) -> DataFrame:
+    """katz() of graphs of any size."""
+    found = _iterated(links, every, keys, lambda n: F.lit(0.0), lambda x, s: alpha * s + beta, False, rounds, tolerance)
+    norm = found.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_l"))
+    joined = found.join(norm, keys) if keys else found.join(F.broadcast(norm))
+    return joined.select(*keys, "node", F.when(F.col("converged") & (F.col("_l") > 0), F.col("value") / F.col("_l")).otherwise(float("nan")).alias("value"), "converged")
+
+
+BY_JOINS = {"closeness": closeness_by_joins, "betweenness": betweenness_by_joins, "eigenvector": eigenvector_by_joins, "katz": katz_by_joins}
+
+
 def hop_distances(edges: DataFrame, keys: list[str] = [], rounds: int | None = None, directed: bool = False) -> DataFrame:
     """(keys, source, node, hops) between all nodes that a path joins, by rounds that extend the frontier of all sources at once.
 
@@ -207,14 +333,10 @@ def hop_distances(edges: DataFrame, keys: list[str] = [], rounds: int | None = N
         found = found.unionByName(frontier)
 
 
-def closeness_at_scale(edges: DataFrame, keys: list[str] = [], rounds: int | None = None) -> DataFrame:
-    """(keys, node, closeness) of undirected graphs of any size, by hop_distances()."""
-    d = hop_distances(edges, keys, rounds)
-    reach = d.groupBy(*keys, "node").agg((F.count("*") - 1).alias("_r"), F.sum("hops").alias("_d"))
-    size = nodes_of(edges, keys).groupBy(*keys).agg(F.count("*").alias("_n"))
-    joined = reach.join(size, keys) if keys else reach.crossJoin(size)
-    value = F.when((F.col("_d") > 0) & (F.col("_n") > 1), F.col("_r") / F.col("_d") * F.col("_r") / (F.col("_n") - 1)).otherwise(0.0)
-    return joined.select(*keys, "node", value.alias("closeness"))
+def closeness_at_scale(edges: DataFrame, keys: list[str] = []) -> DataFrame:
+    """(keys, node, closeness) of undirected graphs, all by joins."""
+    links = _lengths(edges, keys, None, False, True)
+    return closeness_by_joins(shared_checkpoint(links), nodes_of(edges, keys).withColumn("node", F.col("node").cast("string")), keys).select(*keys, "node", F.col("value").alias("closeness"))
 
 
 def evolution(edges: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
@@ -238,5 +360,6 @@ def hypotheses(edges: DataFrame, keys: list[str], gone: str, candidates: DataFra
 
 def display_scale(edges: DataFrame, value: str, keys: list[str] = []) -> DataFrame:
     """edges with scaled, value as a share of the greatest absolute value of its key: for widths and colours of drawings."""
-    top = F.max(F.abs(F.col(value))).over(Window.partitionBy(*(keys or [F.lit(0)])))
-    return edges.withColumn("scaled", F.when(top > 0, F.col(value) / top).otherwise(0.0))
+    top = edges.groupBy(*keys).agg(F.max(F.abs(F.col(value))).alias("_top"))
+    joined = edges.join(top, keys) if keys else edges.join(F.broadcast(top))  # one row
+    return joined.withColumn("scaled", F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(0.0)).drop("_top")
