@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .tables import LEXICON
+from .tables import CLAUSES, LEXICON, NEGATES
 
 _PRESENT = "present AS (SELECT DISTINCT l_orderkey AS s, l_suppkey AS e FROM lineitem)"
 _PAIRS = f"{_PRESENT}, pairs AS (SELECT a.s, a.e AS source_id, b.e AS target_id FROM present a JOIN present b ON a.s = b.s AND a.e < b.e)"
@@ -40,7 +40,39 @@ _LCS = """lcs(a, b, i, p) AS (
     lambda r, e: list_append(r, CASE WHEN substring(b, e[1]::INT, 1) = substring(a, (i + 1)::INT, 1) THEN p[e[1]::INT] + 1 ELSE greatest(p[e[1]::INT + 1], r[len(r)]) END))
   FROM lcs WHERE i < length(a)),
 scored AS (SELECT a, b, 200.0 * p[length(b) + 1] / (length(a) + length(b)) AS score FROM lcs WHERE i = length(a))"""
-_CLAUSE = """clause AS (SELECT p_partkey AS s, p_brand, p_size, string_split(p_type, ' ') AS t FROM part)"""
+
+
+def _clauses() -> str:
+    """The tokens of tables.clause_tokens()."""
+    words = {"<brand>": "p_brand", "<one>": "t[1]", "<two>": "coalesce(t[2], 'lots')", "<three>": "coalesce(t[3], 'goods')"}
+    rows = [
+        f"SELECT s, s * 10 + {o} AS id, {words.get(word, repr(word))} AS word, '{pos}' AS pos, '{dep}' AS dep, s * 10 + {head} AS head FROM clause WHERE p_size % 4 = {kind}"
+        for kind, clause in enumerate(CLAUSES)
+        for o, (word, pos, dep, head) in enumerate(clause)
+    ]
+    rows += [f"SELECT s, s * 10 + 9, 'not', 'PART', 'neg', s * 10 + {head} FROM clause WHERE p_size % 4 = {kind} AND p_size % 7 = 0" for kind, head in enumerate(NEGATES)]
+    return "clause AS (SELECT p_partkey AS s, p_brand, p_size, string_split(p_type, ' ') AS t FROM part), tokens AS (" + " UNION ALL ".join(rows) + ")"
+
+
+_CLAUSE = _clauses()
+#: Subjects, objects and verbs from tokens and their heads. `up` has every token's heads, all levels up, with the relations on the way.
+_SVO = """verbs AS (SELECT * FROM tokens WHERE pos = 'VERB' AND dep NOT IN ('aux', 'auxpass')),
+subject0 AS (SELECT v.id AS verb, t.id AS noun FROM verbs v JOIN tokens t ON t.head = v.id AND t.dep IN ('nsubj', 'nsubjpass')),
+heir(verb, source) AS (SELECT DISTINCT verb, verb FROM subject0 UNION SELECT v.id, h.source FROM heir h JOIN verbs v ON v.head = h.verb AND v.dep = 'conj' AND v.id <> v.head WHERE v.id NOT IN (SELECT verb FROM subject0)),
+subject1 AS (SELECT h.verb, s.noun FROM heir h JOIN subject0 s ON s.verb = h.source),
+object0 AS (SELECT v.id AS verb, t.id AS noun FROM verbs v JOIN tokens t ON t.head = v.id AND t.dep IN ('dobj', 'obj')
+  UNION SELECT v.id, p.id FROM verbs v JOIN tokens a ON a.head = v.id AND a.dep = 'agent' JOIN tokens p ON p.head = a.id AND p.dep = 'pobj'),
+subjects(verb, noun) AS (SELECT * FROM subject1 UNION SELECT s.verb, t.id FROM subjects s JOIN tokens t ON t.head = s.noun AND t.dep = 'conj'),
+objects(verb, noun) AS (SELECT * FROM object0 UNION SELECT o.verb, t.id FROM objects o JOIN tokens t ON t.head = o.noun AND t.dep = 'conj'),
+clauses AS (SELECT v.id AS verb, t.id AS noun FROM verbs v JOIN tokens t ON t.head = v.id AND t.dep IN ('xcomp', 'ccomp') WHERE v.id NOT IN (SELECT verb FROM objects)),
+noun(root, id) AS (SELECT DISTINCT noun, noun FROM (SELECT noun FROM subjects UNION SELECT noun FROM objects) UNION SELECT n.root, t.id FROM noun n JOIN tokens t ON t.head = n.id AND t.dep = 'compound' AND t.id <> t.head),
+whole(root, id) AS (SELECT DISTINCT noun, noun FROM clauses UNION SELECT w.root, t.id FROM whole w JOIN tokens t ON t.head = w.id AND t.id <> t.head),
+members AS (SELECT root, 'noun' AS kind, id, word, pos FROM noun JOIN tokens USING (id) UNION ALL SELECT root, 'clause', id, word, pos FROM whole JOIN tokens USING (id)),
+info AS (SELECT root, kind, string_agg(word, ' ' ORDER BY id) AS text, list(id ORDER BY id) AS ids, max(pos) FILTER (id = root) AS pos FROM members GROUP BY root, kind),
+complements AS (SELECT verb, noun, 'noun' AS kind FROM objects UNION ALL SELECT verb, noun, 'clause' FROM clauses),
+negations AS (SELECT DISTINCT coalesce(x.head, n.head) AS verb FROM tokens n LEFT JOIN tokens x ON x.id = n.head AND x.dep IN ('aux', 'auxpass') WHERE n.dep = 'neg'),
+svo AS (SELECT v.s, v.id AS verb, v.word AS vw, a.text AS st, a.ids AS si, a.pos AS sp, a.root AS sroot, b.text AS ot, b.ids AS oi, b.pos AS op, b.root AS oroot, b.kind AS okind, v.id IN (SELECT verb FROM negations) AS negated
+  FROM verbs v JOIN subjects s ON s.verb = v.id JOIN info a ON a.root = s.noun AND a.kind = 'noun' JOIN complements c ON c.verb = v.id JOIN info b ON b.root = c.noun AND b.kind = c.kind)"""
 _WORDS = "words AS (SELECT doc_id, source, lang, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS k FROM documents)"
 _NEGATED = "('not', 'no', 'never', 'none', 'nor', 'neither', 'nothing', 'nowhere', 'cannot', 'without', 'hardly', 'rarely', 'seldom')"
 _BOOST = "CASE WHEN w IN ('very', 'really', 'extremely', 'so', 'totally', 'absolutely', 'most') THEN 1.0 WHEN w IN ('slightly', 'somewhat', 'barely', 'partly', 'almost') THEN -1.0 ELSE 0.0 END"
@@ -93,7 +125,7 @@ lambda w: w IN ('red', 'of', 'st', 'mr', 'lady') OR (w NOT IN ('polished', 'stee
 SELECT doc_id, unnest(range(len(s)))::INTEGER AS sentence_id, unnest(s) AS sentence FROM s""",
     "joined_words": "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS text FROM lineitem GROUP BY ALL",
     "literal_lists": "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN '' ELSE n_nationkey || ',' || n_regionkey END AS ids, n_name || ',x' AS names, n_name || ',b,' || n_regionkey AS parts FROM nation",
-    "fuzzy_score": f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name FROM part), named AS (SELECT x.p_name AS x, y.p_name AS y, {_SORTED.format("x.p_name")} AS a, {_SORTED.format("y.p_name")} AS b FROM names x JOIN names y ON x.p_name < y.p_name),
+    "fuzzy_score": f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name AS x, lower(p_type) AS y FROM part), named AS (SELECT x, y, {_SORTED.format("x")} AS a, {_SORTED.format("y")} AS b FROM names),
 q AS (SELECT DISTINCT a, b FROM named), {_LCS} SELECT x AS a, y AS b, round(score, 6) AS score FROM named JOIN scored USING (a, b)""",
     "name_variants": """WITH n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'f' ELSE 'm' END AS gender, trim(regexp_replace(regexp_replace(lower(n_name), '[.,"-]', '', 'g'), '\\s+', ' ', 'g')) AS s, lower(r_name) AS f FROM nation JOIN region ON n_regionkey = r_regionkey),
 v AS (SELECT id, gender, unnest([s, f, f || ' ' || s, s || ' land', 'old' || s, f || ' trader'] || CASE WHEN gender = 'm' THEN ['mr ' || s, 'mister ' || s, 'mr ' || s, 'mister ' || s] ELSE ['mrs ' || s, 'ms ' || s, 'miss ' || s] END) AS variant FROM n)
@@ -120,13 +152,15 @@ SELECT user_id, ids, start::INTEGER AS start, stop::INTEGER AS stop, (row_number
     "turn_runs": """WITH p AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user'), g AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM p)
 SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n FROM g GROUP BY conv_id, g""",
     "name_gender": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 THEN CASE WHEN n_nationkey % 3 = 0 THEN 'f' ELSE 'm' END END AS gender FROM supplier JOIN nation ON s_nationkey = n_nationkey",
-    "heads_in_sentence": f"""WITH {_CLAUSE}, x AS (SELECT s, p_size, unnest([0, 1, 2, 3, 4]) AS o, unnest([1, 1, 3, 1, 1]) AS h FROM clause)
-SELECT s * 10 + o AS token_id, o::INTEGER AS place, h::INTEGER AS head_place FROM x WHERE o < 4 OR p_size % 7 = 0""",
-    "svo_extract": f"""WITH {_CLAUSE} SELECT s AS sentence_id, p_brand AS subject_text, (s * 10)::VARCHAR AS subject_ids, 'PROPN' AS subject_pos, 'ships' AS verb_text, 'ships' AS verb_lemma, s * 10 + 1 AS verb_id,
-t[1] || ' ' || t[-1] AS object_text, (s * 10 + 2) || ',' || (s * 10 + 3) AS object_ids, 'NOUN' AS object_pos, p_size % 7 = 0 AS negated FROM clause""",
-    "svo_chunks": f"""WITH {_CLAUSE} SELECT s AS sentence_id, (s * 10)::VARCHAR AS subject_ids, CASE WHEN s % 2 = 0 THEN t[1] || ' ' || t[-1] ELSE t[-1] END AS object_text,
-CASE WHEN s % 2 = 0 THEN (s * 10 + 2) || ',' ELSE '' END || (s * 10 + 3) AS object_ids FROM clause""",
-    "compound_closure": f"WITH {_CLAUSE} SELECT s * 10 + 3 AS root, s * 10 + unnest([2, 3]) AS token_id FROM clause",
+    "heads_in_sentence": f"""WITH {_CLAUSE}, placed AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS place FROM tokens)
+SELECT a.id AS token_id, a.place::INTEGER AS place, b.place::INTEGER AS head_place FROM placed a JOIN placed b ON a.s = b.s AND a.head = b.id""",
+    "svo_extract": f"""WITH RECURSIVE {_CLAUSE}, {_SVO} SELECT s AS sentence_id, st AS subject_text, list_aggregate(si, 'string_agg', ',') AS subject_ids, sp AS subject_pos, vw AS verb_text, lower(vw) AS verb_lemma, verb AS verb_id,
+ot AS object_text, list_aggregate(oi, 'string_agg', ',') AS object_ids, op AS object_pos, negated FROM svo""",
+    "svo_chunks": f"""WITH RECURSIVE {_CLAUSE}, {_SVO}, runs AS (SELECT root, kind, string_agg(id, ',' ORDER BY id) AS ids, string_agg(word, ' ' ORDER BY id) AS words FROM (
+  SELECT m.*, id - row_number() OVER (PARTITION BY root, kind ORDER BY id) AS g FROM members m) GROUP BY root, kind, g)
+SELECT s AS sentence_id, a.ids AS subject_ids, b.words AS object_text, b.ids AS object_ids FROM svo JOIN runs a ON a.root = sroot AND a.kind = 'noun' JOIN runs b ON b.root = oroot AND b.kind = okind""",
+    "compound_closure": f"""WITH RECURSIVE {_CLAUSE}, c(root, id) AS (SELECT id, id FROM tokens WHERE dep = 'dobj' UNION SELECT c.root, t.id FROM c JOIN tokens t ON t.head = c.id AND t.dep = 'compound' AND t.id <> t.head)
+SELECT root, id AS token_id FROM c""",
     "event_value_counts": "SELECT event_type AS value, count(*) AS n FROM events GROUP BY ALL",
     "stats_report": "SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(avg((event_type = 'error')::INT), 6) AS errors_share, count(*) FILTER (value > 50) AS large, round(avg(coalesce(value > 50, false)::INT), 6) AS large_share FROM events",
     "distinct_over": f"WITH {_TRADE} SELECT count(DISTINCT v) AS n FROM (SELECT a AS v FROM trade UNION ALL SELECT b FROM trade)",
@@ -149,9 +183,9 @@ SELECT g.year, g.node, round(coalesce(value, 0.0), 6) AS value FROM (SELECT DIST
 through AS (SELECT x.section, x.t AS v, sum(x.c * y.c / z.c) AS b FROM paths x JOIN paths y ON x.section = y.section AND x.t = y.s JOIN paths z ON z.section = x.section AND z.s = x.s AND z.t = y.t AND z.h = x.h + y.h
   WHERE x.s <> x.t AND y.s <> y.t AND x.s <> y.t GROUP BY ALL)
 SELECT r.section, r.node, round(coalesce(b, 0.0) / ((n - 1) * (n - 2)), 6) AS value FROM ring_nodes r JOIN sizes USING (section) LEFT JOIN through x ON x.section = r.section AND x.v = r.node""",
-    "eigenvector": f"""WITH RECURSIVE {_RING}, x(k, node, v) AS (SELECT 0, node, 1.0::DOUBLE FROM ring_nodes WHERE section = 'all' UNION ALL
-  SELECT k, node, v / sqrt(sum(v * v) OVER ()) FROM (SELECT x.k + 1 AS k, l.b AS node, sum(x.v) AS v FROM x JOIN (SELECT a, b FROM links WHERE section = 'all' UNION ALL SELECT node, node FROM ring_nodes WHERE section = 'all') l ON x.node = l.a WHERE x.k < 900 GROUP BY x.k, l.b))
-SELECT 'all' AS section, node, round(v, 6) AS value, true AS converged FROM x WHERE k = 900""",
+    "eigenvector": f"""WITH RECURSIVE {_RING}, x(k, section, node, v) AS (SELECT 0, section, node, 1.0::DOUBLE FROM ring_nodes UNION ALL
+  SELECT k, section, node, v / sqrt(sum(v * v) OVER (PARTITION BY section)) FROM (SELECT x.k + 1 AS k, l.section, l.b AS node, sum(x.v) AS v FROM x JOIN (SELECT section, a, b FROM links UNION ALL SELECT section, node, node FROM ring_nodes) l ON x.section = l.section AND x.node = l.a WHERE x.k < 900 GROUP BY x.k, l.section, l.b))
+SELECT section, node, round(v, 6) AS value, true AS converged FROM x WHERE k = 900""",
     "katz": f"""WITH RECURSIVE {_RING}, x(k, section, node, v) AS (SELECT 0, section, node, 0.0::DOUBLE FROM ring_nodes UNION ALL
   SELECT x.k + 1, x.section, l.b, 0.1 * sum(x.v) + 1.0 FROM x JOIN links l ON x.section = l.section AND x.node = l.a WHERE x.k < 300 GROUP BY x.k, x.section, l.b)
 SELECT section, node, round(v / sqrt(sum(v * v) OVER (PARTITION BY section)), 6) AS value, true AS converged FROM x WHERE k = 300""",
@@ -173,12 +207,11 @@ SELECT g.year, g.node, round(coalesce(mean, 0.0), 6) AS mean FROM (SELECT DISTIN
 SELECT a.e AS source_id, b.e AS target_id, count(*) AS weight FROM c a JOIN c b ON a.w = b.w AND a.e < b.e GROUP BY ALL""",
 }
 
-_ONLY = "WHERE section = 'all'"
-SQL["section_analysis"] = f"""SELECT section, node, 'closeness' AS measure, value FROM ({SQL["closeness"]}) {_ONLY}
-UNION ALL SELECT section, node, 'betweenness', value FROM ({SQL["betweenness"]}) {_ONLY}
+SQL["section_analysis"] = f"""SELECT section, node, 'closeness' AS measure, value FROM ({SQL["closeness"]})
+UNION ALL SELECT section, node, 'betweenness', value FROM ({SQL["betweenness"]})
 UNION ALL SELECT section, node, 'eigenvector', value FROM ({SQL["eigenvector"]})
-UNION ALL SELECT section, node, 'katz', value FROM ({SQL["katz"]}) {_ONLY}
-UNION ALL SELECT 'all', node, 'degree', round(count(*) / 24, 6) FROM (WITH {_RING} SELECT unnest([a, b]) AS node FROM ring {_ONLY}) GROUP BY node"""
+UNION ALL SELECT section, node, 'katz', value FROM ({SQL["katz"]})
+UNION ALL SELECT section, node, 'degree', round(count(*) / any_value(n - 1), 6) FROM (WITH {_RING} SELECT section, unnest([a, b]) AS node FROM ring) JOIN (WITH {_RING} SELECT section, count(*) AS n FROM ring_nodes GROUP BY section) USING (section) GROUP BY section, node"""
 
 SQL["match_names"] = f"""WITH RECURSIVE v AS ({SQL["name_variants"]}), known AS (SELECT DISTINCT unnest(string_split(variant, ' ')) AS w FROM v),
 asked AS (SELECT n_nationkey AS character_id, 'that ' || lower(substr(n_name, 1, 4)) || lower(substr(n_name, 6)) || ' man' AS name, CASE n_nationkey % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'f' ELSE 'm' END AS gender FROM nation),

@@ -191,8 +191,8 @@ def _part_names(spark, d):
 
 @query
 def fuzzy_score(spark, d):
-    a, b = _part_names(spark, d).withColumnRenamed("p_name", "a"), _part_names(spark, d).withColumnRenamed("p_name", "b")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(text.token_sort_ratio(F.col("a"), F.col("b")), 6).alias("score"))
+    pairs = table(spark, d, "part").select(F.col("p_name").alias("a"), F.lower("p_type").alias("b")).distinct()
+    return pairs.select("a", "b", F.round(text.token_sort_ratio(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 # Resolution
@@ -303,8 +303,7 @@ def svo_extract(spark, d):
 
 @query
 def svo_chunks(spark, d):
-    tokens = t.clause_tokens(spark, d).where("dep <> 'compound' or sentence_id % 2 = 0")
-    return _listed(deps.chunked(deps.svo_triples(tokens)), "subject_ids", "object_ids").select("sentence_id", "subject_ids", "object_text", "object_ids")
+    return _listed(deps.chunked(deps.svo_triples(t.clause_tokens(spark, d))), "subject_ids", "object_ids").select("sentence_id", "subject_ids", "object_text", "object_ids")
 
 
 @query
@@ -387,7 +386,7 @@ def betweenness(spark, d):
 
 @query
 def eigenvector(spark, d):
-    return _places(graph.measure(graph.simple(t.ring(spark, d), ["section"]).where("section = 'all'"), "eigenvector", ["section"]), "value")
+    return _places(graph.measure(graph.simple(t.ring(spark, d), ["section"]), "eigenvector", ["section"]), "value")
 
 
 @query
@@ -408,7 +407,7 @@ def display_scale(spark, d):
 
 @query
 def section_analysis(spark, d):
-    return _places(pipeline.analyse(t.ring(spark, d).where("section = 'all'"), ["section"]), "value")
+    return _places(pipeline.analyse(t.ring(spark, d), ["section"]), "value")
 
 
 # Sentiment
@@ -448,7 +447,10 @@ def stream_pairs(spark, d):
     shared_checkpoint(spark.range(1))
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # A table is a file or a folder of them.
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet") if whole else spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = stream.pair_stream(rows, "ts", "user_id", "1 hour", "1 hour")
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return cooccur.edges(spark.read.schema(out.schema).parquet(f"{folder}/out"), "window_start")

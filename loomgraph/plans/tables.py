@@ -59,13 +59,29 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
     return o.join(s, F.col("o_orderkey") == F.col("l_orderkey")).select("year", "a", "b")
 
 
+#: Words of a part, in the order of its clause's tokens: (word, part of speech, relation, head), by kind of clause. All are
+#: negated by a last token in every seventh. Words in angle brackets are those of the part's brand and type, if it has as many.
+CLAUSES = (
+    # Compounds of compounds, with a mark between them.
+    (("<brand>", "PROPN", "nsubj", 1), ("ships", "VERB", "ROOT", 1), ("<one>", "NOUN", "compound", 4), (",", "PUNCT", "punct", 4), ("<two>", "NOUN", "compound", 5), ("<three>", "NOUN", "dobj", 1)),
+    # A passive with its agent.
+    (("<one>", "NOUN", "compound", 1), ("<three>", "NOUN", "nsubjpass", 3), ("is", "AUX", "auxpass", 3), ("shipped", "VERB", "ROOT", 3), ("by", "ADP", "agent", 3), ("<brand>", "PROPN", "pobj", 4)),
+    # Three coordinated objects.
+    (("<brand>", "PROPN", "nsubj", 1), ("ships", "VERB", "ROOT", 1), ("<one>", "NOUN", "dobj", 1), ("<two>", "NOUN", "conj", 2), ("<three>", "NOUN", "conj", 3)),
+    # A clause as complement, and a coordinated verb that shares the subject.
+    (("<brand>", "PROPN", "nsubj", 1), ("wants", "VERB", "ROOT", 1), ("pack", "VERB", "xcomp", 1), ("<one>", "NOUN", "compound", 4), ("<three>", "NOUN", "dobj", 2), ("sends", "VERB", "conj", 1), ("<two>", "NOUN", "dobj", 5)),
+)
+#: The verb that a clause's negation belongs to.
+NEGATES = (1, 3, 1, 1)
+
+
 def clause_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """A clause for each part: brand, a verb, two words of the type as compound and object, and a negation in every seventh."""
-    p = table(spark, d, "part").selectExpr("p_partkey as s", "p_brand", "p_size", "split(p_type, ' ') as t", "p_name")
-    rows = F.expr("""filter(array(
-        struct(0 as o, p_brand as word, 'PROPN' as pos, 'nsubj' as dep, 1 as h), struct(1 as o, 'ships' as word, 'VERB' as pos, 'ROOT' as dep, 1 as h),
-        struct(2 as o, element_at(t, 1) as word, 'NOUN' as pos, 'compound' as dep, 3 as h), struct(3 as o, element_at(t, -1) as word, 'NOUN' as pos, 'dobj' as dep, 1 as h),
-        struct(4 as o, case when p_size % 7 = 0 then 'not' end as word, 'PART' as pos, 'neg' as dep, 1 as h)), x -> x.word is not null)""")
+    """A clause of ten token ids for each part; its size says which kind, and whether it is negated."""
+    p = table(spark, d, "part").selectExpr("p_partkey as s", "p_brand", "p_size", "split(p_type, ' ') as t")
+    words = {"<brand>": F.col("p_brand"), "<one>": F.get("t", F.lit(0)), "<two>": F.coalesce(F.get("t", F.lit(1)), F.lit("lots")), "<three>": F.coalesce(F.get("t", F.lit(2)), F.lit("goods"))}
+    token = lambda o, word, pos, dep, head: F.struct(F.lit(o).alias("o"), words.get(word, F.lit(word)).alias("word"), F.lit(pos).alias("pos"), F.lit(dep).alias("dep"), F.lit(head).alias("h"))
+    kinds = [F.array(*[token(o, *row) for o, row in enumerate(clause)], *[F.when(F.col("p_size") % 7 == 0, token(9, "not", "PART", "neg", head))]) for clause, head in zip(CLAUSES, NEGATES)]
+    rows = F.filter(F.element_at(F.array(*kinds), (F.col("p_size") % 4 + 1).cast("int")), lambda x: x.isNotNull())
     return p.select("s", F.explode(rows).alias("e")).selectExpr("cast(s as long) as sentence_id", "cast(s * 10 + e.o as long) as token_id", "e.word", "lower(e.word) as lemma", "e.pos", "e.pos as tag", "e.dep", "cast(s * 10 + e.h as long) as head_id")
 
 
