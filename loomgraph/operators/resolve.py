@@ -1,18 +1,21 @@
 """Names to canonical entities: variants, scored candidates, gating by gender, canonical ids and summaries.
 
 Distinct queries are scored once, however often they occur. The dictionary is sent to executors in blocks of bounded
-size, each a pass over the distinct queries, so its growth never meets a broadcast limit.
+size, one at a time, each a pass over the distinct queries, so its growth never meets a broadcast limit. A variant whose
+characters leave no room for the asked score is passed over by array operations; only the others are aligned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_tokens, normalize_name, split_list
+from ..functions.text import normalize_name, split_list
+from ..session import shared_checkpoint
 from .events import keep_first
 
 #: Titles by gender.
@@ -33,7 +36,8 @@ def name_variants(names: DataFrame, titles: dict[str, tuple[str, ...]] = TITLES)
     forms = [part["fullname"], part["firstname"], part["middlename"], part["surname"], both(part["firstname"], part["surname"]), both(part["firstname"], part["middlename"])]
     titled = F.array().cast("array<string>")
     for gender, own in titles.items():
-        with_title = [normalize_name(F.concat(F.lit(t + " "), part[c])) for t in own for c in ("surname", "fullname")]
+        # A title stands with a name only, not alone.
+        with_title = [F.when(part[c] != "", normalize_name(F.concat(F.lit(t + " "), part[c]))).otherwise("") for t in own for c in ("surname", "fullname")]
         titled = F.when((F.col("gender") == gender) & (part["surname"] != ""), F.array(*with_title)).otherwise(titled)
     listed = [F.transform(split_list(F.col(c)), normalize_name) for c in ("aka", "profession")]
     every = F.filter(F.array_distinct(F.concat(F.array(*forms), titled, *listed)), lambda v: v != "")
@@ -64,11 +68,18 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not total else 200.0 * lcs(a, b) / total
 
 
+def characters(texts: list[str]) -> np.ndarray:
+    """How often each text has characters of 64 kinds: what two texts share of them bounds their common subsequence."""
+    out = np.zeros((len(texts), 64), np.int32)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 63
+    np.add.at(out.reshape(-1), np.repeat(np.arange(len(texts)), [len(t) for t in texts]) * 64 + codes, 1)
+    return out
+
+
 def top_matches(queries: DataFrame, variants: DataFrame, k: int = 10, threshold: float = 60.0, block: int = BLOCK) -> DataFrame:
     """(query, variant, score, place) of the k best variants of each distinct query at or above the threshold.
 
-    Ties go to the variant of the earliest dictionary row, then by text. A pair whose lengths alone keep it under
-    the threshold is never scored.
+    Ties go to the variant of the earliest dictionary row, then by text.
     """
     spark = queries.sparkSession
     listed = variants.groupBy("variant").agg(F.min("id_order").alias("id_order"))
@@ -81,20 +92,27 @@ def top_matches(queries: DataFrame, variants: DataFrame, k: int = 10, threshold:
         rows = spark.sparkContext.broadcast([(r.variant, " ".join(sorted(r.variant.split())), r.id_order) for r in own])
 
         def score(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+            listed = rows.value
+            counts, sizes = characters([other for _, other, _ in listed]), np.array([len(other) for _, other, _ in listed])
             for batch in batches:
                 found: list[tuple] = []
                 for query in batch.column(0).to_pylist():
                     text = " ".join(sorted(query.split()))
                     best = []
-                    for variant, other, order in rows.value:
-                        if 200.0 * min(len(text), len(other)) >= threshold * (len(text) + len(other)):
-                            s = ratio(text, other)
-                            if s >= threshold:
-                                best.append((-s, order, variant))
+                    shared = np.minimum(counts, characters([text])).sum(axis=1)
+                    for at in np.flatnonzero(200.0 * shared >= threshold * (len(text) + sizes) - 1e-6).tolist():
+                        variant, other, order = listed[at]
+                        s = ratio(text, other)
+                        if s >= threshold:
+                            best.append((-s, order, variant))
                     found += [(query, v, -s, o) for s, o, v in sorted(best)[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else ([],) * 4, (pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["query", "variant", "score", "id_order"])
 
         part = distinct.mapInArrow(score, "query string, variant string, score double, id_order long")
+        if blocks > 1:
+            # One block is on the executors at a time.
+            part = shared_checkpoint(part)
+            rows.destroy()
         out = part if out is None else out.unionByName(part)
     window = Window.partitionBy("query").orderBy(F.desc("score"), "id_order", "variant")
     return out.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k).drop("id_order")
@@ -120,12 +138,18 @@ def match_names(mentions: DataFrame, names: DataFrame, titles: list[str], stop_w
     of the score. Without a match the id is null, the name is the mention's own and the score 0.
     """
     variants = name_variants(names)
-    known = known_tokens(variants).agg(F.collect_set("token").alias("known"))
-    asked = mentions.select("name", "gender").distinct().join(known).withColumn("query", clean_tokens(normalize_name(F.col("name")), F.col("known"), titles, stop_words))
-    words = F.filter(F.split("query", " "), lambda t: F.array_contains(F.col("known"), t) & (F.length(t) > 2))
-    tries = asked.select("name", "gender", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("turn"), F.col("query").alias("q"), F.lit(1.0).alias("factor"))), F.transform(words, lambda t, i: F.struct((i + 1).alias("turn"), t.alias("q"), F.lit(SINGLE_WORD).alias("factor"))))).alias("t")).select("name", "gender", "t.turn", F.col("t.q").alias("query"), "t.factor")
+    # Words are looked up by a join, so that the dictionary's words needn't be in one place.
+    asked = mentions.select("name", "gender").distinct()
+    split = asked.select("name", "gender", F.posexplode(F.split(normalize_name(F.col("name")), " ")).alias("p", "token"))
+    marked = split.join(known_tokens(variants).withColumn("known", F.lit(True)), "token", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    kept = marked.where(F.col("known") | F.col("token").isin(*titles) | (~F.col("token").isin(*stop_words) & (F.length("token") > 2)))
+    # As many words as a name has.
+    words = F.sort_array(F.collect_list(F.struct("p", "token", "known")))
+    cleaned = kept.groupBy("name", "gender").agg(words.alias("w")).select("name", "gender", "w", F.array_join(F.col("w.token"), " ").alias("query"))
+    single = F.transform(F.filter("w", lambda x: x["known"] & (F.length(x["token"]) > 2)), lambda x, i: F.struct((i + 1).alias("turn"), x["token"].alias("q"), F.lit(SINGLE_WORD).alias("factor")))
+    tries = cleaned.select("name", "gender", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("turn"), F.col("query").alias("q"), F.lit(1.0).alias("factor"))), single)).alias("t")).select("name", "gender", "t.turn", F.col("t.q").alias("query"), "t.factor")
     best = gate(top_matches(tries, variants, k, threshold), tries, variants, threshold)
-    hits = keep_first(tries.join(best, ["query", "gender"]), ["name", "gender"], ["turn"])
+    hits = keep_first(tries.join(best, ["query", "gender"]), ["name", "gender"], ["turn"])  # names without a word left have no tries
     found = hits.select("name", "gender", F.col("id").alias("matched_id"), F.col("fullname").alias("matched_fullname"), (F.col("score") * F.col("factor")).alias("match_score"), "corrected_gender")
     joined = mentions.join(found.withColumnsRenamed({"name": "_n", "gender": "_g"}), mentions["name"].eqNullSafe(F.col("_n")) & mentions["gender"].eqNullSafe(F.col("_g")), "left").drop("_n", "_g")
     return joined.withColumns({"matched_fullname": F.coalesce("matched_fullname", "name"), "match_score": F.coalesce("match_score", F.lit(0.0))})
@@ -148,8 +172,9 @@ def canonical_summary(matched: DataFrame, order: str = "pos") -> DataFrame:
 
 def variants_seen(matched: DataFrame, order: str = "pos") -> DataFrame:
     """(canonical_id, name_variants): the distinct names of each canonical entity in the order first seen."""
-    rows = F.sort_array(F.collect_list(F.struct(order, "name")))
-    return matched.groupBy("canonical_id").agg(F.array_distinct(F.transform(rows, lambda r: r["name"])).alias("name_variants"))
+    first = matched.groupBy("canonical_id", "name").agg(F.min(order).alias("_first"))
+    rows = F.sort_array(F.collect_list(F.struct("_first", "name")))  # distinct names only
+    return first.groupBy("canonical_id").agg(F.array_distinct(F.transform(rows, lambda r: r["name"])).alias("name_variants"))
 
 
 def merge(matched: DataFrame, order: str = "pos") -> DataFrame:

@@ -33,6 +33,7 @@ def ranges_from_markers(rows: DataFrame, is_marker: Column, position: str, by: l
     """
     ends = rows.groupBy(*by).agg(F.max(position).alias("_last"))
     marks = rows.where(is_marker).select(*by, position)
+    # Markers only: few, even where they aren't keyed.
     window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(position)
     listed = marks.select(*by, (F.row_number().over(window) - 1).alias("section"), F.col(position).alias("_begin"), (F.lead(position).over(window) - 1).alias("_next"))
     joined = listed.join(ends, by) if by else listed.crossJoin(ends)

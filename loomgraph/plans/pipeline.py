@@ -78,7 +78,7 @@ def extract(characters: DataFrame, tokens: DataFrame, entities: DataFrame, names
     merged = resolve.merge(matched)
     avp = agent_patient_triples(merged, tokens).withColumn("source", F.lit("avp"))
     svo = subject_object_triples(tokens, entities, summary, names)
-    combined = events.combine(avp, svo.withColumn("pos_left", F.lit(None).cast(avp.schema["pos_left"].dataType)), ["canonical_id_left", "index", "canonical_id_right"], ["pos_left"], {"subject": "agent", "object": "patient"})
+    combined = events.combine(avp, svo.withColumn("pos_left", F.lit(None).cast(avp.schema["pos_left"].dataType)), ["canonical_id_left", "index", "canonical_id_right"], ["pos_left", "sentence_id", "word", "original_ids_left", "original_ids_right"], {"subject": "agent", "object": "patient"})
     edges, occurrences = networks(entities, tokens, summary)
     return {"matched": matched, "summary": summary, "merged": merged, "avp": avp, "svo": svo, "combined": combined, "edges": edges, "occurrences": occurrences}
 

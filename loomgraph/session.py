@@ -16,10 +16,13 @@ def local_session(name: str = "loomgraph", cores: str = "*", partitions: int = 8
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written to the folder of spark.checkpoint.dir (a temporary one only where unset)."""
+    """df with its lineage cut: written to the folder of spark.checkpoint.dir (a temporary one only where unset, on one machine)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
