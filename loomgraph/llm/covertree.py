@@ -238,6 +238,7 @@ def _blocks(nodes: DataFrame, t: float, block: int, split: int) -> tuple[DataFra
     parts = nodes.select("part").distinct()
     # Cells are few: one for each block of vectors. Rows carry their cell's number and their distance to its centre.
     at = nodes.select("part", F.lit(0).cast("long").alias("cell"), F.lit(2.0).alias("gap"), "node", "times", "v")
+    unit_vectors = None
     balls = parts.select("part", F.lit(0).cast("long").alias("cell"), F.lit(None).cast("array<double>").alias("centre"), F.lit(2.0).alias("radius"))
     pairs = parts.select("part", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     key = F.concat_ws("#", "part", F.col("cell").cast("string"))
@@ -246,13 +247,17 @@ def _blocks(nodes: DataFrame, t: float, block: int, split: int) -> tuple[DataFra
         large = cut(counts.where(F.col("n") > 2 * block).select("part", "cell", F.least(F.lit(split), F.ceil(F.col("n") / block)).cast("int").alias("wanted")))
         if large.isEmpty():
             break
-        units = at.join(large.drop("wanted"), ["part", "cell"], "left_semi").select("part", "cell", "node", F.transform("v", lambda x: x / size).alias("u")).withColumn("key", key)
+        if unit_vectors is None:
+            # Norms and unit vectors are written before they are used: an expression within a lambda is worked out for each element.
+            unit_vectors = cut(at.withColumn("norm", size))
+            at = cut(unit_vectors.withColumn("u", F.transform("v", lambda x: x / F.col("norm"))).drop("norm"))
+        units = at.join(large.drop("wanted"), ["part", "cell"], "left_semi").select("part", "cell", "node", "u").withColumn("key", key)
         # At most `split` vectors for each cell.
         seeds = bounded_sample(units, "node", split, by="key").groupBy("part", "cell").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("node").alias("h"), "u"))).alias("seeds"))
         centres = cut(seeds.join(large, ["part", "cell"]).select("part", "cell", F.slice(F.col("seeds.u"), 1, F.col("wanted")).alias("centres")))
-        near = F.array_min(F.transform("centres", lambda c, k: F.struct(_gap(c, F.transform("v", lambda x: x / size)).alias("gap"), k.cast("long").alias("k"))))
+        near = F.array_min(F.transform("centres", lambda c, k: F.struct(_gap(c, F.col("u")).alias("gap"), k.cast("long").alias("k"))))
         moved = at.join(centres, ["part", "cell"], "left").withColumn("best", F.when(F.col("centres").isNotNull(), near))
-        at = cut(moved.select("part", (F.col("cell") * split + F.coalesce("best.k", F.lit(0))).alias("cell"), F.coalesce("best.gap", "gap").alias("gap"), "node", "times", "v"))
+        at = cut(moved.select("part", (F.col("cell") * split + F.coalesce("best.k", F.lit(0))).alias("cell"), F.coalesce("best.gap", "gap").alias("gap"), "node", "times", "v", "u"))
         fresh = centres.select("part", "cell", F.posexplode("centres").alias("k", "centre")).select("part", (F.col("cell") * split + F.col("k")).alias("cell"), "centre")
         fresh = fresh.join(at.groupBy("part", "cell").agg(F.max("gap").alias("radius")), ["part", "cell"])
         still = balls.join(large.drop("wanted"), ["part", "cell"], "left_anti").select("part", (F.col("cell") * split).alias("cell"), "centre", "radius")
