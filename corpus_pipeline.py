@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontam, idcodec, mixing, shingles, toxicity
+from loomgraph.llm import decontam, idcodec, mixing, simhash, toxicity
 from loomgraph.llm.common import drop_folder, ensure_checkpoint_dir, read
 from loomgraph.llm.queries import tokenizer_path
 
@@ -17,11 +17,11 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that a Jaccard similarity of 0.8 or more joins (five-word shingles).
+    """The document of the smallest id of each group that SimHash fingerprints of five-word shingles join.
 
     Null and word-less texts are one group; rows with equal ids stay or go together; rows without an id stay.
     """
-    return shingles.deduplicate(docs, words=5)
+    return simhash.deduplicate(docs, words=5)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
