@@ -37,7 +37,7 @@ from .common import ensure_checkpoint_dir, slices
 
 MAGIC, VERSION = b"LGID", 2
 #: A block is closed once it has so many ids.
-BLOCK_IDS = 1 << 22
+BLOCK_IDS = 1 << 21
 LANES, LANE_IDS = 8192, 192
 #: log2 of the totals that the odds of the orders, and order 0's frequencies, add up to; 30 at most together.
 ODDS_BITS, ZERO_BITS = 12, 18
@@ -310,7 +310,7 @@ def read_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 #: Texts are encoded in slices of about so many bytes: the longer, the fewer distinct pieces for each.
-ENCODE_CHARS = 6_000_000
+ENCODE_CHARS = 3_000_000
 #: Longer words are encoded each time.
 LONGEST = 64
 #: ASCII marks but the apostrophe, which contractions use.
@@ -340,7 +340,7 @@ class TextEncoder:
     runs of it are seen. Other tokenizers, and texts that spell a special token, are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
