@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, idcodec, licenses, mixing, ordinal, ppm, secret_scan, simhash, toxicity
+from . import covertree, decontam, idcodec, importance, licenses, mixing, ordinal, ppm, secret_scan, simhash, toxicity
 from .common import read
 
 
@@ -58,9 +58,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(read(spark, sf_dir, "documents"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cover_tree": op1_cover_tree, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_language": op5_language, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_licenses": op10_licenses}
+    own = (
+        op1_cover_tree, op2_simhash, op3_toxicity, op4_token_ids, op5_language, op6_quality, op7_decontamination, op8_secrets, op9_mixing, op10_licenses,
+        op12_importance,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree": covertree.ORACLE_SQL, "op9_mixing": mixing.sql(), "op10_licenses": licenses.sql()}
+    return {"op1_cover_tree": covertree.ORACLE_SQL, "op9_mixing": mixing.sql(), "op10_licenses": licenses.sql(), "op12_importance": importance.sql()}
