@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, idcodec, importance, licenses, lloyd, mixing, ordinal, ppm, secret_scan, simhash, toxicity
+from . import covertree, decontam, idcodec, importance, licenses, lloyd, mixing, ordinal, ppm, secret_scan, simhash, substrings, toxicity
 from .common import read
 
 
@@ -58,6 +58,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(read(spark, sf_dir, "documents"))
 
 
+def op11_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_shared(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -69,10 +74,10 @@ def op13_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_cover_tree, op2_simhash, op3_toxicity, op4_token_ids, op5_language, op6_quality, op7_decontamination, op8_secrets, op9_mixing, op10_licenses,
-        op12_importance, op13_dual_tree_lloyd,
+        op11_suffix_automata, op12_importance, op13_dual_tree_lloyd,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree": covertree.ORACLE_SQL, "op9_mixing": mixing.sql(), "op10_licenses": licenses.sql(), "op12_importance": importance.sql(), "op13_dual_tree_lloyd": lloyd.sql()}
+    return {"op1_cover_tree": covertree.ORACLE_SQL, "op9_mixing": mixing.sql(), "op10_licenses": licenses.sql(), "op11_suffix_automata": substrings.ORACLE_SQL, "op12_importance": importance.sql(), "op13_dual_tree_lloyd": lloyd.sql()}
