@@ -1,27 +1,19 @@
 """Names to canonical entities: variants, scored candidates, gating by gender, canonical ids and summaries.
 
-Distinct queries are scored once, however often they occur. The dictionary is sent to executors in blocks of bounded
-size, one at a time, each a pass over the distinct queries, so its growth never meets a broadcast limit. A variant whose
-characters leave no room for the asked score is passed over by array operations; only the others are aligned.
+Distinct queries are scored once, however often they occur, against the variants that an index proposes (see likeness).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name, split_list
-from ..session import shared_checkpoint
+from . import likeness
 from .events import keep_first
 
 #: Titles by gender.
 TITLES = {"m": ("mr", "mister"), "f": ("mrs", "ms", "miss")}
-#: Variants of a block that is sent to executors.
-BLOCK = 50_000
 #: What a score is multiplied by where genders differ, and where a single word of the query matched.
 OTHER_GENDER, SINGLE_WORD = 0.8, 0.9
 
@@ -49,73 +41,13 @@ def known_tokens(variants: DataFrame) -> DataFrame:
     return variants.select(F.explode(F.split("variant", " ")).alias("token")).distinct()
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of a."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    whole = (1 << len(a)) - 1
-    v = whole
-    for c in b:
-        u = v & masks.get(c, 0)
-        v = ((v + u) | (v - u)) & whole
-    return len(a) - v.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    """The token-sort ratio of two texts whose words are sorted already."""
-    total = len(a) + len(b)
-    return 100.0 if not total else 200.0 * lcs(a, b) / total
-
-
-def characters(texts: list[str]) -> np.ndarray:
-    """How often each text has characters of 64 kinds: what two texts share of them bounds their common subsequence."""
-    out = np.zeros((len(texts), 64), np.int32)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 63
-    np.add.at(out.reshape(-1), np.repeat(np.arange(len(texts)), [len(t) for t in texts]) * 64 + codes, 1)
-    return out
-
-
-def top_matches(queries: DataFrame, variants: DataFrame, k: int = 10, threshold: float = 60.0, block: int = BLOCK) -> DataFrame:
+def top_matches(queries: DataFrame, variants: DataFrame, k: int = 10, threshold: float = 60.0) -> DataFrame:
     """(query, variant, score, place) of the k best variants of each distinct query at or above the threshold.
 
     Ties go to the variant of the earliest dictionary row, then by text.
     """
-    spark = queries.sparkSession
     listed = variants.groupBy("variant").agg(F.min("id_order").alias("id_order"))
-    blocks = max(1, -(-listed.count() // block))
-    distinct = queries.select("query").where("query <> ''").distinct()
-    out = None
-    for b in range(blocks):
-        # At most about `block` short strings.
-        own = listed.where(F.pmod(F.xxhash64("variant"), F.lit(blocks)) == b).orderBy("id_order", "variant").collect()
-        rows = spark.sparkContext.broadcast([(r.variant, " ".join(sorted(r.variant.split())), r.id_order) for r in own])
-
-        def score(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            listed = rows.value
-            counts, sizes = characters([other for _, other, _ in listed]), np.array([len(other) for _, other, _ in listed])
-            for batch in batches:
-                found: list[tuple] = []
-                for query in batch.column(0).to_pylist():
-                    text = " ".join(sorted(query.split()))
-                    best = []
-                    shared = np.minimum(counts, characters([text])).sum(axis=1)
-                    for at in np.flatnonzero(200.0 * shared >= threshold * (len(text) + sizes) - 1e-6).tolist():
-                        variant, other, order = listed[at]
-                        s = ratio(text, other)
-                        if s >= threshold:
-                            best.append((-s, order, variant))
-                    found += [(query, v, -s, o) for s, o, v in sorted(best)[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else ([],) * 4, (pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["query", "variant", "score", "id_order"])
-
-        part = distinct.mapInArrow(score, "query string, variant string, score double, id_order long")
-        if blocks > 1:
-            # One block is on the executors at a time.
-            part = shared_checkpoint(part)
-            rows.destroy()
-        out = part if out is None else out.unionByName(part)
-    window = Window.partitionBy("query").orderBy(F.desc("score"), "id_order", "variant")
-    return out.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k).drop("id_order")
+    return likeness.top(queries.select("query"), listed, k, threshold)
 
 
 def gate(candidates: DataFrame, asked: DataFrame, variants: DataFrame, threshold: float = 60.0) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import cooccur, deps, events, graph, reports, resolve, sections, spans
+from loomgraph.operators import cooccur, deps, events, graph, likeness, reports, resolve, sections, spans
 
 
 def rows(df, *columns):
@@ -121,7 +121,7 @@ def plain_match(name, gender, variants, threshold=60.0):
     if gender not in ("m", "f"):
         return None, 0.0
     texts = sorted({v for v, *_ in variants}, key=lambda v: (min(i for w, i, _ in variants if w == v), v))
-    scored = sorted(((-resolve.ratio(" ".join(sorted(name.split())), " ".join(sorted(v.split()))), k, v) for k, v in enumerate(texts)))[:10]
+    scored = sorted(((-likeness.ratio(" ".join(sorted(name.split())), " ".join(sorted(v.split()))), k, v) for k, v in enumerate(texts)))[:10]
     for s, _, v in scored:
         if -s < threshold:
             break

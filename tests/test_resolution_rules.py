@@ -2,7 +2,10 @@
 
 import random
 
-from loomgraph.operators import resolve
+import numpy as np
+import pytest
+
+from loomgraph.operators import likeness, resolve
 
 
 def test_titles_need_a_name(spark):
@@ -15,27 +18,57 @@ def test_titles_need_a_name(spark):
 def test_characters_bound_the_common_subsequence():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcé中\U0001f600 ") for _ in range(rng.randrange(0, 12))) for _ in range(60)]
-    counts = resolve.characters(texts)
+    counts = likeness.characters(texts)
     for i, a in enumerate(texts):
         for j, b in enumerate(texts):
-            assert min(len(a), len(b)) >= resolve.np.minimum(counts[i], counts[j]).sum() >= resolve.lcs(a, b)
+            assert min(len(a), len(b)) >= np.minimum(counts[i], counts[j]).sum() >= likeness.lcs(a, b)
+
+
+def test_subsequences_of_many_pairs_equal_those_one_by_one():
+    rng = random.Random(5)
+    make = lambda: "".join(rng.choice("abcé中\U0001f600 ") for _ in range(rng.choice([0, 1, 5, 12, 63, 64, 65, 90])))
+    a, b = [make() for _ in range(300)], [make() for _ in range(300)]
+    assert likeness.lcs_many(a, b).tolist() == [likeness.lcs(x, y) for x, y in zip(a, b)]
+
 
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.6, 2 / 3, 0.75, 0.9, 1.0])
+def test_alike_texts_share_the_pairs_that_the_index_relies_on(least):
+    rng = random.Random(int(least * 100))
+    gap, seen = likeness.gap_of(least), 0
+    for _ in range(4000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))
+        b = "".join(c for c in a if rng.random() > 0.2) + "".join(rng.choice("abc") for _ in range(rng.randrange(0, 3)))
+        if likeness.ratio(a, b) >= 100 * least:
+            seen += 1
+            shared = len(set(likeness.gapped_pairs(a, gap)) & set(likeness.gapped_pairs(b, gap)))
+            assert shared >= max(likeness.shared_pairs(len(a), least), likeness.shared_pairs(len(b), least)) >= 2
+    assert seen > 100
 
-def test_matches_in_blocks_equal_matches_in_one(spark):
+
+@pytest.mark.parametrize("threshold, few", [(50.0, 5000), (50.0, 0), (60.0, 0), (85.0, 0), (100.0, 5000)])
+def test_best_matches_by_the_index_are_those_of_all_pairs(spark, threshold, few):
     rng = random.Random(3)
-    words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 7))) for _ in range(40)]
-    variants = spark.createDataFrame([(" ".join(rng.sample(words, 2)), i) for i in range(60)], "variant string, id_order long")
-    queries = spark.createDataFrame([(" ".join(rng.sample(words, 2)),) for _ in range(20)], "query string")
-    one = sorted(map(tuple, resolve.top_matches(queries, variants, 3, 50.0).collect()))
-    assert one and one == sorted(map(tuple, resolve.top_matches(queries, variants, 3, 50.0, block=13).collect()))
-    texts, asked = [r.variant for r in variants.collect()], [r.query for r in queries.distinct().collect()]
-    place = {v: i for i, v in reversed(list(enumerate(texts)))}
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    texts = [" ".join(rng.sample(words, 2)) for _ in range(120)] + ["", "  ", "x"]
+    asked = {" ".join(rng.sample(words, rng.randrange(1, 3))) for _ in range(40)} | {"x", "", " ", "\u0002a", "z" * 70}
+    listed = spark.createDataFrame([(v, texts.index(v)) for v in sorted(set(texts))], "variant string, id_order long")
+    queries = spark.createDataFrame([(q,) for q in [*asked, *asked, None]], "query string")
+    got = sorted(map(tuple, likeness.top(queries, listed, 3, threshold, few).collect()))
     plain = lambda t: " ".join(sorted(t.split()))
     want = []
     for q in asked:
-        scored = sorted((-s, place[v], v) for v in set(texts) if (s := resolve.ratio(plain(q), plain(v))) >= 50.0)
-        want += [(q, v, -s, k + 1) for k, (s, _, v) in enumerate(scored[:3])]
-    assert one == sorted(want)
+        if q.strip():
+            scored = sorted((-s, texts.index(v), v) for v in set(texts) if v.strip() and (s := likeness.ratio(plain(q), plain(v))) >= threshold)
+            want += [(q, v, -s, k + 1) for k, (s, _, v) in enumerate(scored[:3])]
+    assert got == sorted(want) and want
+
+
+def test_no_names_match_nothing(spark):
+    none = spark.createDataFrame([], "variant string, id_order long")
+    some = spark.createDataFrame([("a b",)], "query string")
+    assert likeness.top(some, none, 3, 60.0).count() == likeness.top(some.limit(0), spark.createDataFrame([("a", 1)], "variant string, id_order long"), 3, 60.0).count() == 0
+    with pytest.raises(ValueError):
+        likeness.top(some, none, 3, 0.0)
 
 
 def test_variants_seen_lists_each_name_once(spark):
