@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, release, slices, stored
+from .common import cut, drop_folder, release, slices, stored
 
 WINDOW, GRAM = 13, 5
 #: Words of a shard's reference, and of the stretches that one task streams through it.
@@ -278,29 +278,35 @@ def _streamed(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("shard", "lane", "own", "doc", "x", "start", "words").mapInArrow(run, "doc long, x int, start long, stop long, h1 long, h2 long")
 
 
-def covered_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS, long: int = LONG) -> tuple[DataFrame, list[str]]:
-    """((doc, x, start, stop), folders): spans of words of docs(doc, x, text) that occur in documents with a smaller doc.
+def covered_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS, long: int = LONG) -> DataFrame:
+    """(doc, x, spans) of those docs(doc, x, text) that have words which occur in documents with a smaller doc: spans of
+    words, (start, stop), that may overlap.
 
-    Rows are told apart by doc and x, a hash of their text. Spans of a row may overlap. The folders hold what the
-    result is read from.
+    Rows are told apart by doc and x, a hash of their text. Every step is a table in the shared folder, and what the step
+    before it needed is dropped.
     """
     spark = docs.sparkSession
     gram = min(gram, window)
     live = docs.where("doc is not null")
-    first = _anchored(live, window, gram).groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("_last")).where("first < _last").select("anchor", "first")
+    first = _anchored(live, window, gram).groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("_last")).where("first < _last").select("anchor", "first", F.lit(0).alias("part"))
+    first, first_at = stored(first, "anchors")
+    release(spark)
     # Anchors of very long documents are dealt to several parts.
-    many = first.groupBy("first").agg(F.ceil(F.count("*") / long).cast("int").alias("parts")).where("parts > 1")
-    first = first.join(many, "first", "left").select("anchor", "first", F.pmod(F.xxhash64("anchor"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    many = cut(first.groupBy("first").agg(F.ceil(F.count("*") / long).cast("int").alias("parts")).where("parts > 1"))
+    if not many.isEmpty():
+        first = first.join(many, "first", "left").select("anchor", "first", F.pmod(F.xxhash64("anchor"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     marks = _anchored(live, window, gram).join(first, "anchor").groupBy("doc", "x").agg(F.collect_list(F.struct("anchor", "first", "part")).alias("marks"))
     marks, marks_at = stored(marks, "marks")
+    drop_folder(spark, first_at)
     release(spark)
     pieces, pieces_at = stored(_stretches(live.join(marks.hint("shuffle_hash"), ["doc", "x"]), window, gram), "stretches")
     drop_folder(spark, marks_at)
     release(spark)
     shards = max(1, -(-(pieces.where("own").agg(F.sum("n_words")).first()[0] or 0) // shard_words))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("first", "part"), F.lit(shards)))
-    wide = dealt.where("not own").groupBy("shard").agg(F.ceil(F.sum("n_words") / stream_words).cast("int").alias("lanes")).where("lanes > 1")
-    dealt = dealt.join(wide, "shard", "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
+    dealt = pieces.withColumns({"shard": F.pmod(F.xxhash64("first", "part"), F.lit(shards)), "lanes": F.lit(1)})
+    wide = cut(dealt.where("not own").groupBy("shard").agg(F.ceil(F.sum("n_words") / stream_words).cast("int").alias("lanes")).where("lanes > 1"))
+    if not wide.isEmpty():
+        dealt = dealt.drop("lanes").join(wide, "shard", "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
     # Stretches of the reference go to every lane of their shard, others to one.
     lanes = F.when(F.col("own"), F.sequence(F.lit(0), F.col("lanes") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "x", "start"), F.col("lanes")).cast("int")))
     rows = dealt.withColumn("lane", F.explode(lanes)).repartition("shard", "lane").sortWithinPartitions("shard", "lane", F.desc("own"), "doc", "start")
@@ -310,7 +316,12 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard
     left = found.where("h1 is not null")
     least = left.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("_last")).where("least < _last").select("h1", "h2", "least")
     late = left.join(least, ["h1", "h2"]).where("doc > least")
-    return found.where("h1 is null").select("doc", "x", "start", "stop").unionByName(late.select("doc", "x", "start", "stop")), [found_at]
+    every = found.where("h1 is null").select("doc", "x", "start", "stop").unionByName(late.select("doc", "x", "start", "stop"))
+    # As many spans as a document has windows.
+    gathered, _ = stored(every.groupBy("doc", "x").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "covered")
+    drop_folder(spark, found_at)
+    release(spark)
+    return gathered
 
 
 def remove_shared(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", **sizes: int) -> DataFrame:
@@ -323,9 +334,7 @@ def remove_shared(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_co
     empty table gives no rows; columns besides the id and text are not looked at.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.hash("text").alias("x"), "text")
-    spans, _ = covered_spans(own, window, gram, **sizes)
-    gathered = spans.groupBy("doc", "x").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = own.join(gathered.hint("shuffle_hash"), ["doc", "x"], "left")
+    joined = own.join(covered_spans(own, window, gram, **sizes).hint("shuffle_hash"), ["doc", "x"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
