@@ -5,28 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoint
+from .ordered import chunks
+
+#: A sentence with more entities than this is dealt to several tasks; sentences of a list that is cut into parts.
+HEAVY, CHUNK = 2000, 10_000
+
 
 def presence(mentions: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id") -> DataFrame:
     """(sentence, entity), each once."""
     return mentions.select(sentence, entity).where(F.col(sentence).isNotNull() & F.col(entity).isNotNull()).distinct()
 
 
-def pairs(present: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id") -> DataFrame:
+def pairs(present: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id", heavy: int = HEAVY) -> DataFrame:
     """(sentence, source_id, target_id) with source_id < target_id, once for each sentence that has both.
 
-    The lists of a sentence's entities are paired in place: one shuffle by sentence, and none for a self-join.
+    The lists of a sentence's entities are paired in place: one shuffle by sentence, and none for a self-join. Sentences
+    of over `heavy` entities are dealt in chunks, every two of which meet in a task of their own.
     """
+    sizes = present.groupBy(sentence).agg(F.count("*").alias("_n"))
+    large = shared_checkpoint(sizes.where(F.col("_n") > heavy).select(sentence, F.ceil(F.col("_n") / heavy).cast("int").alias("_chunks")))
+    if large.isEmpty():
+        return _light(present, sentence, entity)
+    own = present.join(large, sentence).withColumn("_own", F.pmod(F.xxhash64(entity), F.col("_chunks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda c: F.struct(F.least(c, F.col("_own")).alias("a"), F.greatest(c, F.col("_own")).alias("b")))
+    dealt = own.select(sentence, entity, "_own", F.explode(others).alias("_met"))
+    sides = dealt.groupBy(sentence, "_met").agg(*[F.collect_set(F.when(F.col("_own") == F.col("_met")[s], F.col(entity))).alias(f"_{s}") for s in "ab"])
+    first = sides.select(sentence, F.col("_met.a") == F.col("_met.b"), "_b", F.explode("_a").alias("_x")).toDF(sentence, "_same", "_b", "_x")
+    # Within a chunk the greater half is enough.
+    both = first.select(sentence, "_x", F.explode(F.filter("_b", lambda y: ~F.col("_same") | (y > F.col("_x")))).alias("_y"))
+    crossed = both.select(sentence, F.least("_x", "_y").alias("source_id"), F.greatest("_x", "_y").alias("target_id"))
+    return _light(present.join(large, sentence, "left_anti"), sentence, entity).unionByName(crossed)
+
+
+def _light(present: DataFrame, sentence: str, entity: str) -> DataFrame:
     lists = present.groupBy(sentence).agg(F.array_sort(F.collect_set(entity)).alias("_all")).where(F.size("_all") > 1)
     first = lists.select(sentence, "_all", F.posexplode("_all").alias("_p", "source_id"))
     return first.select(sentence, "source_id", F.explode(F.slice("_all", F.col("_p") + 2, F.greatest(F.size("_all") - F.col("_p") - 1, F.lit(0)))).alias("target_id"))
 
 
 def edges(pair_rows: DataFrame, sentence: str = "sentence_id", lists: bool = False) -> DataFrame:
-    """(source_id, target_id, weight), and sorted sentence_ids if asked; an empty input gives an empty frame."""
+    """(source_id, target_id, weight), and sorted sentence_ids if asked; an empty input gives an empty frame.
+
+    A list is one value, however long; edge_sentences() has them in parts.
+    """
     out = [F.count("*").alias("weight")] + ([F.sort_array(F.collect_list(sentence)).alias("sentence_ids")] if lists else [])
     return pair_rows.groupBy("source_id", "target_id").agg(*out)
 
 
+def edge_sentences(pair_rows: DataFrame, sentence: str = "sentence_id", size: int = CHUNK) -> DataFrame:
+    """(source_id, target_id, chunk, sentence_ids): each edge's sentences in order, in numbered lists of up to `size`."""
+    return chunks(pair_rows, ["source_id", "target_id"], sentence, size).withColumnRenamed("values", "sentence_ids")
+
+
 def name_edges(edge_rows: DataFrame, names: DataFrame) -> DataFrame:
     """Edges with source_name and target_name from names(canonical_id, fullname)."""
     for side in ("source", "target"):
@@ -35,11 +66,19 @@ def name_edges(edge_rows: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def occurrences(present: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id", lists: bool = False) -> DataFrame:
-    """(entity, count of its sentences), and their sorted list if asked; sentences with one entity count too."""
+    """(entity, count of its sentences), and their sorted list if asked; sentences with one entity count too.
+
+    A list is one value, however long; occurrence_sentences() has them in parts.
+    """
     out = [F.count("*").alias("count")] + ([F.sort_array(F.collect_list(sentence)).alias("sentence_ids")] if lists else [])
     return present.groupBy(entity).agg(*out)
 
 
+def occurrence_sentences(present: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id", size: int = CHUNK) -> DataFrame:
+    """(entity, chunk, sentence_ids): each entity's sentences in order, in numbered lists of up to `size`."""
+    return chunks(present, [entity], sentence, size).withColumnRenamed("values", "sentence_ids")
+
+
 def top_pairs(edge_rows: DataFrame, k: int = 10) -> DataFrame:
     """The k heaviest edges, ties by ids."""
     return edge_rows.orderBy(F.desc("weight"), "source_id", "target_id").limit(k)

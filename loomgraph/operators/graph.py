@@ -9,6 +9,7 @@ takes either form by a graph's number of nodes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -103,15 +104,30 @@ def closeness(adjacency: np.ndarray) -> np.ndarray:
 
 
 def betweenness(adjacency: np.ndarray, directed: bool = False) -> np.ndarray:
-    """The share of shortest paths (in edges) through each node, over all pairs of others."""
+    """The share of shortest paths (in edges) through each node, over all pairs of others.
+
+    Few paths are followed edge by edge; where nodes times edges are many, paths of a block of sources are counted by
+    matrix products, level by level, over the nodes of a level only.
+    """
     n = len(adjacency)
     out = np.zeros(n)
     if n < 3:
         return out
-    links = [np.flatnonzero(row) for row in adjacency]
+    if n * np.count_nonzero(adjacency) <= FEW_STEPS:
+        _through_edges(adjacency, out)
+    else:
+        links = (adjacency > 0).astype(float)
+        for start in range(0, n, SOURCES):
+            out += _through_levels(links, np.arange(start, min(n, start + SOURCES)))
+    return out / ((n - 1) * (n - 2))
+
+
+def _through_edges(adjacency: np.ndarray, out: np.ndarray) -> None:
+    links = [np.flatnonzero(row).tolist() for row in adjacency]
+    n = len(links)
     for s in range(n):
-        depth, paths, order = np.full(n, -1), np.zeros(n), [s]
-        depth[s], paths[s] = 0, 1
+        depth, paths, order = [-1] * n, [0.0] * n, [s]
+        depth[s], paths[s] = 0, 1.0
         for v in order:
             for w in links[v]:
                 if depth[w] < 0:
@@ -119,14 +135,37 @@ def betweenness(adjacency: np.ndarray, directed: bool = False) -> np.ndarray:
                     order.append(w)
                 if depth[w] == depth[v] + 1:
                     paths[w] += paths[v]
-        through = np.zeros(n)
+        through = [0.0] * n
         for v in reversed(order):
             for w in links[v]:
                 if depth[w] == depth[v] + 1:
                     through[v] += paths[v] / paths[w] * (1 + through[w])
             if v != s:
                 out[v] += through[v]
-    return out / ((n - 1) * (n - 2))
+
+
+def _through_levels(links: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    rows = np.arange(len(sources))
+    depth, paths = np.full((len(sources), len(links)), -1), np.zeros((len(sources), len(links)))
+    depth[rows, sources], paths[rows, sources] = 0, 1
+    front, level = paths.copy(), 0
+    while True:
+        own = np.flatnonzero(front.any(axis=0))
+        ahead = front[:, own] @ links[own]
+        fresh = (ahead > 0) & (depth < 0)
+        if not fresh.any():
+            break
+        level += 1
+        depth[fresh], paths[fresh] = level, ahead[fresh]
+        front = np.where(fresh, ahead, 0)
+    through = np.zeros_like(paths)
+    for at in range(level, 0, -1):
+        here = depth == at
+        own = np.flatnonzero(here.any(axis=0))
+        share = np.divide(1 + through[:, own], paths[:, own], out=np.zeros((len(rows), len(own))), where=here[:, own])
+        through += np.where(depth == at - 1, share @ links[:, own].T * paths, 0)
+    through[rows, sources] = 0
+    return through.sum(axis=0)
 
 
 def eigenvector(adjacency: np.ndarray, rounds: int = 1000, tolerance: float = 1e-12) -> tuple[np.ndarray, bool]:
@@ -161,6 +200,10 @@ MEASURES: dict[str, Callable[[np.ndarray], object]] = {"closeness": closeness, "
 
 #: Graphs of up to so many nodes are measured in a task each.
 SMALL = 2000
+#: Nodes times edges of graphs whose paths are followed edge by edge, and sources whose paths are counted together beyond that.
+FEW_STEPS, SOURCES = 5_000_000, 256
+#: Rows that the state of one batch of sources has at most, for measures by joins.
+STATE_ROWS = 50_000_000
 
 
 def _lengths(edges: DataFrame, keys: list[str], weight: str | None, directed: bool, smallest: bool) -> DataFrame:
@@ -179,16 +222,16 @@ def measure(edges: DataFrame, name: str, keys: list[str], nodes: DataFrame | Non
     isolated nodes; the keys must be given.
     """
     small = SMALL if small is None else small
-    links = shared_checkpoint(_lengths(edges, keys, weight, directed, name == "closeness"))
+    links = _lengths(edges, keys, weight, directed, name == "closeness")
     every = edges.select(*keys, F.explode(F.array(F.col("a").cast("string"), F.col("b").cast("string"))).alias("node"))
     every = every if nodes is None else every.unionByName(nodes.select(*keys, F.col("node").cast("string").alias("node")))
-    every = shared_checkpoint(every.distinct())
-    sizes = every.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = shared_checkpoint(sizes.where(F.col("_n") > small).select(*keys))
+    every = every.distinct()
+    large = shared_checkpoint(every.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > small).select(*keys))
     if large.isEmpty():
         return _in_tasks(links, every, name, keys)
     by = lambda df, how: df.join(large, keys, how)
-    return _in_tasks(by(links, "left_anti"), by(every, "left_anti"), name, keys).unionByName(BY_JOINS[name](by(links, "left_semi"), by(every, "left_semi"), keys))
+    of_large = [shared_checkpoint(by(df, "left_semi")) for df in (links, every)]
+    return _in_tasks(by(links, "left_anti"), by(every, "left_anti"), name, keys).unionByName(BY_JOINS[name](*of_large, keys, directed=directed))
 
 
 def _in_tasks(links: DataFrame, every: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -210,14 +253,15 @@ def _in_tasks(links: DataFrame, every: DataFrame, name: str, keys: list[str]) ->
     return rows.groupBy(*keys).applyInPandas(task, f"{kinds}, node string, value double, converged boolean")
 
 
-def distances(links: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, source, node, d): the least length of a path from source to node, for all pairs that one joins.
+def distances(links: DataFrame, every: DataFrame, keys: list[str], sources: DataFrame | None = None) -> DataFrame:
+    """(keys, source, node, d): the least length of a path from each of sources(keys, node), or of every node, to node, for
+    all pairs that one joins.
 
     links: (keys, a, b, w). Rounds extend what got shorter in the round before, of all sources at once, until nothing
-    does. As many rows as there are pairs, which is what is asked for.
+    does. As many rows as there are pairs of a source and a node.
     """
     step = shared_checkpoint(links.select(*keys, F.col("a").alias("node"), "b", "w"))
-    found = shared_checkpoint(every.select(*keys, F.col("node").alias("source"), "node", F.lit(0.0).alias("d")))
+    found = shared_checkpoint((every if sources is None else sources).select(*keys, F.col("node").alias("source"), "node", F.lit(0.0).alias("d")))
     fresh = found
     while True:
         tried = fresh.join(step, [*keys, "node"]).groupBy(*keys, "source", F.col("b").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("_d"))
@@ -229,45 +273,93 @@ def distances(links: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
         found = merged.select(*keys, "source", "node", F.when(F.col("_new"), F.col("_d")).otherwise(F.col("d")).alias("d"))
 
 
-def closeness_by_joins(links: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
-    """closeness() of graphs of any size."""
-    reach = distances(links, every, keys).groupBy(*keys, "node").agg((F.count("*") - 1).alias("_r"), F.sum("d").alias("_d"))
+def _batches(every: DataFrame, keys: list[str], rows: int, per_word: int = 1) -> list[DataFrame]:
+    """every(keys, node), each with `word` and `bit`, in batches whose sources times nodes (by `per_word`) are about `rows`.
+
+    `per_word` sources of a partition share a word. Only two numbers are collected.
+    """
+    numbered = shared_checkpoint(every.select(*keys, "node").withColumn("_id", F.monotonically_increasing_id()))
+    # An id is the partition's number and, below it, the row's in the partition.
+    numbered = numbered.select(*keys, "node", F.expr(f"_id div {per_word}").alias("word"), (F.col("_id") % per_word).cast("int").alias("bit"))
+    pairs = numbered.groupBy(*keys).agg((F.count("*").cast("double") * F.countDistinct("word")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    count = max(1, int(-(-pairs // rows)))
+    return [numbered] if count == 1 else [numbered.where(F.pmod(F.xxhash64("word"), F.lit(count)) == k) for k in range(count)]
+
+
+def _reach(links: DataFrame, every: DataFrame, keys: list[str], directed: bool, rows: int) -> DataFrame:
+    """(keys, node, _r, _d) by edges: how many other nodes reach it, and the sum of their hops. Sources are bits of words.
+
+    A level is a row for each node and word that has fresh bits: those of the nodes before, put together by OR, less those
+    that the node had. Without directions only the two levels before can have had them.
+    """
+    step = shared_checkpoint(links.select(*keys, F.col("a").alias("node"), F.col("b").alias("next")))
+    parts = []
+    for batch in _batches(every, keys, rows, 64):
+        start = batch.groupBy(*keys, "node", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        levels = [shared_checkpoint(start)]
+        while True:
+            ahead = levels[-1].join(step, [*keys, "node"]).select(*keys, F.col("next").alias("node"), "word", F.col("bits").alias("_new"), F.lit(0).cast("long").alias("_old"))
+            had = reduce(DataFrame.unionByName, levels if directed else levels[-2:]).select(*keys, "node", "word", F.lit(0).cast("long").alias("_new"), F.col("bits").alias("_old"))
+            both = ahead.unionByName(had).groupBy(*keys, "node", "word").agg(F.bit_or("_new").bitwiseAND(F.bitwise_not(F.bit_or("_old"))).alias("bits"))
+            level = shared_checkpoint(both.where("bits <> 0"))
+            if level.isEmpty():
+                break
+            levels.append(level)
+        hops = [x.groupBy(*keys, "node").agg(F.sum(F.bit_count("bits")).cast("long").alias("_r")).withColumn("_d", F.col("_r") * h) for h, x in enumerate(levels)]
+        parts.append(shared_checkpoint(reduce(DataFrame.unionByName, hops[1:]).groupBy(*keys, "node").agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))) if hops[1:] else None)
+    parts = [p for p in parts if p is not None]
+    if not parts:
+        return every.select(*keys, "node", F.lit(0).cast("long").alias("_r"), F.lit(0).cast("long").alias("_d"))
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys, "node").agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))
+
+
+def closeness_by_joins(links: DataFrame, every: DataFrame, keys: list[str], directed: bool = True, rows: int = STATE_ROWS) -> DataFrame:
+    """closeness() of graphs of any size: batches of sources, one after the other, so that no more than `rows` pairs of a
+    source (or of 64, where every edge counts 1) and a node exist at any time."""
+    if links.where("w <> 1").isEmpty():
+        reach = _reach(links, every, keys, directed, rows)
+    else:
+        parts = [shared_checkpoint(distances(links, every, keys, batch).groupBy(*keys, "node").agg((F.count("*") - F.count_if(F.col("source") == F.col("node"))).alias("_r"), F.sum("d").alias("_d"))) for batch in _batches(every, keys, rows)]
+        reach = reduce(DataFrame.unionByName, parts).groupBy(*keys, "node").agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))
     size = every.groupBy(*keys).agg(F.count("*").alias("_n"))
-    joined = reach.join(size, keys) if keys else reach.join(F.broadcast(size))
+    joined = (every.join(size, keys) if keys else every.join(F.broadcast(size))).join(reach, [*keys, "node"], "left")
     value = F.when((F.col("_d") > 0) & (F.col("_n") > 1), F.col("_r") / F.col("_d") * F.col("_r") / (F.col("_n") - 1)).otherwise(0.0)
     return joined.select(*keys, "node", value.alias("value"), F.lit(True).alias("converged"))
 
 
-def betweenness_by_joins(links: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
-    """betweenness() of graphs of any size: shortest paths of all sources are counted level by level, and what passes through
-    a node is gathered from the last level back."""
+def betweenness_by_joins(links: DataFrame, every: DataFrame, keys: list[str], directed: bool = True, rows: int = STATE_ROWS) -> DataFrame:
+    """betweenness() of graphs of any size: shortest paths of a batch of sources are counted level by level, and what passes
+    through a node is gathered from the last level back. No more than `rows` pairs of a source and a node exist at any time."""
     step = shared_checkpoint(links.select(*keys, F.col("a").alias("node"), F.col("b").alias("next")))
     pair = [*keys, "source", "node"]
-    levels = [shared_checkpoint(every.select(*keys, F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
-    found = levels[0].select(*pair)
-    while True:
-        ahead = levels[-1].join(step, [*keys, "node"]).groupBy(*keys, "source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
-        level = shared_checkpoint(ahead.join(found, pair, "left_anti"))
-        if level.isEmpty():
-            break
-        levels.append(level)
-        found = shared_checkpoint(found.unionByName(level.select(*pair)))
-    total = None
-    behind = None  # (pair, paths, through) of the level after
-    for level in reversed(levels[1:]):
-        if behind is None:
-            own = level.withColumn("through", F.lit(0.0))
-        else:
-            # Each node gives its share to those one level nearer to the source that it is reached from.
-            given = behind.select(*keys, "source", F.col("node").alias("next"), ((1 + F.col("through")) / F.col("paths")).alias("_g")).join(step, [*keys, "next"]).groupBy(*pair).agg(F.sum("_g").alias("_g"))
-            own = level.join(given, pair, "left").withColumn("through", F.col("paths") * F.coalesce("_g", F.lit(0.0))).drop("_g")
-        behind = shared_checkpoint(own)
-        part = behind.groupBy(*keys, "node").agg(F.sum("through").alias("_t"))
-        total = part if total is None else total.unionByName(part)
+    total = []
+    for batch in _batches(every, keys, rows):
+        levels = [shared_checkpoint(batch.select(*keys, F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+        while True:
+            ahead = levels[-1].join(step, [*keys, "node"]).groupBy(*keys, "source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+            # Without directions, only the two levels before can have had a node.
+            had = reduce(DataFrame.unionByName, levels if directed else levels[-2:]).select(*pair)
+            level = shared_checkpoint(ahead.join(had, pair, "left_anti"))
+            if level.isEmpty():
+                break
+            levels.append(level)
+        behind = None  # (pair, paths, through) of the level after
+        parts = []
+        for level in reversed(levels[1:]):
+            if behind is None:
+                own = level.withColumn("through", F.lit(0.0))
+            else:
+                # Each node gives its share to those one level nearer to the source that it is reached from.
+                given = behind.select(*keys, "source", F.col("node").alias("next"), ((1 + F.col("through")) / F.col("paths")).alias("_g")).join(step, [*keys, "next"]).groupBy(*pair).agg(F.sum("_g").alias("_g"))
+                own = level.join(given, pair, "left").withColumn("through", F.col("paths") * F.coalesce("_g", F.lit(0.0))).drop("_g")
+            behind = shared_checkpoint(own)
+            parts.append(behind.groupBy(*keys, "node").agg(F.sum("through").alias("_t")))
+        if parts:
+            total.append(shared_checkpoint(reduce(DataFrame.unionByName, parts).groupBy(*keys, "node").agg(F.sum("_t").alias("_t"))))
     size = every.groupBy(*keys).agg(F.count("*").alias("_n"))
     joined = every.join(size, keys) if keys else every.join(F.broadcast(size))
-    if total is not None:
-        joined = joined.join(total.groupBy(*keys, "node").agg(F.sum("_t").alias("_t")), [*keys, "node"], "left")
+    if total:
+        joined = joined.join(reduce(DataFrame.unionByName, total).groupBy(*keys, "node").agg(F.sum("_t").alias("_t")), [*keys, "node"], "left")
     else:
         joined = joined.withColumn("_t", F.lit(0.0))
     value = F.when(F.col("_n") > 2, F.coalesce("_t", F.lit(0.0)) / ((F.col("_n") - 1) * (F.col("_n") - 2))).otherwise(0.0)
@@ -298,12 +390,12 @@ def _iterated(links: DataFrame, every: DataFrame, keys: list[str], start, step,
     return rest if done is None else done.unionByName(rest)
 
 
-def eigenvector_by_joins(links: DataFrame, every: DataFrame, keys: list[str], rounds: int = 1000, tolerance: float = 1e-12) -> DataFrame:
+def eigenvector_by_joins(links: DataFrame, every: DataFrame, keys: list[str], rounds: int = 1000, tolerance: float = 1e-12, directed: bool = True) -> DataFrame:
     """eigenvector() of graphs of any size."""
     return _iterated(links, every, keys, lambda n: 1 / F.sqrt(n), lambda x, s: x + s, True, rounds, tolerance).select(*keys, "node", "value", "converged")
 
 
-def katz_by_joins(links: DataFrame, every: DataFrame, keys: list[str], alpha: float = 0.1, beta: float = 1.0, rounds: int = 1000, tolerance: float = 1e-12) -> DataFrame:
+def katz_by_joins(links: DataFrame, every: DataFrame, keys: list[str], alpha: float = 0.1, beta: float = 1.0, rounds: int = 1000, tolerance: float = 1e-12, directed: bool = True) -> DataFrame:
     """katz() of graphs of any size."""
     found = _iterated(links, every, keys, lambda n: F.lit(0.0), lambda x, s: alpha * s + beta, False, rounds, tolerance)
     norm = found.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_l"))
@@ -336,7 +428,8 @@ def hop_distances(edges: DataFrame, keys: list[str] = [], rounds: int | None = N
 def closeness_at_scale(edges: DataFrame, keys: list[str] = []) -> DataFrame:
     """(keys, node, closeness) of undirected graphs, all by joins."""
     links = _lengths(edges, keys, None, False, True)
-    return closeness_by_joins(shared_checkpoint(links), nodes_of(edges, keys).withColumn("node", F.col("node").cast("string")), keys).select(*keys, "node", F.col("value").alias("closeness"))
+    every = shared_checkpoint(nodes_of(edges, keys).withColumn("node", F.col("node").cast("string")))
+    return closeness_by_joins(shared_checkpoint(links), every, keys, directed=False).select(*keys, "node", F.col("value").alias("closeness"))
 
 
 def evolution(edges: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:

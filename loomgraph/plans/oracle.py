@@ -93,7 +93,26 @@ def _closing(steps: int = 5) -> str:
     return out
 
 
+def _levels(count: int = 8) -> str:
+    """Hops between all nodes of the customers' and suppliers' graph, level by level."""
+    out = """deal AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+e AS MATERIALIZED (SELECT a, b FROM deal UNION ALL SELECT b, a FROM deal), f0 AS MATERIALIZED (SELECT DISTINCT a AS s, a AS t, 0 AS h FROM e), seen0 AS MATERIALIZED (SELECT s, t, h FROM f0)"""
+    for k in range(1, count + 1):
+        out += f""", f{k} AS MATERIALIZED (SELECT s, t, {k} AS h FROM (SELECT DISTINCT s, b AS t FROM f{k - 1} JOIN e ON t = a) ANTI JOIN seen{k - 1} USING (s, t)),
+seen{k} AS MATERIALIZED (SELECT * FROM seen{k - 1} UNION ALL SELECT * FROM f{k})"""
+    return out
+
+
 SQL: dict[str, str] = {
+    "edge_sentence_chunks": f"""WITH {_PAIRS}, placed AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY s) - 1 AS k FROM pairs)
+SELECT source_id, target_id, k // 5 AS chunk, string_agg(s::VARCHAR, ',' ORDER BY s) AS sentence_ids FROM placed GROUP BY ALL""",
+    "occurrence_sentence_chunks": f"""WITH {_PRESENT}, placed AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY s) - 1 AS k FROM present)
+SELECT e AS canonical_id, k // 50 AS chunk, string_agg(s::VARCHAR, ',' ORDER BY s) AS sentence_ids FROM placed GROUP BY ALL""",
+    "marker_ranges": """WITH marks AS (SELECT row_number() OVER w - 1 AS section, event_id AS begin, lead(event_id) OVER w - 1 AS next FROM events WHERE event_type = 'signup' WINDOW w AS (ORDER BY event_id))
+SELECT section::INTEGER AS section, begin + CASE WHEN section = 0 THEN 3 ELSE 1 END AS lo, coalesce(next, (SELECT max(event_id) FROM events)) AS hi FROM marks""",
+    "span_runs": f"""WITH {_SPANS}, placed AS (SELECT *, token_id - row_number() OVER (PARTITION BY coref ORDER BY token_id) AS g FROM token_map)
+SELECT min(token_id) AS lo, max(token_id) AS hi, coref FROM placed GROUP BY coref, g""",
+    "closeness_of_traders": f"WITH {_levels()} SELECT t AS node, round((count(*) - 1) / sum(h) * (count(*) - 1) / ((SELECT count(*) FROM f0) - 1), 6) AS closeness FROM seen8 GROUP BY t",
     "cooccurrence_edges": f"WITH {_EDGES} SELECT * FROM edges",
     "occurrence_counts": f'WITH {_PRESENT} SELECT e AS canonical_id, count(*) AS "count" FROM present GROUP BY ALL',
     "edges_with_sentence_list": f"WITH {_PAIRS} SELECT source_id, target_id, count(*) AS weight, string_agg(s::VARCHAR, ',' ORDER BY s) AS sentence_ids FROM pairs GROUP BY ALL",

@@ -51,7 +51,7 @@ def subject_object_triples(tokens: DataFrame, entities: DataFrame, summary: Data
     entities: coref, start_token, end_token, pos (its order).
     """
     raw = shared_checkpoint(deps.chunked(deps.svo_triples(tokens)).withColumn("key", F.monotonically_increasing_id()))
-    token_map = spans.span_token_map(entities)
+    token_map = shared_checkpoint(spans.span_runs(entities))
     lookup = spans.coref_to_canonical(summary)
     out = raw
     for part, end, role in (("subject", "_left", "subject"), ("object", "_right", "object")):

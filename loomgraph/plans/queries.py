@@ -50,6 +50,16 @@ def edges_with_sentence_list(spark, d):
     return _listed(cooccur.edges(cooccur.pairs(cooccur.presence(t.mentions(spark, d))), lists=True), "sentence_ids")
 
 
+@query
+def edge_sentence_chunks(spark, d):
+    return _listed(cooccur.edge_sentences(cooccur.pairs(cooccur.presence(t.mentions(spark, d))), size=5), "sentence_ids")
+
+
+@query
+def occurrence_sentence_chunks(spark, d):
+    return _listed(cooccur.occurrence_sentences(cooccur.presence(t.mentions(spark, d)), size=50), "sentence_ids")
+
+
 @query
 def top_pairs(spark, d):
     return cooccur.top_pairs(cooccurrence_edges(spark, d))
@@ -82,6 +92,12 @@ def chapter_ranges(spark, d):
     return sections.ranges_from_markers(table(spark, d, "events"), F.col("event_type") == "signup", "event_id", ["user_id"], {0: 3}, 1)
 
 
+@query
+def marker_ranges(spark, d):
+    """Ranges between markers of the whole table, without a key."""
+    return sections.ranges_from_markers(table(spark, d, "events"), F.col("event_type") == "signup", "event_id", [], {0: 3}, 1)
+
+
 @query
 def directed_labelled_edges(spark, d):
     triples = events.avp_triples(t.role_events(spark, d)).join(t.order_tokens(spark, d).select(F.col("token_id").alias("index"), "lemma"), "index")
@@ -253,6 +269,11 @@ def span_token_map(spark, d):
     return spans.span_token_map(_spans(spark, d))
 
 
+@query
+def span_runs(spark, d):
+    return spans.span_runs(_spans(spark, d))
+
+
 def _summary(spark, d):
     n = table(spark, d, "nation")
     return n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("original_ids"), F.min("n_name").alias("fullname")).selectExpr("n_regionkey as canonical_id", "fullname", "original_ids", "cast(n_regionkey as double) as avg_score")
@@ -366,6 +387,12 @@ def closeness_by_joins(spark, d):
     return _places(graph.closeness_at_scale(t.ring(spark, d), ["section"]), "closeness")
 
 
+@query
+def closeness_of_traders(spark, d):
+    """A graph that grows with the tables, by frontiers of 64 sources a word."""
+    return _places(graph.closeness_at_scale(t.dealings(spark, d)), "closeness")
+
+
 @query
 def closeness_directed(spark, d):
     e = t.ring(spark, d).distinct()

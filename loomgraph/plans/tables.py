@@ -59,6 +59,12 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
     return o.join(s, F.col("o_orderkey") == F.col("l_orderkey")).select("year", "a", "b")
 
 
+def dealings(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between customers and the suppliers of their orders' lines: a graph that grows with the tables."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), F.col("o_custkey")).alias("a"))
+    return o.join(table(spark, d, "lineitem"), "l_orderkey").select("a", F.concat(F.lit("s"), F.col("l_suppkey")).alias("b"))
+
+
 #: Words of a part, in the order of its clause's tokens: (word, part of speech, relation, head), by kind of clause. All are
 #: negated by a last token in every seventh. Words in angle brackets are those of the part's brand and type, if it has as many.
 CLAUSES = (

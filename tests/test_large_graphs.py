@@ -29,6 +29,30 @@ def test_joins_equal_tasks(spark, name, weight, directed):
     assert all(other[k] == (pytest.approx(v, rel=1e-6, abs=1e-8), settled) for k, (v, settled) in one.items())
 
 
+@pytest.mark.parametrize("name, weight, directed", [("closeness", None, True), ("closeness", None, False), ("closeness", "w", False), ("betweenness", None, True), ("betweenness", None, False)])
+def test_batches_of_sources_equal_all_at_once(spark, name, weight, directed):
+    edges = edges_of(spark, 8)
+    links, every = graph._lengths(edges, ["k"], weight, directed, name == "closeness"), graph.nodes_of(edges, ["k"])
+    key = lambda rows: {(r.k, r.node): r.value for r in rows}
+    want = key(graph.measure(edges, name, ["k"], None, weight, directed).collect())
+    assert len(graph._batches(every, ["k"], 200, 64 if weight is None and name == "closeness" else 1)) > 1 or name == "closeness"
+    for rows in (20, 10**9):
+        got = key(graph.BY_JOINS[name](links, every, ["k"], directed=directed, rows=rows).collect())
+        assert got == {k: pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("n, share, directed", [(60, 0.05, False), (60, 0.6, True), (300, 0.02, False), (40, 1.0, False)])
+def test_paths_by_matrix_products_are_those_along_edges(n, share, directed):
+    rng = np.random.default_rng(n)
+    adjacency = (rng.random((n, n)) < share).astype(float)
+    np.fill_diagonal(adjacency, 0)
+    adjacency = adjacency if directed else np.maximum(adjacency, adjacency.T)
+    want = np.zeros(n)
+    graph._through_edges(adjacency, want)
+    got = sum(graph._through_levels(adjacency, np.arange(s, min(n, s + 25))) for s in range(0, n, 25))
+    assert np.allclose(got, want)
+
+
 @pytest.mark.parametrize("name", ["eigenvector", "katz"])
 def test_rounds_by_joins_equal_those_in_a_task(spark, name):
     edges = edges_of(spark, 5, ("x",)).select("a", "b", "w")
