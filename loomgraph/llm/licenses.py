@@ -4,17 +4,21 @@ Comment marks at beginnings of lines are dropped, and a text is cut into sentenc
 cut at empty lines, before numbered clauses, after colons at ends of lines, and after closing marks before a capital),
 and by lines (each line a text of its own, so that notices of one line are found among others). Sentences are
 normalised (lower case, runs of anything but letters and digits as one space) and looked up among known licence
-sentences. What remains is a sequence of sentence numbers for either way; a rule is an ordered sequence of numbers and
-matches where it stands in one of them without a known sentence between. A rule that is part of a longer rule that
-matches too isn't reported.
+sentences, some of which have a slot for a name. What remains is a sequence of sentence numbers for either way; a rule is
+an ordered sequence of numbers and matches where it stands in one of them without a known sentence between. Rules of
+licences that others extend by a clause (STRICT) match only if no unknown sentence stands between or follows either. A rule
+that is part of a longer rule that matches too isn't reported.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of published licence notices, in normalised form. A sentence's number is its place here, from 1.
+# Sentences of published licence notices, in normalised form, with * for a name. A sentence's number is its
+# place here, from 1.
 SENTENCES = (
     "licensed under the apache license version 2 0",
     "you may not use this file except in compliance with the license",
@@ -26,14 +30,14 @@ SENTENCES = (
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "in no event shall * be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "this work is licensed under the gnu general public license version 3",
     "this work is licensed under the gnu general public license version 2",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "* is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "* is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "* is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "see the gnu general public license for more details",
-    "you should have received a copy of the gnu general public license along with this program",
+    "you should have received a copy of the gnu general public license along with *",
     "licensed under cc by nc 4 0",
     "licensed under cc by 4 0",
     "licensed under cc by sa 4 0",
@@ -50,13 +54,26 @@ SENTENCES = (
     "if not see http www gnu org licenses",
     "you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa",
     "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
-    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
-    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
-    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "in no event shall * be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "the software is provided as is and * disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "in no event shall * be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "* is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2",
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "* is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "* is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "* is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "* is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "see the gnu lesser general public license for more details",
+    "see the gnu affero general public license for more details",
+    "you should have received a copy of the gnu lesser general public license along with *",
+    "you should have received a copy of the gnu affero general public license along with *",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 *",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 *",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 *",
+    "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "distributed under the boost software license version 1 0",
 )
 
 # Fixed values: (licence, the numbers of its sentences, in order).
@@ -101,13 +118,33 @@ RULES = (
     ("gpl-2.0-only", (40,)),
     ("gpl-2.0-only", (40, 16, 17, 18)),
     ("gpl-2.0-only", (40, 16, 17, 33)),
+    ("lgpl-2.1-or-later", (42,)),
+    ("lgpl-2.1-or-later", (42, 16, 46, 48)),
+    ("lgpl-3.0-or-later", (43,)),
+    ("lgpl-3.0-or-later", (43, 16, 46, 48)),
+    ("lgpl-2.0-or-later", (44,)),
+    ("agpl-3.0-or-later", (45,)),
+    ("agpl-3.0-or-later", (45, 16, 47, 49)),
+    ("epl-1.0", (50,)),
+    ("epl-2.0", (51,)),
+    ("epl-2.0", (52,)),
+    ("bsd-3-clause", (25, 26, 27, 53)),
+    ("bsd-3-clause", (25, 26, 27, 53, 36, 37)),
+    ("bsl-1.0", (54,)),
 )
 
+# Licences that others have all sentences of.
+STRICT = ("bsd-2-clause",)
+# Identifiers that notices without sentences give, besides the names above.
+IDENTIFIERS = ("0bsd", "agpl-3.0-only", "cc0-1.0", "gpl-3.0-only", "lgpl-2.1-only", "lgpl-3.0-only", "zlib")
+
 # Steps of cutting, in order: (pattern, what stands for it), with \x01 between sentences.
 _START = (("\\r\\n?", "\n"), ("(^|\\n)[ \\t]*(?:/\\*+|\\*+/?|#+|//+|;+|%+|--+|<!--+)[ \\t]*", "{1}"))
 _JOINED = ((":[ \\t]*\\n", ":\x01"), ("\\n[ \\t]*(\\(?[0-9]{1,2}[.)])", "\x01{1}"), ("\\n[ \\t]*\\n", "\x01"), ("\\n", " "))
 _LINES = (("\\n", "\x01"),)
 _ENDS = (("([.!?][\"')\\]]*)[ \\t]+([\"'(\\[]?\\p{Lu})", "{1}\x01{2}"),)
+#: The longest name in a slot.
+SLOT = 200
 _FLAT = "[^\\p{L}\\p{N}\x01]+"
 
 
@@ -119,11 +156,38 @@ def sentences(text: Column, steps: tuple) -> Column:
     return F.coalesce(F.transform(F.split(flat, "\x01", -1), lambda s: F.trim(s)), F.array().cast("array<string>"))
 
 
-def _sequence(numbers) -> str:
-    return "," + ",".join(map(str, numbers)) + ","
+def _identified(known: tuple[str, ...], rules: tuple) -> tuple[tuple[str, ...], tuple]:
+    """Sentences and rules with those of SPDX lines for every licence: one identifier alone, no expressions."""
+    names = sorted({name for name, _ in rules} | set(IDENTIFIERS))
+    lines = tuple(f"spdx license identifier {' '.join(re.split('[^a-z0-9]+', name))}" for name in names)
+    return known + lines, rules + tuple((name, (n,)) for n, name in enumerate(names, len(known) + 1))
+
+
+KNOWN, ALL_RULES = _identified(SENTENCES, RULES)
+
+
+def _sequence(name: str, numbers) -> str:
+    """A strict rule of sentences that others go on after ends with the text, or with the sentence that it gives last."""
+    found = "," + ",".join(map(str, numbers)) + ","
+    return found + "|" if name in STRICT and len(numbers) == 3 else found
+
+
+def _slots(known: tuple[str, ...]) -> list[tuple[int, str, str]]:
+    """(number, what stands before the name, what stands after it)."""
+    return [(n, *s.split("*")) for n, s in enumerate(known, 1) if "*" in s]
+
+
+def number(sentence: Column, known: tuple[str, ...]) -> Column:
+    """The number of a known sentence, else 0; names in slots have up to SLOT characters."""
+    at = F.array_position(F.array(*[F.lit(s) for s in known]), sentence)
+    slot = F.lit(0).cast("long")
+    for n, head, tail in reversed(_slots(known)):
+        fits = F.length(sentence).between(len(head + tail) + 1, len(head + tail) + SLOT)
+        slot = F.when(F.startswith(sentence, F.lit(head)) & F.endswith(sentence, F.lit(tail)) & fits, F.lit(n).cast("long")).otherwise(slot)
+    return F.when(at > 0, at).otherwise(slot)
 
 
-def recognise(docs: DataFrame, id_col: str = "doc_id", known: tuple[str, ...] = SENTENCES, rules: tuple = RULES) -> DataFrame:
+def recognise(docs: DataFrame, id_col: str = "doc_id", known: tuple[str, ...] = KNOWN, rules: tuple = ALL_RULES) -> DataFrame:
     """One row per row of docs: doc_id, n_sentences, sentence_ids, line_ids, n_rules, licenses, in its order of rows.
 
     sentence_ids and line_ids are numbers of known sentences in text order, comma-joined, by either way of cutting;
@@ -132,18 +196,20 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", known: tuple[str, ...] =
     length are cut whole; an empty table gives no rows. No row leaves its partition, so hot keys and repeated rows
     don't matter; other columns are not looked at.
     """
-    table = F.array(*[F.lit(s) for s in known])
     plain = F.col("text")
     for pattern, mark in _START:
         plain = F.regexp_replace(plain, pattern, mark.replace("{1}", "$1"))
     found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), plain.alias("plain"))
-    numbers = lambda steps: F.filter(F.transform(sentences(F.col("plain"), steps), lambda s: F.array_position(table, s)), lambda n: n > 0)
-    found = found.select("doc_id", numbers(_JOINED + _ENDS).alias("by_sentence"), numbers(_LINES + _ENDS).alias("by_line"))
-    found = found.select("doc_id", F.greatest(F.size("by_sentence"), F.size("by_line")).cast("long").alias("n_sentences"), F.array_join("by_sentence", ",").alias("sentence_ids"), F.array_join("by_line", ",").alias("line_ids"))
+    # Numbers of clauses, and addresses on lines of their own, are no sentences.
+    numbers = lambda steps: F.transform(F.filter(sentences(F.col("plain"), steps), lambda s: (F.length(s) > 3) & ~F.startswith(s, F.lit("http"))), lambda s: number(s, known))
+    found = found.select("doc_id", numbers(_JOINED + _ENDS).alias("all_sentences"), numbers(_LINES + _ENDS).alias("all_lines"))
+    found = found.select("*", *[F.filter(f"all_{way}", lambda n: n > 0).alias(way) for way in ("sentences", "lines")])
+    found = found.select("doc_id", *[F.when(F.size(way) > 0, F.concat(F.lit(","), F.array_join(f"all_{way}", ","), F.lit(",|"))).otherwise("").alias(f"all_{way}") for way in ("sentences", "lines")], F.greatest(F.size("sentences"), F.size("lines")).cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentence_ids"), F.array_join("lines", ",").alias("line_ids"))
     lines = F.concat(F.lit(","), "sentence_ids", F.lit(",|,"), "line_ids", F.lit(","))
-    every = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(seq)).alias("seq")) for name, seq in rules])
-    matched = F.filter(every, lambda r: (F.col("n_sentences") > 0) & F.contains(lines, r["seq"]))
-    found = found.withColumn("matched", matched)
+    every = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(name, seq)).alias("seq"), F.lit(name in STRICT).alias("strict")) for name, seq in rules])
+    whole = F.concat("all_sentences", "all_lines")
+    matched = F.when(F.col("n_sentences") > 0, F.filter(every, lambda r: F.when(r["strict"], F.contains(whole, r["seq"])).otherwise(F.contains(lines, r["seq"]))))
+    found = found.withColumn("matched", F.coalesce(matched, F.filter(every, lambda r: F.lit(False))))
     longest = F.filter("matched", lambda r: ~F.exists("matched", lambda o: (o["seq"] != r["seq"]) & F.contains(o["seq"], r["seq"])))
     return found.withColumn("matched", longest).select(
         "doc_id",
@@ -155,7 +221,7 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", known: tuple[str, ...] =
     )
 
 
-def sql(table: str = "documents", known: tuple[str, ...] = SENTENCES, rules: tuple = RULES) -> str:
+def sql(table: str = "documents", known: tuple[str, ...] = KNOWN, rules: tuple = ALL_RULES) -> str:
     """The same rows in DuckDB's SQL, by joins with tables of sentences and rules."""
 
     def replaced(text: str, steps: tuple) -> str:
@@ -169,13 +235,16 @@ def sql(table: str = "documents", known: tuple[str, ...] = SENTENCES, rules: tup
         for way, steps in (("sentence", _JOINED), ("line", _LINES))
     )
     return f"""
-WITH known(number, sentence) AS (VALUES {", ".join(f"({n}, '{s}')" for n, s in enumerate(known, 1))}),
-rules(name, seq) AS (VALUES {", ".join(f"('{name}', '{_sequence(seq)}')" for name, seq in rules)}),
+WITH known(number, sentence) AS (VALUES {", ".join(f"({n}, '{s}')" for n, s in enumerate(known, 1) if "*" not in s)}),
+slots(number, head, tail) AS (VALUES {", ".join(f"({n}, '{head}', '{tail}')" for n, head, tail in _slots(known)) or "(0, 'x', 'x')"}),
+rules(name, seq, strict) AS (VALUES {", ".join(f"('{name}', '{_sequence(name, seq)}', {name in STRICT})" for name, seq in rules)}),
 texts AS (SELECT row_number() OVER () AS row, doc_id, {replaced("coalesce(text, '')", _START)} AS plain FROM {table}),
 ways AS ({ways}),
 parts AS (SELECT row, way, generate_subscripts(parts, 1) AS i, trim(unnest(parts)) AS sentence FROM ways),
-ids AS (SELECT row, way, string_agg(number, ',' ORDER BY i) AS ids, count(*) AS n FROM parts JOIN known USING (sentence) GROUP BY row, way),
-hits AS (SELECT DISTINCT row, name, seq FROM ids JOIN rules ON contains(',' || ids || ',', seq)),
+slotted AS (SELECT sentence, min(number) AS number FROM (SELECT DISTINCT sentence FROM parts) JOIN slots ON starts_with(sentence, head) AND ends_with(sentence, tail) AND length(sentence) - length(head) - length(tail) BETWEEN 1 AND {SLOT} GROUP BY sentence),
+found AS (SELECT row, way, i, coalesce(k.number, s.number) AS number FROM parts p LEFT JOIN known k USING (sentence) LEFT JOIN slotted s USING (sentence) WHERE length(sentence) > 3 AND NOT starts_with(sentence, 'http')),
+ids AS (SELECT row, way, string_agg(number, ',' ORDER BY i) AS ids, count(number) AS n, ',' || string_agg(coalesce(number, 0), ',' ORDER BY i) || ',|' AS whole FROM found GROUP BY row, way HAVING count(number) > 0),
+hits AS (SELECT DISTINCT row, name, seq FROM ids JOIN rules ON CASE WHEN strict THEN contains(whole, seq) ELSE contains(',' || ids || ',', seq) END),
 longest AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.row = h.row AND o.seq <> h.seq AND contains(o.seq, h.seq))),
 named AS (SELECT row, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM longest GROUP BY row)
 SELECT doc_id, greatest(coalesce(a.n, 0), coalesce(b.n, 0))::BIGINT AS n_sentences, coalesce(a.ids, '') AS sentence_ids, coalesce(b.ids, '') AS line_ids,
