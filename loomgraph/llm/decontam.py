@@ -296,15 +296,17 @@ def _passes(benchmark: DataFrame, edits: float, group_chars: int) -> Iterator[tu
     named = benchmark.where("item_id is not null").select("item_id", "text")
     unnamed = benchmark.where("item_id is null").select("item_id", "text").join(named.select("text").distinct(), "text", "left_anti")
     every = named.unionByName(unnamed)
-    group = F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(groups))
+    # Passages of one item may fall in several groups.
+    group = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
     for g in range(groups):
-        # Bounded: a group has about group_chars characters of passages.
+        # Bounded: a group has about group_chars characters of passages, however they share items.
         rows = every.where(group == g).distinct().orderBy("item_id", "text").collect()
         yield build([r.item_id for r in rows], [r.text for r in rows], edits), groups
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: str = "doc_id", group_chars: int = GROUP_CHARS) -> DataFrame:
-    """(row, doc_id, item_id, edits, start, end): the best place of each passage in each row of docs that has it.
+    """(doc_id, item_id, edits, start, end): the best place of each item in each row of docs that has it; one for each group
+    of passages that has some of the item's.
 
     Passages without an id are found as item null, or under the id of an item that has the same text.
     """

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, idcodec, mixing, simhash
 from loomgraph.llm.queries import tokenizer_path
@@ -246,15 +247,30 @@ def test_budgets_that_no_exponent_meets(spark):
     assert sum(r.copies for r in mixing.plan(docs, max_repeats=0.6, budget=3.0).collect()) == 2
 
 
-def test_small_sources_are_mixed_as_one(spark, monkeypatch):
+@pytest.mark.parametrize("asked", [{"target": None, "max_repeats": None, "budget": 400.0}, {"target": 0.95, "max_repeats": 3.0, "budget": "total"}, {"target": 0.9, "max_repeats": 1.5, "budget": None}])
+def test_more_sources_than_are_collected(spark, monkeypatch, asked):
+    """Their quotas are found by sums over a table, and are the same; every row keeps its source."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), f"s{min(i % 10, 6)}") for i in range(200)] + [(900, "", "none"), (901, "a b", None)], "doc_id long, text string, source string")
+    few = {r.doc_id: r for r in mixing.plan(docs, block_tokens=20, **asked).collect()}
     monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), f"s{min(i % 10, 6)}") for i in range(200)], "doc_id long, text string, source string")
-    got = mixing.plan(docs, target=None, max_repeats=None, budget=400.0, block_tokens=20).collect()
-    assert len(got) == 200 and len({r.source for r in got}) == 4 and mixing.OTHERS in {r.source for r in got}
-    have = Counter()
-    for r in got:
-        have[r.source] += r.n_tokens * r.copies
-    assert all(abs(n - 100) <= 6 for n in have.values())
+    many = {r.doc_id: r for r in mixing.plan(docs, block_tokens=20, **asked).collect()}
+    assert {r.doc_id: r.source or "" for r in docs.collect()} == {i: r.source for i, r in many.items()}
+    assert few.keys() == many.keys()
+    for i, r in few.items():
+        assert (r.copies, r.block, r.place) == (many[i].copies, many[i].block, many[i].place) and many[i].weight == pytest.approx(r.weight, abs=1e-12)
+    assert sum(r.copies for r in many.values()) == mixing.realise(docs, block_tokens=20, **asked).count()
+
+
+def test_passages_of_one_item_fall_in_several_groups(spark, monkeypatch):
+    texts = [f"passage number {i} has words {i * 7919} of its own and ends with {i * 104729}" for i in range(60)]
+    bench = spark.createDataFrame([(7, t) for t in texts], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(99, "clean words")], "doc_id long, text string")
+    built = []
+    monkeypatch.setattr(decontam, "build", lambda items, own, edits, f=decontam.build: built.append(len(own)) or f(items, own, edits))
+    got = {r.doc_id: (r.item_ids, r.contaminated) for r in decontam.summary(docs, bench.repartition(3)).collect()}
+    assert built == [60]
+    assert got == {r.doc_id: (r.item_ids, r.contaminated) for r in decontam.matches(docs, bench, group_chars=500).groupBy("doc_id").agg(F.first("item_id").cast("string").alias("item_ids"), F.lit(True).alias("contaminated")).collect()} | {99: ("", False)}
+    assert len(built) > 5 and max(built[1:]) < 30
 
 
 def test_pipeline(spark, tmp_path):
