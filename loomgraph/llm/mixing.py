@@ -17,11 +17,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_by
 
-#: Token counts of so many sources are collected; the smallest ones beyond that are mixed as one.
+#: Token counts of up to so many sources are collected; those of more are summed where they are.
 MAX_SOURCES = 100_000
-OTHERS = "\u0001others"
 #: Tokens of a block, or more in sources that would have over MAX_BLOCKS.
 BLOCK_TOKENS, MAX_BLOCKS = 200_000, 1 << 16
 STEPS = 60
@@ -50,11 +49,53 @@ def repeats(tokens: list[int], shares: list[float], budget: float | None) -> lis
     return [budget * r for r in rate]
 
 
+class _Sizes:
+    """Token counts of sources: what exponents are found from."""
+
+    def __init__(self, tokens: list[int]):
+        self.tokens = [t for t in tokens if t]
+        self.live, self.total = len(self.tokens), sum(self.tokens)
+        self.least, self.most = min(self.tokens, default=0), max(self.tokens, default=0)
+
+    def sums(self, e: float) -> tuple[float, float]:
+        """Of shares to the power of e: their sum, and that of them times the logarithms of the shares."""
+        shares = [t / self.total for t in self.tokens]
+        return math.fsum(s**e for s in shares), math.fsum(s**e * math.log(s) for s in shares)
+
+
+class _TableSizes(_Sizes):
+    """The same from a table (source, n) of any length: two sums for each exponent that is tried."""
+
+    def __init__(self, sizes: DataFrame):
+        self.sizes = sizes.where("n > 0")
+        row = self.sizes.agg(F.count("*"), F.sum("n"), F.min("n"), F.max("n")).first()
+        self.live, self.total, self.least, self.most = row[0], row[1] or 0, row[2] or 0, row[3] or 0
+
+    def sums(self, e: float) -> tuple[float, float]:
+        share = F.col("n") / float(self.total)
+        return tuple(self.sizes.agg(F.sum(F.pow(share, F.lit(e))), F.sum(F.pow(share, F.lit(e)) * F.log(share))).first())
+
+
+def _entropy(sizes: _Sizes, e: float) -> float:
+    z, logs = sizes.sums(e)
+    return math.log(z) - e * logs / z
+
+
+def _most_repeats(sizes: _Sizes, e: float, budget: float | None) -> float:
+    """Passes over the smallest source, which is passed most often."""
+    z, _ = sizes.sums(e)
+    rate = lambda t: (t / sizes.total) ** e / z / t
+    return (1 / rate(sizes.most) if budget is None else budget) * rate(sizes.least)
+
+
 def exponent(tokens: list[int], target: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> float:
     """The largest exponent in [0, 1] with weights of `target` times the greatest possible entropy, or as much larger as
     `max_repeats` asks. 1 keeps the sources' own shares, 0 makes them alike."""
-    live = sum(t > 0 for t in tokens)
-    if live < 2:
+    return _exponent(_Sizes(tokens), target, max_repeats, budget)
+
+
+def _exponent(sizes: _Sizes, target: float | None, max_repeats: float | None, budget: float | None) -> float:
+    if sizes.live < 2:
         return 1.0
 
     def bisect(good) -> float:
@@ -67,9 +108,9 @@ def exponent(tokens: list[int], target: float | None = None, max_repeats: float
             low, high = (mid, high) if good(mid) else (low, mid)
         return low
 
-    found = 0.0 if target is None else bisect(lambda e: entropy(weights(tokens, e)) >= target * math.log(live))
+    found = 0.0 if target is None else bisect(lambda e: _entropy(sizes, e) >= target * math.log(sizes.live))
     if max_repeats is not None:
-        fits = lambda e: max(repeats(tokens, weights(tokens, e), budget)) <= max_repeats
+        fits = lambda e: _most_repeats(sizes, e, budget) <= max_repeats
         if not fits(found):
             # Repeats fall as the exponent grows; at 1 all are alike.
             found = max(found, 1 - bisect(lambda d: fits(1 - d)))
@@ -88,36 +129,35 @@ def _place(seed: str, *parts: Column) -> Column:
 
 
 class _Quotas:
-    """What is asked of every source, by its name, and of the others together; few enough to be sent to all tasks."""
+    """What is asked of every source: (source, n, weight, whole, rest, blocks)."""
 
     def __init__(self, counted: DataFrame, target: float | None, max_repeats: float | None, budget: float | None | str, block_tokens: int):
-        sizes = counted.groupBy("source").agg(F.sum("n_tokens").alias("n"))
-        rows = sizes.orderBy(F.desc("n"), "source").limit(MAX_SOURCES).collect()
-        named = sorted((r.source, r.n) for r in rows)
-        rest = sizes.agg(F.count("*"), F.sum("n")).first()
-        others = (rest[1] or 0) - sum(n for _, n in named)
-        every = named + ([(OTHERS, others)] if rest[0] > len(named) else [])
-        tokens = [n for _, n in every]
-        total = sum(tokens)
-        asked = float(total) if budget == "total" else budget
-        shares, passes = [0.0] * len(every), [1.0] * len(every)
-        if total:
-            shares = weights(tokens, exponent(tokens, target, max_repeats, asked))
-            passes = repeats(tokens, shares, asked)
-            if max_repeats is not None and max(passes) > max_repeats * (1 + 1e-9):
-                raise ValueError(f"whatever the exponent, some source is passed {max(passes):g} times, not {max_repeats:g} at most: the budget is too large")
-        table = [(name, w, int(p + 1e-9) if t else 1, max(0, round((p - int(p + 1e-9)) * t)) if t else 0, max(1, min(MAX_BLOCKS, -(-t // block_tokens)))) for (name, t), w, p in zip(every, shares, passes)]
-        self.others = table.pop() if len(every) > len(named) else None
-        # At most MAX_SOURCES rows.
-        self.table = F.broadcast(counted.sparkSession.createDataFrame(table, "source string, weight double, whole long, rest long, blocks long"))
+        sizes = cut(counted.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")))
+        some = sizes.select("n").limit(MAX_SOURCES + 1).collect()
+        own = _Sizes([r.n for r in some]) if len(some) <= MAX_SOURCES else _TableSizes(sizes)
+        asked = float(own.total) if budget == "total" else budget
+        if own.total:
+            e = _exponent(own, target, max_repeats, asked)
+            z, _ = own.sums(e)
+            # A budget of None passes the largest source once.
+            asked = 1 / ((own.most / own.total) ** e / z / own.most) if asked is None else asked
+            if max_repeats is not None and (most := _most_repeats(own, e, asked)) > max_repeats * (1 + 1e-9):
+                raise ValueError(f"whatever the exponent, some source is passed {most:g} times, not {max_repeats:g} at most: the budget is too large")
+            weight = F.when(F.col("n") > 0, F.pow(F.col("n") / F.lit(float(own.total)), F.lit(e)) / z).otherwise(0.0)
+        else:
+            weight = F.lit(0.0)
+        passes = F.when(F.col("n") > 0, F.lit(float(asked or 0)) * (F.col("weight") / F.col("n"))).otherwise(1.0)
+        rows = sizes.withColumn("weight", weight).withColumn("p", passes).withColumn("whole", F.floor(F.col("p") + 1e-9).cast("long"))
+        rest = F.when(F.col("n") > 0, F.greatest(F.bround((F.col("p") - F.col("whole")) * F.col("n")).cast("long"), F.lit(0))).otherwise(0).cast("long")
+        blocks = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n") / block_tokens))).cast("long")
+        self.table = cut(rows.select("source", "rows", "weight", "whole", rest.alias("rest"), blocks.alias("blocks")))
+        self.few = len(some) <= MAX_SOURCES
 
     def dealt(self, rows: DataFrame) -> DataFrame:
-        """rows(key, source, ...) with the weight, whole, rest and block of each; sources without a quota of their own are OTHERS."""
-        if self.others is None:
-            found = rows.join(self.table, "source")
-        else:
-            found = rows.join(self.table.withColumn("_own", F.lit(True)), "source", "left").withColumns({"source": F.when(F.col("_own"), F.col("source")).otherwise(OTHERS), **{c: F.coalesce(c, F.lit(v)) for c, v in zip(("weight", "whole", "rest", "blocks"), self.others[1:])}}).drop("_own")
-        return found.withColumn("block", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("blocks")).drop("blocks")
+        """rows(key, source, ...) with the weight, whole, rest and block of each."""
+        # At most MAX_SOURCES rows are broadcast; of more, those of sources with very many rows.
+        found = rows.join(F.broadcast(self.table), "source") if self.few else join_by(rows, self.table, ["source"], "rows")
+        return found.withColumn("block", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("blocks")).drop("blocks", "rows")
 
     def marks(self, counted: DataFrame, seed: str) -> DataFrame:
         """(source, block, before, size, last): tokens of the blocks before it in the permutation, its own, and the key up to
