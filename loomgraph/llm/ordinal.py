@@ -22,6 +22,8 @@ SPACE = 1 << 18
 FIT_LIMIT, FIT_CHARS = 800, 2_500_000
 #: Shares are multiplied by this, so that steps on them are of the thresholds' size.
 SCALE = 10.0
+#: Thresholds differ by this at least.
+APART = 1e-3
 
 _SHAPE = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[0-9]+"), "9"))
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -70,7 +72,8 @@ class Grader:
 
 
 def fit(texts: list[str], ratings: list[int], rounds: int = 120, ridge: float = 2e-4) -> Grader:
-    """Maximum likelihood by adaptive gradient steps over all rows given; classes count alike, whatever their sizes.
+    """Maximum likelihood of P(grade = k) = P(grade > k-1) - P(grade > k), by adaptive gradient steps over all rows given;
+    classes count alike, whatever their sizes.
 
     One grade, or none, gives a model that expects that grade (0) of every document.
     """
@@ -88,20 +91,41 @@ def fit(texts: list[str], ratings: list[int], rounds: int = 120, ridge: float =
     row, column, value = (np.concatenate(x) for x in zip(*cells)) if cells else (np.empty(0, int),) * 3
     y = np.searchsorted(grades, ratings)
     share = 1 / np.bincount(y, minlength=len(grades))[y] / len(grades)
-    above = (y[:, None] > np.arange(len(grades) - 1)).astype(float)
     seen, seen_t = np.full(SPACE, 1e-8), np.full(len(grades) - 1, 1e-8)
     for _ in range(rounds):
         level = np.bincount(row, weights[column] * value, minlength=len(y))
-        error = (above - 1 / (1 + np.exp(-np.clip(level[:, None] - thresholds, -60, 60)))) * share[:, None]
-        gradient = np.bincount(column, error.sum(axis=1)[row] * value, minlength=SPACE) - ridge * weights
+        error, gradient_t = slopes(level, thresholds, y, share)
+        gradient = np.bincount(column, error[row] * value, minlength=SPACE) - ridge * weights
         seen += gradient**2
         weights += 0.1 * gradient / np.sqrt(seen)
-        gradient = -error.sum(axis=0)
-        seen_t += gradient**2
-        thresholds = np.sort(thresholds + 0.1 * gradient / np.sqrt(seen_t))
+        seen_t += gradient_t**2
+        # Thresholds stay apart, so that every grade has a probability.
+        moved = thresholds + 0.1 * gradient_t / np.sqrt(seen_t)
+        thresholds = np.maximum.accumulate(moved - APART * np.arange(len(moved))) + APART * np.arange(len(moved))
     return Grader(grades, weights, thresholds)
 
 
+def slopes(level: np.ndarray, thresholds: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log likelihood: the slope on each row's level, and on each threshold. y: places of the rows' grades."""
+    tails = 1 / (1 + np.exp(-np.clip(level[:, None] - thresholds, -60, 60)))
+    tails = np.hstack([np.ones((len(y), 1)), tails, np.zeros((len(y), 1))])
+    rows = np.arange(len(y))
+    above, below = tails[rows, y], tails[rows, y + 1]
+    held = np.maximum(above - below, 1e-12)
+    by_threshold = np.zeros(len(thresholds) + 2)
+    np.add.at(by_threshold, y, -share * above * (1 - above) / held)
+    np.add.at(by_threshold, y + 1, share * below * (1 - below) / held)
+    return share * (1 - above - below), by_threshold[1:-1]
+
+
+def likelihood(level: np.ndarray, thresholds: np.ndarray, y: np.ndarray, share: np.ndarray) -> float:
+    """The log likelihood that fit() raises, without its ridge."""
+    tails = 1 / (1 + np.exp(-np.clip(level[:, None] - thresholds, -60, 60)))
+    tails = np.hstack([np.ones((len(y), 1)), tails, np.zeros((len(y), 1))])
+    rows = np.arange(len(y))
+    return float((share * np.log(np.maximum(tails[rows, y] - tails[rows, y + 1], 1e-300))).sum())
+
+
 def learn(docs: DataFrame, labels: DataFrame, where=None, rating: str = "quality", limit: int = FIT_LIMIT, max_chars: int = FIT_CHARS) -> Grader:
     """A grader from at most `limit` documents of each grade, of about `max_chars` characters together.
 

@@ -281,13 +281,13 @@ def test_grades_equal_brute_force():
     for t, tail in zip(texts[:9], model.tails(model.levels(texts[:9], table))):
         assert np.allclose(tail, [1 / (1 + math.exp(th - level(t, model.weights))) for th in model.thresholds])
 
+    def chance(level, k, thresholds):
+        """P(grade = k), by the definition of the model."""
+        tails = [1.0, *(1 / (1 + math.exp(th - level)) for th in thresholds), 0.0]
+        return tails[k] - tails[k + 1]
+
     def loss(weights, thresholds):
-        total = 0.0
-        for t, k in zip(texts, y):
-            for j, th in enumerate(thresholds):
-                p = 1 / (1 + math.exp(th - level(t, weights)))
-                total -= math.log(p if k > j else 1 - p) / 90
-        return total + 0.5 * 2e-4 * float((weights**2).sum())
+        return 0.5 * 2e-4 * float((weights**2).sum()) - sum(math.log(chance(level(t, weights), k, thresholds)) for t, k in zip(texts, y)) / 90
 
     best = loss(model.weights, model.thresholds)
     for f in sorted({f for w in sum(kinds, []) for f in ordinal.features(w)})[:12]:
@@ -295,9 +295,30 @@ def test_grades_equal_brute_force():
             moved = model.weights.copy()
             moved[f] += step
             assert loss(moved, model.thresholds) > best - 1e-3
+    for j in range(2):
+        for step in (-0.05, 0.05):
+            moved = model.thresholds.copy()
+            moved[j] += step
+            assert loss(model.weights, moved) > best - 1e-3
+    assert model.thresholds[0] < model.thresholds[1]
     assert ordinal.fit(["a b"], [3]).expected(np.zeros(2)).tolist() == [3.0, 3.0]
 
 
+@pytest.mark.parametrize("grades", [2, 3, 5])
+def test_slopes_are_those_of_the_cumulative_likelihood(grades):
+    rng = np.random.default_rng(grades)
+    y, level = rng.integers(0, grades, 40), rng.normal(0, 2, 40)
+    thresholds, share = np.sort(rng.normal(0, 1, grades - 1)), rng.random(40)
+    by_level, by_threshold = ordinal.slopes(level, thresholds, y, share)
+    value = lambda lv, th: ordinal.likelihood(lv, th, y, share)
+    for k in range(40):
+        step = np.eye(40)[k] * 1e-6
+        assert by_level[k] == pytest.approx((value(level + step, thresholds) - value(level - step, thresholds)) / 2e-6, rel=1e-3, abs=1e-4)
+    for j in range(grades - 1):
+        step = np.eye(grades - 1)[j] * 1e-6
+        assert by_threshold[j] == pytest.approx((value(level, thresholds + step) - value(level, thresholds - step)) / 2e-6, rel=1e-3, abs=1e-4)
+
+
 def test_scores_do_not_depend_on_the_batch():
     rows = toxic_corpus(200)
     tagger = toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows])
