@@ -71,9 +71,9 @@ def plain(run: str) -> bool:
     return _WORDS.fullmatch(run) is not None and max(map(len, re.split(r"[+/_=-]+", run))) < PLAIN
 
 
-def candidates(text: str, base: list[Span]) -> list[tuple[int, int, bool]]:
+def candidates(text: str, base: list[Span], words: bool = False) -> list[tuple[int, int, bool]]:
     """(start, end, whether it is of a fixed pattern) of all candidates: values of fixed patterns, each once, and other runs
-    that overlap none of their matches."""
+    that overlap none of their matches. Plain words are left out unless `words` asks for them."""
     own = set()
     for kind, a, b in base:
         if kind == "assign":
@@ -81,7 +81,11 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, bool]]:
             a += len(ASSIGN.match(text, a)[0]) - len(ASSIGN.match(text, a)[2])
         own.add((a, b))
     # Matches within another's value are that value.
-    out = [(a, b, True) for a, b in sorted(own) if not any(c <= a and b <= d and (a, b) != (c, d) for c, d in own)]
+    out, reached = [], -1
+    for a, b in sorted(own, key=lambda s: (s[0], -s[1])):
+        if b > reached:
+            out.append((a, b, True))
+            reached = b
     taken: list[list[int]] = []  # where fixed patterns match, in stretches that stand apart
     for a, b in sorted((a, b) for _, a, b in base):
         if taken and a < taken[-1][1]:
@@ -91,11 +95,11 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, bool]]:
     k = 0
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if run.isalpha() and len(run) < PLAIN and (run[1:].islower() or run.isupper()):
+        if not words and run.isalpha() and len(run) < PLAIN and (run[1:].islower() or run.isupper()):
             continue
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if not (k < len(taken) and taken[k][0] < m.end()) and not plain(run):
+        if not (k < len(taken) and taken[k][0] < m.end()) and (words or not plain(run)):
             out.append((*m.span(), False))
     return out
 
@@ -238,14 +242,15 @@ def long_findings(n: int = 1600, seed: int = 6) -> list[tuple[str, int, int, int
     A window that has 16 characters of the key, or all of it, is one of a secret; those that have fewer are left out.
     """
     rng = np.random.default_rng(seed)
-    every = findings(n, seed)
-    some = [[t[a:b] for t, a, b, y in every if y == label] for label in (0, 1)]
+    every = findings(4 * n, seed)
+    # No part stands in two texts, so that texts can be kept apart.
+    some = [iter([t[a:b] for t, a, b, y in every if y == label]) for label in (0, 1)]
     rows = []
     for k in range(n // 8):
         sign = "/-_=+"[int(rng.integers(0, 5))]
-        pieces = [some[0][int(i)] for i in rng.integers(0, len(some[0]), int(rng.integers(3, 9)))]
+        pieces = list(islice(some[0], int(rng.integers(3, 9))))
         at = int(rng.integers(0, len(pieces) + 1))
-        key = some[1][int(rng.integers(0, len(some[1])))] if k % 2 else ""
+        key = next(some[1]) if k % 2 else ""
         head = "see " + sign.join(pieces[:at] + [""])
         text = head + key + sign.join(([""] if key else []) + pieces[at:])
         for a, b in parts(4, len(text)):
@@ -255,16 +260,35 @@ def long_findings(n: int = 1600, seed: int = 6) -> list[tuple[str, int, int, int
     return rows
 
 
+def kept_together(rows: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """A number for each row, the same for those that share a text or a value, directly or through others."""
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    seen: dict[tuple[str, str], int] = {}
+    for i, (text, a, b, _) in enumerate(rows):
+        for name in (("text", text), ("value", text[a:b])):
+            parent[root(i)] = root(seen.setdefault(name, i))
+    return np.array([root(i) for i in range(len(rows))], np.int64)
+
+
 def train(rows: list[tuple[str, int, int, int]], rounds: int = 6, recall: float = RECALL, seed: int = 11) -> Network:
-    """A network from labelled findings: two thirds train it, the others calibrate it and set its threshold."""
+    """A network from labelled findings: about two thirds train it, the others calibrate it and set its threshold.
+
+    Findings that share a value or a text are all on one side.
+    """
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (ALPHABET, EMBED)), rng.normal(0, 0.2, (KERNEL * (EMBED + 1), FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS + 1))
     codes, marks, owner = windows([r[:3] for r in rows])
     truth_ = np.array([r[3] for r in rows], float)
     y = truth_[owner]
-    apart = rng.permutation(len(rows))
-    first = np.zeros(len(rows), bool)
-    first[apart[: 2 * len(rows) // 3]] = True
+    group = kept_together(rows)
+    names = rng.permutation(np.unique(group))
+    first = np.isin(group, names[: 2 * len(names) // 3])
     train_, keep = np.flatnonzero(first[owner]), np.flatnonzero(~first[owner])
     parts = [net.embed, net.kernel, net.bias, net.out]
     mean, square, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
@@ -341,12 +365,12 @@ def learn(docs: DataFrame, limit: int = FIT_LIMIT) -> Network:
     return train(blotted(found_in(docs, limit)) + findings() + long_findings())
 
 
-def scan(texts: list[str | None], net: Network) -> list[tuple[list[Span], int, int]]:
+def scan(texts: list[str | None], net: Network, words: bool = False) -> list[tuple[list[Span], int, int]]:
     """(all spans by start and then kind, candidates asked of the network, fixed patterns' values it accepts) of each text."""
     out, asked = [], []
     for i, text in enumerate(texts):
         base = base_spans(text or "")
-        own = candidates(text or "", base)
+        own = candidates(text or "", base, words)
         out.append((list(base), len(own)))
         asked += [(i, *c) for c in own]
     # One place for each window, so that memory doesn't follow the length of a run.
@@ -368,19 +392,20 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id") -> DataFrame:
+def find(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id", words: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, n_other, base_sha256, spans, n_candidates, n_confirmed.
 
     Spans are those of the fixed patterns and the other candidates that the network accepts, as kind:start:end in code
     points. n_candidates counts what the network was asked, n_confirmed the fixed patterns' values that it accepts.
-    Without a network, one is trained on findings of docs. Null and empty texts have no spans; base_sha256 is then that
+    `words` has the network asked of plain words of MIN characters or more too, which are most of a text. Ties don't arise:
+    spans are ordered by start, then kind. Without a network, one is trained on findings of docs. Null and empty texts have no spans; base_sha256 is then that
     of the empty text. Texts and runs of any length are looked at whole; repeated rows each get a row, an empty table
     gives none. Other columns are not looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net or learn(docs))
 
     def work(x):
-        found = scan(x["text"], sent.value)
+        found = scan(x["text"], sent.value, words)
         base = [[s for s in spans if s[0] != "other"] for spans, _, _ in found]
         out = {f"n_{k}": [sum(s[0] == k for s in spans) for spans, _, _ in found] for k in KINDS}
         out |= {"doc_id": x[id_col], "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], "spans": [joined(s) for s, _, _ in found]}
