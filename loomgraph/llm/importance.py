@@ -27,10 +27,13 @@ def words(text: Column) -> Column:
 
 def ngrams(found: Column, longest: int) -> Column:
     """All runs of 1 to `longest` consecutive words, joined by a space."""
-    if longest == 1:
-        return found
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(found, i, n), " ")) for n in range(1, longest + 1)]
-    return F.concat(*[F.when(F.size(found) >= n, run).otherwise(F.array().cast("array<string>")) for n, run in enumerate(runs, 1)])
+    run, every = found, [found]
+    for n in range(2, longest + 1):
+        # The words from the n-th on end the runs: no lambda holds the array, which would be worked out for each element.
+        ends = F.slice(found, F.lit(n), F.greatest(F.size(found) - n + 1, F.lit(0)))
+        run = F.zip_with(F.slice(run, F.lit(1), F.greatest(F.size(found) - n + 1, F.lit(0))), ends, lambda a, b: F.concat(a, F.lit(" "), b))
+        every.append(run)
+    return F.concat(*every) if longest > 1 else found
 
 
 def bucket(gram: Column, buckets: int) -> Column:
