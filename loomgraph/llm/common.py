@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: So many classes are few.
 FEW = 1000
 #: Texts are handled in slices of about so many characters, so that memory doesn't follow the batch.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
