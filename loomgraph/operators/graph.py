@@ -438,17 +438,72 @@ def evolution(edges: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
     return grid.withColumn("node", F.col("node").cast("string")).join(found, [*keys, "node"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def hypotheses(edges: DataFrame, keys: list[str], gone: str, candidates: DataFrame) -> DataFrame:
+def hypotheses(edges: DataFrame, keys: list[str], gone: str, candidates: DataFrame, small: int | None = None) -> DataFrame:
     """(keys, candidate, rank, value, possible): `gone` is merged into each candidate in turn; possible if it ranks first.
 
-    Ranks are by closeness, ties by name. Merging a node into itself changes nothing; candidates that a section's
-    graph doesn't have are left out. All hypotheses are measured in one pass, keyed by candidate.
+    Ranks are by closeness in edges, ties by name. Merging a node into itself changes nothing; candidates that a section's
+    graph doesn't have are left out. Graphs of up to `small` nodes keep one set of distances for all candidates: a path
+    through the merged node is one that ends in either node and goes on from the other. Of larger ones each candidate's
+    graph is measured by joins.
     """
-    present = nodes_of(edges, keys).join(candidates.select(F.col("candidate").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "candidate")
-    merged = contract(edges.join(present, keys), gone, "candidate")
-    values = measure(simple(merged, [*keys, "candidate"]), "closeness", [*keys, "candidate"])
+    small = SMALL if small is None else small
+    single = simple(edges.withColumns({c: F.col(c).cast("string") for c in "ab"}), keys)
+    every = nodes_of(single, keys)
+    present = every.join(candidates.select(F.col("candidate").cast("string").alias("node")).distinct(), "node", "left_semi")
+    large = shared_checkpoint(every.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > small).select(*keys))
+    if large.isEmpty():
+        return _hypotheses_in_tasks(single, present, keys, gone)
+    own, rest = (single.join(large, keys, how) for how in ("left_anti", "left_semi"))
+    merged = contract(rest.join(present.withColumnRenamed("node", "candidate"), keys), gone, "candidate")
+    values = measure(simple(merged, [*keys, "candidate"]), "closeness", [*keys, "candidate"], small=small)
     ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "candidate").orderBy(F.desc("value"), "node")))
-    return ranked.where(F.col("node") == F.col("candidate")).select(*keys, "candidate", "rank", "value", (F.col("rank") == 1).alias("possible"))
+    by_joins = ranked.where(F.col("node") == F.col("candidate")).select(*keys, "candidate", "rank", "value", (F.col("rank") == 1).alias("possible"))
+    return _hypotheses_in_tasks(own, present.join(large, keys, "left_anti"), keys, gone).unionByName(by_joins)
+
+
+def _hypotheses_in_tasks(single: DataFrame, present: DataFrame, keys: list[str], gone: str) -> DataFrame:
+    rows = single.unionByName(present.select(*keys, F.col("node").alias("a"), F.lit(None).cast("string").alias("b")))
+
+    def task(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        links, asked = part[part["b"].notna()], sorted(part.loc[part["b"].isna(), "a"])
+        names = sorted(set(links["a"]) | set(links["b"]))
+        index = {n: i for i, n in enumerate(names)}
+        lengths = np.full((len(names), len(names)), np.inf)
+        i, j = links["a"].map(index).to_numpy(int), links["b"].map(index).to_numpy(int)
+        lengths[i, j] = lengths[j, i] = 1.0
+        found = merged_closeness(shortest(lengths), index.get(gone), [index[c] for c in asked])
+        asked, found = [c for c, v in zip(asked, found) if v[index[c]] >= 0], [v for c, v in zip(asked, found) if v[index[c]] >= 0]
+        rank = [int((v > v[index[c]]).sum() + (v[: index[c]] == v[index[c]]).sum()) + 1 for c, v in zip(asked, found)]
+        value = [float(v[index[c]]) for c, v in zip(asked, found)]
+        return pd.DataFrame({**{k: [v] * len(asked) for k, v in zip(keys, key)}, "candidate": asked, "rank": pd.Series(rank, dtype="int32"), "value": value, "possible": [r == 1 for r in rank]})
+
+    kinds = ", ".join(f"`{k}` {dict(single.dtypes)[k]}" for k in keys)
+    return rows.groupBy(*keys).applyInPandas(task, f"{kinds}, candidate string, rank int, value double, possible boolean")
+
+
+def merged_closeness(d: np.ndarray, gone: int | None, candidates: list[int]) -> list[np.ndarray]:
+    """Closeness of every node once `gone` is merged into each of the candidates, from distances d without directions; a node
+    that isn't there any more, or is left without an edge, has -1.
+
+    A merged node is as near as either was, and paths may go on from the one where they reach the other.
+    """
+    out = []
+    for c in candidates:
+        own, live = d, np.ones(len(d), bool)
+        if gone is not None and c != gone:
+            near = np.minimum(d[c], d[gone])
+            own = np.minimum(d, near[:, None] + near)
+            own[c, :], own[:, c] = near, near
+            np.fill_diagonal(own, 0.0)
+            live[gone] = False
+            # Nodes whose only edge was inside the merged one are gone with it.
+            live &= (np.where(live & (np.arange(len(d)) != c), near, np.inf).min() < np.inf) | (np.arange(len(d)) != c)
+        own = np.where(live[:, None] & live, own, np.inf)
+        reach = np.isfinite(own)
+        r, total = reach.sum(axis=1), np.where(reach, own, 0).sum(axis=1)
+        n = live.sum()
+        out.append(np.where(live, np.where((total > 0) & (n > 1), (r - 1) / np.where(total > 0, total, 1) * (r - 1) / max(n - 1, 1), 0.0), -1.0))
+    return out
 
 
 def display_scale(edges: DataFrame, value: str, keys: list[str] = []) -> DataFrame:

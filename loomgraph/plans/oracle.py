@@ -140,6 +140,19 @@ CASE WHEN p = 0 THEN 'c' || (conv_id % 9) ELSE 'talk' END AS name, length(text):
 lambda w: w IN ('red', 'of', 'st', 'mr', 'lady') OR (w NOT IN ('polished', 'steel', 'economy') AND length(w) > 2)), ' '), '') AS name FROM part""",
     "gender_class": "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'f' WHEN 'BUILDING' THEN 'm' ELSE 'u' END AS gender FROM customer",
     "preprocess_text": """WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\bIll\\b\\s+', '', 'g'), '\\s+', ' ', 'g')) AS x FROM documents) SELECT doc_id, length(x) AS length, md5(x) AS digest FROM c""",
+    "sentence_lines": """WITH c AS (SELECT trim(regexp_replace(regexp_replace(text, '\\bIll\\b\\s+', '', 'g'), '\\s+', ' ', 'g')) AS x FROM documents)
+SELECT unnest(string_split(regexp_replace(x, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1))) AS line FROM c""",
+    "whole_texts": "SELECT url AS line FROM pages WHERE url <> ''",
+    "raw_tokens": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '"' WHEN 1 THEN 'null' WHEN 2 THEN '' WHEN 3 THEN 'nan' ELSE p_name END || CASE WHEN p_size % 3 = 0 THEN '"' ELSE '' END AS word, p_size FROM part""",
+    "quoted_columns": """SELECT p_partkey, 'a' || chr(9) || p_name || '"' || p_type AS name FROM part""",
+    "edge_file": f"WITH {_PAIRS} SELECT source_id, target_id, count(*) AS weight, string_agg(s::VARCHAR, ',' ORDER BY s) AS sentence_ids FROM pairs GROUP BY ALL",
+    "character_records": """SELECT conv_id AS id, count(*) AS "count", count(*) FILTER (role = 'user') AS n_agent, count(*) FILTER (role <> 'user') AS n_patient,
+  coalesce(string_agg(turn::VARCHAR, ',' ORDER BY text, turn) FILTER (role <> 'user'), '') AS turns FROM conversations GROUP BY conv_id""",
+    "graph_file": f"""WITH {_EDGES} SELECT 'node' AS element, s_suppkey::VARCHAR AS id, s_name || ' &lt;&amp;&quot;&gt;' AS label, '' AS a, '' AS b, '' AS weight FROM supplier
+UNION ALL SELECT 'edge', '', '', source_id::VARCHAR, target_id::VARCHAR, weight::VARCHAR FROM edges UNION ALL SELECT e, '', '', '', '', '' FROM (VALUES ('gexf'), ('/nodes'), ('/edges')) t(e)""",
+    "degree_report": """WITH ends AS (SELECT 'c' || o_custkey AS node FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT 's' || l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+degrees AS (SELECT node, count(*) AS degree FROM ends GROUP BY node)
+SELECT (row_number() OVER (ORDER BY degree DESC, node) - 1)::INTEGER AS place, node || ';' || degree AS line FROM degrees ORDER BY place LIMIT 20""",
     "sentence_segments": """WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents)
 SELECT doc_id, unnest(range(len(s)))::INTEGER AS sentence_id, unnest(s) AS sentence FROM s""",
     "joined_words": "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS text FROM lineitem GROUP BY ALL",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sentiment, text
 from ..operators import cooccur, deps, events, graph, reports, resolve, sections, spans
-from ..session import shared_checkpoint, table
+from ..session import shared_folder, table
+from ..sources import readers, writers
 from ..streaming import cooccur as stream
 from . import pipeline
 from . import tables as t
@@ -115,7 +115,7 @@ def avp_triples(spark, d):
 
 @query
 def avp_token_range(spark, d):
-    return events.avp_triples(t.role_events(spark, d), span=(100, 900)).select(F.col("canonical_id_left").alias("left_id"), "index", F.col("canonical_id_right").alias("right_id"))
+    return events.avp_triples(t.role_events(spark, d), span=text.token_range("100,900")).select(F.col("canonical_id_left").alias("left_id"), "index", F.col("canonical_id_right").alias("right_id"))
 
 
 @query
@@ -211,6 +211,81 @@ def fuzzy_score(spark, d):
     return pairs.select("a", "b", F.round(text.token_sort_ratio(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+# Files
+
+
+@query
+def sentence_lines(spark, d):
+    """Sentences as lines of text, written and read again."""
+    clean = table(spark, d, "documents").select("doc_id", text.preprocess(F.col("text")).alias("text"))
+    writers.write_lines(text.segment(clean), path := shared_folder(spark, "lines"))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def whole_texts(spark, d):
+    """Files read whole, and cut into their lines."""
+    writers.write_lines(table(spark, d, "pages"), path := shared_folder(spark, "texts"), "url")
+    return readers.read_text(spark, path).select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+
+
+#: Words that readers must not take for something else.
+_ODD = """concat(case p_size % 5 when 0 then '"' when 1 then 'null' when 2 then '' when 3 then 'nan' else p_name end, case when p_size % 3 = 0 then '"' else '' end)"""
+
+
+@query
+def raw_tokens(spark, d):
+    """Tab-separated lines without quoting: quotes and words like null are text."""
+    made = table(spark, d, "part").selectExpr("p_partkey", f"{_ODD} as word", "p_size")
+    made.select(F.concat_ws("\t", F.col("p_partkey").cast("string"), "word", F.col("p_size").cast("string"))).write.text(path := shared_folder(spark, "tokens"))
+    return readers.read_raw_tsv(spark, path, "p_partkey bigint, word string, p_size int", header=False)
+
+
+@query
+def quoted_columns(spark, d):
+    """A TSV file with quotes, of which two columns are read."""
+    made = table(spark, d, "part").selectExpr("p_partkey", "concat('a', char(9), p_name, '\"', p_type) as name", "p_size")
+    writers.write_delimited(made, path := shared_folder(spark, "parts"), "\t")
+    return readers.read_tsv(spark, path, "p_partkey bigint, name string, p_size int", ["p_partkey", "name"])
+
+
+@query
+def edge_file(spark, d):
+    """An edge list as a CSV file, with its lists of sentences."""
+    writers.write_delimited(cooccur.edges(cooccur.pairs(cooccur.presence(t.mentions(spark, d))), lists=True), path := shared_folder(spark, "edges"))
+    read = readers.read_csv(spark, path, "source_id bigint, target_id bigint, weight bigint, sentence_ids string", ("sentence_ids",))
+    return _listed(read, "sentence_ids")
+
+
+@query
+def character_records(spark, d):
+    """Nested JSON documents of fifty conversations each, read as characters."""
+    word = F.struct(F.coalesce("text", F.lit("")).alias("w"), F.col("turn").cast("long").alias("i"))
+    own = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("count"), F.sort_array(F.collect_list(F.when(F.col("role") == "user", word))).alias("agent"), F.sort_array(F.collect_list(F.when(F.col("role") != "user", word))).alias("patient"))
+    nested = own.groupBy(F.expr("id div 50").alias("k")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("id", "count", "agent", "patient"))).alias("characters"))).alias("value"))
+    nested.repartition("k").write.partitionBy("k").text(path := shared_folder(spark, "records"))
+    rows = readers.read_characters(spark, path)
+    return rows.select("id", "count", F.size("agent").cast("long").alias("n_agent"), F.size("patient").cast("long").alias("n_patient"), F.array_join(F.transform("patient", lambda x: x["i"].cast("string")), ",").alias("turns"))
+
+
+@query
+def graph_file(spark, d):
+    """A GEXF graph in parts, and the edges that it lists."""
+    edges = cooccur.edges(cooccur.pairs(cooccur.presence(t.mentions(spark, d)))).selectExpr("source_id as a", "target_id as b", "weight")
+    nodes = table(spark, d, "supplier").selectExpr("s_suppkey as id", "concat(s_name, ' <&\">') as label")
+    folders = writers.write_gexf(nodes, edges, shared_folder(spark, "gexf"))
+    line = spark.read.text(folders).select("value")
+    named = lambda name: F.regexp_extract("value", f'{name}="([^"]*)"', 1)
+    return line.select(F.regexp_extract("value", "^<(/?[a-z]+)", 1).alias("element"), named(" id").alias("id"), named("label").alias("label"), named("source").alias("a"), named("target").alias("b"), named("weight").alias("weight"))
+
+
+@query
+def degree_report(spark, d):
+    """The first lines of a report, by degree."""
+    rows = graph.degree_centrality(t.dealings(spark, d)).select("node", "degree")
+    return spark.createDataFrame(list(enumerate(writers.report(rows, "degree", n=20))), "place int, line string")
+
+
 # Resolution
 
 
@@ -471,8 +546,7 @@ def window_pairs(spark, d):
 @query
 def stream_pairs(spark, d):
     """The windows that a stream over `events` has closed once it has read all there is."""
-    shared_checkpoint(spark.range(1))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     schema = table(spark, d, "events").schema
     # A table is a file or a folder of them.
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")

@@ -22,19 +22,34 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     flat(df).write.mode("overwrite").csv(path, sep=sep, header=True, quote='"', escape='"')
 
 
-def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, directed: bool = False) -> None:
-    """A GEXF graph from nodes(id, label) and edges(a, b, weight): elements in order, one a line, in one file."""
-    def quoted(c):
-        text = F.col(c).cast("string")
-        for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-            text = F.replace(text, F.lit(mark), F.lit(name))
-        return F.concat(F.lit('"'), F.coalesce(text, F.lit("")), F.lit('"'))
+def _quoted(c: str):
+    text = F.col(c).cast("string")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return F.concat(F.lit('"'), F.coalesce(text, F.lit("")), F.lit('"'))
 
+
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, directed: bool = False) -> list[str]:
+    """A GEXF graph from nodes(id, label) and edges(a, b, weight), in parts: folders of lines under `path`, one element a line.
+
+    The folders' files, put after each other in the order returned (and by name within each), are the graph's file; every
+    folder is written by as many tasks as its table has partitions. The same order is in the folder `manifest`.
+    """
     spark = nodes.sparkSession
-    fixed = [(0, '<gexf version="1.3"><graph defaultedgetype="%s"><nodes>' % ("directed" if directed else "undirected")), (2, "</nodes><edges>"), (4, "</edges></graph></gexf>")]
-    node = nodes.select(F.lit(1).alias("part"), F.concat(F.lit("<node id="), quoted("id"), F.lit(" label="), quoted("label"), F.lit("/>")).alias("line"))
-    edge = edges.select(F.lit(3).alias("part"), F.concat(F.lit("<edge source="), quoted("a"), F.lit(" target="), quoted("b"), F.lit(" weight="), quoted("weight"), F.lit("/>")).alias("line"))
-    spark.createDataFrame(fixed, "part int, line string").union(node).union(edge).orderBy("part", "line").select("line").coalesce(1).write.mode("overwrite").text(path)
+    fixed = lambda line: spark.createDataFrame([(line,)], "line string")
+    node = nodes.select(F.concat(F.lit("<node id="), _quoted("id"), F.lit(" label="), _quoted("label"), F.lit("/>")).alias("line"))
+    edge = edges.select(F.concat(F.lit("<edge source="), _quoted("a"), F.lit(" target="), _quoted("b"), F.lit(" weight="), _quoted("weight"), F.lit("/>")).alias("line"))
+    parts = {
+        "0-head": fixed('<gexf version="1.3"><graph defaultedgetype="%s"><nodes>' % ("directed" if directed else "undirected")),
+        "1-nodes": node,
+        "2-between": fixed("</nodes><edges>"),
+        "3-edges": edge,
+        "4-foot": fixed("</edges></graph></gexf>"),
+    }
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").text(f"{path}/{name}")
+    spark.createDataFrame([(name,) for name in parts], "name string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return [f"{path}/{name}" for name in parts]
 
 
 def report(df: DataFrame, value: str, label: str = "node", n: int = 50) -> list[str]:

@@ -105,8 +105,9 @@ def test_writers(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["a", 'b, "q"']
     assert writers.report(df, "n", "s") == ['b, "q";2', "a;1"]
     nodes, edges = spark.createDataFrame([(1, "<x>")], "id int, label string"), spark.createDataFrame([(1, 1, 2)], "a int, b int, weight int")
-    writers.write_gexf(nodes, edges, str(tmp_path / "g"))
-    lines = "".join(r.value for r in spark.read.text(str(tmp_path / "g"), wholetext=True).collect())
+    folders = writers.write_gexf(nodes, edges, str(tmp_path / "g"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "g" / "manifest")).collect()] == [f.rsplit("/", 1)[1] for f in folders]
+    lines = "".join(r.value for f in folders for r in spark.read.text(f).collect())
     import xml.etree.ElementTree as X
 
     assert X.fromstring(lines).find("./graph/nodes/node").get("label") == "<x>"

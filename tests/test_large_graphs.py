@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import graph
 
@@ -68,6 +69,27 @@ def test_rounds_by_joins_equal_those_in_a_task(spark, name):
         assert np.allclose([got[n].value for n in names], values, equal_nan=True)
 
 
+def test_hypotheses_equal_those_of_merged_graphs(spark):
+    rng = random.Random(11)
+    rows = [(k, f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for k in "xyz" for _ in range(13)] + [("w", "n1", "n2"), ("v", "n1", "n2"), ("v", "n3", "n4"), ("v", "n1", "n5")]
+    edges = spark.createDataFrame(rows, "k string, a string, b string").where("a <> b")
+    asked = spark.createDataFrame([(f"n{i}",) for i in range(13)], "candidate string")
+    key = lambda df: {(r.k, r.candidate): (r["rank"], pytest.approx(r.value, abs=1e-9), r.possible) for r in df.collect()}
+    want = {}
+    for k in "vwxyz":
+        own = edges.where(F.col("k") == k)
+        for c in sorted({x for _, *e in own.collect() for x in e}):
+            merged = graph.contract(own.withColumn("into", F.lit(c)), "n1", "into")
+            values = {r.node: r.value for r in graph.measure(graph.simple(merged, ["k"]), "closeness", ["k"]).collect()} if k in "vwx" else {}
+            if c in values:
+                place = sorted(values, key=lambda n: (-round(values[n], 12), n)).index(c) + 1
+                want[k, c] = (place, values[c], place == 1)
+    got = graph.hypotheses(edges, ["k"], "n1", asked)
+    have = {(r.k, r.candidate): (r["rank"], r.value, r.possible) for r in got.collect()}
+    assert {k: (r, pytest.approx(v, abs=1e-9), p) for k, (r, v, p) in want.items()} == {k: v for k, v in have.items() if k[0] in "vwx"}
+    assert len(want) > 15 and ("y", "n1") in have
+
+
 def test_graphs_without_keys_scale(spark):
     edges = spark.createDataFrame([("a", "b", 2.0), ("b", "c", -4.0)], "a string, b string, v double")
     assert sorted(r.scaled for r in graph.display_scale(edges, "v").collect()) == [-1.0, 0.5]
