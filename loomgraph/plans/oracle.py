@@ -73,6 +73,16 @@ complements AS (SELECT verb, noun, 'noun' AS kind FROM objects UNION ALL SELECT
 negations AS (SELECT DISTINCT coalesce(x.head, n.head) AS verb FROM tokens n LEFT JOIN tokens x ON x.id = n.head AND x.dep IN ('aux', 'auxpass') WHERE n.dep = 'neg'),
 svo AS (SELECT v.s, v.id AS verb, v.word AS vw, a.text AS st, a.ids AS si, a.pos AS sp, a.root AS sroot, b.text AS ot, b.ids AS oi, b.pos AS op, b.root AS oroot, b.kind AS okind, v.id IN (SELECT verb FROM negations) AS negated
   FROM verbs v JOIN subjects s ON s.verb = v.id JOIN info a ON a.root = s.noun AND a.kind = 'noun' JOIN complements c ON c.verb = v.id JOIN info b ON b.root = c.noun AND b.kind = c.kind)"""
+_COREF = "CASE WHEN word LIKE 'Brand#%' THEN substr(word, 7)::INT ELSE ascii(word) * 100 + length(word) END"
+_NOUNS = f"""nouns AS (SELECT s, id, word, dep, head, ({_COREF})::BIGINT AS coref FROM tokens WHERE pos IN ('NOUN', 'PROPN')),
+live AS (SELECT DISTINCT coref FROM nouns WHERE dep IN ('nsubj', 'dobj', 'nsubjpass'))"""
+#: Runs of a side's tokens with the entity of the first token that has one, and both sources of triples as one.
+_EXTRACTED = f"""{_NOUNS}, runs AS (SELECT root, kind, arg_min(coref, m.id) FILTER (coref IN (SELECT coref FROM live)) AS coref
+  FROM (SELECT m.*, id - row_number() OVER (PARTITION BY root, kind ORDER BY id) AS g FROM members m) m LEFT JOIN nouns USING (id) GROUP BY root, kind, g),
+sides AS (SELECT verb, vw, negated, a.coref AS l, b.coref AS r FROM svo JOIN runs a ON a.root = sroot AND a.kind = 'noun' JOIN runs b ON b.root = oroot AND b.kind = okind WHERE a.coref IS NOT NULL AND b.coref IS NOT NULL),
+avp AS (SELECT DISTINCT a.coref AS l, a.head AS verb, p.coref AS r, a.head IN (SELECT head FROM tokens WHERE dep = 'neg') AS negated FROM nouns a JOIN nouns p ON a.head = p.head AND a.dep = 'nsubj' AND p.dep IN ('dobj', 'nsubjpass') AND a.coref <> p.coref),
+combined AS (SELECT min(source) AS source, l AS canonical_id_left, 'agent' AS role_left, verb AS "index", bool_or(negated) AS negated, r AS canonical_id_right, 'patient' AS role_right
+  FROM (SELECT 'avp' AS source, l, verb, r, negated FROM avp UNION ALL SELECT 'svo', l, verb, r, negated FROM sides) GROUP BY l, verb, r)"""
 _WORDS = "words AS (SELECT doc_id, source, lang, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS k FROM documents)"
 _NEGATED = "('not', 'no', 'never', 'none', 'nor', 'neither', 'nothing', 'nowhere', 'cannot', 'without', 'hardly', 'rarely', 'seldom')"
 _BOOST = "CASE WHEN w IN ('very', 'really', 'extremely', 'so', 'totally', 'absolutely', 'most') THEN 1.0 WHEN w IN ('slightly', 'somewhat', 'barely', 'partly', 'almost') THEN -1.0 ELSE 0.0 END"
@@ -191,6 +201,15 @@ ot AS object_text, list_aggregate(oi, 'string_agg', ',') AS object_ids, op AS ob
     "svo_chunks": f"""WITH RECURSIVE {_CLAUSE}, {_SVO}, runs AS (SELECT root, kind, string_agg(id, ',' ORDER BY id) AS ids, string_agg(word, ' ' ORDER BY id) AS words FROM (
   SELECT m.*, id - row_number() OVER (PARTITION BY root, kind ORDER BY id) AS g FROM members m) GROUP BY root, kind, g)
 SELECT s AS sentence_id, a.ids AS subject_ids, b.words AS object_text, b.ids AS object_ids FROM svo JOIN runs a ON a.root = sroot AND a.kind = 'noun' JOIN runs b ON b.root = oroot AND b.kind = okind""",
+    "extraction_triples": f"""WITH RECURSIVE {_CLAUSE}, {_SVO}, {_EXTRACTED} SELECT * FROM combined""",
+    "extraction_statistics": f"""WITH RECURSIVE {_CLAUSE}, {_SVO}, {_EXTRACTED}, every AS (SELECT * FROM combined UNION ALL SELECT * REPLACE ('all' AS source) FROM combined),
+entities AS (SELECT source, count(DISTINCT e) AS n_entities FROM (SELECT source, unnest([canonical_id_left, canonical_id_right]) AS e FROM every) GROUP BY source)
+SELECT source, count(*) AS n, count(*) FILTER (negated) AS negated, count(DISTINCT canonical_id_left) AS n_left, count(DISTINCT canonical_id_right) AS n_right,
+  count(*) FILTER (canonical_id_left = canonical_id_right) AS n_loops, any_value(n_entities) AS n_entities FROM every JOIN entities USING (source) GROUP BY source""",
+    "extraction_edges": f"""WITH RECURSIVE {_CLAUSE}, {_NOUNS}, present AS (SELECT DISTINCT s, coref FROM nouns WHERE coref IN (SELECT coref FROM live)), names AS (SELECT coref, min(word) AS name FROM nouns GROUP BY coref)
+SELECT a.coref AS source_id, m.name AS source_name, b.coref AS target_id, n.name AS target_name, count(*) AS weight FROM present a JOIN present b ON a.s = b.s AND a.coref < b.coref
+JOIN names m ON m.coref = a.coref JOIN names n ON n.coref = b.coref GROUP BY ALL""",
+    "triples_without_mappings": f"""WITH RECURSIVE {_CLAUSE}, {_SVO}, {_EXTRACTED} SELECT 'svo' AS source, l AS canonical_id_left, vw AS word, lower(vw) AS lemma, verb AS "index", r AS canonical_id_right FROM sides""",
     "compound_closure": f"""WITH RECURSIVE {_CLAUSE}, c(root, id) AS (SELECT id, id FROM tokens WHERE dep = 'dobj' UNION SELECT c.root, t.id FROM c JOIN tokens t ON t.head = c.id AND t.dep = 'compound' AND t.id <> t.head)
 SELECT root, id AS token_id FROM c""",
     "event_value_counts": "SELECT event_type AS value, count(*) AS n FROM events GROUP BY ALL",

@@ -45,11 +45,16 @@ def agent_patient_triples(merged: DataFrame, tokens: DataFrame) -> DataFrame:
     return events.avp_triples(merged, tokens, ["pos"])
 
 
-def subject_object_triples(tokens: DataFrame, entities: DataFrame, summary: DataFrame, names: DataFrame) -> DataFrame:
+def subject_object_triples(tokens: DataFrame, entities: DataFrame, summary: DataFrame | None, names: DataFrame, characters: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
     """Triples whose subject and object both resolve, with their entities' names and genders in the columns of agent-patient triples.
 
-    entities: coref, start_token, end_token, pos (its order).
+    entities: coref, start_token, end_token, pos (its order). Without a summary of entities the characters are matched with
+    the names first.
     """
+    if summary is None:
+        if characters is None:
+            raise ValueError("without a summary, characters are needed to make one")
+        summary = resolve.canonical_summary(resolve_characters(characters, names, settings or Settings()))
     raw = shared_checkpoint(deps.chunked(deps.svo_triples(tokens)).withColumn("key", F.monotonically_increasing_id()))
     token_map = shared_checkpoint(spans.span_runs(entities))
     lookup = spans.coref_to_canonical(summary)
@@ -62,6 +67,18 @@ def subject_object_triples(tokens: DataFrame, entities: DataFrame, summary: Data
     return out.select(F.lit("svo").alias("source"), F.col("verb_text").alias("word"), F.col("verb_lemma").alias("lemma"), F.col("verb_id").alias("index"), "negated", "sentence_id", *[c for c in out.columns if c.endswith(("_left", "_right"))])
 
 
+def statistics(triples: DataFrame) -> DataFrame:
+    """(source, n, negated, n_left, n_right, n_entities, n_loops) of triples: for each source, and for all."""
+    every = triples.select("source", "negated", "canonical_id_left", "canonical_id_right")
+    both = every.unionByName(every.withColumn("source", F.lit("all")))
+    counted = both.groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if("negated").alias("negated"), F.countDistinct("canonical_id_left").alias("n_left"), F.countDistinct("canonical_id_right").alias("n_right"),
+        F.count_if(F.col("canonical_id_left") == F.col("canonical_id_right")).alias("n_loops"),
+    )
+    sides = both.select("source", F.explode(F.array("canonical_id_left", "canonical_id_right")).alias("e")).groupBy("source").agg(F.countDistinct("e").alias("n_entities"))
+    return counted.join(sides, "source")
+
+
 def networks(entities: DataFrame, tokens: DataFrame, summary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with names and sentence lists, occurrences) of canonical entities."""
     lookup = spans.coref_to_canonical(summary)

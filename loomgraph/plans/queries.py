@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sentiment, text
 from ..operators import cooccur, deps, events, graph, reports, resolve, sections, spans
 from ..session import shared_folder, table
-from ..sources import readers, writers
+from ..sources import readers, schemas, writers
 from ..streaming import cooccur as stream
 from . import pipeline
 from . import tables as t
@@ -408,6 +408,42 @@ def compound_closure(spark, d):
     return deps.compound_closure(tokens, tokens.where("dep = 'dobj'"))
 
 
+# The whole extraction
+
+
+def _extracted(spark, d):
+    tokens = t.clause_tokens(spark, d)
+    return pipeline.extract(t.clause_characters(spark, d), tokens, t.clause_entities(spark, d), t.clause_names(spark, d), pipeline.Settings())
+
+
+@query
+def extraction_triples(spark, d):
+    """Triples of either source, from nested records, tokens, mentions and a dictionary of names."""
+    return _extracted(spark, d)["combined"].select("source", "canonical_id_left", "role_left", "index", "negated", "canonical_id_right", "role_right")
+
+
+@query
+def extraction_edges(spark, d):
+    return _extracted(spark, d)["edges"].select("source_id", "source_name", "target_id", "target_name", "weight")
+
+
+@query
+def extraction_statistics(spark, d):
+    """How many triples of either source there are, negated ones, and different entities on either side."""
+    return pipeline.statistics(_extracted(spark, d)["combined"])
+
+
+@query
+def triples_without_mappings(spark, d):
+    """Subject-verb-object triples in the layout of files, where the mappings to entities have to be made first."""
+    rows = pipeline.subject_object_triples(t.clause_tokens(spark, d), t.clause_entities(spark, d), None, t.clause_names(spark, d), t.clause_characters(spark, d))
+    # Columns are told apart by their places, as in files of either source.
+    columns = ["source", "canonical_id_left", "word", "lemma", "index", "canonical_id_right"]
+    named = events.align(rows.select(*columns).toDF("kind", "subject", "verb", "verb_lemma", "place", "object"), columns)
+    placed = events.layout(named, schemas.TRIPLE_COLUMNS)
+    return placed.select("source", "canonical_id_left", "word", "lemma", "index", "canonical_id_right")
+
+
 # Reports
 
 

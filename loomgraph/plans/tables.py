@@ -91,6 +91,32 @@ def clause_tokens(spark: SparkSession, d: str) -> DataFrame:
     return p.select("s", F.explode(rows).alias("e")).selectExpr("cast(s as long) as sentence_id", "cast(s * 10 + e.o as long) as token_id", "e.word", "lower(e.word) as lemma", "e.pos", "e.pos as tag", "e.dep", "cast(s * 10 + e.h as long) as head_id")
 
 
+def _coref(word: str) -> str:
+    """A number for each noun of the clauses, as SQL: brands by their number, others by first letter and length."""
+    return f"case when {word} like 'Brand#%' then cast(substr({word}, 7) as int) else ascii({word}) * 100 + length({word}) end"
+
+
+def clause_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every noun of the clauses as a mention of one token."""
+    nouns = clause_tokens(spark, d).where("pos in ('NOUN', 'PROPN')")
+    return nouns.selectExpr(f"{_coref('word')} as coref", "token_id as start_token", "token_id as end_token", "token_id as pos", "word as text")
+
+
+def clause_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The clauses' nouns as nested records: subjects act, objects and passive subjects undergo."""
+    tokens = clause_tokens(spark, d)
+    verb = tokens.select(F.col("token_id").alias("head_id"), F.col("word").alias("w"))
+    roles = tokens.where("dep in ('nsubj', 'dobj', 'nsubjpass')").join(verb, "head_id").selectExpr(f"cast({_coref('word')} as bigint) as id", "word", "dep", "named_struct('w', w, 'i', head_id) as e")
+    own = roles.groupBy("id").agg(F.min("word").alias("n"), F.sort_array(F.collect_list(F.when(F.col("dep") == "nsubj", F.col("e")))).alias("agent"), F.sort_array(F.collect_list(F.when(F.col("dep") != "nsubj", F.col("e")))).alias("patient"))
+    return own.selectExpr("id", "cast(id as int) as pos", "named_struct('argmax', case when id % 3 = 0 then 'she/her' else 'he/him/his' end) as g", "agent", "patient", "named_struct('proper', array(named_struct('n', n, 'c', 1L)), 'common', cast(array() as array<struct<n:string,c:bigint>>)) as mentions")
+
+
+def clause_names(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary of the same nouns."""
+    own = clause_characters(spark, d)
+    return own.selectExpr("cast(id as int) as id", "cast(id as int) as row", "mentions.proper[0].n as fullname", "cast(null as string) as firstname", "cast(null as string) as middlename", "cast(null as string) as surname", "case when id % 3 = 0 then 'f' else 'm' end as gender", "cast(null as string) as aka", "cast(null as string) as profession")
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEXICON), "word string, valence double")
 

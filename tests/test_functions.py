@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import sentiment, text
-from loomgraph.operators.resolve import lcs, ratio
+from loomgraph.operators.likeness import lcs, ratio
 from loomgraph.sources import readers, schemas, writers
 
 
