@@ -15,23 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
+from .trees import forests, under
 
 SUBJECTS, OBJECTS, CLAUSES = ("nsubj", "nsubjpass"), ("dobj", "obj"), ("xcomp", "ccomp")
 AUXILIARIES = ("aux", "auxpass")
 
 
-def _closure(roots: DataFrame, children: DataFrame) -> DataFrame:
-    """(root, token_id) of roots(root, token_id) and all that children(parent, token_id) hang under them, until nothing new is reached."""
-    now = shared_checkpoint(roots.select("root", "token_id").distinct())
-    found, links = now, shared_checkpoint(children.select(F.col("parent").alias("token_id"), F.col("token_id").alias("_c")))
-    while True:
-        step = now.join(links, "token_id").select("root", F.col("_c").alias("token_id")).distinct()
-        now = shared_checkpoint(step.join(found, ["root", "token_id"], "left_anti"))
-        if now.isEmpty():
-            return found
-        found = found.unionByName(now)
-
-
 def _children(tokens: DataFrame, *deps: str) -> DataFrame:
     rows = tokens.where(F.col("token_id") != F.col("head_id"))
     return (rows.where(F.col("dep").isin(*deps)) if deps else rows).select(F.col("head_id").alias("parent"), "token_id")
@@ -39,7 +28,7 @@ def _children(tokens: DataFrame, *deps: str) -> DataFrame:
 
 def compound_closure(tokens: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, token_id): each root (token_id) with its compounds and theirs, all levels down."""
-    return _closure(roots.select(F.col("token_id").alias("root"), "token_id"), _children(tokens, "compound"))
+    return under(shared_checkpoint(forests(tokens, compound=F.col("dep") == "compound")), roots, "compound")
 
 
 def noun_info(tokens: DataFrame, closure: DataFrame) -> DataFrame:
@@ -69,30 +58,30 @@ def negated(tokens: DataFrame, groups: DataFrame) -> DataFrame:
 def svo_triples(tokens: DataFrame) -> DataFrame:
     """subject_text, subject_ids, subject_pos, verb_text, verb_lemma, verb_id, object_text, object_ids, object_pos, negated, sentence_id."""
     verbs = tokens.where((F.col("pos") == "VERB") & ~F.col("dep").isin(*AUXILIARIES)).select(F.col("token_id").alias("verb"), "sentence_id", "dep", "head_id")
-    conj = _children(tokens, "conj")
-
     def of_verbs(child: DataFrame) -> DataFrame:
         return verbs.join(child.select(F.col("parent").alias("verb"), "token_id"), "verb").select("verb", "token_id")
 
+    own = of_verbs(_children(tokens, *SUBJECTS))
+    having = own.select("verb").distinct()
+    # A coordinated verb without a subject hangs under the one before it: at the top of its tree is the nearest that has one.
+    lone = verbs.where("dep = 'conj'").join(having, "verb", "left_anti").select(F.col("verb").alias("token_id"), F.lit(True).alias("_lone"))
+    marked = tokens.select("sentence_id", "token_id", "head_id", "dep").join(lone, "token_id", "left")
+    trees = shared_checkpoint(forests(marked, any=F.lit(True), compound=F.col("dep") == "compound", conj=F.col("dep") == "conj", lone=F.col("_lone")))
+
     def with_conj(rows: DataFrame) -> DataFrame:
-        spread = _closure(rows.select(F.col("token_id").alias("root"), "token_id"), conj)
+        spread = under(trees, rows, "conj")
         return rows.join(spread.select(F.col("root").alias("token_id"), F.col("token_id").alias("_t")), "token_id").select("verb", F.col("_t").alias("token_id")).distinct()
 
-    own = of_verbs(_children(tokens, *SUBJECTS))
-    # A coordinated verb without a subject takes those of the nearest verb up its chain that has one.
-    having = own.select("verb").distinct()
-    lone = verbs.where("dep = 'conj'").join(having, "verb", "left_anti").select(F.col("head_id").alias("parent"), F.col("verb").alias("token_id"))
-    heirs = _closure(having.select(F.col("verb").alias("root"), F.col("verb").alias("token_id")), lone).where("root <> token_id")
-    shared = own.withColumnRenamed("verb", "root").join(heirs.select("root", F.col("token_id").alias("verb")), "root").select("verb", "token_id")
+    heirs = trees.where("top_lone <> token_id").select(F.col("top_lone").alias("root"), F.col("token_id").alias("verb"))
+    shared = own.withColumnRenamed("verb", "root").join(heirs, "root").select("verb", "token_id")
     subjects = shared_checkpoint(with_conj(own.unionByName(shared)))
     agents = _children(tokens, "agent").select("parent", F.col("token_id").alias("_a")).join(_children(tokens, "pobj").select(F.col("parent").alias("_a"), "token_id"), "_a").select("parent", "token_id")
     objects = shared_checkpoint(with_conj(of_verbs(_children(tokens, *OBJECTS).unionByName(agents))))
-    compounds = _children(tokens, "compound")
-    nouns = _closure(subjects.unionByName(objects).select(F.col("token_id").alias("root"), "token_id").distinct(), compounds)
+    nouns = under(trees, subjects.unionByName(objects), "compound")
     info = shared_checkpoint(noun_info(tokens, nouns))
     clauses = of_verbs(_children(tokens, *CLAUSES)).join(objects.select("verb").distinct(), "verb", "left_anti")
-    under = _closure(clauses.select(F.col("token_id").alias("root"), "token_id").distinct(), _children(tokens))
-    clause_info = noun_info(tokens, under)
+    whole = under(trees, clauses, "any")
+    clause_info = noun_info(tokens, whole)
     complement = objects.join(info, objects["token_id"] == info["root"]).drop("token_id", "root").unionByName(clauses.join(clause_info, clauses["token_id"] == clause_info["root"]).drop("token_id", "root"))
     complement = complement.select("verb", F.col("text").alias("object_text"), F.col("ids").alias("object_ids"), F.col("pos").alias("object_pos"))
     subject = subjects.join(info, subjects["token_id"] == info["root"]).select("verb", F.col("text").alias("subject_text"), F.col("ids").alias("subject_ids"), F.col("pos").alias("subject_pos"))
