@@ -1,14 +1,15 @@
-"""Subject-verb-object triples from dependency annotations, as joins of tokens with their heads.
+"""Subject-verb-object triples from dependency annotations, by patterns of relations.
 
 tokens: sentence_id, token_id, word, lemma, pos, tag, dep, head_id; token ids are unique. A verb is a token of part
-VERB. Its subjects are its nsubj and nsubjpass children, or, if it has none, those of the verb it is coordinated with, however long the chain;
-its objects are dobj and obj children, the pobj of an agent child, or, without any of these, its xcomp or ccomp child
-with everything under it. Coordinated nouns (conj) are subjects or objects of their own; a noun takes along its
-compounds, recursively.
+VERB. A pattern says how a subject or an object is reached from its verb: a path of relations, down to children or up
+to heads. Patterns are data: they become joins of tokens with their heads. A verb without a subject that is coordinated
+with another takes that one's, however long the chain. Coordinated nouns (conj) are subjects or objects of their own; a
+noun takes along its compounds, recursively, a clause everything under it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,10 +18,61 @@ from pyspark.sql import functions as F
 from ..session import shared_checkpoint
 from .trees import forests, under
 
-SUBJECTS, OBJECTS, CLAUSES = ("nsubj", "nsubjpass"), ("dobj", "obj"), ("xcomp", "ccomp")
 AUXILIARIES = ("aux", "auxpass")
 
 
+@dataclass(frozen=True)
+class Pattern:
+    """How a subject or object is reached from a verb: steps of (down or up, relations). An up step goes to the head of a token
+    that hangs there by one of the relations. `whole` takes everything under what is reached; `fallback` counts only for
+    verbs for which the side's other patterns give nothing."""
+
+    side: str
+    path: tuple[tuple[str, tuple[str, ...]], ...]
+    whole: bool = False
+    fallback: bool = False
+
+
+PATTERNS = (
+    Pattern("subject", (("down", ("nsubj", "nsubjpass")),)),
+    Pattern("subject", (("down", ("csubj", "csubjpass")),), whole=True),
+    Pattern("object", (("down", ("dobj", "obj")),)),
+    Pattern("object", (("down", ("agent",)), ("down", ("pobj",)))),
+    Pattern("object", (("down", ("xcomp", "ccomp")),), whole=True, fallback=True),
+)
+#: More that can be asked for: nouns that a clause modifies, further objects, and clauses that say what for.
+MODIFIED = Pattern("subject", (("up", ("relcl", "acl")),), fallback=True)
+RECIPIENT = Pattern("object", (("down", ("dative", "iobj")),))
+ATTRIBUTE = Pattern("object", (("down", ("attr", "acomp")),))
+PREPOSITIONAL = Pattern("object", (("down", ("prep",)), ("down", ("pobj",))))
+PURPOSE = Pattern("object", (("down", ("advcl",)),), whole=True, fallback=True)
+
+
+def reached(tokens: DataFrame, verbs: DataFrame, path: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
+    """(verb, token_id): where a path leads from each of verbs(verb)."""
+    now = verbs.select("verb", F.col("verb").alias("token_id"))
+    for direction, relations in path:
+        if direction not in ("down", "up"):
+            raise ValueError(f"no direction: {direction}")
+        at, to = ("head_id", "token_id") if direction == "down" else ("token_id", "head_id")
+        step = tokens.where((F.col("token_id") != F.col("head_id")) & F.col("dep").isin(*relations)).select(F.col(at).alias("_at"), F.col(to).alias("_to"))
+        now = now.join(step, F.col("token_id") == F.col("_at")).select("verb", F.col("_to").alias("token_id"))
+    return now.distinct()
+
+
+def _side(tokens: DataFrame, verbs: DataFrame, patterns: tuple[Pattern, ...], side: str) -> DataFrame:
+    """(verb, token_id, whole) of all patterns of a side."""
+    def of(fallback: bool) -> DataFrame | None:
+        rows = [reached(tokens, verbs, p.path).withColumn("whole", F.lit(p.whole)) for p in patterns if p.side == side and p.fallback == fallback]
+        return reduce(DataFrame.unionByName, rows).distinct() if rows else None
+
+    firm, rest = of(False), of(True)
+    if firm is None or rest is None:
+        found = rest if firm is None else firm
+        return verbs.select("verb", F.lit(None).cast("long").alias("token_id"), F.lit(False).alias("whole")).limit(0) if found is None else found
+    return firm.unionByName(rest.join(firm.select("verb").distinct(), "verb", "left_anti"))
+
+
 def _children(tokens: DataFrame, *deps: str) -> DataFrame:
     rows = tokens.where(F.col("token_id") != F.col("head_id"))
     return (rows.where(F.col("dep").isin(*deps)) if deps else rows).select(F.col("head_id").alias("parent"), "token_id")
@@ -55,39 +107,39 @@ def negated(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(neg, "token_id", "left").groupBy("verb").agg(F.coalesce(F.bool_or("_n"), F.lit(False)).alias("negated"))
 
 
-def svo_triples(tokens: DataFrame) -> DataFrame:
-    """subject_text, subject_ids, subject_pos, verb_text, verb_lemma, verb_id, object_text, object_ids, object_pos, negated, sentence_id."""
-    verbs = tokens.where((F.col("pos") == "VERB") & ~F.col("dep").isin(*AUXILIARIES)).select(F.col("token_id").alias("verb"), "sentence_id", "dep", "head_id")
-    def of_verbs(child: DataFrame) -> DataFrame:
-        return verbs.join(child.select(F.col("parent").alias("verb"), "token_id"), "verb").select("verb", "token_id")
+def svo_triples(tokens: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
+    """subject_text, subject_ids, subject_pos, verb_text, verb_lemma, verb_id, object_text, object_ids, object_pos, negated, sentence_id.
 
-    own = of_verbs(_children(tokens, *SUBJECTS))
+    One row for each verb, subject and object. Heads outside the sentence are no heads.
+    """
+    verbs = tokens.where((F.col("pos") == "VERB") & ~F.col("dep").isin(*AUXILIARIES)).select(F.col("token_id").alias("verb"), "sentence_id", "dep", "head_id")
+    own = shared_checkpoint(_side(tokens, verbs, patterns, "subject"))
     having = own.select("verb").distinct()
     # A coordinated verb without a subject hangs under the one before it: at the top of its tree is the nearest that has one.
     lone = verbs.where("dep = 'conj'").join(having, "verb", "left_anti").select(F.col("verb").alias("token_id"), F.lit(True).alias("_lone"))
     marked = tokens.select("sentence_id", "token_id", "head_id", "dep").join(lone, "token_id", "left")
     trees = shared_checkpoint(forests(marked, any=F.lit(True), compound=F.col("dep") == "compound", conj=F.col("dep") == "conj", lone=F.col("_lone")))
 
-    def with_conj(rows: DataFrame) -> DataFrame:
-        spread = under(trees, rows, "conj")
-        return rows.join(spread.select(F.col("root").alias("token_id"), F.col("token_id").alias("_t")), "token_id").select("verb", F.col("_t").alias("token_id")).distinct()
+    def spread(rows: DataFrame) -> DataFrame:
+        """Nouns with those coordinated with them."""
+        nouns = rows.where("not whole")
+        more = under(trees, nouns, "conj").select(F.col("root").alias("token_id"), F.col("token_id").alias("_t"))
+        return shared_checkpoint(nouns.join(more, "token_id").select("verb", F.col("_t").alias("token_id"), "whole").unionByName(rows.where("whole")).distinct())
 
     heirs = trees.where("top_lone <> token_id").select(F.col("top_lone").alias("root"), F.col("token_id").alias("verb"))
-    shared = own.withColumnRenamed("verb", "root").join(heirs, "root").select("verb", "token_id")
-    subjects = shared_checkpoint(with_conj(own.unionByName(shared)))
-    agents = _children(tokens, "agent").select("parent", F.col("token_id").alias("_a")).join(_children(tokens, "pobj").select(F.col("parent").alias("_a"), "token_id"), "_a").select("parent", "token_id")
-    objects = shared_checkpoint(with_conj(of_verbs(_children(tokens, *OBJECTS).unionByName(agents))))
-    nouns = under(trees, subjects.unionByName(objects), "compound")
-    info = shared_checkpoint(noun_info(tokens, nouns))
-    clauses = of_verbs(_children(tokens, *CLAUSES)).join(objects.select("verb").distinct(), "verb", "left_anti")
-    whole = under(trees, clauses, "any")
-    clause_info = noun_info(tokens, whole)
-    complement = objects.join(info, objects["token_id"] == info["root"]).drop("token_id", "root").unionByName(clauses.join(clause_info, clauses["token_id"] == clause_info["root"]).drop("token_id", "root"))
-    complement = complement.select("verb", F.col("text").alias("object_text"), F.col("ids").alias("object_ids"), F.col("pos").alias("object_pos"))
-    subject = subjects.join(info, subjects["token_id"] == info["root"]).select("verb", F.col("text").alias("subject_text"), F.col("ids").alias("subject_ids"), F.col("pos").alias("subject_pos"))
-    groups = verbs.select("verb", F.col("verb").alias("token_id")).unionByName(of_verbs(_children(tokens, *AUXILIARIES)))
+    shared = own.withColumnRenamed("verb", "root").join(heirs, "root").select("verb", "token_id", "whole")
+    sides = {"subject": spread(own.unionByName(shared)), "object": spread(_side(tokens, verbs, patterns, "object"))}
+    both = sides["subject"].unionByName(sides["object"]).select("token_id", "whole").distinct()
+    info = [noun_info(tokens, under(trees, both.where(F.col("whole") == whole), kind)).withColumn("whole", F.lit(whole)) for whole, kind in ((False, "compound"), (True, "any"))]
+    info = shared_checkpoint(info[0].unionByName(info[1]).withColumnRenamed("root", "token_id"))
+
+    def named(side: str) -> DataFrame:
+        return sides[side].join(info, ["token_id", "whole"]).select("verb", *[F.col(c).alias(f"{side}_{c}") for c in ("text", "ids", "pos")])
+
+    auxiliaries = reached(tokens, verbs, (("down", AUXILIARIES),))
+    groups = verbs.select("verb", F.col("verb").alias("token_id")).unionByName(auxiliaries)
     verb = verb_info(tokens, groups).select("verb", "verb_id", F.col("text").alias("verb_text"), F.col("lemma").alias("verb_lemma")).join(negated(tokens, groups), "verb")
-    return subject.join(complement, "verb").join(verb, "verb").join(verbs.select("verb", "sentence_id"), "verb").drop("verb")
+    return named("subject").join(named("object"), "verb").join(verb, "verb").join(verbs.select("verb", "sentence_id"), "verb").drop("verb")
 
 
 def chunked(triples: DataFrame) -> DataFrame:

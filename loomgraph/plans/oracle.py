@@ -46,11 +46,11 @@ def _clauses() -> str:
     """The tokens of tables.clause_tokens()."""
     words = {"<brand>": "p_brand", "<one>": "t[1]", "<two>": "coalesce(t[2], 'lots')", "<three>": "coalesce(t[3], 'goods')"}
     rows = [
-        f"SELECT s, s * 10 + {o} AS id, {words.get(word, repr(word))} AS word, '{pos}' AS pos, '{dep}' AS dep, s * 10 + {head} AS head FROM clause WHERE p_size % 4 = {kind}"
+        f"SELECT s, s * 10 + {o} AS id, {words.get(word, repr(word))} AS word, '{pos}' AS pos, '{dep}' AS dep, s * 10 + {head} AS head FROM clause WHERE p_size % {len(CLAUSES)} = {kind}"
         for kind, clause in enumerate(CLAUSES)
         for o, (word, pos, dep, head) in enumerate(clause)
     ]
-    rows += [f"SELECT s, s * 10 + 9, 'not', 'PART', 'neg', s * 10 + {head} FROM clause WHERE p_size % 4 = {kind} AND p_size % 7 = 0" for kind, head in enumerate(NEGATES)]
+    rows += [f"SELECT s, s * 10 + 9, 'not', 'PART', 'neg', s * 10 + {head} FROM clause WHERE p_size % {len(CLAUSES)} = {kind} AND p_size % 7 = 0" for kind, head in enumerate(NEGATES)]
     return "clause AS (SELECT p_partkey AS s, p_brand, p_size, string_split(p_type, ' ') AS t FROM part), tokens AS (" + " UNION ALL ".join(rows) + ")"
 
 
@@ -76,6 +76,10 @@ svo AS (SELECT v.s, v.id AS verb, v.word AS vw, a.text AS st, a.ids AS si, a.pos
 _COREF = "CASE WHEN word LIKE 'Brand#%' THEN substr(word, 7)::INT ELSE ascii(word) * 100 + length(word) END"
 _NOUNS = f"""nouns AS (SELECT s, id, word, dep, head, ({_COREF})::BIGINT AS coref FROM tokens WHERE pos IN ('NOUN', 'PROPN')),
 live AS (SELECT DISTINCT coref FROM nouns WHERE dep IN ('nsubj', 'dobj', 'nsubjpass'))"""
+#: The same with nouns that a clause modifies as subjects of its verb, recipients, and objects after prepositions.
+_SVO_MORE = _SVO.replace("subject0 AS (", """bare AS (SELECT v.id FROM verbs v WHERE NOT EXISTS (SELECT 1 FROM tokens t WHERE t.head = v.id AND t.dep IN ('nsubj', 'nsubjpass'))),
+subject0 AS (SELECT v.id AS verb, v.head AS noun FROM verbs v JOIN bare USING (id) WHERE v.dep IN ('relcl', 'acl') AND v.head <> v.id UNION ALL """, 1).replace("object0 AS (", """object0 AS (SELECT t.head AS verb, t.id AS noun FROM tokens t JOIN verbs v ON v.id = t.head WHERE t.dep IN ('dative', 'iobj')
+  UNION SELECT a.head, p.id FROM tokens a JOIN verbs v ON v.id = a.head JOIN tokens p ON p.head = a.id AND p.dep = 'pobj' WHERE a.dep = 'prep' UNION """, 1)
 #: Runs of a side's tokens with the entity of the first token that has one, and both sources of triples as one.
 _EXTRACTED = f"""{_NOUNS}, runs AS (SELECT root, kind, arg_min(coref, m.id) FILTER (coref IN (SELECT coref FROM live)) AS coref
   FROM (SELECT m.*, id - row_number() OVER (PARTITION BY root, kind ORDER BY id) AS g FROM members m) m LEFT JOIN nouns USING (id) GROUP BY root, kind, g),
@@ -197,6 +201,8 @@ SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n FROM g GROU
     "heads_in_sentence": f"""WITH {_CLAUSE}, placed AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS place FROM tokens)
 SELECT a.id AS token_id, a.place::INTEGER AS place, b.place::INTEGER AS head_place FROM placed a JOIN placed b ON a.s = b.s AND a.head = b.id""",
     "svo_extract": f"""WITH RECURSIVE {_CLAUSE}, {_SVO} SELECT s AS sentence_id, st AS subject_text, list_aggregate(si, 'string_agg', ',') AS subject_ids, sp AS subject_pos, vw AS verb_text, lower(vw) AS verb_lemma, verb AS verb_id,
+ot AS object_text, list_aggregate(oi, 'string_agg', ',') AS object_ids, op AS object_pos, negated FROM svo""",
+    "svo_patterns": f"""WITH RECURSIVE {_CLAUSE}, {_SVO_MORE} SELECT s AS sentence_id, st AS subject_text, list_aggregate(si, 'string_agg', ',') AS subject_ids, sp AS subject_pos, vw AS verb_text, lower(vw) AS verb_lemma, verb AS verb_id,
 ot AS object_text, list_aggregate(oi, 'string_agg', ',') AS object_ids, op AS object_pos, negated FROM svo""",
     "svo_chunks": f"""WITH RECURSIVE {_CLAUSE}, {_SVO}, runs AS (SELECT root, kind, string_agg(id, ',' ORDER BY id) AS ids, string_agg(word, ' ' ORDER BY id) AS words FROM (
   SELECT m.*, id - row_number() OVER (PARTITION BY root, kind ORDER BY id) AS g FROM members m) GROUP BY root, kind, g)

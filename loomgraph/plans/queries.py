@@ -397,6 +397,13 @@ def svo_extract(spark, d):
     return _listed(rows, "subject_ids", "object_ids").select("sentence_id", "subject_text", "subject_ids", "subject_pos", "verb_text", "verb_lemma", "verb_id", "object_text", "object_ids", "object_pos", "negated")
 
 
+@query
+def svo_patterns(spark, d):
+    """Triples by more patterns: modified nouns, recipients, objects after prepositions."""
+    rows = deps.svo_triples(t.clause_tokens(spark, d), (*deps.PATTERNS, deps.MODIFIED, deps.RECIPIENT, deps.PREPOSITIONAL))
+    return _listed(rows, "subject_ids", "object_ids").select("sentence_id", "subject_text", "subject_ids", "subject_pos", "verb_text", "verb_lemma", "verb_id", "object_text", "object_ids", "object_pos", "negated")
+
+
 @query
 def svo_chunks(spark, d):
     return _listed(deps.chunked(deps.svo_triples(t.clause_tokens(spark, d))), "subject_ids", "object_ids").select("sentence_id", "subject_ids", "object_text", "object_ids")

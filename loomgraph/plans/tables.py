@@ -76,9 +76,13 @@ CLAUSES = (
     (("<brand>", "PROPN", "nsubj", 1), ("ships", "VERB", "ROOT", 1), ("<one>", "NOUN", "dobj", 1), ("<two>", "NOUN", "conj", 2), ("<three>", "NOUN", "conj", 3)),
     # A clause as complement, and a coordinated verb that shares the subject.
     (("<brand>", "PROPN", "nsubj", 1), ("wants", "VERB", "ROOT", 1), ("pack", "VERB", "xcomp", 1), ("<one>", "NOUN", "compound", 4), ("<three>", "NOUN", "dobj", 2), ("sends", "VERB", "conj", 1), ("<two>", "NOUN", "dobj", 5)),
+    # A clause that modifies the subject, and an object after a preposition.
+    (("<three>", "NOUN", "nsubj", 4), ("shipped", "VERB", "acl", 0), ("by", "ADP", "agent", 1), ("<brand>", "PROPN", "pobj", 2), ("arrives", "VERB", "ROOT", 4), ("at", "ADP", "prep", 4), ("<two>", "NOUN", "pobj", 5)),
+    # A recipient, and a clause of purpose.
+    (("<brand>", "PROPN", "nsubj", 1), ("gives", "VERB", "ROOT", 1), ("<one>", "NOUN", "dative", 1), ("<three>", "NOUN", "dobj", 1), ("to", "PART", "aux", 5), ("keep", "VERB", "advcl", 1), ("<two>", "NOUN", "dobj", 5)),
 )
 #: The verb that a clause's negation belongs to.
-NEGATES = (1, 3, 1, 1)
+NEGATES = (1, 3, 1, 1, 4, 1)
 
 
 def clause_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +91,7 @@ def clause_tokens(spark: SparkSession, d: str) -> DataFrame:
     words = {"<brand>": F.col("p_brand"), "<one>": F.get("t", F.lit(0)), "<two>": F.coalesce(F.get("t", F.lit(1)), F.lit("lots")), "<three>": F.coalesce(F.get("t", F.lit(2)), F.lit("goods"))}
     token = lambda o, word, pos, dep, head: F.struct(F.lit(o).alias("o"), words.get(word, F.lit(word)).alias("word"), F.lit(pos).alias("pos"), F.lit(dep).alias("dep"), F.lit(head).alias("h"))
     kinds = [F.array(*[token(o, *row) for o, row in enumerate(clause)], *[F.when(F.col("p_size") % 7 == 0, token(9, "not", "PART", "neg", head))]) for clause, head in zip(CLAUSES, NEGATES)]
-    rows = F.filter(F.element_at(F.array(*kinds), (F.col("p_size") % 4 + 1).cast("int")), lambda x: x.isNotNull())
+    rows = F.filter(F.element_at(F.array(*kinds), (F.col("p_size") % len(CLAUSES) + 1).cast("int")), lambda x: x.isNotNull())
     return p.select("s", F.explode(rows).alias("e")).selectExpr("cast(s as long) as sentence_id", "cast(s * 10 + e.o as long) as token_id", "e.word", "lower(e.word) as lemma", "e.pos", "e.pos as tag", "e.dep", "cast(s * 10 + e.h as long) as head_id")
 
 
