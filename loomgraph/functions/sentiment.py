@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +35,83 @@ def sentence_scores(tokens: DataFrame, lexicon: DataFrame, by: list[str], order:
     pushed = F.col("valence") + F.signum("valence") * BOOST * F.col("_push")
     valence = F.when(F.col("valence").isNull(), 0.0).otherwise(pushed * F.pow(F.lit(NEGATION), F.col("_negations")))
     return joined.groupBy(*by).agg(F.sum(valence).alias("valence")).withColumn("compound", compound(F.col("valence")))
+
+
+# Fixed values of the published method, beyond those above: what capitals add, what stands before and after "but" is multiplied
+# by, what "never so" and "never this" multiply by, what marks add and how many of them count.
+CAPITALS, BEFORE_BUT, AFTER_BUT, NEVER_SO, EXCLAMATION, EXCLAMATIONS, QUESTION, QUESTIONS, MANY_QUESTIONS = 0.733, 0.5, 1.5, 1.25, 0.292, 4, 0.18, 3, 0.96
+_BARE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+
+def bare(word: Column) -> Column:
+    """A word in lower case, without marks at its ends."""
+    return F.lower(F.regexp_replace(F.coalesce(word, F.lit("")), _BARE, ""))
+
+
+def _shouted(word: Column) -> Column:
+    text = F.coalesce(word, F.lit(""))
+    return (F.upper(text) == text) & (F.lower(text) != text)
+
+
+def phrases_in(words: DataFrame, phrases: DataFrame, by: list[str], order: str, word: str) -> DataFrame:
+    """(by, order, phrase_valence) of the places that phrases(phrase, valence) cover; of several the longest, then the first by text.
+
+    A phrase's words meet the text's by joins, each at its own place; where all of them stand in a row, the phrase does.
+    """
+    listed = phrases.select("phrase", F.col("valence").cast("double").alias("phrase_valence"), F.split(F.lower("phrase"), " ").alias("_all"))
+    parts = listed.select("phrase", "phrase_valence", F.size("_all").alias("_size"), F.posexplode("_all").alias("_k", word))
+    met = words.join(parts, word).groupBy(*by, (F.col(order) - F.col("_k")).alias("_start"), "phrase", "phrase_valence", "_size").agg(F.count("*").alias("_n")).where("_n = _size")
+    places = met.select(*by, "phrase_valence", F.struct(-F.col("_size"), "phrase").alias("_rank"), F.explode(F.sequence("_start", F.col("_start") + F.col("_size") - 1)).alias(order))
+    return places.groupBy(*by, order).agg(F.min_by("phrase_valence", "_rank").alias("phrase_valence"))
+
+
+def full_scores(tokens: DataFrame, lexicon: DataFrame, by: list[str], phrases: DataFrame | None = None, order: str = "token_id", word: str = "word") -> DataFrame:
+    """(by, valence, compound) by all rules of the method; `order` numbers a group's words without gaps.
+
+    A word's valence is the lexicon's, or that of a phrase it is part of. Written in capitals among others that aren't, it
+    weighs more. Boosters up to three words before it add to it, the further the less, more so in capitals; lexicon words
+    there don't boost or negate. Negations there, and "least" just before it unless after "at" or "very", turn it round;
+    "never so" and "never this" strengthen it. Words before the first "but" count half, those after it half as much again.
+    Exclamation and question marks strengthen the sum. Groups without a lexicon word score 0.
+
+    Only words that matter to a rule are put in order.
+    """
+    steps = F.coalesce(F.element_at(F.create_map(*[x for k, v in BOOSTERS.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("_w")), F.lit(0.0))
+    words = tokens.select(*by, F.col(order).cast("long").alias("_p"), F.coalesce(word, F.lit("")).alias("_raw")).withColumn("_w", bare(F.col("_raw")))
+    facts = words.groupBy(*by).agg(
+        F.count_if(_shouted(F.col("_raw"))).alias("_shouts"), F.count("*").alias("_words"), F.min(F.when(F.col("_w") == "but", F.col("_p"))).alias("_but"),
+        F.sum(F.regexp_count("_raw", F.lit("!"))).alias("_calls"), F.sum(F.regexp_count("_raw", F.lit(r"\?"))).alias("_asks"),
+    )
+    scored = words.join(lexicon.select(F.lower("word").alias("_w"), F.col("valence").cast("double").alias("_own")), "_w", "left")
+    if phrases is not None:
+        scored = scored.join(phrases_in(words, phrases, by, "_p", "_w"), [*by, "_p"], "left").withColumn("_own", F.when(F.col("_own").isNotNull(), F.coalesce("phrase_valence", "_own")))
+    negates = F.col("_w").isin(*NEGATIONS) | F.col("_w").endswith("n't")
+    marked = scored.select(*by, "_p", "_w", "_own", _shouted(F.col("_raw")).alias("_loud"), negates.alias("_not"), steps.alias("_boost"))
+    kept = marked.where(F.col("_own").isNotNull() | F.col("_not") | (F.col("_boost") != 0) | F.col("_w").isin("least", "at", "this", "so", "very")).join(facts.select(*by, "_shouts", "_words"), by)
+    window = Window.partitionBy(*by).orderBy("_p")
+    row = F.struct("_p", "_w", "_own", "_loud", "_not", "_boost")
+    before = F.array(*[F.lag(row, k).over(window) for k in range(1, REACH + 1)])
+    kept = kept.withColumn("_before", before).where("_own is not null")
+    # The word so many places before, if it is one that matters; those left out are no modifiers.
+    def at(k: int) -> Column:
+        return F.get(F.filter("_before", lambda x: x["_p"] == F.col("_p") - k), F.lit(0))
+
+    back = {k: at(k) for k in range(1, REACH + 1)}
+    mixed = (F.col("_shouts") > 0) & (F.col("_shouts") < F.col("_words"))
+    v = F.col("_own") + F.when(F.col("_loud") & mixed, F.signum("_own") * CAPITALS).otherwise(0.0)
+    said = lambda k, *some: F.coalesce(back[k]["_w"].isin(*some), F.lit(False))
+    for k, fade in zip(range(1, REACH + 1), FADE):
+        acts = back[k].isNotNull() & back[k]["_own"].isNull()
+        # Steps are columns of their own, so that none is worked out again by those after it.
+        kept = kept.withColumn(f"_v{k}", v)
+        now = F.col(f"_v{k}")
+        push = F.signum(now) * back[k]["_boost"] * BOOST + F.when(back[k]["_loud"] & mixed & (back[k]["_boost"] != 0), F.signum(now) * CAPITALS).otherwise(0.0)
+        pushed = now + F.when(acts & (back[k]["_boost"] != 0), push * fade).otherwise(0.0)
+        strong = said(k, "never") & reduce(lambda a, b: a | b, [said(j, "so", "this") for j in range(1, k)], F.lit(False))
+        v = F.when(acts & strong, pushed * NEVER_SO).when(acts & F.coalesce(back[k]["_not"], F.lit(False)), pushed * NEGATION).otherwise(pushed)
+    v = F.when(said(1, "least") & ~said(2, "at", "very"), v * NEGATION).otherwise(v)
+    total = kept.select(*by, "_p", v.alias("_v")).join(facts.select(*by, "_but"), by)
+    part = F.when(F.col("_p") < F.col("_but"), F.col("_v") * BEFORE_BUT).when(F.col("_p") > F.col("_but"), F.col("_v") * AFTER_BUT).otherwise(F.col("_v"))
+    sums = facts.join(total.groupBy(*by).agg(F.sum(part).alias("_sum")), by, "left").withColumn("_sum", F.coalesce("_sum", F.lit(0.0)))
+    marks = F.least(F.col("_calls"), F.lit(EXCLAMATIONS)) * EXCLAMATION + F.when(F.col("_asks") > QUESTIONS, MANY_QUESTIONS).when(F.col("_asks") > 1, F.col("_asks") * QUESTION).otherwise(0.0)
+    return sums.select(*by, (F.col("_sum") + F.signum("_sum") * marks).alias("valence")).withColumn("compound", compound(F.col("valence")))

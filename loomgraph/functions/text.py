@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Between sentences while a text is cut; no text has it.
+#: Between sentences while a text is cut; in a text it counts as a space.
 MARK = "\u0001"
-#: Leading words that names drop, each once and in this order.
+# Leading words that names drop, each once and in this order.
 ARTICLES = ("the", "a", "an")
 
 
-def strip_marker(text: Column, marker: str = "Ill") -> Column:
+# Fixed value: the word that scanning left.
+SCANNED = "Ill"
+
+
+def strip_marker(text: Column, marker: str = SCANNED) -> Column:
     """Delete a word that scanning left, with the white space after it."""
     return F.regexp_replace(text, rf"\b{marker}\b\s+", "")
 
@@ -25,14 +29,14 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def preprocess(text: Column, marker: str = "Ill") -> Column:
+def preprocess(text: Column, marker: str = SCANNED) -> Column:
     """Marker, newlines, then white space; the last step also joins paragraphs."""
     return collapse_spaces(unify_newlines(strip_marker(text, marker)))
 
 
 def sentences(text: Column) -> Column:
     """The sentences of a text: cut after . ! ? before white space."""
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1" + MARK), MARK)
+    return F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), r"([.!?])[ \t\r\n]+", "$1" + MARK), MARK)
 
 
 def segment(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

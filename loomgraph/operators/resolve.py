@@ -12,7 +12,7 @@ from ..functions.text import normalize_name, split_list
 from . import likeness
 from .events import keep_first
 
-#: Titles by gender.
+# Titles by gender.
 TITLES = {"m": ("mr", "mister"), "f": ("mrs", "ms", "miss")}
 #: What a score is multiplied by where genders differ, and where a single word of the query matched.
 OTHER_GENDER, SINGLE_WORD = 0.8, 0.9

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .tables import CLAUSES, LEXICON, NEGATES
+from .tables import CLAUSES, LEXICON, NEGATES, PHRASES
 
 _PRESENT = "present AS (SELECT DISTINCT l_orderkey AS s, l_suppkey AS e FROM lineitem)"
 _PAIRS = f"{_PRESENT}, pairs AS (SELECT a.s, a.e AS source_id, b.e AS target_id FROM present a JOIN present b ON a.s = b.s AND a.e < b.e)"
@@ -99,6 +99,30 @@ valences AS (SELECT doc_id, sum(CASE WHEN valence IS NULL THEN 0.0 ELSE (valence
 scores AS (SELECT doc_id, valence, valence / sqrt(valence * valence + 15.0) AS compound FROM valences)"""
 
 
+def _all_rules() -> str:
+    """Scores by all rules, with every word's three words before it."""
+    acts = [f"(b{k}.w IS NOT NULL AND b{k}.own IS NULL)" for k in (1, 2, 3)]
+    never = ["FALSE", "b2.w = 'never' AND b1.w IN ('so', 'this')", "b3.w = 'never' AND (b1.w IN ('so', 'this') OR b2.w IN ('so', 'this'))"]
+    steps = ""
+    for k, fade in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        push = f"CASE WHEN {acts[k - 1]} AND b{k}.boost <> 0 THEN {fade}::DOUBLE * sign(v{k - 1}) * (b{k}.boost * 0.293::DOUBLE + CASE WHEN b{k}.loud AND mixed THEN 0.733::DOUBLE ELSE 0.0 END) ELSE 0.0 END"
+        turned = f"CASE WHEN {acts[k - 1]} AND coalesce({never[k - 1]}, FALSE) THEN 1.25::DOUBLE WHEN {acts[k - 1]} AND b{k}.neg = 1 THEN -0.74::DOUBLE ELSE 1.0 END"
+        steps += f", r{k} AS (SELECT *, (v{k - 1} + {push}) * {turned} AS v{k} FROM r{k - 1})"
+    return f"""{_WORDS}, lexicon(w, valence) AS (VALUES {", ".join(f"('{w}', {v}::DOUBLE)" for w, v in LEXICON)}), phrases(phrase, valence) AS (VALUES {", ".join(f"('{w}', {v}::DOUBLE)" for w, v in PHRASES)}),
+plain AS (SELECT doc_id, k, word, lower(regexp_replace(word, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS w, upper(word) = word AND lower(word) <> word AS loud FROM words),
+facts AS (SELECT doc_id, count(*) FILTER (loud) > 0 AND count(*) FILTER (loud) < count(*) AS mixed, min(k) FILTER (w = 'but') AS but, sum(length(word) - length(replace(word, '!', ''))) AS calls, sum(length(word) - length(replace(word, '?', ''))) AS asks FROM plain GROUP BY doc_id),
+near AS (SELECT *, lag(w) OVER o || ' ' || w AS ending, w || ' ' || lead(w) OVER o AS beginning FROM plain WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+valued AS (SELECT n.doc_id, k, n.w, loud, (n.w IN {_NEGATED} OR ends_with(n.w, 'n''t'))::INT AS neg, {_BOOST.replace("WHEN w IN", "WHEN n.w IN")} AS boost,
+  CASE WHEN l.valence IS NOT NULL THEN CASE WHEN a.phrase IS NOT NULL AND (b.phrase IS NULL OR a.phrase < b.phrase) THEN a.valence WHEN b.phrase IS NOT NULL THEN b.valence ELSE l.valence END END AS own
+  FROM near n LEFT JOIN lexicon l ON l.w = n.w LEFT JOIN phrases a ON a.phrase = ending LEFT JOIN phrases b ON b.phrase = beginning),
+backed AS (SELECT *, {", ".join(f"lag({{'w': w, 'own': own, 'loud': loud, 'neg': neg, 'boost': boost}}, {k}) OVER o AS b{k}" for k in (1, 2, 3))} FROM valued WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+r0 AS (SELECT *, own + CASE WHEN loud AND mixed THEN sign(own) * 0.733::DOUBLE ELSE 0.0 END AS v0 FROM backed JOIN facts USING (doc_id) WHERE own IS NOT NULL){steps},
+turned AS (SELECT doc_id, v3 * CASE WHEN b1.w = 'least' AND coalesce(b2.w, '') NOT IN ('at', 'very') THEN -0.74::DOUBLE ELSE 1.0 END * CASE WHEN k < but THEN 0.5::DOUBLE WHEN k > but THEN 1.5::DOUBLE ELSE 1.0 END AS v FROM r3),
+sums AS (SELECT doc_id, coalesce(sum(v), 0.0) AS total, any_value(least(calls, 4) * 0.292::DOUBLE + CASE WHEN asks > 3 THEN 0.96::DOUBLE WHEN asks > 1 THEN asks * 0.18::DOUBLE ELSE 0.0 END) AS marks FROM facts LEFT JOIN turned USING (doc_id) GROUP BY doc_id),
+scores AS (SELECT doc_id, total + sign(total) * marks AS valence FROM sums)
+SELECT doc_id, round(valence, 6) AS valence, round(valence / sqrt(valence * valence + 15.0), 6) AS compound FROM scores"""
+
+
 def _closing(steps: int = 5) -> str:
     """All-pairs distances of the weighted trade graph, by min-plus squaring."""
     out = """, d0 AS (SELECT year, s, t, min(d) AS d FROM (SELECT year, a::VARCHAR AS s, b::VARCHAR AS t, 1.0 / w AS d FROM both_ways UNION ALL SELECT DISTINCT year, a::VARCHAR, a::VARCHAR, 0.0 FROM both_ways) GROUP BY ALL)"""
@@ -255,6 +279,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY section, candidate ORDER BY valu
 SELECT section, candidate, rank::INTEGER AS rank, round(value, 6) AS value, rank = 1 AS possible FROM r WHERE node = candidate""",
     "display_scale": f"""WITH {_TRADE}, w AS (SELECT year, least(a, b) AS a, greatest(a, b) AS b, count(*) AS weight FROM trade WHERE a <> b GROUP BY year, least(a, b), greatest(a, b))
 SELECT *, round(weight / max(weight) OVER (PARTITION BY year), 6) AS scaled FROM w""",
+    "document_sentiment_by_all_rules": f"WITH {_all_rules()}",
     "document_sentiment": f"WITH {_SCORES} SELECT doc_id, round(valence, 6) AS valence, round(compound, 6) AS compound FROM scores",
     "sentiment_by_pair": f"WITH {_SCORES} SELECT least(source, lang) AS a, greatest(source, lang) AS b, round(sum(compound), 6) AS total, round(avg(compound), 6) AS mean FROM documents JOIN scores USING (doc_id) GROUP BY least(source, lang), greatest(source, lang)",
     "incident_sentiment": f"""WITH {_TRADE}, e AS (SELECT year, a, b, (a - b) / 25.0 AS s FROM trade), i AS (SELECT year, a AS node, s FROM e UNION ALL SELECT year, b, s FROM e), m AS (SELECT year, node, avg(s) AS mean FROM i GROUP BY ALL)

@@ -563,6 +563,12 @@ def document_sentiment(spark, d):
     return _places(sentiment.sentence_scores(t.document_words(spark, d), t.lexicon(spark), ["doc_id"]), "valence", "compound")
 
 
+@query
+def document_sentiment_by_all_rules(spark, d):
+    scores = sentiment.full_scores(t.document_words(spark, d), t.lexicon(spark), ["doc_id"], t.phrases(spark))
+    return _places(scores, "valence", "compound")
+
+
 @query
 def sentiment_by_pair(spark, d):
     scores = sentiment.sentence_scores(t.document_words(spark, d), t.lexicon(spark), ["doc_id"])

@@ -9,6 +9,8 @@ from ..session import table
 
 LEXICON = (("the", 0.4), ("of", -0.2), ("and", 0.1), ("idiot", -2.4), ("trash", -1.9), ("that", 0.7), ("la", 0.3), ("der", -0.6), ("pathetic", -2.2), ("with", 1.1))
 
+PHRASES = (("of the", 1.2), ("la de", -0.8), ("and the", 0.6), ("the of", -1.0))
+
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     """An order is a sentence, its suppliers are the entities in it."""
@@ -125,5 +127,9 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEXICON), "word string, valence double")
 
 
+def phrases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(PHRASES), "phrase string, valence double")
+
+
 def document_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", " ")).alias("token_id", "word"))

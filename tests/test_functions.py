@@ -111,3 +111,8 @@ def test_writers(spark, tmp_path):
     import xml.etree.ElementTree as X
 
     assert X.fromstring(lines).find("./graph/nodes/node").get("label") == "<x>"
+
+
+def test_control_characters_cut_no_sentence(spark):
+    df = spark.createDataFrame([("One\u0001two. Three",)], "text string")
+    assert df.select(text.sentences(F.col("text"))).first()[0] == ["One two.", "Three"]
