@@ -99,6 +99,25 @@ valences AS (SELECT doc_id, sum(CASE WHEN valence IS NULL THEN 0.0 ELSE (valence
 scores AS (SELECT doc_id, valence, valence / sqrt(valence * valence + 15.0) AS compound FROM valences)"""
 
 
+_LIKELIHOOD = "2 * (({0}) * ln(greatest({3}, 1e-9)) + (({1}) - ({0})) * ln(greatest(1 - {3}, 1e-9)) - ({0}) * ln(greatest({2}, 1e-9)) - (({1}) - ({0})) * ln(greatest(1 - {2}, 1e-9)))"
+_SHORT = f"""seen AS (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS x FROM documents),
+types AS (SELECT regexp_replace(x, '^[^\\p{{L}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS w, count(*) FILTER (regexp_matches(x, '\\.[^\\p{{L}}\\p{{N}}]*$'))::DOUBLE AS stopped, count(*)::DOUBLE AS own FROM seen WHERE regexp_matches(x, '\\p{{L}}') GROUP BY 1),
+rate AS (SELECT sum(stopped) / sum(own) AS chance FROM types WHERE w <> ''),
+short AS (SELECT w, ({_LIKELIHOOD.format("stopped", "own", "chance", "0.99::DOUBLE")}) * (length(w) - length(replace(w, '.', '')) + 1) * exp(-length(replace(w, '.', ''))) * pow(length(replace(w, '.', ''))::DOUBLE, stopped - own) AS score FROM types, rate WHERE w <> '' AND stopped > 0)"""
+_LEARNT = f"""{_SHORT}, known AS (SELECT w FROM short WHERE score >= 0.3),
+cuts AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS every FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT doc_id, unnest(range(len(every))) AS i, unnest(every) AS piece, unnest(list_prepend(NULL, every[:-2])) AS before FROM cuts),
+ended AS (SELECT *, regexp_extract(before, '(\\S+)\\s*$', 1) AS word, regexp_extract(piece, '^[^\\p{{L}}\\p{{N}}]*([\\p{{L}}\\p{{N}}]+)', 1) AS first FROM pieces),
+parts AS (SELECT *, CASE WHEN regexp_matches(word, '\\.[^\\p{{L}}\\p{{N}}]*$') THEN regexp_replace(word, '^[^\\p{{L}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') END AS ending FROM ended),
+begun AS (SELECT lower(first) AS w, count(*)::DOUBLE AS n FROM parts WHERE ending IS NOT NULL AND first <> '' AND length(ending) > 1 AND lower(ending) NOT IN (FROM known) GROUP BY 1),
+begins AS (SELECT w, least(n, own) AS n, own FROM begun JOIN types USING (w)),
+odds AS (SELECT (SELECT sum(n) FROM begins) / (SELECT sum(own) FROM types) AS chance),
+starters AS (SELECT w FROM begins, odds WHERE n / own > chance AND {_LIKELIHOOD.format("n", "own", "chance", "(n / own)")} >= 30),
+joined AS (SELECT doc_id, i, piece, i > 0 AND (((coalesce(lower(ending) IN (FROM known), FALSE) OR coalesce(regexp_matches(ending, '^\\p{{Lu}}$'), FALSE)) AND (lower(first) NOT IN (FROM starters) OR NOT regexp_matches(first, '^\\p{{Lu}}')))
+  OR (ending IS NOT NULL AND regexp_matches(first, '^\\p{{Ll}}'))) AS goes_on FROM parts),
+numbered AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM joined)"""
+
+
 def _all_rules() -> str:
     """Scores by all rules, with every word's three words before it."""
     acts = [f"(b{k}.w IS NOT NULL AND b{k}.own IS NULL)" for k in (1, 2, 3)]
@@ -193,6 +212,8 @@ degrees AS (SELECT node, count(*) AS degree FROM ends GROUP BY node)
 SELECT (row_number() OVER (ORDER BY degree DESC, node) - 1)::INTEGER AS place, node || ';' || degree AS line FROM degrees ORDER BY place LIMIT 20""",
     "sentence_segments": """WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents)
 SELECT doc_id, unnest(range(len(s)))::INTEGER AS sentence_id, unnest(s) AS sentence FROM s""",
+    "abbreviations": f"WITH {_SHORT} SELECT w, round(score, 6) AS score FROM short WHERE score >= 0.3",
+    "learnt_sentences": f"WITH {_LEARNT} SELECT doc_id, k::INTEGER AS sentence_id, string_agg(piece, ' ' ORDER BY i) AS sentence FROM numbered GROUP BY doc_id, k",
     "joined_words": "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS text FROM lineitem GROUP BY ALL",
     "literal_lists": "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN '' ELSE n_nationkey || ',' || n_regionkey END AS ids, n_name || ',x' AS names, n_name || ',b,' || n_regionkey AS parts FROM nation",
     "fuzzy_score": f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name AS x, lower(p_type) AS y FROM part), named AS (SELECT x, y, {_SORTED.format("x")} AS a, {_SORTED.format("y")} AS b FROM names),

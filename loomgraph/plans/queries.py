@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sentiment, text
+from ..functions import segmentation, sentiment, text
 from ..operators import cooccur, deps, events, graph, reports, resolve, sections, spans
 from ..session import shared_folder, table
 from ..sources import readers, schemas, writers
@@ -189,6 +189,19 @@ def sentence_segments(spark, d):
     return text.segment(table(spark, d, "documents"))
 
 
+@query
+def abbreviations(spark, d):
+    return _places(segmentation.abbreviations(table(spark, d, "documents")), "score")
+
+
+@query
+def learnt_sentences(spark, d):
+    """Sentences cut by what the documents say about their abbreviations and sentence starters."""
+    docs = table(spark, d, "documents")
+    short = segmentation.abbreviations(docs)
+    return segmentation.segment_learnt(docs, short, segmentation.starters(docs, short))
+
+
 @query
 def joined_words(spark, d):
     rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber as token_id", "concat(l_returnflag, l_linestatus) as word")
