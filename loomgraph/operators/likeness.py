@@ -7,8 +7,11 @@ what is indexed. A text's pairs are put in order of how rare they are; of those
 within the first of either (a prefix filter on two tokens), so keys are twos of a text's first pairs. Lengths, and how
 often texts have characters, exclude more candidates; the others are aligned.
 
-A query that asks for its k best looks for near texts first: a step down the ladder of ratios is taken only by those
-that haven't got k yet. Nothing is collected, and no query meets texts that share no key with it.
+The index pays where alike texts are rare: at a ratio of 0.9 a text shares keys with few others, at 0.6 short names share
+keys with most. How many rows the keys would join is counted first; where that is more than comparing the texts costs,
+blocks of either side are compared instead, each pair of blocks a task that aligns a text with all of the other block in
+step, a bit for each character, and gives its matches only. Either way gives the same rows. A query that asks for its k
+best looks for near texts first, where the index pays, and only those that haven't got k yet go on. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -17,16 +20,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
 
-#: Ratios that are looked for in turn by queries without enough matches, down to the one asked for.
-LADDER = (0.9, 0.8, 0.75, 0.7, 0.65)
-#: Below so many texts to match the ladder saves less than its steps cost.
-FEW = 5000
+#: Ratios that are looked for first, in turn, by queries without enough matches.
+LADDER = (0.9, 0.8)
+#: Up to so many pairs of texts are compared in blocks without asking what the index would cost.
+FEW = 50_000_000
+#: A row of the index's join costs as much as comparing so many pairs.
+ROW_COST = 10
+#: Texts of a block, and the longest ones that are laid out side by side there.
+BLOCK, LONG = 2000, 256
 #: Texts of up to so many characters are aligned many at once.
 WIDE = 64
 _BEGIN, _END = "\u0002", "\u0003"
@@ -170,17 +178,97 @@ def _scored(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("query", "a", "variant", "b").mapInArrow(run, "query string, variant string, score double")
 
 
-def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(query, variant, score) of all texts of left and right, both (id, name, text), with the ratio `least` (over 0, up to 1) or more."""
-    own, other = _pairs_of(left, least), shared_checkpoint(_pairs_of(right, least))
-    times = other.groupBy("pair").agg(F.count("*").alias("times"))
-    a, b = _keys(own, times), _keys(other, times)
-    met = a.select("key", F.col("id").alias("a"), F.col("n").alias("n_a")).join(b.select("key", F.col("id").alias("b"), F.col("n").alias("n_b")), "key")
-    # The subsequence is no longer than the shorter text.
-    met = met.where(2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b").distinct()
-    with_a = met.join(left.select(F.col("id").alias("a"), F.col("name").alias("query"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(right.select(F.col("id").alias("b"), F.col("name").alias("variant"), F.col("text").alias("text_b")), "b")
-    return _scored(with_b.select("query", F.col("text_a").alias("a"), "variant", F.col("text_b").alias("b")), least)
+class _Met:
+    """left and right, both (id, name, text), and what the index would join at a ratio."""
+
+    def __init__(self, left: DataFrame, right: DataFrame, least: float):
+        self.left, self.right, self.least = left, right, least
+        other = shared_checkpoint(_pairs_of(right, least))
+        times = other.groupBy("pair").agg(F.count("*").alias("times"))
+        self.a, self.b = _keys(_pairs_of(left, least), times), _keys(other, times)
+
+    def rows(self) -> int:
+        count = lambda keys, name: keys.groupBy("key").agg(F.count("*").alias(name))
+        return count(self.a, "m").join(count(self.b, "n"), "key").agg(F.sum(F.col("m").cast("double") * F.col("n"))).first()[0] or 0
+
+    def scored(self) -> DataFrame:
+        a, b, least = self.a.select("key", F.col("id").alias("a"), F.col("n").alias("n_a")), self.b.select("key", F.col("id").alias("b"), F.col("n").alias("n_b")), self.least
+        met = a.join(b, "key")
+        # The subsequence is no longer than the shorter text.
+        met = met.where(2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b").distinct()
+        with_a = met.join(self.left.select(F.col("id").alias("a"), F.col("name").alias("query"), F.col("text").alias("text_a")), "a")
+        with_b = with_a.join(self.right.select(F.col("id").alias("b"), F.col("name").alias("variant"), F.col("text").alias("text_b")), "b")
+        return _scored(with_b.select("query", F.col("text_a").alias("a"), "variant", F.col("text_b").alias("b")), least)
+
+
+def by_index(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """alike() by the index, whatever it costs."""
+    return _Met(left, right, least).scored()
+
+
+def lcs_with_all(text: str, codes: np.ndarray, number: dict[str, int]) -> np.ndarray:
+    """lcs() of a text of up to WIDE characters with each row of codes; characters that no row has are not numbered."""
+    masks = np.zeros(len(number) + 1, np.uint64)
+    for i, c in enumerate(text):
+        if c in number:
+            masks[number[c]] |= np.uint64(1 << i)
+    v = np.full(len(codes), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    with np.errstate(over="ignore"):
+        for met in masks[codes].T:
+            u = v & met
+            v = (v + u) | (v - u)
+    return len(text) - np.bitwise_count(v & np.uint64((1 << len(text)) - 1)).astype(np.int64)
+
+
+def _compared(a: list[str], b: list[str], least: float) -> tuple[list[int], list[int], list[float]]:
+    """(i, j, score) of all pairs with the ratio `least` or more."""
+    number = {c: k for k, c in enumerate(sorted(set("".join(b))), 1)}
+    short = np.array([k for k, x in enumerate(b) if len(x) <= LONG], np.int64)
+    codes = np.zeros((len(short), max((len(b[k]) for k in short.tolist()), default=0)), np.int64)
+    for row, k in enumerate(short.tolist()):
+        codes[row, : len(b[k])] = [number[c] for c in b[k]]
+    sizes, rest = np.array([len(b[k]) for k in short.tolist()], np.int64), [k for k, x in enumerate(b) if len(x) > LONG]
+    i, j, score = [], [], []
+    for k, text in enumerate(a):
+        if len(text) <= WIDE and len(short):
+            found = 200.0 * lcs_with_all(text, codes, number) / (len(text) + sizes)
+            good = np.flatnonzero(found >= 100 * least)
+            i += [k] * len(good)
+            j += short[good].tolist()
+            score += found[good].tolist()
+        for other in rest if len(text) <= WIDE else range(len(b)):
+            if 2 * min(len(text), len(b[other])) >= least * (len(text) + len(b[other])) - 1e-6 and (s := ratio(text, b[other])) >= 100 * least:
+                i.append(k)
+                j.append(other)
+                score.append(s)
+    return i, j, score
+
+
+def by_blocks(left: DataFrame, right: DataFrame, least: float, sizes: tuple[int, int], block: int = BLOCK) -> DataFrame:
+    """alike() by comparing blocks; sizes are the rows of left and right."""
+    counts = [max(1, -(-n // block)) for n in sizes]
+    own = [F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") for n in counts]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in counts]
+    rows = left.select(own[0].alias("_l"), every[1].alias("_r"), F.lit(True).alias("asks"), "name", "text").unionByName(right.select(every[0].alias("_l"), own[1].alias("_r"), F.lit(False).alias("asks"), "name", "text"))
+
+    def task(part: pd.DataFrame) -> pd.DataFrame:
+        asks = part["asks"].to_numpy(bool)
+        (names, a), (others, b) = ((part["name"][side].tolist(), part["text"][side].tolist()) for side in (asks, ~asks))
+        i, j, score = _compared(a, b, least)
+        return pd.DataFrame({"query": pd.Series([names[k] for k in i], dtype=object), "variant": pd.Series([others[k] for k in j], dtype=object), "score": pd.Series(score, dtype=float)})
+
+    return rows.groupBy("_l", "_r").applyInPandas(task, "query string, variant string, score double")
+
+
+def alike(left: DataFrame, right: DataFrame, least: float, few: int = FEW) -> DataFrame:
+    """(query, variant, score) of all texts of left and right, both (id, name, text), with the ratio `least` (over 0, up to 1) or
+    more, by the index or by blocks, whichever costs less."""
+    sizes = (left.count(), right.count())
+    if sizes[0] * sizes[1] > few:
+        met = _Met(left, right, least)
+        if met.rows() * ROW_COST < sizes[0] * sizes[1]:
+            return met.scored()
+    return by_blocks(left, right, least, sizes)
 
 
 def top(queries: DataFrame, variants: DataFrame, k: int, threshold: float, few: int = FEW) -> DataFrame:
@@ -193,18 +281,19 @@ def top(queries: DataFrame, variants: DataFrame, k: int, threshold: float, few:
     least = threshold / 100
     right = _prepared(variants.select(F.col("variant").alias("name")))
     left = _prepared(queries.select(F.col("query").alias("name")))
-    ladder = [x for x in LADDER if x > least] if right.count() > few else []
+    size = right.count()
     window = Window.partitionBy("query").orderBy(F.desc("score"), "id_order", "variant")
+    best = lambda found: found.join(variants, "variant").withColumn("place", F.row_number().over(window)).where(F.col("place") <= k).select("query", "variant", "score", "place")
     out = None
-    for step in [*ladder, least]:
-        found = alike(left, right, step).join(variants, "variant")
-        best = found.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k).select("query", "variant", "score", "place")
-        if step == least:
-            return best if out is None else out.unionByName(best)
-        best = shared_checkpoint(best)
-        full = best.where(F.col("place") == k).select(F.col("query").alias("name"))
-        done = best.join(full.withColumnRenamed("name", "query"), "query", "left_semi")
+    for step in (x for x in LADDER if x > least):
+        pairs = left.count() * size
+        met = _Met(left, right, step) if pairs > few else None
+        if met is None or met.rows() * ROW_COST >= pairs:
+            break
+        found = shared_checkpoint(best(met.scored()))
+        full = found.where(F.col("place") == k).select(F.col("query").alias("name"))
+        done = found.join(full.withColumnRenamed("name", "query"), "query", "left_semi")
         out = done if out is None else out.unionByName(done)
         left = shared_checkpoint(left.join(full, "name", "left_anti"))
-        if left.isEmpty():
-            return out
+    last = best(alike(left, right, least, few))
+    return last if out is None else out.unionByName(last)

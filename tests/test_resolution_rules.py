@@ -45,8 +45,27 @@ def test_alike_texts_share_the_pairs_that_the_index_relies_on(least):
     assert seen > 100
 
 
-@pytest.mark.parametrize("threshold, few", [(50.0, 5000), (50.0, 0), (60.0, 0), (85.0, 0), (100.0, 5000)])
-def test_best_matches_by_the_index_are_those_of_all_pairs(spark, threshold, few):
+def test_a_text_with_all_of_a_block():
+    rng = random.Random(6)
+    make = lambda longest: "".join(rng.choice("abcé中\U0001f600 ") for _ in range(rng.randrange(1, longest)))
+    a, b = [make(90) for _ in range(40)], [make(300) for _ in range(40)] + ["", "zq"]
+    got = {(i, j): s for i, j, s in zip(*likeness._compared(a, b, 0.4))}
+    assert got == {(i, j): s for i, x in enumerate(a) for j, y in enumerate(b) if (s := likeness.ratio(x, y)) >= 40}
+
+
+@pytest.mark.parametrize("least", [0.5, 0.75, 0.9])
+def test_index_and_blocks_find_the_same(spark, least):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(80)]
+    sides = [likeness._prepared(spark.createDataFrame([(" ".join(rng.sample(words, rng.randrange(1, 4))),) for _ in range(n)], "name string")) for n in (60, 150)]
+    key = lambda df: sorted(map(tuple, df.select("query", "variant", "score").collect()))
+    sizes = tuple(s.count() for s in sides)
+    assert key(likeness.by_index(*sides, least)) == key(likeness.by_blocks(*sides, least, sizes)) == key(likeness.by_blocks(*sides, least, sizes, 20)) != []
+
+
+@pytest.mark.parametrize("threshold, few", [(50.0, 10**9), (50.0, 0), (60.0, 0), (85.0, 0), (100.0, 0)])
+def test_best_matches_are_those_of_all_pairs(spark, monkeypatch, threshold, few):
+    monkeypatch.setattr(likeness, "ROW_COST", 0.01 if few == 0 and threshold > 50 else 10)
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
     texts = [" ".join(rng.sample(words, 2)) for _ in range(120)] + ["", "  ", "x"]
