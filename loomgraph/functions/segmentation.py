@@ -28,9 +28,11 @@ def _likelihood(both: Column, own: Column, chance: Column, held: Column | float)
 
 def _types(docs: DataFrame) -> DataFrame:
     """(w, stopped, open): how often each word stands with a full stop at its end, and without."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("x")).where(F.col("x").rlike(r"\p{L}"))
+    # Equal words are counted before they are looked at.
+    seen = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("x")).groupBy("x").agg(F.count("*").alias("n")).where(F.col("x").rlike(r"\p{L}"))
     bare = F.regexp_replace("x", r"^[^\p{L}]+|[^\p{L}\p{N}]+$", "")
-    return words.groupBy(bare.alias("w")).agg(F.count_if(F.col("x").rlike(r"\.[^\p{L}\p{N}]*$")).alias("stopped"), F.count_if(~F.col("x").rlike(r"\.[^\p{L}\p{N}]*$")).alias("open"))
+    stopped = F.col("x").rlike(r"\.[^\p{L}\p{N}]*$")
+    return seen.groupBy(bare.alias("w")).agg(F.sum(F.when(stopped, F.col("n")).otherwise(0)).alias("stopped"), F.sum(F.when(stopped, 0).otherwise(F.col("n"))).alias("open"))
 
 
 def abbreviations(docs: DataFrame) -> DataFrame:
@@ -45,8 +47,12 @@ def abbreviations(docs: DataFrame) -> DataFrame:
 
 def _pieces(docs: DataFrame, id_col: str) -> DataFrame:
     """(id, i, piece, ending, first): pieces by the plain rule, the last word of the one before, and the first word."""
-    rows = docs.select(id_col, sentences(F.col("text")).alias("_all")).select(id_col, F.col("_all"), F.posexplode("_all").alias("i", "piece"))
-    before = F.get("_all", F.col("i") - 1)
+    # A piece and the one before it, side by side: rows don't carry their text's other pieces.
+    every = sentences(F.col("text"))
+    shifted = F.slice(F.concat(F.array(F.lit(None).cast("string")), every), F.lit(1), F.size(every))
+    both = F.zip_with(every, shifted, lambda piece, before: F.struct(piece.alias("piece"), before.alias("before")))
+    rows = docs.select(id_col, F.posexplode(both).alias("i", "_x")).select(id_col, "i", "_x.piece", "_x.before")
+    before = F.col("before")
     word = F.regexp_extract(before, r"(\S+)\s*$", 1)
     ending = F.when(word.rlike(r"\.[^\p{L}\p{N}]*$"), F.regexp_replace(word, r"^[^\p{L}]+|[^\p{L}\p{N}]+$", ""))
     return rows.select(id_col, "i", "piece", ending.alias("ending"), F.regexp_extract("piece", r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1).alias("first"))
