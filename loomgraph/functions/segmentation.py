@@ -53,7 +53,8 @@ def _pieces(docs: DataFrame, id_col: str) -> DataFrame:
     both = F.zip_with(every, shifted, lambda piece, before: F.struct(piece.alias("piece"), before.alias("before")))
     rows = docs.select(id_col, F.posexplode(both).alias("i", "_x")).select(id_col, "i", "_x.piece", "_x.before")
     before = F.col("before")
-    word = F.regexp_extract(before, r"(\S+)\s*$", 1)
+    # A search for the last word from the front would try every place.
+    word = F.element_at(F.split(before, r"\s+"), -1)
     ending = F.when(word.rlike(r"\.[^\p{L}\p{N}]*$"), F.regexp_replace(word, r"^[^\p{L}]+|[^\p{L}\p{N}]+$", ""))
     return rows.select(id_col, "i", "piece", ending.alias("ending"), F.regexp_extract("piece", r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1).alias("first"))
 
