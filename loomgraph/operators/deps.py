@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint
+from ..session import shared_checkpoint, shuffled
 from .trees import forests, under
 
 AUXILIARIES = ("aux", "auxpass")
@@ -56,7 +56,7 @@ def reached(tokens: DataFrame, verbs: DataFrame, path: tuple[tuple[str, tuple[st
             raise ValueError(f"no direction: {direction}")
         at, to = ("head_id", "token_id") if direction == "down" else ("token_id", "head_id")
         step = tokens.where((F.col("token_id") != F.col("head_id")) & F.col("dep").isin(*relations)).select(F.col(at).alias("_at"), F.col(to).alias("_to"))
-        now = now.join(step, F.col("token_id") == F.col("_at")).select("verb", F.col("_to").alias("token_id"))
+        now = now.join(shuffled(step), F.col("token_id") == F.col("_at")).select("verb", F.col("_to").alias("token_id"))
     return now.distinct()
 
 
@@ -70,7 +70,7 @@ def _side(tokens: DataFrame, verbs: DataFrame, patterns: tuple[Pattern, ...], si
     if firm is None or rest is None:
         found = rest if firm is None else firm
         return verbs.select("verb", F.lit(None).cast("long").alias("token_id"), F.lit(False).alias("whole")).limit(0) if found is None else found
-    return firm.unionByName(rest.join(firm.select("verb").distinct(), "verb", "left_anti"))
+    return firm.unionByName(rest.join(shuffled(firm.select("verb").distinct()), "verb", "left_anti"))
 
 
 def _children(tokens: DataFrame, *deps: str) -> DataFrame:
@@ -85,26 +85,26 @@ def compound_closure(tokens: DataFrame, roots: DataFrame) -> DataFrame:
 
 def noun_info(tokens: DataFrame, closure: DataFrame) -> DataFrame:
     """(root, ids, text, lemma, pos): the tokens of each closure in order; pos is the root's."""
-    rows = closure.join(tokens.select("token_id", "word", "lemma", "pos"), "token_id")
+    rows = closure.join(shuffled(tokens.select("token_id", "word", "lemma", "pos")), "token_id")
     listed = rows.groupBy("root").agg(F.sort_array(F.collect_set(F.struct("token_id", "word", "lemma"))).alias("t"), F.max(F.when(F.col("token_id") == F.col("root"), F.col("pos"))).alias("pos"))
     return listed.select("root", F.transform("t", lambda r: r["token_id"]).alias("ids"), F.array_join(F.transform("t", lambda r: r["word"]), " ").alias("text"), F.array_join(F.transform("t", lambda r: r["lemma"]), " ").alias("lemma"), "pos")
 
 
 def verb_info(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     """(verb, verb_id, text, lemma) of groups(verb, token_id): verbs that are no auxiliaries, else what is no auxiliary, else all."""
-    rows = groups.join(tokens.select("token_id", "word", "lemma", "pos", "dep"), "token_id")
+    rows = groups.join(shuffled(tokens.select("token_id", "word", "lemma", "pos", "dep")), "token_id")
     main = ~F.col("dep").isin(*AUXILIARIES)
     rank = F.when(main & (F.col("pos") == "VERB"), 0).when(main, 1).otherwise(2)
     ranked = rows.withColumn("_r", rank)
     best = ranked.groupBy("verb").agg(F.min("_r").alias("_b"))
-    kept = ranked.join(best, "verb").where("_r = _b").groupBy("verb").agg(F.sort_array(F.collect_set(F.struct("token_id", "word", "lemma"))).alias("t"))
+    kept = ranked.join(shuffled(best), "verb").where("_r = _b").groupBy("verb").agg(F.sort_array(F.collect_set(F.struct("token_id", "word", "lemma"))).alias("t"))
     return kept.select("verb", F.element_at("t", 1)["token_id"].alias("verb_id"), F.array_join(F.transform("t", lambda r: r["word"]), " ").alias("text"), F.array_join(F.transform("t", lambda r: r["lemma"]), " ").alias("lemma"))
 
 
 def negated(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     """(verb, negated): whether any token of the verb's group has a child that negates it."""
     neg = _children(tokens, "neg").select(F.col("parent").alias("token_id")).distinct().withColumn("_n", F.lit(True))
-    return groups.join(neg, "token_id", "left").groupBy("verb").agg(F.coalesce(F.bool_or("_n"), F.lit(False)).alias("negated"))
+    return groups.join(shuffled(neg), "token_id", "left").groupBy("verb").agg(F.coalesce(F.bool_or("_n"), F.lit(False)).alias("negated"))
 
 
 def svo_triples(tokens: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
@@ -116,30 +116,30 @@ def svo_triples(tokens: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) ->
     own = shared_checkpoint(_side(tokens, verbs, patterns, "subject"))
     having = own.select("verb").distinct()
     # A coordinated verb without a subject hangs under the one before it: at the top of its tree is the nearest that has one.
-    lone = verbs.where("dep = 'conj'").join(having, "verb", "left_anti").select(F.col("verb").alias("token_id"), F.lit(True).alias("_lone"))
-    marked = tokens.select("sentence_id", "token_id", "head_id", "dep").join(lone, "token_id", "left")
+    lone = verbs.where("dep = 'conj'").join(shuffled(having), "verb", "left_anti").select(F.col("verb").alias("token_id"), F.lit(True).alias("_lone"))
+    marked = tokens.select("sentence_id", "token_id", "head_id", "dep").join(shuffled(lone), "token_id", "left")
     trees = shared_checkpoint(forests(marked, any=F.lit(True), compound=F.col("dep") == "compound", conj=F.col("dep") == "conj", lone=F.col("_lone")))
 
     def spread(rows: DataFrame) -> DataFrame:
         """Nouns with those coordinated with them."""
         nouns = rows.where("not whole")
         more = under(trees, nouns, "conj").select(F.col("root").alias("token_id"), F.col("token_id").alias("_t"))
-        return shared_checkpoint(nouns.join(more, "token_id").select("verb", F.col("_t").alias("token_id"), "whole").unionByName(rows.where("whole")).distinct())
+        return shared_checkpoint(nouns.join(shuffled(more), "token_id").select("verb", F.col("_t").alias("token_id"), "whole").unionByName(rows.where("whole")).distinct())
 
     heirs = trees.where("top_lone <> token_id").select(F.col("top_lone").alias("root"), F.col("token_id").alias("verb"))
-    shared = own.withColumnRenamed("verb", "root").join(heirs, "root").select("verb", "token_id", "whole")
+    shared = own.withColumnRenamed("verb", "root").join(shuffled(heirs), "root").select("verb", "token_id", "whole")
     sides = {"subject": spread(own.unionByName(shared)), "object": spread(_side(tokens, verbs, patterns, "object"))}
     both = sides["subject"].unionByName(sides["object"]).select("token_id", "whole").distinct()
     info = [noun_info(tokens, under(trees, both.where(F.col("whole") == whole), kind)).withColumn("whole", F.lit(whole)) for whole, kind in ((False, "compound"), (True, "any"))]
     info = shared_checkpoint(info[0].unionByName(info[1]).withColumnRenamed("root", "token_id"))
 
     def named(side: str) -> DataFrame:
-        return sides[side].join(info, ["token_id", "whole"]).select("verb", *[F.col(c).alias(f"{side}_{c}") for c in ("text", "ids", "pos")])
+        return sides[side].join(shuffled(info), ["token_id", "whole"]).select("verb", *[F.col(c).alias(f"{side}_{c}") for c in ("text", "ids", "pos")])
 
     auxiliaries = reached(tokens, verbs, (("down", AUXILIARIES),))
     groups = verbs.select("verb", F.col("verb").alias("token_id")).unionByName(auxiliaries)
-    verb = verb_info(tokens, groups).select("verb", "verb_id", F.col("text").alias("verb_text"), F.col("lemma").alias("verb_lemma")).join(negated(tokens, groups), "verb")
-    return named("subject").join(named("object"), "verb").join(verb, "verb").join(verbs.select("verb", "sentence_id"), "verb").drop("verb")
+    verb = verb_info(tokens, groups).select("verb", "verb_id", F.col("text").alias("verb_text"), F.col("lemma").alias("verb_lemma")).join(shuffled(negated(tokens, groups)), "verb")
+    return named("subject").join(shuffled(named("object")), "verb").join(shuffled(verb), "verb").join(shuffled(verbs.select("verb", "sentence_id")), "verb").drop("verb")
 
 
 def chunked(triples: DataFrame) -> DataFrame:

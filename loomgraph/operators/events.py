@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shuffled
+
 
 def flatten_characters(characters: DataFrame) -> DataFrame:
     """One row per agent or patient event of each character: character_id, pos, names, common, role, word, index, gender, role_pos, word_pos.
@@ -61,7 +63,7 @@ def pair_roles(events: DataFrame, on: str = "index", who: str = "canonical_id")
     def side(role: str, end: str) -> DataFrame:
         return events.where(F.col("role") == role).select(on, *[F.col(c).alias(c + end) for c in events.columns if c != on])
 
-    return side("agent", "_left").join(side("patient", "_right"), on).where(F.col(f"{who}_left") != F.col(f"{who}_right"))
+    return side("agent", "_left").join(shuffled(side("patient", "_right")), on).where(F.col(f"{who}_left") != F.col(f"{who}_right"))
 
 
 def avp_triples(events: DataFrame, tokens: DataFrame | None = None, order: list[str] = ["pos"], span: tuple[int, int] | None = None) -> DataFrame:
@@ -75,14 +77,14 @@ def avp_triples(events: DataFrame, tokens: DataFrame | None = None, order: list[
     if tokens is None:
         return triples
     lookup = tokens.select(F.col("token_id").alias("index"), "lemma", "sentence_id")
-    return triples.join(lookup, "index", "left").join(negated_verbs(tokens).withColumnRenamed("verb_id", "index"), "index", "left").withColumn("negated", F.coalesce("negated", F.lit(False)))
+    return triples.join(shuffled(lookup), "index", "left").join(shuffled(negated_verbs(tokens).withColumnRenamed("verb_id", "index")), "index", "left").withColumn("negated", F.coalesce("negated", F.lit(False)))
 
 
 def negated_verbs(tokens: DataFrame, relation: str = "neg") -> DataFrame:
     """(verb_id, negated = true) of tokens that some token of their sentence depends on as a negation."""
     child = tokens.where(F.col("dep") == relation).select(F.col("head_id").alias("verb_id"), F.col("sentence_id").alias("_s")).distinct()
     verb = tokens.select(F.col("token_id").alias("verb_id"), F.col("sentence_id").alias("_v"))
-    return child.join(verb, "verb_id").where("_s = _v").select("verb_id").distinct().withColumn("negated", F.lit(True))
+    return child.join(shuffled(verb), "verb_id").where("_s = _v").select("verb_id").distinct().withColumn("negated", F.lit(True))
 
 
 def align(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint
+from ..session import shared_checkpoint, shuffled
 
 #: Spans of a stretch that is swept in one task.
 BOUND = 100_000
@@ -93,7 +93,7 @@ def span_token_map(spans: DataFrame, order: str = "pos", value: str = "coref", s
 
 def values_at(tokens: DataFrame, runs: DataFrame, at: str = "token_id") -> DataFrame:
     """tokens with the value of the run (lo, hi, ...) that each is in; those in none are left out."""
-    return interval_join(tokens, runs, at, "lo", "hi").drop("lo", "hi")
+    return interval_join(tokens, shuffled(runs), at, "lo", "hi").drop("lo", "hi")
 
 
 def mentions_in_sentences(spans: DataFrame, tokens: DataFrame, order: str | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def mentions_in_sentences(spans: DataFrame, tokens: DataFrame, order: str | None
     """
     last = F.max("sentence_id") if order is None else F.max_by("sentence_id", order)
     sentence = tokens.groupBy(F.col("token_id").alias("start_token")).agg(last.alias("sentence_id"))
-    return spans.join(sentence, "start_token").select("coref", "sentence_id")
+    return spans.join(shuffled(sentence), "start_token").select("coref", "sentence_id")
 
 
 def coref_to_canonical(summary: DataFrame, order: str = "canonical_id") -> DataFrame:
@@ -119,10 +119,10 @@ def ids_to_corefs(triples: DataFrame, token_map: DataFrame, ids: str, key: str)
     token_map has a row for each token (token_id, coref) or for each run of tokens (lo, hi, coref).
     """
     rows = triples.select(key, F.explode(ids).alias("token_id"))
-    rows = values_at(rows, token_map) if "lo" in token_map.columns else rows.join(token_map, "token_id")
+    rows = values_at(rows, token_map) if "lo" in token_map.columns else rows.join(shuffled(token_map), "token_id")
     first = rows.groupBy(key, "coref").agg(F.min("token_id").alias("t"))
     listed = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "coref"))), lambda r: r["coref"]).alias("corefs"))
-    return triples.select(key).distinct().join(listed, key, "left").withColumn("corefs", F.coalesce("corefs", F.array().cast(listed.schema["corefs"].dataType)))
+    return triples.select(key).distinct().join(shuffled(listed), key, "left").withColumn("corefs", F.coalesce("corefs", F.array().cast(listed.schema["corefs"].dataType)))
 
 
 def first_canonical(rows: DataFrame, lookup: DataFrame, ids: str, key: str) -> DataFrame:
@@ -177,6 +177,6 @@ def heads_in_sentence(tokens: DataFrame) -> DataFrame:
     """tokens with place (from 0, within the sentence) and head_place; heads outside the sentence drop their row."""
     placed = tokens.withColumn("place", F.row_number().over(Window.partitionBy("sentence_id").orderBy("token_id")) - 1)
     head = placed.select(F.col("sentence_id"), F.col("token_id").alias("head_id"), F.col("place").alias("head_place"))
-    return placed.join(head, ["sentence_id", "head_id"])
+    return placed.join(shuffled(head), ["sentence_id", "head_id"])
 
 

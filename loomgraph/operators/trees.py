@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffled
+
 
 def walked(ids: list[int], heads: list[int], linked: list[bool]) -> tuple[list[int], list[int], list[int]]:
     """(top, pre, last) of each token of a sentence: its tree's root, its number, and the last number under it.
@@ -81,6 +83,7 @@ def forests(tokens: DataFrame, **kinds: Column) -> DataFrame:
 
 def under(numbered: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
     """(root, token_id): each of roots(token_id), once, with all that hangs under it in the trees of a kind."""
+    numbered = shuffled(numbered)
     own = numbered.join(roots.select("token_id").distinct(), "token_id", "left_semi").select("sentence_id", F.col("token_id").alias("root"), F.col(f"top_{kind}").alias("_top"), F.col(f"pre_{kind}").alias("_from"), F.col(f"last_{kind}").alias("_to"))
     rest = numbered.select("sentence_id", "token_id", F.col(f"top_{kind}").alias("_top"), F.col(f"pre_{kind}").alias("_pre"))
     return own.join(rest, ["sentence_id", "_top"]).where(F.col("_pre").between(F.col("_from"), F.col("_to"))).select("root", "token_id")

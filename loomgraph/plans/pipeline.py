@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import gender_class
 from ..operators import cooccur, deps, events, graph, resolve, spans
-from ..session import shared_checkpoint
+from ..session import shared_checkpoint, shuffled
 
 
 @dataclass
@@ -62,8 +62,8 @@ def subject_object_triples(tokens: DataFrame, entities: DataFrame, summary: Data
     for part, end, role in (("subject", "_left", "subject"), ("object", "_right", "object")):
         corefs = spans.ids_to_corefs(raw.select("key", F.col(f"{part}_ids").alias("ids")), token_map, "ids", "key")
         first = spans.lookup_gender(spans.first_canonical(corefs, lookup, "corefs", "key"), names)
-        side = first.join(corefs, "key").select("key", F.col("canonical_id").alias(f"canonical_id{end}"), F.col("fullname").alias(f"name{end}"), F.col("gender").alias(f"gender{end}"), F.col("corefs").alias(f"original_ids{end}"), F.lit(role).alias(f"role{end}"))
-        out = out.join(side, "key")
+        side = first.join(shuffled(corefs), "key").select("key", F.col("canonical_id").alias(f"canonical_id{end}"), F.col("fullname").alias(f"name{end}"), F.col("gender").alias(f"gender{end}"), F.col("corefs").alias(f"original_ids{end}"), F.lit(role).alias(f"role{end}"))
+        out = out.join(shuffled(side), "key")
     return out.select(F.lit("svo").alias("source"), F.col("verb_text").alias("word"), F.col("verb_lemma").alias("lemma"), F.col("verb_id").alias("index"), "negated", "sentence_id", *[c for c in out.columns if c.endswith(("_left", "_right"))])
 
 

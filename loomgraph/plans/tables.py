@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shuffled, table
 
 LEXICON = (("the", 0.4), ("of", -0.2), ("and", 0.1), ("idiot", -2.4), ("trash", -1.9), ("that", 0.7), ("la", 0.3), ("der", -0.6), ("pathetic", -2.2), ("with", 1.1))
 
@@ -112,7 +112,7 @@ def clause_characters(spark: SparkSession, d: str) -> DataFrame:
     """The clauses' nouns as nested records: subjects act, objects and passive subjects undergo."""
     tokens = clause_tokens(spark, d)
     verb = tokens.select(F.col("token_id").alias("head_id"), F.col("word").alias("w"))
-    roles = tokens.where("dep in ('nsubj', 'dobj', 'nsubjpass')").join(verb, "head_id").selectExpr(f"cast({_coref('word')} as bigint) as id", "word", "dep", "named_struct('w', w, 'i', head_id) as e")
+    roles = tokens.where("dep in ('nsubj', 'dobj', 'nsubjpass')").join(shuffled(verb), "head_id").selectExpr(f"cast({_coref('word')} as bigint) as id", "word", "dep", "named_struct('w', w, 'i', head_id) as e")
     own = roles.groupBy("id").agg(F.min("word").alias("n"), F.sort_array(F.collect_list(F.when(F.col("dep") == "nsubj", F.col("e")))).alias("agent"), F.sort_array(F.collect_list(F.when(F.col("dep") != "nsubj", F.col("e")))).alias("patient"))
     return own.selectExpr("id", "cast(id as int) as pos", "named_struct('argmax', case when id % 3 = 0 then 'she/her' else 'he/him/his' end) as g", "agent", "patient", "named_struct('proper', array(named_struct('n', n, 'c', 1L)), 'common', cast(array() as array<struct<n:string,c:bigint>>)) as mentions")
 

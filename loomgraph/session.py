@@ -27,6 +27,15 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffles on either side, up to the next join above it.
+
+    For rows that grow with the input but seem few: what an explode makes of a small table is taken to be no larger than
+    the table, and compressed shuffles look small, so that Spark would send millions of rows through the driver.
+    """
+    return df.hint("shuffle_merge")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, for a query that writes and reads again."""
     shared_checkpoint(spark.range(0))
