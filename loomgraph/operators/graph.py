@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint
+from ..session import shared_checkpoint, shuffled
 
 
 def nodes_of(edges: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -204,6 +204,9 @@ SMALL = 2000
 FEW_STEPS, SOURCES = 5_000_000, 256
 #: Rows that the state of one batch of sources has at most, for measures by joins.
 STATE_ROWS = 50_000_000
+#: Components of up to so many nodes and links are walked in tasks, a slice of their sources in each; words of 64 sources that
+#: such a task holds for all nodes together, and at most for a node.
+TASK_NODES, TASK_LINKS, TASK_CELLS, TASK_WORDS = 1 << 17, 1 << 22, 1 << 22, 96
 
 
 def _lengths(edges: DataFrame, keys: list[str], weight: str | None, directed: bool, smallest: bool) -> DataFrame:
@@ -286,8 +289,123 @@ def _batches(every: DataFrame, keys: list[str], rows: int, per_word: int = 1) ->
     return [numbered] if count == 1 else [numbered.where(F.pmod(F.xxhash64("word"), F.lit(count)) == k) for k in range(count)]
 
 
-def _reach(links: DataFrame, every: DataFrame, keys: list[str], directed: bool, rows: int) -> DataFrame:
-    """(keys, node, _r, _d) by edges: how many other nodes reach it, and the sum of their hops. Sources are bits of words.
+def components(links: DataFrame) -> DataFrame:
+    """(id, component) of the numbers that links(a, b) join, whatever their direction: the least number of each component.
+
+    Every number's greater neighbours are linked to the least of its neighbourhood, then its lesser ones, in turn until only
+    stars are left; a round takes two shuffles of the links, and rounds grow with the logarithm of the longest paths.
+    """
+    now = shared_checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = None
+    while True:
+        near = both_ways(now)
+        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m"))
+        large = near.where("b > a").join(shuffled(least), "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        own = large.groupBy("a").agg(F.min("b").alias("_m"))
+        small = large.join(shuffled(own), "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").unionByName(own.select("a", F.col("_m").alias("b")))
+        now = shared_checkpoint(small.distinct())
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38, 0)"))).first()
+        if state == before:
+            return now.unionByName(now.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("id"), F.col("b").alias("component"))
+        before = state
+
+
+def _reach(links: DataFrame, every: DataFrame, keys: list[str], directed: bool, rows: int, nodes: int, most: int) -> DataFrame:
+    """(keys, node, _r, _d) by edges: how many other nodes reach it, and the sum of their hops.
+
+    A source reaches its own component at most, so work follows components. Those of up to `nodes` nodes and `most` links
+    are walked in tasks, others by joins.
+    """
+    names = shared_checkpoint(every.select(*keys, "node").withColumn("_id", F.monotonically_increasing_id()))
+    numbers = [names.select(*keys, F.col("node").alias(c), F.col("_id").alias(f"_{c}")) for c in "ab"]
+    step = links.join(shuffled(numbers[0]), [*keys, "a"]).join(shuffled(numbers[1]), [*keys, "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    step = shared_checkpoint(step if directed else step.where("a < b"))
+    placed = shared_checkpoint(components(step))
+    inside = shared_checkpoint(step.join(shuffled(placed.withColumnRenamed("id", "a")), "a").select("component", "a", "b"))
+    size = placed.groupBy("component").agg(F.count("*").alias("_n")).join(shuffled(inside.groupBy("component").agg(F.count("*").alias("_m"))), "component")
+    size = shared_checkpoint(size.withColumn("_light", (F.col("_n") <= nodes) & (F.col("_m") <= most)))
+    parts = [_reach_in_tasks(inside, size.where("_light"), directed)]
+    if not size.where("not _light").isEmpty():
+        heavy = placed.join(shuffled(size.where("not _light").select("component")), "component").withColumnRenamed("id", "node")
+        # A component's sources share words.
+        heavy = shared_checkpoint(heavy.repartitionByRange("component", "node").sortWithinPartitions("component", "node"))
+        own = inside.join(shuffled(size.where("not _light").select("component")), "component")
+        parts.append(_reach_by_joins(own if directed else both_ways(own, ["component"]), heavy, ["component"], directed, rows).select(F.col("node").alias("id"), "_r", "_d"))
+    return names.join(shuffled(reduce(DataFrame.unionByName, parts)), F.col("_id") == F.col("id")).select(*keys, "node", "_r", "_d")
+
+
+def _reach_in_tasks(inside: DataFrame, size: DataFrame, directed: bool) -> DataFrame:
+    """(id, _r, _d) of components whose links(component, a, b) a task can hold: a task for each slice of a component's sources."""
+    words = F.ceil(F.col("_n") / 64)
+    held = F.least(F.greatest(F.floor(TASK_CELLS / F.col("_n")), F.lit(1)), F.lit(TASK_WORDS))
+    slices = shared_checkpoint(size.select("component", F.ceil(words / held).cast("int").alias("_slices")))
+    tasks = slices.agg(F.sum("_slices")).first()[0] or 0
+    rows = inside.join(shuffled(slices), "component").select("component", "a", "b", "_slices", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+    # Few rows may be much work: they are not put together by their bytes.
+    rows = rows.repartition(max(1, min(2000, 3 * tasks)), "component", "_slice")
+
+    def task(part: pd.DataFrame) -> pd.DataFrame:
+        names, ends = np.unique(part[["a", "b"]].to_numpy(), return_inverse=True)
+        a, b = ends.reshape(-1, 2).T
+        n, k, of = len(names), int(part["_slice"].iloc[0]), int(part["_slices"].iloc[0])
+        reached, hops = walk(n, *((a, b) if directed else (np.r_[a, b], np.r_[b, a])), np.arange(k * n // of, (k + 1) * n // of))
+        return pd.DataFrame({"id": names, "_r": reached, "_d": hops})
+
+    return rows.groupBy("component", "_slice").applyInPandas(task, "id long, _r long, _d long").groupBy("id").agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))
+
+
+def walk(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the sources reach each of n nodes by links from a to b, itself left out, and the sum of their hops.
+
+    A node has a bit for each source. A level puts the fresh bits before a node together by OR, only for nodes that lack
+    some and have a neighbour with fresh ones; nodes with equal numbers of links go together.
+    """
+    words = -(-len(sources) // 64)
+    fresh = np.zeros((n, words), np.uint64)
+    k = np.arange(len(sources))
+    fresh[sources, k // 64] = np.uint64(1) << (k % 64).astype(np.uint64)
+    full, had = np.bitwise_or.reduce(fresh, axis=0), fresh.copy()
+    into, first = a[np.argsort(b, kind="stable")], np.r_[0, np.cumsum(np.bincount(b, minlength=n))]
+    out, begin = b[np.argsort(a, kind="stable")], np.r_[0, np.cumsum(np.bincount(a, minlength=n))]
+    by_degree = np.argsort(np.diff(first), kind="stable")
+    degree = np.diff(first)
+    reached, hops, hop = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    active, lacking = np.unique(sources), np.ones(n, bool)
+    while len(active):
+        hop += 1
+        met = np.zeros(n, bool)
+        met[out[_spans(begin[active], begin[active + 1])]] = True
+        asked = by_degree[(met & lacking)[by_degree]]
+        level = np.zeros((len(asked), words), np.uint64)
+        cuts = np.r_[0, np.flatnonzero(np.diff(degree[asked])) + 1, len(asked)] if len(asked) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            d = int(degree[asked[lo]])
+            # Cells of one look-up are bounded, whatever a node's links and however many nodes have as many.
+            some, wide = max(1, block // (d * words)), max(1, block // words)
+            for p in range(lo, hi, some):
+                at = first[asked[p : min(hi, p + some)]]
+                for q in range(0, d, wide):
+                    level[p : p + len(at)] |= np.bitwise_or.reduce(fresh[into[at[:, None] + np.arange(q, min(d, q + wide))]], axis=1)
+        level &= ~had[asked]
+        count = np.bitwise_count(level).sum(axis=1, dtype=np.int64)
+        reached[asked] += count
+        hops[asked] += hop * count
+        had[asked] |= level
+        lacking[asked] = (had[asked] != full).any(axis=1)
+        fresh[active] = 0
+        active = asked[count > 0]
+        fresh[active] = level[count > 0]
+    return reached, hops
+
+
+def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers from each lo up to its hi."""
+    size = hi - lo
+    return np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+
+
+def _reach_by_joins(links: DataFrame, every: DataFrame, keys: list[str], directed: bool, rows: int) -> DataFrame:
+    """_reach() of graphs of any size. Sources are bits of words.
 
     A level is a row for each node and word that has fresh bits: those of the nodes before, put together by OR, less those
     that the node had. Without directions only the two levels before can have had them.
@@ -313,11 +431,12 @@ def _reach(links: DataFrame, every: DataFrame, keys: list[str], directed: bool,
     return reduce(DataFrame.unionByName, parts).groupBy(*keys, "node").agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))
 
 
-def closeness_by_joins(links: DataFrame, every: DataFrame, keys: list[str], directed: bool = True, rows: int = STATE_ROWS) -> DataFrame:
+def closeness_by_joins(links: DataFrame, every: DataFrame, keys: list[str], directed: bool = True, rows: int = STATE_ROWS, nodes: int = TASK_NODES, most: int = TASK_LINKS) -> DataFrame:
     """closeness() of graphs of any size: batches of sources, one after the other, so that no more than `rows` pairs of a
-    source (or of 64, where every edge counts 1) and a node exist at any time."""
+    source (or of 64, where every edge counts 1) and a node exist at any time. Where every edge counts 1, components of up to
+    `nodes` nodes and `most` links are walked in tasks, each for a slice of the sources."""
     if links.where("w <> 1").isEmpty():
-        reach = _reach(links, every, keys, directed, rows)
+        reach = _reach(links, every, keys, directed, rows, nodes, most)
     else:
         parts = [shared_checkpoint(distances(links, every, keys, batch).groupBy(*keys, "node").agg((F.count("*") - F.count_if(F.col("source") == F.col("node"))).alias("_r"), F.sum("d").alias("_d"))) for batch in _batches(every, keys, rows)]
         reach = reduce(DataFrame.unionByName, parts).groupBy(*keys, "node").agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))
