@@ -87,3 +87,11 @@ def test_the_last_row_of_a_token_tells_its_sentence(spark):
     tokens = spark.createDataFrame([(1, 5, 1), (1, 2, 2), (2, 3, 1)], "token_id int, sentence_id int, row int")
     mentions = spark.createDataFrame([("A", 1), ("B", 2), ("C", 9)], "coref string, start_token int")
     assert sorted(map(tuple, spans.mentions_in_sentences(mentions, tokens, "row").collect())) == [("A", 2), ("B", 3)]
+
+
+def test_chunks_of_light_keys_are_cut_in_place(spark):
+    rows = spark.range(5000).selectExpr("case when id % 5 > 0 then id % 7 end as k", "id as x")
+    got = {h: sorted((r.k if r.k is not None else -1, r.chunk, r["values"]) for r in chunks(rows, ["k"], "x", 10, heavy=h).collect()) for h in (100, 600, 100_000)}
+    assert got[100] == got[600] == got[100_000] and {len(v) for *_, v in got[600] if _[0] == -1} == {10} and sum(len(v) for *_, v in got[600]) == 5000
+    assert "rangepartitioning" not in chunks(rows, ["k"], "x", 10)._jdf.queryExecution().toString()
+    assert dict(chunks(rows, ["k"], "x", 10).dtypes) == dict(chunks(rows, ["k"], "x", 10, heavy=1).dtypes)
