@@ -35,9 +35,14 @@ def _types(docs: DataFrame) -> DataFrame:
     return seen.groupBy(bare.alias("w")).agg(F.sum(F.when(stopped, F.col("n")).otherwise(0)).alias("stopped"), F.sum(F.when(stopped, 0).otherwise(F.col("n"))).alias("open"))
 
 
-def abbreviations(docs: DataFrame) -> DataFrame:
+def word_types(docs: DataFrame) -> DataFrame:
+    """(w, stopped, open) of docs(text), for abbreviations() and starters() of the same texts: counted once."""
+    return shared_checkpoint(_types(docs))
+
+
+def abbreviations(docs: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """(w, score) of the abbreviations of docs(text), in small letters and without the last full stop."""
-    types = shared_checkpoint(_types(docs).where("w <> ''"))
+    types = (word_types(docs) if types is None else types).where("w <> ''")
     total = types.agg(F.sum("stopped"), F.sum(F.col("stopped") + F.col("open"))).first()
     chance = (total[0] or 0) / max(total[1] or 0, 1)
     letters = F.length(F.replace("w", F.lit("."), F.lit("")))
@@ -59,12 +64,12 @@ def _pieces(docs: DataFrame, id_col: str) -> DataFrame:
     return rows.select(id_col, "i", "piece", ending.alias("ending"), F.regexp_extract("piece", r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1).alias("first"))
 
 
-def starters(docs: DataFrame, short: DataFrame) -> DataFrame:
+def starters(docs: DataFrame, short: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """(first, score) of the words that begin sentences of docs(text), given its abbreviations."""
     pieces = _pieces(docs.select(F.monotonically_increasing_id().alias("_row"), "text"), "_row").where("ending is not null and first <> ''")
     sure = pieces.join(short.select(F.col("w").alias("_w")), F.lower("ending") == F.col("_w"), "left_anti").where(F.length("ending") > 1)
     begun = sure.groupBy(F.lower("first").alias("first")).agg(F.count("*").alias("n"))
-    types = _types(docs).groupBy(F.col("w").alias("first")).agg(F.sum(F.col("stopped") + F.col("open")).alias("all"))
+    types = (word_types(docs) if types is None else types).groupBy(F.col("w").alias("first")).agg(F.sum(F.col("stopped") + F.col("open")).alias("all"))
     joined = shared_checkpoint(begun.join(types, "first").withColumn("n", F.least("n", "all")))
     ends, words = joined.agg(F.sum("n")).first()[0] or 0, types.agg(F.sum("all")).first()[0] or 0
     chance = ends / max(words, 1)

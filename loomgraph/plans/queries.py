@@ -198,8 +198,9 @@ def abbreviations(spark, d):
 def learnt_sentences(spark, d):
     """Sentences cut by what the documents say about their abbreviations and sentence starters."""
     docs = table(spark, d, "documents")
-    short = segmentation.abbreviations(docs)
-    return segmentation.segment_learnt(docs, short, segmentation.starters(docs, short))
+    types = segmentation.word_types(docs)
+    short = segmentation.abbreviations(docs, types)
+    return segmentation.segment_learnt(docs, short, segmentation.starters(docs, short, types))
 
 
 @query

@@ -37,3 +37,11 @@ def test_odd_texts(spark):
     got = sorted(map(tuple, segmentation.segment_learnt(docs, short, short.limit(0).selectExpr("w as first", "score")).collect()))
     assert got == [(2, 0, ""), (3, 0, "no stop"), (4, 0, "It costs 3.5 here. yes it does."), (4, 1, "Mr. Owen"), (5, 0, "...")]
     assert segmentation.abbreviations(docs.limit(0)).count() == segmentation.starters(docs.limit(0), short).count() == 0
+
+
+def test_words_are_counted_once_for_both(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(made(3, 60))], "doc_id int, text string")
+    want = segmentation.starters(docs, segmentation.abbreviations(docs)).collect()
+    types = segmentation.word_types(docs)
+    monkeypatch.setattr(segmentation, "_types", None)
+    assert sorted(segmentation.starters(docs, segmentation.abbreviations(docs, types), types).collect()) == sorted(want) != []
