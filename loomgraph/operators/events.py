@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffled
+from ..session import ROWS, shuffled, tasks_for
 
 
 def flatten_characters(characters: DataFrame) -> DataFrame:
@@ -55,13 +55,19 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
     return df.withColumn("_k", F.row_number().over(window)).where("_k = 1").drop("_k")
 
 
-def pair_roles(events: DataFrame, on: str = "index", who: str = "canonical_id") -> DataFrame:
+def pair_roles(events: DataFrame, on: str = "index", who: str = "canonical_id", each: int = ROWS) -> DataFrame:
     """Agents and patients of the same event, in columns ending in _left and _right; nobody with themselves.
 
-    Roles are filtered before the join, so pairs of equal roles and mirrored pairs never come up.
+    Roles are filtered before the join, so pairs of equal roles and mirrored pairs never come up. Where there
+    are more events than `each` for every core, a task has about so many.
     """
+    spark = events.sparkSession
+    tasks = tasks_for(spark, events.where(F.col("role").isin("agent", "patient")).count(), each)
+    large = tasks > spark.sparkContext.defaultParallelism
+
     def side(role: str, end: str) -> DataFrame:
-        return events.where(F.col("role") == role).select(on, *[F.col(c).alias(c + end) for c in events.columns if c != on])
+        rows = events.where(F.col("role") == role).select(on, *[F.col(c).alias(c + end) for c in events.columns if c != on])
+        return rows.repartition(tasks, on) if large else rows
 
     return side("agent", "_left").join(shuffled(side("patient", "_right")), on).where(F.col(f"{who}_left") != F.col(f"{who}_right"))
 

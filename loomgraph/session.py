@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a task in dealt().
+ROWS = 500_000
+
+
 def local_session(name: str = "loomgraph", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and laptops; clusters bring their own."""
     return (
@@ -36,6 +40,20 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_merge")
 
 
+def tasks_for(spark: SparkSession, rows: float, each: int = ROWS) -> int:
+    """Tasks of about `each` rows, as many as there are cores at least."""
+    return int(max(spark.sparkContext.defaultParallelism, min(2000, -(-rows // each))))
+
+
+def dealt(df: DataFrame, *keys: str, each: int = ROWS) -> DataFrame:
+    """df shuffled by the keys into tasks of about `each` rows, which are counted first.
+
+    Spark merges the tasks of other shuffles until a few are left, by their compressed size, so that what one of them holds
+    follows the input.
+    """
+    return df.repartition(tasks_for(df.sparkSession, df.count(), each), *keys)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, for a query that writes and reads again."""
     shared_checkpoint(spark.range(0))
