@@ -9,30 +9,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint, shuffled
+from ..session import dealt, shared_checkpoint, shuffled, tasks_for
 from .ordered import chunks, numbered
 
 #: A sentence with more entities than this is dealt to several tasks; sentences of a list that is cut into parts.
 HEAVY, CHUNK = 2000, 10_000
+#: Pairs that a task makes, about.
+PAIRS = 1_000_000
 #: Entities of a block in counted(), and sentences that are multiplied at once.
 BLOCK, AT_ONCE = 4096, 512
 
 
 def presence(mentions: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id") -> DataFrame:
     """(sentence, entity), each once."""
-    return mentions.select(sentence, entity).where(F.col(sentence).isNotNull() & F.col(entity).isNotNull()).distinct()
+    own = mentions.select(sentence, entity).where(F.col(sentence).isNotNull() & F.col(entity).isNotNull())
+    return dealt(own, sentence, entity).distinct()
 
 
-def pairs(present: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id", heavy: int = HEAVY) -> DataFrame:
+def pairs(present: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id", heavy: int = HEAVY, each: int = PAIRS) -> DataFrame:
     """(sentence, source_id, target_id) with source_id < target_id, once for each sentence that has both.
 
-    The lists of a sentence's entities are paired in place: one shuffle by sentence, and none for a self-join. Sentences
-    of over `heavy` entities are dealt in chunks, every two of which meet in a task of their own.
+    The lists of a sentence's entities are paired in place: one shuffle by sentence, and none for a self-join. Pairs are
+    counted first, and a task makes about `each`. Sentences of over `heavy` entities are dealt in chunks, every two of which
+    meet in a task of their own.
     """
     sizes = present.groupBy(sentence).agg(F.count("*").alias("_n"))
+    tasks, hot = _made(sizes, heavy, each)
+    if not hot:
+        return _light(present, sentence, entity, tasks)
     large = shared_checkpoint(sizes.where(F.col("_n") > heavy).select(sentence, F.ceil(F.col("_n") / heavy).cast("int").alias("_chunks")))
-    if large.isEmpty():
-        return _light(present, sentence, entity)
     own = present.join(large, sentence).withColumn("_own", F.pmod(F.xxhash64(entity), F.col("_chunks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda c: F.struct(F.least(c, F.col("_own")).alias("a"), F.greatest(c, F.col("_own")).alias("b")))
     dealt = own.select(sentence, entity, "_own", F.explode(others).alias("_met"))
@@ -41,11 +46,25 @@ def pairs(present: DataFrame, sentence: str = "sentence_id", entity: str = "cano
     # Within a chunk the greater half is enough.
     both = first.select(sentence, "_x", F.explode(F.filter("_b", lambda y: ~F.col("_same") | (y > F.col("_x")))).alias("_y"))
     crossed = both.select(sentence, F.least("_x", "_y").alias("source_id"), F.greatest("_x", "_y").alias("target_id"))
-    return _light(present.join(large, sentence, "left_anti"), sentence, entity).unionByName(crossed)
+    return _light(present.join(large, sentence, "left_anti"), sentence, entity, tasks).unionByName(crossed)
 
 
-def _light(present: DataFrame, sentence: str, entity: str) -> DataFrame:
-    lists = present.groupBy(sentence).agg(F.array_sort(F.collect_set(entity)).alias("_all")).where(F.size("_all") > 1)
+def pairs_of(mentions: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id", heavy: int = HEAVY, each: int = PAIRS) -> DataFrame:
+    """pairs(presence(mentions)), without a shuffle for distinct rows where no sentence has over `heavy` mentions: lists of
+    entities have each once as it is."""
+    own = mentions.select(sentence, entity).where(F.col(sentence).isNotNull() & F.col(entity).isNotNull())
+    tasks, hot = _made(own.groupBy(sentence).agg(F.count("*").alias("_n")), heavy, each)
+    return pairs(presence(own, sentence, entity), sentence, entity, heavy, each) if hot else _light(own, sentence, entity, tasks)
+
+
+def _made(sizes: DataFrame, heavy: int, each: int) -> tuple[int, bool]:
+    """Tasks for the pairs of sentences of up to `heavy` rows (_n), and whether others have more."""
+    pairs_made, most = sizes.agg(F.sum(F.when(F.col("_n") <= heavy, F.col("_n") * (F.col("_n") - 1.0) / 2)), F.max("_n")).first()
+    return tasks_for(sizes.sparkSession, pairs_made or 0, each), (most or 0) > heavy
+
+
+def _light(present: DataFrame, sentence: str, entity: str, tasks: int) -> DataFrame:
+    lists = present.repartition(tasks, sentence).groupBy(sentence).agg(F.array_sort(F.collect_set(entity)).alias("_all")).where(F.size("_all") > 1)
     first = lists.select(sentence, "_all", F.posexplode("_all").alias("_p", "source_id"))
     return first.select(sentence, "source_id", F.explode(F.slice("_all", F.col("_p") + 2, F.greatest(F.size("_all") - F.col("_p") - 1, F.lit(0)))).alias("target_id"))
 

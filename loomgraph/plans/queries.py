@@ -37,7 +37,7 @@ def _listed(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def cooccurrence_edges(spark, d):
-    return cooccur.edges(cooccur.pairs(cooccur.presence(t.mentions(spark, d))))
+    return cooccur.edges(cooccur.pairs_of(t.mentions(spark, d)))
 
 
 @query
@@ -47,12 +47,12 @@ def occurrence_counts(spark, d):
 
 @query
 def edges_with_sentence_list(spark, d):
-    return _listed(cooccur.edges(cooccur.pairs(cooccur.presence(t.mentions(spark, d))), lists=True), "sentence_ids")
+    return _listed(cooccur.edges(cooccur.pairs_of(t.mentions(spark, d)), lists=True), "sentence_ids")
 
 
 @query
 def edge_sentence_chunks(spark, d):
-    return _listed(cooccur.edge_sentences(cooccur.pairs(cooccur.presence(t.mentions(spark, d))), size=5), "sentence_ids")
+    return _listed(cooccur.edge_sentences(cooccur.pairs_of(t.mentions(spark, d)), size=5), "sentence_ids")
 
 
 @query
@@ -83,7 +83,7 @@ def mentions_in_sentences(spark, d):
 
 @query
 def section_edges(spark, d):
-    rows = cooccur.pairs(cooccur.presence(t.mentions(spark, d)))
+    rows = cooccur.pairs_of(t.mentions(spark, d))
     return sections.instances_in(rows, t.sections(spark, d)).groupBy("section").agg(F.count("*").alias("instances"), F.countDistinct("source_id", "target_id").alias("edges"))
 
 
@@ -266,7 +266,7 @@ def quoted_columns(spark, d):
 @query
 def edge_file(spark, d):
     """An edge list as a CSV file, with its lists of sentences."""
-    writers.write_delimited(cooccur.edges(cooccur.pairs(cooccur.presence(t.mentions(spark, d))), lists=True), path := shared_folder(spark, "edges"))
+    writers.write_delimited(cooccur.edges(cooccur.pairs_of(t.mentions(spark, d)), lists=True), path := shared_folder(spark, "edges"))
     read = readers.read_csv(spark, path, "source_id bigint, target_id bigint, weight bigint, sentence_ids string", ("sentence_ids",))
     return _listed(read, "sentence_ids")
 
@@ -285,7 +285,7 @@ def character_records(spark, d):
 @query
 def graph_file(spark, d):
     """A GEXF graph in parts, and the edges that it lists."""
-    edges = cooccur.edges(cooccur.pairs(cooccur.presence(t.mentions(spark, d)))).selectExpr("source_id as a", "target_id as b", "weight")
+    edges = cooccur.edges(cooccur.pairs_of(t.mentions(spark, d))).selectExpr("source_id as a", "target_id as b", "weight")
     nodes = table(spark, d, "supplier").selectExpr("s_suppkey as id", "concat(s_name, ' <&\">') as label")
     folders = writers.write_gexf(nodes, edges, shared_folder(spark, "gexf"))
     line = spark.read.text(folders).select("value")

@@ -1,6 +1,8 @@
 """Tasks follow the number of rows: Spark doesn't merge them by their compressed size."""
 
-from loomgraph.operators import events
+import random
+
+from loomgraph.operators import cooccur, events
 
 
 def rows(df):
@@ -12,3 +14,21 @@ def test_roles_are_paired_in_tasks_of_a_bounded_number_of_events(spark):
     many = events.pair_roles(made, each=100)
     assert many.rdd.getNumPartitions() >= 20
     assert rows(many) == rows(events.pair_roles(made)) and many.count() > 1000
+
+
+def test_pairs_are_made_in_tasks_of_a_bounded_number(spark):
+    present = spark.range(1000).selectExpr("id div 5 as sentence_id", "id % 5 as canonical_id")
+    many = cooccur.pairs(present, each=100)
+    assert many.rdd.getNumPartitions() >= 20
+    assert rows(many) == rows(cooccur.pairs(present)) and many.count() == 2000
+
+
+def test_mentions_are_paired_without_distinct_rows(spark):
+    rng = random.Random(3)
+    made = [(rng.choice([None, *range(40)]), rng.choice([None, *range(9)])) for _ in range(600)]
+    mentions = spark.createDataFrame(made, "sentence_id long, canonical_id long")
+    want = rows(cooccur.pairs(cooccur.presence(mentions)))
+    assert rows(cooccur.pairs_of(mentions)) == want and len(want) > 500
+    # Mentions of hot sentences are made distinct first.
+    assert rows(cooccur.pairs_of(mentions, heavy=4)) == want
+    assert cooccur.pairs_of(mentions.limit(0)).count() == 0
