@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +73,51 @@ def _light(present: DataFrame, sentence: str, entity: str, tasks: int) -> DataFr
 def edges(pair_rows: DataFrame, sentence: str = "sentence_id", lists: bool = False) -> DataFrame:
     """(source_id, target_id, weight), and sorted sentence_ids if asked; an empty input gives an empty frame.
 
-    A list is one value, however long; edge_sentences() has them in parts.
+    A list is one value, however long; edge_sentences() has them in parts. Lists are cut from sorted rows.
     """
-    out = [F.count("*").alias("weight")] + ([F.sort_array(F.collect_list(sentence)).alias("sentence_ids")] if lists else [])
-    return pair_rows.groupBy("source_id", "target_id").agg(*out)
+    if not lists:
+        return pair_rows.groupBy("source_id", "target_id").agg(F.count("*").alias("weight"))
+    kinds = dict(pair_rows.dtypes)
+    placed = pair_rows.select("source_id", "target_id", sentence).repartition("source_id", "target_id").sortWithinPartitions("source_id", "target_id", sentence)
+    return placed.mapInArrow(_edge_lists, f"source_id {kinds['source_id']}, target_id {kinds['target_id']}, weight long, sentence_ids array<{kinds[sentence]}>")
+
+
+def _edge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of equal edges; the last run of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and len(_begins(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))) > 1:
+            yield _listed(held)
+            held = []
+        last = int(_begins(batch)[-1])
+        if last:
+            yield _listed([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield _listed(held)
+
+
+def _begins(batch: pa.RecordBatch) -> np.ndarray:
+    """Where runs of equal edges begin."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for column in batch.columns[:2]:
+        now, before = column.slice(1), column.slice(0, len(column) - 1)
+        new[1:] |= pc.coalesce(pc.not_equal(now, before), pc.xor(now.is_null(), before.is_null())).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _listed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    batch = pa.concat_batches(batches)
+    begins, values = _begins(batch), batch.column(2)
+    ends = np.append(begins, batch.num_rows)
+    known = np.concatenate([[0], np.cumsum(values.is_valid().to_numpy(zero_copy_only=False))])
+    ids = pa.ListArray.from_arrays(pa.array(known[ends], pa.int32()), values.drop_null())
+    first = pa.array(begins)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(first), batch.column(1).take(first), pa.array(np.diff(ends)), ids], names=["source_id", "target_id", "weight", "sentence_ids"])
 
 
 def counted(present: DataFrame, sentence: str = "sentence_id", entity: str = "canonical_id", block: int = BLOCK) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from loomgraph.operators import cooccur, events
 
 
@@ -32,3 +35,25 @@ def test_mentions_are_paired_without_distinct_rows(spark):
     # Mentions of hot sentences are made distinct first.
     assert rows(cooccur.pairs_of(mentions, heavy=4)) == want
     assert cooccur.pairs_of(mentions.limit(0)).count() == 0
+
+
+def test_lists_of_edges_are_cut_from_sorted_rows(spark):
+    rng = random.Random(8)
+    made = [(rng.choice([None, "a", "b"]), rng.choice([None, "x", "y", "z"]), rng.choice([None, *range(30)])) for _ in range(400)]
+    df = spark.createDataFrame(made, "source_id string, target_id string, sentence_id int")
+    want = df.groupBy("source_id", "target_id").agg(F.count("*").alias("weight"), F.sort_array(F.collect_list("sentence_id")).alias("sentence_ids"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = cooccur.edges(df, lists=True)
+            assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+            assert got.dtypes == want.dtypes and rows(got) == rows(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert cooccur.edges(df.limit(0), lists=True).count() == 0
+
+
+def test_runs_of_one_key_each_are_not_held():
+    batches = [pa.RecordBatch.from_pydict({"source_id": [k], "target_id": [k], "s": [s]}) for k in range(5) for s in (1, 2)]
+    assert [b.to_pydict() for b in cooccur._edge_lists(iter(batches))] == [{"source_id": [k], "target_id": [k], "weight": [2], "sentence_ids": [[1, 2]]} for k in range(5)]
