@@ -27,7 +27,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 
 def role_events(spark: SparkSession, d: str) -> DataFrame:
     """Customers act on orders, suppliers undergo them; nations stand for both."""
-    agent = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("canonical_id"), F.lit("agent").alias("role"), F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("pos"))
+    agent = table(spark, d, "orders").join(shuffled(table(spark, d, "customer")), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("canonical_id"), F.lit("agent").alias("role"), F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("pos"))
     patient = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("canonical_id"), F.lit("patient").alias("role"), F.col("l_orderkey").alias("index"), F.col("l_linenumber").cast("long").alias("pos"))
     return agent.unionByName(patient)
 
@@ -35,7 +35,7 @@ def role_events(spark: SparkSession, d: str) -> DataFrame:
 def order_tokens(spark: SparkSession, d: str) -> DataFrame:
     """One token per order: its first line's part names the lemma."""
     first = table(spark, d, "lineitem").where("l_linenumber = 1")
-    return first.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("token_id"), F.col("p_name").alias("lemma"), F.expr("l_orderkey div 7").alias("sentence_id"))
+    return first.join(shuffled(table(spark, d, "part")), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("token_id"), F.col("p_name").alias("lemma"), F.expr("l_orderkey div 7").alias("sentence_id"))
 
 
 def event_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def ring(spark: SparkSession, d: str) -> DataFrame:
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
     """An edge for each line of an order, between the customer's and the supplier's nation, by order year."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.year("o_orderdate").alias("year"), F.col("c_nationkey").alias("a"))
+    o = table(spark, d, "orders").join(shuffled(table(spark, d, "customer")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.year("o_orderdate").alias("year"), F.col("c_nationkey").alias("a"))
     s = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", F.col("s_nationkey").alias("b"))
     return o.join(s, F.col("o_orderkey") == F.col("l_orderkey")).select("year", "a", "b")
 

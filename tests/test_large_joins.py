@@ -3,6 +3,7 @@
 import pytest
 
 from loomgraph.operators import deps, events, spans, trees
+from loomgraph.plans import tables
 from loomgraph.session import shared_checkpoint
 
 TOKENS = "sentence_id long, token_id long, word string, lemma string, pos string, tag string, dep string, head_id long"
@@ -38,3 +39,15 @@ def test_lookups(tokens):
 
 def test_negations(tokens):
     assert "Broadcast" not in plan(events.negated_verbs(tokens))
+
+
+def test_customers_and_parts(spark, tmp_path):
+    made = {
+        "orders": ["id as o_orderkey", "id as o_custkey"], "customer": ["id as c_custkey", "int(id % 5) as c_nationkey"], "part": ["id as p_partkey", "'x' as p_name"],
+        "lineitem": ["id as l_orderkey", "id as l_partkey", "id as l_suppkey", "1 as l_linenumber"], "supplier": ["id as s_suppkey", "int(id % 5) as s_nationkey"],
+    }
+    for name, columns in made.items():
+        spark.range(50).selectExpr(*columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    roles = tables.role_events(spark, str(tmp_path))
+    assert roles.count() == 100 and "Broadcast" not in plan(roles.where("role = 'agent'"))
+    assert "Broadcast" not in plan(tables.order_tokens(spark, str(tmp_path)))
