@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint, shuffled
+from ..session import ROWS, shared_checkpoint, shuffled, tasks_for
 from .trees import forests, under
 
 AUXILIARIES = ("aux", "auxpass")
@@ -78,9 +78,10 @@ def _children(tokens: DataFrame, *deps: str) -> DataFrame:
     return (rows.where(F.col("dep").isin(*deps)) if deps else rows).select(F.col("head_id").alias("parent"), "token_id")
 
 
-def compound_closure(tokens: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, token_id): each root (token_id) with its compounds and theirs, all levels down."""
-    return under(shared_checkpoint(forests(tokens, compound=F.col("dep") == "compound")), roots, "compound")
+def compound_closure(tokens: DataFrame, roots: DataFrame, each: int = ROWS) -> DataFrame:
+    """(root, token_id): each root (token_id) with its compounds and theirs, all levels down. Tasks have about `each` tokens."""
+    tasks = tasks_for(tokens.sparkSession, tokens.count(), each)
+    return under(shared_checkpoint(forests(tokens, tasks=tasks, compound=F.col("dep") == "compound")), roots, "compound", tasks)
 
 
 def noun_info(tokens: DataFrame, closure: DataFrame) -> DataFrame:
@@ -118,19 +119,20 @@ def svo_triples(tokens: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) ->
     # A coordinated verb without a subject hangs under the one before it: at the top of its tree is the nearest that has one.
     lone = verbs.where("dep = 'conj'").join(shuffled(having), "verb", "left_anti").select(F.col("verb").alias("token_id"), F.lit(True).alias("_lone"))
     marked = tokens.select("sentence_id", "token_id", "head_id", "dep").join(shuffled(lone), "token_id", "left")
-    trees = shared_checkpoint(forests(marked, any=F.lit(True), compound=F.col("dep") == "compound", conj=F.col("dep") == "conj", lone=F.col("_lone")))
+    tasks = tasks_for(tokens.sparkSession, tokens.count())
+    trees = shared_checkpoint(forests(marked, tasks=tasks, any=F.lit(True), compound=F.col("dep") == "compound", conj=F.col("dep") == "conj", lone=F.col("_lone")))
 
     def spread(rows: DataFrame) -> DataFrame:
         """Nouns with those coordinated with them."""
         nouns = rows.where("not whole")
-        more = under(trees, nouns, "conj").select(F.col("root").alias("token_id"), F.col("token_id").alias("_t"))
+        more = under(trees, nouns, "conj", tasks).select(F.col("root").alias("token_id"), F.col("token_id").alias("_t"))
         return shared_checkpoint(nouns.join(shuffled(more), "token_id").select("verb", F.col("_t").alias("token_id"), "whole").unionByName(rows.where("whole")).distinct())
 
     heirs = trees.where("top_lone <> token_id").select(F.col("top_lone").alias("root"), F.col("token_id").alias("verb"))
     shared = own.withColumnRenamed("verb", "root").join(shuffled(heirs), "root").select("verb", "token_id", "whole")
     sides = {"subject": spread(own.unionByName(shared)), "object": spread(_side(tokens, verbs, patterns, "object"))}
     both = sides["subject"].unionByName(sides["object"]).select("token_id", "whole").distinct()
-    info = [noun_info(tokens, under(trees, both.where(F.col("whole") == whole), kind)).withColumn("whole", F.lit(whole)) for whole, kind in ((False, "compound"), (True, "any"))]
+    info = [noun_info(tokens, under(trees, both.where(F.col("whole") == whole), kind, tasks)).withColumn("whole", F.lit(whole)) for whole, kind in ((False, "compound"), (True, "any"))]
     info = shared_checkpoint(info[0].unionByName(info[1]).withColumnRenamed("root", "token_id"))
 
     def named(side: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffled
+from ..session import shuffled, tasks_for
 
 
 def walked(ids: list[int], heads: list[int], linked: list[bool]) -> tuple[list[int], list[int], list[int]]:
@@ -45,10 +45,11 @@ def walked(ids: list[int], heads: list[int], linked: list[bool]) -> tuple[list[i
     return top, pre, last
 
 
-def forests(tokens: DataFrame, **kinds: Column) -> DataFrame:
+def forests(tokens: DataFrame, *, tasks: int | None = None, **kinds: Column) -> DataFrame:
     """(sentence_id, token_id) of every token, with top_k, pre_k and last_k for every kind k of tree: a condition on tokens that
-    says which of them hang under their heads. One shuffle by sentence; a sentence is numbered in one task."""
-    names = list(kinds)
+    says which of them hang under their heads. One shuffle by sentence; a sentence is numbered in one task. There are as many
+    tasks as given, or as tokens ask for, which are counted then."""
+    names, tasks = list(kinds), tasks or tasks_for(tokens.sparkSession, tokens.count())
     rows = tokens.select(F.col("sentence_id").cast("long"), F.col("token_id").cast("long"), F.col("head_id").cast("long"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in kinds.items()])
     columns = ["sentence_id", "token_id", *[f"{part}_{k}" for k in names for part in ("top", "pre", "last")]]
 
@@ -77,13 +78,17 @@ def forests(tokens: DataFrame, **kinds: Column) -> DataFrame:
                 begin = end
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (own[0], own[1], *out)], names=columns)
 
-    dealt = rows.repartition("sentence_id").sortWithinPartitions("sentence_id", "token_id")
+    dealt = rows.repartition(tasks, "sentence_id").sortWithinPartitions("sentence_id", "token_id")
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
-def under(numbered: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
-    """(root, token_id): each of roots(token_id), once, with all that hangs under it in the trees of a kind."""
-    numbered = shuffled(numbered)
-    own = numbered.join(roots.select("token_id").distinct(), "token_id", "left_semi").select("sentence_id", F.col("token_id").alias("root"), F.col(f"top_{kind}").alias("_top"), F.col(f"pre_{kind}").alias("_from"), F.col(f"last_{kind}").alias("_to"))
+def under(numbered: DataFrame, roots: DataFrame, kind: str, tasks: int | None = None) -> DataFrame:
+    """(root, token_id): each of roots(token_id), once, with all that hangs under it in the trees of a kind. The joins have as many
+    tasks as given, or as tokens ask for, which are counted then."""
+    tasks = tasks or tasks_for(numbered.sparkSession, numbered.count())
+    kept = shuffled(numbered.repartition(tasks, "token_id")).join(roots.select(F.col("token_id").cast("long")).repartition(tasks, "token_id"), "token_id", "left_semi")
+    own = kept.select("sentence_id", F.col("token_id").alias("root"), F.col(f"top_{kind}").alias("_top"), F.col(f"pre_{kind}").alias("_from"), F.col(f"last_{kind}").alias("_to"))
     rest = numbered.select("sentence_id", "token_id", F.col(f"top_{kind}").alias("_top"), F.col(f"pre_{kind}").alias("_pre"))
-    return own.join(rest, ["sentence_id", "_top"]).where(F.col("_pre").between(F.col("_from"), F.col("_to"))).select("root", "token_id")
+    keys = ["sentence_id", "_top"]
+    met = own.repartition(tasks, *keys).join(shuffled(rest.repartition(tasks, *keys)), keys)
+    return met.where(F.col("_pre").between(F.col("_from"), F.col("_to"))).select("root", "token_id")

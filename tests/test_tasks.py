@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomgraph.operators import cooccur, events
+from loomgraph.operators import cooccur, deps, events, trees
 
 
 def rows(df):
@@ -26,6 +26,21 @@ def test_pairs_are_made_in_tasks_of_a_bounded_number(spark):
     assert rows(many) == rows(cooccur.pairs(present)) and many.count() == 2000
 
 
+def clauses(spark, n):
+    """n sentences of four tokens: two compounds, one of the other, a noun, and a head outside the sentence."""
+    return spark.range(n * 4).selectExpr("id div 4 as sentence_id", "id as token_id", "if(id % 4 < 2, 'compound', if(id % 4 = 2, 'dobj', 'x')) as dep", "if(id % 4 < 2, id + 1, if(id % 4 = 2, id, -1)) as head_id")
+
+
+def test_compounds_are_followed_in_tasks_of_a_bounded_number_of_tokens(spark):
+    tokens = clauses(spark, 500)
+    # Roots that are named twice count once; one is of no sentence.
+    roots = tokens.where("dep = 'dobj'").unionByName(tokens.where("token_id = 2")).select("token_id").unionByName(spark.range(1).selectExpr("-9L as token_id"))
+    many = deps.compound_closure(tokens, roots, each=100)
+    assert many.rdd.getNumPartitions() == 20
+    assert rows(many) == sorted(((4 * s + 2, 4 * s + k) for s in range(500) for k in range(3)), key=repr) == rows(deps.compound_closure(tokens, roots))
+    assert trees.forests(tokens, tasks=20, any=F.lit(True)).rdd.getNumPartitions() == 20
+
+
 def test_mentions_are_paired_without_distinct_rows(spark):
     rng = random.Random(3)
     made = [(rng.choice([None, *range(40)]), rng.choice([None, *range(9)])) for _ in range(600)]
