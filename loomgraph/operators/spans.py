@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint, shuffled
+from ..session import ROWS, shared_checkpoint, shuffled, tasks_for
 
 #: Spans of a stretch that is swept in one task.
 BOUND = 100_000
@@ -173,10 +173,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, lo: str, hi:
     return placed.join(listed, ["_level", "_stretch"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("_level", "_stretch")
 
 
-def heads_in_sentence(tokens: DataFrame) -> DataFrame:
-    """tokens with place (from 0, within the sentence) and head_place; heads outside the sentence drop their row."""
-    placed = tokens.withColumn("place", F.row_number().over(Window.partitionBy("sentence_id").orderBy("token_id")) - 1)
+def heads_in_sentence(tokens: DataFrame, each: int = ROWS) -> DataFrame:
+    """tokens with place (from 0, within the sentence) and head_place; heads outside the sentence drop their row. Tasks have about
+    `each` tokens."""
+    tasks, keys = tasks_for(tokens.sparkSession, tokens.count(), each), ["sentence_id", "head_id"]
+    placed = tokens.repartition(tasks, "sentence_id").withColumn("place", F.row_number().over(Window.partitionBy("sentence_id").orderBy("token_id")) - 1)
     head = placed.select(F.col("sentence_id"), F.col("token_id").alias("head_id"), F.col("place").alias("head_place"))
-    return placed.join(shuffled(head), ["sentence_id", "head_id"])
+    return placed.repartition(tasks, *keys).join(shuffled(head.repartition(tasks, *keys)), keys)
 
 

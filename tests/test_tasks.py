@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomgraph.operators import cooccur, deps, events, trees
+from loomgraph.operators import cooccur, deps, events, spans, trees
 
 
 def rows(df):
@@ -41,6 +41,16 @@ def test_compounds_are_followed_in_tasks_of_a_bounded_number_of_tokens(spark):
     assert trees.forests(tokens, tasks=20, any=F.lit(True)).rdd.getNumPartitions() == 20
 
 
+def test_heads_are_placed_in_tasks_of_a_bounded_number_of_tokens(spark):
+    tokens = clauses(spark, 500)
+    many = spans.heads_in_sentence(tokens, each=100)
+    assert many.rdd.getNumPartitions() == 20
+    got = sorted((r.token_id, r.place, r.head_place) for r in many.collect())
+    assert got == sorted((4 * s + k, k, h) for s in range(500) for k, h in ((0, 1), (1, 2), (2, 2))) and rows(many) == rows(spans.heads_in_sentence(tokens))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
+
+
 def test_mentions_are_paired_without_distinct_rows(spark):
     rng = random.Random(3)
     made = [(rng.choice([None, *range(40)]), rng.choice([None, *range(9)])) for _ in range(600)]
