@@ -8,16 +8,18 @@ takes either form by a graph's number of nodes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint, shuffled
+from .ordered import numbered
 
 
 def nodes_of(edges: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -205,8 +207,9 @@ FEW_STEPS, SOURCES = 5_000_000, 256
 #: Rows that the state of one batch of sources has at most, for measures by joins.
 STATE_ROWS = 50_000_000
 #: Components of up to so many nodes and links are walked in tasks, a slice of their sources in each; words of 64 sources that
-#: such a task holds for all nodes together, and at most for a node.
-TASK_NODES, TASK_LINKS, TASK_CELLS, TASK_WORDS = 1 << 17, 1 << 22, 1 << 22, 96
+#: such a task holds for all nodes together; words that a slice has at least, if there are as many, and at most, unless a
+#: component has fewer cores' work. Neighbours of a list.
+TASK_NODES, TASK_LINKS, TASK_CELLS, TASK_WORDS, MOST_WORDS, LIST = 1 << 20, 1 << 26, 1 << 24, 128, 1024, 1 << 18
 
 
 def _lengths(edges: DataFrame, keys: list[str], weight: str | None, directed: bool, smallest: bool) -> DataFrame:
@@ -313,91 +316,241 @@ def components(links: DataFrame) -> DataFrame:
 def _reach(links: DataFrame, every: DataFrame, keys: list[str], directed: bool, rows: int, nodes: int, most: int) -> DataFrame:
     """(keys, node, _r, _d) by edges: how many other nodes reach it, and the sum of their hops.
 
-    A source reaches its own component at most, so work follows components. Those of up to `nodes` nodes and `most` links
-    are walked in tasks, others by joins.
+    links may have parallel ones and self-loops; without directions they may be there one way or both ways. Nodes are numbered
+    by their links, and links become lists of numbers. A source reaches its own component at most, so work follows
+    components. Those of up to `nodes` nodes and `most` links are walked in tasks, others by joins.
     """
-    names = shared_checkpoint(every.select(*keys, "node").withColumn("_id", F.monotonically_increasing_id()))
-    numbers = [names.select(*keys, F.col("node").alias(c), F.col("_id").alias(f"_{c}")) for c in "ab"]
-    step = links.join(shuffled(numbers[0]), [*keys, "a"]).join(shuffled(numbers[1]), [*keys, "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    step = shared_checkpoint(step if directed else step.where("a < b"))
-    placed = shared_checkpoint(components(step))
-    inside = shared_checkpoint(step.join(shuffled(placed.withColumnRenamed("id", "a")), "a").select("component", "a", "b"))
-    size = placed.groupBy("component").agg(F.count("*").alias("_n")).join(shuffled(inside.groupBy("component").agg(F.count("*").alias("_m"))), "component")
+    ends = links.select(*keys, "a", "b") if directed else links.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ends = ends.where("a <> b")
+    degree = ends.select(*keys, F.explode(F.array("a", "b")).alias("node"), F.lit(1).alias("_k")).unionByName(every.select(*keys, "node", F.lit(0).alias("_k")))
+    names = numbered(shared_checkpoint(degree.groupBy(*keys, "node").agg(F.sum("_k").alias("_k"))), [], ["_k", *keys, "node"], "_place")
+    names = shared_checkpoint(names.where("_k > 0").select(*keys, "node", F.col("_place").alias("_id")))
+    if names.isEmpty():
+        return every.select(*keys, "node", F.lit(0).cast("long").alias("_r"), F.lit(0).cast("long").alias("_d")).limit(0)
+    kind = "int" if (names.agg(F.max("_id")).first()[0] or 0) < 2**31 else "long"
+    numbers = [names.select(*keys, F.col("node").alias(c), F.col("_id").cast(kind).alias(f"_{c}")).hint("shuffle_hash") for c in "ab"]
+    lists = ends.join(numbers[1], [*keys, "b"]).groupBy(*keys, "a", F.expr(f"_b div {LIST}").alias("_piece")).agg(F.collect_set("_b").alias("to"))
+    lists = shared_checkpoint(lists.join(numbers[0], [*keys, "a"]).select(F.col("_a").alias("a"), "to"))
+    placed = shared_checkpoint(components(lists.select("a", F.explode("to").alias("b")).mapInArrow(_stars, "a long, b long")))
+    lists = shared_checkpoint(lists.join(shuffled(placed.select(F.col("id").alias("a"), "component")), "a"))
+    inside = lists.select("component", "a", F.explode("to").alias("b"))
+    size = placed.groupBy("component").agg(F.count("*").alias("_n")).join(shuffled(lists.groupBy("component").agg(F.sum(F.size("to")).alias("_m"))), "component")
     size = shared_checkpoint(size.withColumn("_light", (F.col("_n") <= nodes) & (F.col("_m") <= most)))
     parts = [_reach_in_tasks(inside, size.where("_light"), directed)]
     if not size.where("not _light").isEmpty():
         heavy = placed.join(shuffled(size.where("not _light").select("component")), "component").withColumnRenamed("id", "node")
         # A component's sources share words.
         heavy = shared_checkpoint(heavy.repartitionByRange("component", "node").sortWithinPartitions("component", "node"))
-        own = inside.join(shuffled(size.where("not _light").select("component")), "component")
+        own = inside.join(shuffled(size.where("not _light").select("component")), "component").select("component", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
         parts.append(_reach_by_joins(own if directed else both_ways(own, ["component"]), heavy, ["component"], directed, rows).select(F.col("node").alias("id"), "_r", "_d"))
     return names.join(shuffled(reduce(DataFrame.unionByName, parts)), F.col("_id") == F.col("id")).select(*keys, "node", "_r", "_d")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): a link from each node of a task's links to the least number that they join it with, for components()."""
+    held, more, size = np.zeros((2, 0), np.int64), [], 0
+
+    def joined() -> np.ndarray:
+        names, ends = np.unique(np.concatenate([held, *more], axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        least = np.arange(len(names))
+        while len(a):
+            low = np.minimum(least[a], least[b])
+            for end in (a, b):
+                np.minimum.at(least, least[end], low)
+            while (least[least] != least).any():
+                least = least[least]
+            open_ = least[a] != least[b]
+            a, b = a[open_], b[open_]
+        return np.stack([names, names[least]])
+
+    for batch in batches:
+        more.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in "ab"]))
+        size += more[-1].shape[1]
+        if size > 1 << 22:
+            held, more, size = joined(), [], 0
+    a, b = joined()
+    yield pa.RecordBatch.from_arrays([pa.array(x[a != b]) for x in (a, b)], names=["a", "b"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """links(component, a, b) with lists of a batch's ends in a row for each component."""
+    for batch in batches:
+        own = batch.column(0).to_numpy()
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+        cuts, order = pa.array(np.r_[begins, len(own)].astype(np.int32)), pa.array(order)
+        yield pa.RecordBatch.from_arrays([pa.array(own[begins]), *[pa.ListArray.from_arrays(cuts, batch.column(k).take(order)) for k in (1, 2)]], names=["component", "a", "b"])
+
+
 def _reach_in_tasks(inside: DataFrame, size: DataFrame, directed: bool) -> DataFrame:
-    """(id, _r, _d) of components whose links(component, a, b) a task can hold: a task for each slice of a component's sources."""
-    words = F.ceil(F.col("_n") / 64)
-    held = F.least(F.greatest(F.floor(TASK_CELLS / F.col("_n")), F.lit(1)), F.lit(TASK_WORDS))
-    slices = shared_checkpoint(size.select("component", F.ceil(words / held).cast("int").alias("_slices")))
+    """(id, _r, _d) of components whose links(component, a, b) a task can hold: a task for each slice of a component's sources.
+    Slices are so many that all cores have work, and no more, as each has the component's links, in lists."""
+    cores = inside.sparkSession.sparkContext.defaultParallelism
+    words, work = F.ceil(F.col("_n") / 64), F.col("_n") / 64 * F.col("_m")
+    share = (size.agg(F.sum(work)).first()[0] or 0) / (2 * cores)
+    wanted = F.greatest(F.ceil(work / max(share, 1)), F.ceil(words / MOST_WORDS))
+    slices = shared_checkpoint(size.select("component", F.least(wanted, F.ceil(words / TASK_WORDS)).cast("int").alias("_slices")))
     tasks = slices.agg(F.sum("_slices")).first()[0] or 0
-    rows = inside.join(shuffled(slices), "component").select("component", "a", "b", "_slices", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+    kinds = dict(inside.dtypes)
+    lists = inside.mapInArrow(_packed, f"component long, a array<{kinds['a']}>, b array<{kinds['b']}>")
+    rows = lists.join(shuffled(slices), "component").select("component", "a", "b", "_slices", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
     # Few rows may be much work: they are not put together by their bytes.
     rows = rows.repartition(max(1, min(2000, 3 * tasks)), "component", "_slice")
 
-    def task(part: pd.DataFrame) -> pd.DataFrame:
-        names, ends = np.unique(part[["a", "b"]].to_numpy(), return_inverse=True)
-        a, b = ends.reshape(-1, 2).T
-        n, k, of = len(names), int(part["_slice"].iloc[0]), int(part["_slices"].iloc[0])
-        reached, hops = walk(n, *((a, b) if directed else (np.r_[a, b], np.r_[b, a])), np.arange(k * n // of, (k + 1) * n // of))
-        return pd.DataFrame({"id": names, "_r": reached, "_d": hops})
-
-    return rows.groupBy("component", "_slice").applyInPandas(task, "id long, _r long, _d long").groupBy("id").agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))
-
-
-def walk(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """How many of the sources reach each of n nodes by links from a to b, itself left out, and the sum of their hops.
-
-    A node has a bit for each source. A level puts the fresh bits before a node together by OR, only for nodes that lack
-    some and have a neighbour with fresh ones; nodes with equal numbers of links go together.
+    def task(part: pa.Table) -> pa.Table:
+        k, of = part.column("_slice")[0].as_py(), part.column("_slices")[0].as_py()
+        names, (a, b) = _named([np.concatenate([x.flatten().to_numpy() for x in part.column(c).chunks]) for c in "ab"])
+        del part
+        n = len(names)
+        into = _lists(n, b, a) if directed else _lists(n, np.r_[a, b], np.r_[b, a])
+        out = _lists(n, a, b) if directed else into
+        del a, b
+        reached, hops, sides, wide = np.zeros(n, np.int64), np.zeros(n, np.int64), None if directed else _sides(n, *into), max(1, min(64, TASK_CELLS // n)) * 64
+        for begin in range(k * n // of, (k + 1) * n // of, wide):
+            r, h = _walked(n, out, into, sides, np.arange(begin, min(begin + wide, (k + 1) * n // of)))
+            reached += r
+            hops += h
+        return pa.table({"id": names.astype(np.int64), "_r": reached, "_d": hops})
+
+    return rows.groupBy("component", "_slice").applyInArrow(task, "id long, _r long, _d long").groupBy("id").agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))
+
+
+def _named(ends: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct numbers in order, and their places for all ends."""
+    low, high = min(int(x.min()) for x in ends), max(int(x.max()) for x in ends)
+    if high - low > 4 * len(ends[0]) + 1000:
+        names = np.unique(np.concatenate(ends))
+        return names, [np.searchsorted(names, x).astype(np.int32) for x in ends]
+    there = np.zeros(high - low + 1, bool)
+    for x in ends:
+        there[x - low] = True
+    place = np.cumsum(there, dtype=np.int32) - np.int32(1)
+    return np.flatnonzero(there) + low, [place[x - low] for x in ends]
+
+
+def _lists(n: int, of: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, to): the ends `to` of each of n nodes lie from its first to that of the next."""
+    first = np.r_[0, np.cumsum(np.bincount(of, minlength=n))]
+    keys = of.astype(np.uint64)
+    keys <<= np.uint64(32)
+    keys |= to.astype(np.uint64) if to.dtype != np.int32 else to.view(np.uint32)
+    keys.sort()
+    return first, keys.astype(np.uint32).view(np.int32)
+
+
+def _sides(n: int, first: np.ndarray, to: np.ndarray) -> np.ndarray | None:
+    """The side of every node of a connected graph whose links all cross from one side to the other; None if there is no such split."""
+    side = np.full(n, -1, np.int8)
+    side[0], now, turn = 0, np.zeros(1, np.int64), 0
+    while len(now):
+        turn = 1 - turn
+        near = to[_spans(first[now], first[now + 1])]
+        near = near[side[near] < 0]
+        side[near] = turn
+        now = np.unique(near)
+    # In blocks of nodes, so that what is looked up at once stays small.
+    for lo in range(0, n, 1 << 16):
+        hi = min(n, lo + (1 << 16))
+        if (side[to[first[lo] : first[hi]]] == np.repeat(side[lo:hi], np.diff(first[lo : hi + 1]))).any():
+            return None
+    return side
+
+
+def walk(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the sources reach each of n nodes by links from a to b, itself left out, and the sum of their hops."""
+    return _walked(n, _lists(n, a, b), _lists(n, b, a), None, sources, block)
+
+
+def _walked(n: int, out: tuple, into: tuple, sides: np.ndarray | None, sources: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """walk() by lists of links. A node has a bit for each source that has reached it.
+
+    The first hop, and the second if it is shorter than to ask all nodes, goes from each source to its neighbours. From then
+    on nodes that lack bits put those before them together by OR, a few at a time, until they lack none. If all links
+    cross from one side to the other, only the side after the one that got bits is asked.
     """
+    (begin, ahead), (first, before) = out, into
     words = -(-len(sources) // 64)
-    fresh = np.zeros((n, words), np.uint64)
-    k = np.arange(len(sources))
-    fresh[sources, k // 64] = np.uint64(1) << (k % 64).astype(np.uint64)
-    full, had = np.bitwise_or.reduce(fresh, axis=0), fresh.copy()
-    into, first = a[np.argsort(b, kind="stable")], np.r_[0, np.cumsum(np.bincount(b, minlength=n))]
-    out, begin = b[np.argsort(a, kind="stable")], np.r_[0, np.cumsum(np.bincount(a, minlength=n))]
-    by_degree = np.argsort(np.diff(first), kind="stable")
-    degree = np.diff(first)
-    reached, hops, hop = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-    active, lacking = np.unique(sources), np.ones(n, bool)
-    while len(active):
+    had = np.zeros((n, words), np.uint64)
+    reached, hops, hop = np.zeros(n, np.int64), np.zeros(n, np.int64), 1
+    degree, onward = np.diff(first), np.diff(begin)
+    near = [ahead[begin[s] : begin[s + 1]] for s in sources]
+    twice = sum(int(onward[x].sum()) for x in near) <= len(before) * (1 + words / 8)
+    changed = np.zeros(n, bool)
+    for w in range(words):
+        # What is marked at random is a byte for each node: eight sources at once.
+        levels = np.zeros((3 if twice else 2, n, 8), np.uint8)
+        for e in range(8):
+            at = slice(64 * w + 8 * e, 64 * w + 8 * e + 8)
+            one, two = np.zeros(n, np.uint8), np.zeros(n if twice else 0, np.uint8)
+            for i, (s, x) in enumerate(zip(sources[at], near[at])):
+                bit = np.uint8(1 << i)
+                levels[0, s, e] |= bit
+                one[x] |= bit
+                if twice and len(x):
+                    two[np.concatenate([ahead[p:q] for p, q in zip(begin[x].tolist(), begin[x + 1].tolist())])] |= bit
+            levels[1, :, e] = one
+            if twice:
+                levels[2, :, e] = two
+        own, *later = levels.view(np.uint64)[..., 0]
+        for h, level in enumerate(later, 1):
+            level &= ~own
+            own |= level
+            count = np.bitwise_count(level)
+            reached += count
+            hops += count if h == 1 else count.astype(np.int64) * h
+        changed |= later[-1] != 0
+        had[:, w] = own
+    hop = 2 if twice else 1
+    full = np.bitwise_or.reduce(had[sources], axis=0)
+    active = np.flatnonzero(changed)
+    lacking = (had != full).any(axis=1) & (degree > 0)
+    while len(active) and lacking.any():
         hop += 1
-        met = np.zeros(n, bool)
-        met[out[_spans(begin[active], begin[active + 1])]] = True
-        asked = by_degree[(met & lacking)[by_degree]]
+        if int(onward[active].sum()) <= n // 4:
+            met = np.zeros(n, bool)
+            met[ahead[_spans(begin[active], begin[active + 1])]] = True
+            asked = np.flatnonzero(met & lacking)
+        elif sides is None:
+            asked = np.flatnonzero(lacking)
+        else:
+            turn = [s for s in (0, 1) if (sides[active] != s).any()]
+            asked = np.flatnonzero(lacking & np.isin(sides, turn))
         level = np.zeros((len(asked), words), np.uint64)
-        cuts = np.r_[0, np.flatnonzero(np.diff(degree[asked])) + 1, len(asked)] if len(asked) else [0]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            d = int(degree[asked[lo]])
-            # Cells of one look-up are bounded, whatever a node's links and however many nodes have as many.
-            some, wide = max(1, block // (d * words)), max(1, block // words)
-            for p in range(lo, hi, some):
-                at = first[asked[p : min(hi, p + some)]]
-                for q in range(0, d, wide):
-                    level[p : p + len(at)] |= np.bitwise_or.reduce(fresh[into[at[:, None] + np.arange(q, min(d, q + wide))]], axis=1)
-        level &= ~had[asked]
-        count = np.bitwise_count(level).sum(axis=1, dtype=np.int64)
-        reached[asked] += count
-        hops[asked] += hop * count
-        had[asked] |= level
-        lacking[asked] = (had[asked] != full).any(axis=1)
-        fresh[active] = 0
-        active = asked[count > 0]
-        fresh[active] = level[count > 0]
+        some = max(1, block // words // 8)
+        for p in range(0, len(asked), some):
+            _asked(level[p : p + some], had, full, asked[p : p + some], first, before, some)
+        counts = np.zeros(len(asked), np.int64)
+        for p in range(0, len(asked), 8 * some):
+            own, bits = asked[p : p + 8 * some], level[p : p + 8 * some]
+            was = had.take(own, axis=0)
+            bits &= ~was
+            counts[p : p + 8 * some] = np.bitwise_count(bits).sum(axis=1)
+            was |= bits
+            had[own] = was
+            lacking[own] = (was != full).any(axis=1)
+        reached[asked] += counts
+        hops[asked] += hop * counts
+        active = asked[counts > 0]
     return reached, hops
 
 
+def _asked(level: np.ndarray, had: np.ndarray, full: np.ndarray, nodes: np.ndarray, first: np.ndarray, before: np.ndarray, some: int) -> None:
+    """Put the bits of the neighbours before each node together in its row of level; `some` rows of 8 neighbours are looked up at once."""
+    at, end, rows, wide = first[nodes], first[nodes + 1], np.arange(len(nodes)), 1
+    want = full & ~had.take(nodes, axis=0)
+    while len(rows):
+        # Past its last neighbour a node looks that one up again.
+        for p in range(0, len(rows), max(1, 8 * some // wide)):
+            q = slice(p, p + max(1, 8 * some // wide))
+            places = np.minimum(at[q, None] + np.arange(wide), end[q, None] - 1)
+            level[rows[q]] |= np.bitwise_or.reduce(had.take(before.take(places), axis=0), axis=1)
+        at = at + wide
+        go = (at < end) & (want.take(rows, axis=0) & ~level.take(rows, axis=0)).any(axis=1)
+        rows, at, end, wide = rows[go], at[go], end[go], min(2 * wide, 32)
+
+
 def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The numbers from each lo up to its hi."""
     size = hi - lo
@@ -440,6 +593,11 @@ def closeness_by_joins(links: DataFrame, every: DataFrame, keys: list[str], dire
     else:
         parts = [shared_checkpoint(distances(links, every, keys, batch).groupBy(*keys, "node").agg((F.count("*") - F.count_if(F.col("source") == F.col("node"))).alias("_r"), F.sum("d").alias("_d"))) for batch in _batches(every, keys, rows)]
         reach = reduce(DataFrame.unionByName, parts).groupBy(*keys, "node").agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))
+    return _scaled(reach, every, keys)
+
+
+def _scaled(reach: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, value, converged) of every node from what reaches it, (keys, node, _r, _d)."""
     size = every.groupBy(*keys).agg(F.count("*").alias("_n"))
     joined = (every.join(size, keys) if keys else every.join(F.broadcast(size))).join(reach, [*keys, "node"], "left")
     value = F.when((F.col("_d") > 0) & (F.col("_n") > 1), F.col("_r") / F.col("_d") * F.col("_r") / (F.col("_n") - 1)).otherwise(0.0)
@@ -546,9 +704,9 @@ def hop_distances(edges: DataFrame, keys: list[str] = [], rounds: int | None = N
 
 def closeness_at_scale(edges: DataFrame, keys: list[str] = []) -> DataFrame:
     """(keys, node, closeness) of undirected graphs, all by joins."""
-    links = _lengths(edges, keys, None, False, True)
-    every = shared_checkpoint(nodes_of(edges, keys).withColumn("node", F.col("node").cast("string")))
-    return closeness_by_joins(shared_checkpoint(links), every, keys, directed=False).select(*keys, "node", F.col("value").alias("closeness"))
+    named = edges.select(*keys, *[F.col(c).cast("string").alias(c) for c in "ab"])
+    every = shared_checkpoint(nodes_of(named, keys))
+    return _scaled(_reach(named, every, keys, False, STATE_ROWS, TASK_NODES, TASK_LINKS), every, keys).select(*keys, "node", F.col("value").alias("closeness"))
 
 
 def evolution(edges: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
